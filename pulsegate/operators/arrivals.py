@@ -101,15 +101,13 @@ def _chain(instants: DataFrame, keys: list[str], us: str, ident: str, ttl: int)
     return rows.join(reached.withColumnRenamed("_from", us), [*keys, us], "left_semi").select(*keys, us, ident)
 
 
-def add_first_arrival(events: DataFrame, name: str, spec: ArrivalSpec, ident: str = "event_id", fold_limit: int = FOLD_LIMIT) -> DataFrame:
-    """Add boolean `name`: true for the accepted rows among those `keep` lets through."""
+def first_arrivals(events: DataFrame, spec: ArrivalSpec, ident: str = "event_id", fold_limit: int = FOLD_LIMIT) -> DataFrame:
+    """Ids of the accepted rows among those `keep` lets through."""
     keys = [f"_k{i}" for i in range(len(spec.keys))]
     rows = events.where(spec.keep).select(
         *[k.cast("string").alias(n) for n, k in zip(keys, spec.keys)], event_us(spec.order).alias("_us"), ident
     )
-    first = accepted(rows, keys, "_us", ident, spec.ttl, fold_limit).select(ident, F.lit(True).alias(name))
-    # Joined on the event id, which is unique: a hot key does not meet in one task.
-    return events.join(first, ident, "left").select(*[F.col(f"`{c}`") for c in events.columns], F.col(f"`{name}`"))
+    return accepted(rows, keys, "_us", ident, spec.ttl, fold_limit).select(ident)
 
 
 def cooldown(signals: DataFrame, keys: list[str], time: str, ident: str, duration: int, fold_limit: int = FOLD_LIMIT) -> DataFrame:

@@ -38,55 +38,41 @@ def _key(columns: tuple[Column, ...]) -> Column:
     return F.when(complete, F.array(*[c.cast("string") for c in columns]))
 
 
-def add_followed(events: DataFrame, name: str, spec: SequenceSpec, time: str = "event_time", ident: str = "event_id") -> DataFrame:
-    """Add boolean `name`: for A rows whether a B follows in time, NULL for other rows."""
+def followed(events: DataFrame, spec: SequenceSpec, time: str = "event_time", ident: str = "event_id", payload: tuple[str, ...] = ()) -> DataFrame:
+    """The A rows with a complete key, as (ident, payload..., followed)."""
     grain = max(1, spec.within // BUCKETS_PER_LIMIT)
     reach = -(-spec.within // grain)
-    us = event_us(time)
-    # One copy of every row in its role as A (or neither), one more for every B.
-    # Rows without role or key get a group of their own and add no load to a real key.
-    left, right = _key(spec.left_keys), _key(spec.right_keys)
-    none = F.lit(None).cast("array<string>")
-    copies = F.filter(
+    roles = F.filter(
         F.array(
-            F.struct(F.lit("A").alias("role"), F.when(spec.first, left).otherwise(none).alias("key")),
-            F.struct(F.when(spec.second & right.isNotNull(), F.lit("B")).alias("role"), right.alias("key")),
+            F.struct(F.when(spec.first, F.lit("A")).alias("role"), _key(spec.left_keys).alias("key")),
+            F.struct(F.when(spec.second, F.lit("B")).alias("role"), _key(spec.right_keys).alias("key")),
         ),
-        lambda c: c["role"].isNotNull(),
+        lambda c: c["role"].isNotNull() & c["key"].isNotNull(),
     )
     rows = (
-        events.withColumn("_c", F.explode(copies))
-        .withColumns({"_role": F.col("_c.role"), "_key": F.col("_c.key"), "_us": us})
-        .withColumn("_bucket", F.when(F.col("_key").isNotNull(), cell(F.col("_us"), grain)).otherwise(F.xxhash64(ident)))
-        .drop("_c")
+        events.where(spec.first | spec.second)
+        .select(ident, *payload, event_us(time).alias("_us"), F.inline(roles))
+        .withColumn("_bucket", cell(F.col("_us"), grain))
     )
-    b_time = F.when(F.col("_role") == "B", F.col("_us"))
-    later = W.partitionBy("_key").orderBy("_bucket").rangeBetween(1, reach)
+    b_time = F.when(F.col("role") == "B", F.col("_us"))
+    later = W.partitionBy("key").orderBy("_bucket").rangeBetween(1, reach)
     buckets = (
-        rows.where(F.col("_key").isNotNull())
-        .groupBy("_key", "_bucket")
+        rows.groupBy("key", "_bucket")
         .agg(F.min(b_time).alias("_b"))
-        .withColumn("_next", F.min("_b").over(later))
-        .where(F.col("_next").isNotNull())
-        .select("_key", "_bucket", "_next")
+        .select("key", "_bucket", F.min("_b").over(later).alias("_next"))
+        .where("_next is not null")
     )
     # Scanning backwards, the rows before A are those after it in time; a row that is
     # both A and B meets its own B copy only afterwards.
     backwards = (
-        W.partitionBy("_key", "_bucket")
-        .orderBy(F.col("_us").desc(), F.col(ident).desc(), F.col("_role").asc())
+        W.partitionBy("key", "_bucket")
+        .orderBy(F.desc("_us"), F.desc(ident), F.asc("role"))
         .rowsBetween(W.unboundedPreceding, -1)
     )
+    in_time = F.coalesce("_inside", "_next") < F.col("_us") + F.lit(spec.within)
     return (
         rows.withColumn("_inside", F.min(b_time).over(backwards))
-        .where(F.col("_role") == "A")
-        .join(buckets, ["_key", "_bucket"], "left")
-        .withColumn(
-            name,
-            F.when(
-                F.col("_key").isNotNull(),
-                F.coalesce(F.coalesce("_inside", "_next") < F.col("_us") + F.lit(spec.within), F.lit(False)),
-            ).otherwise(F.when(spec.first, F.lit(False))),
-        )
-        .select(*[F.col(f"`{c}`") for c in events.columns], F.col(f"`{name}`"))
+        .where(F.col("role") == "A")
+        .join(buckets, ["key", "_bucket"], "left")
+        .select(ident, *payload, F.coalesce(in_time, F.lit(False)).alias("followed"))
     )

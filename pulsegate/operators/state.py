@@ -108,7 +108,7 @@ def add_state(
         *([F.lit(1).alias("_any")] if not partials and not carried else []),
     )
 
-    buckets, earlier, open_columns = _earlier_buckets(buckets, metrics, partials, carried, bucket)
+    buckets, earlier, open_columns = _earlier_buckets(rows, buckets, metrics, partials, carried, bucket)
 
     in_bucket = W.partitionBy(KEY, "_bucket").orderBy(TIME, ID)
     before = in_bucket.rowsBetween(W.unboundedPreceding, 0 if include_current else -1)
@@ -138,7 +138,7 @@ def add_state(
     return joined.select(*[_quoted(c) for c in timeline.columns], *[c.alias(n) for n, c in out.items()])
 
 
-def _earlier_buckets(buckets, metrics, partials, carried, bucket):
+def _earlier_buckets(rows, buckets, metrics, partials, carried, bucket):
     """Per (customer, bucket): state left by earlier buckets, as columns on `buckets`."""
     by_slide: dict[int, set[int]] = defaultdict(set)
     used: dict[tuple[int, int], set[tuple[str, str]]] = defaultdict(set)
@@ -172,7 +172,8 @@ def _earlier_buckets(buckets, metrics, partials, carried, bucket):
         wanted = sorted({p for parts in closing.values() for p in parts})
         cells = buckets
         if slide > bucket:
-            cells = buckets.groupBy(KEY, grain).agg(*[_MERGE[part](partials[(s, part)][0]).alias(partials[(s, part)][0]) for s, part in wanted])
+            # From the rows again: partial sums per cell, one small shuffle.
+            cells = rows.groupBy(KEY, cell(F.col("_bucket"), slide // bucket).alias(grain)).agg(*[_MERGE[part](partials[(s, part)][0]).alias(partials[(s, part)][0]) for s, part in wanted])
         added = {}
         for duration, parts in sorted(closing.items()):
             span = W.partitionBy(KEY).orderBy(grain).rangeBetween(-(duration // slide - 1), -1)

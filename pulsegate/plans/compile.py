@@ -202,9 +202,11 @@ class CompiledRules:
             left = right = (F.col("customer_id"),)
         name = f"seq:{len(self.sequences)}"
         self.sequences[name] = sequences.SequenceSpec(first, second, left, right, leaf.within)
-        followed = _quoted(name)
-        test = followed if leaf.pattern == "FOLLOWED_BY" else ~followed
-        return F.coalesce(test, F.lit(False))
+        complete = first
+        for column in left:
+            complete = complete & column.isNotNull()
+        marked = F.coalesce(_quoted(name), F.lit(False))
+        return complete & (marked if leaf.pattern == "FOLLOWED_BY" else ~marked)
 
     # ---- rules ------------------------------------------------------------------
 
@@ -266,22 +268,34 @@ class CompiledRules:
         ]
         return timeline.select(*EVENT_COLUMNS, *dict.fromkeys(extra), *fields)
 
-    def prepare(self, timeline: DataFrame, dataset_rows: DataFrame | None = None, keep: tuple[str, ...] = (),
-                checkpoint: bool = False) -> DataFrame:
+    def prepare(self, timeline: DataFrame, dataset_rows: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
         """Timeline plus every state column the rules read."""
-        out = self.pruned(timeline, keep)
-        for name, spec in self.sequences.items():
-            out = sequences.add_followed(out, name, spec)
-        for name, spec in self.arrivals.items():
-            out = arrivals.add_first_arrival(out, name, spec)
-        if self.metrics or self.attributes:
-            out = add_state(out, self.attributes, self.metrics, self.bucket, self.include_current)
+        base = self.pruned(timeline, keep)
+        marks = [
+            sequences.followed(base, spec).where("followed").select("event_id", F.lit(name).alias("mark"))
+            for name, spec in self.sequences.items()
+        ] + [
+            arrivals.first_arrivals(base, spec).select("event_id", F.lit(name).alias("mark"))
+            for name, spec in self.arrivals.items()
+        ]
+        out = add_state(base, self.attributes, self.metrics, self.bucket, self.include_current)
+        if marks:
+            out = self._marked(out, marks)
         for name, spec in self.memberships.items():
             if dataset_rows is None:
                 raise ValueError("rules use IN_DATASET: pass dataset_rows")
             out = datasets.add_membership(out, name, spec, dataset_rows)
         return out
 
+    def _marked(self, rows: DataFrame, marks: list[DataFrame]) -> DataFrame:
+        """Sequence and arrival marks by event id: one join on a unique key, however many marks there are."""
+        table = marks[0]
+        for other in marks[1:]:
+            table = table.unionByName(other)
+        names = [*self.sequences, *self.arrivals]
+        flags = table.groupBy("event_id").agg(*[F.bool_or(F.col("mark") == name).alias(name) for name in names])
+        return rows.join(flags, "event_id", "left")
+
     def _verdict(self, rule: Rule, triggers, leaves) -> Column:
         routed, fired, trigger_failures = F.lit(False), F.lit(False), []
         for trigger, groups in triggers:
