@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,46 +65,30 @@ def schema_columns(schemas: DataFrame) -> DataFrame:
     return schemas.select("source", "version", "key_field", "total_fields", F.inline("columns"))
 
 
-def publish_schemas(columns: DataFrame, timestamp: Column | None = None) -> DataFrame:
+def publish_schemas(columns: DataFrame, timestamp: str | None = None) -> DataFrame:
     """Schema messages (key `version:source`, JSON value) from `schema_columns` rows.
 
-    Paths of one and of two or more parts are nested as in the event they describe.
+    One group is one schema, so a few hundred fields at most.
     """
-    spec = F.struct("type", "category")
-    parts = F.split("path", r"\.")
-    head = F.element_at(parts, 1)
-    rest = F.concat_ws(".", F.slice(parts, 2, 64))
-    leaf = columns.select("source", "version", "key_field", "total_fields", head.alias("head"), rest.alias("rest"), F.to_json(spec).alias("json"))
-    levels = leaf
-    # Fold the deepest names into objects, level by level, until every row is top level.
-    depth = 12
-    for level in range(depth, 0, -1):
-        path = F.split(F.concat_ws(".", "head", F.when(F.col("rest") != "", F.col("rest"))), r"\.")
-        at = levels.withColumn("_path", path).withColumn("_n", F.size("_path"))
-        if level == 1:
-            break
-        deep = at.where(F.col("_n") == level)
-        parent = F.slice("_path", 1, level - 1)
-        folded = deep.groupBy("source", "version", "key_field", "total_fields", parent.alias("_p")).agg(
-            _object(F.element_at("_path", -1)).alias("json")
-        ).select("source", "version", "key_field", "total_fields", F.element_at("_p", 1).alias("head"),
-                 F.concat_ws(".", F.slice("_p", 2, 64)).alias("rest"), "json")
-        levels = at.where(F.col("_n") != level).drop("_path", "_n").unionByName(folded)
-    body = levels.groupBy("source", "version", "key_field", "total_fields").agg(_object(F.col("head")).alias("structure"))
-    stamp = F.lit(None).cast("string") if timestamp is None else timestamp
-    meta = F.to_json(F.struct(F.col("version").alias("schema_version"), F.col("source"), stamp.alias("timestamp")))
-    value = F.concat(
-        F.lit('{"metadata":'), meta, F.lit(',"key_field":'), F.to_json(F.array("key_field")).substr(F.lit(2), F.length(F.to_json(F.array("key_field"))) - 2),
-        F.lit(',"total_fields":'), F.col("total_fields").cast("string"), F.lit(',"structure":'), F.col("structure"), F.lit("}"),
-    )
-    return body.select(F.concat_ws(":", "version", "source").alias("key"), value.alias("value"))
-
 
-def _object(name: Column) -> Column:
-    """JSON object text of (name, json) rows in name order."""
-    quoted = F.to_json(F.array(name))
-    member = F.concat(quoted.substr(F.lit(2), F.length(quoted) - 2), F.lit(":"), F.col("json"))
-    return F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(member)), ","), F.lit("}"))
+    def message(fields: pd.DataFrame) -> pd.DataFrame:
+        first = fields.iloc[0]
+        structure: dict = {}
+        for row in fields.sort_values("path").itertuples():
+            *parents, name = row.path.split(".")
+            node = structure
+            for parent in parents:
+                node = node.setdefault(parent, {})
+            node[name] = {"type": row.type, "category": row.category}
+        body = {
+            "metadata": {"schema_version": first.version, "source": first.source, "timestamp": timestamp},
+            "key_field": first.key_field, "total_fields": int(first.total_fields), "structure": structure,
+        }
+        text = json.dumps(body, separators=(",", ":"), ensure_ascii=False)
+        return pd.DataFrame({"key": [f"{first.version}:{first.source}"], "value": [text]})
+
+    wanted = columns.select("source", "version", "key_field", "total_fields", "path", "type", "category")
+    return wanted.groupBy("source", "version").applyInPandas(message, "key string, value string")
 
 
 def struct_type(columns: list[tuple[str, str]]) -> T.StructType:
