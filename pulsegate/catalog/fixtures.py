@@ -202,3 +202,122 @@ def dataset_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array("device_type", "login_channel", F.col("k").cast("string")).alias("key")
     )
     return tuples.distinct().select(F.lit("risky").alias("dataset_id"), F.lit("v1").alias("dataset_version"), "key")
+
+
+# ---- raw messages -------------------------------------------------------------------
+
+# How a broken message is broken, by (event_id / 50) % 6.
+BREAKS = ("no key", "no time", "time without offset", "unknown version", "cut text", "word for number")
+
+
+def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cdp_events as nested JSON messages with headers; every 50th row is broken in one of six ways."""
+    events = cdp_events(spark, sf_dir)
+    broken = F.when(F.col("event_id") % 50 == 0, F.call_function("div", F.col("event_id"), F.lit(50)) % 6)
+    is_broken = lambda n: F.coalesce(broken == n, F.lit(False))
+    no_source = F.col("event_id") % 97 == 13
+    in_header = (F.col("event_id") % 3 == 0) & ~no_source
+    moment = F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    version = F.when(is_broken(3), F.lit("v9")).otherwise(F.lit("v2"))
+    payload = F.struct(
+        F.struct(
+            F.when(~is_broken(0), F.col("customer_id")).alias("customer_id"),
+            F.when(~in_header & ~no_source, F.col("source")).alias("source"),
+            F.when(~in_header, version).alias("schema_version"),
+            F.when(~is_broken(1), F.concat(moment, F.when(is_broken(2), F.lit("")).otherwise(F.lit("+00:00")))).alias("event_time"),
+        ).alias("metadata"),
+        F.col("event_type"),
+        F.when(is_broken(5), F.lit("many")).otherwise(F.col("amount_cents").cast("string")).alias("amount_cents"),
+        F.struct("device_type", F.col("k").alias("k")).alias("risk"),
+        F.concat(F.lit("x"), F.col("k").cast("string")).alias("note"),
+    )
+    text = F.to_json(payload)
+    header = lambda name, value: F.struct(F.lit(name).alias("key"), value.cast("binary").alias("value"))
+    return events.select(
+        F.lit("data").alias("topic"), (F.col("event_id") % 4).cast("int").alias("partition"), F.col("event_id").alias("offset"),
+        (F.col("event_time") + F.make_interval(secs=F.lit(5))).alias("timestamp"),
+        F.when(in_header, F.array(header("Source", F.lit("old")), header("SOURCE", F.col("source")), header("schema_version", version)))
+        .otherwise(F.array().cast("array<struct<key:string,value:binary>>")).alias("headers"),
+        F.when(is_broken(4), F.substring(text, 1, 40)).otherwise(text).cast("binary").alias("value"),
+    )
+
+
+MESSAGE_FIELDS = {
+    "event_type": ("STRING", "dynamic_categorical"),
+    "amount_cents": ("LONG", "dynamic_numeric"),
+    "risk.device_type": ("STRING", "dynamic_categorical"),
+    "risk.k": ("INT", "dynamic_numeric"),
+}
+
+
+def message_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registry rows for the two sources seen in the messages."""
+    columns = F.array(*[
+        F.struct(F.lit(p).alias("path"), F.lit(t).alias("type"), F.lit(c).alias("category")) for p, (t, c) in MESSAGE_FIELDS.items()
+    ])
+    pairs = cdp_events(spark, sf_dir).select("source", F.col("schema_version").alias("version")).distinct()
+    return pairs.select("source", "version", F.lit("metadata.customer_id").alias("key_field"), F.lit(4).alias("total_fields"), columns.alias("columns"))
+
+
+def schema_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Schema messages from part: brand as source, type as version, one message per part.
+
+    Sizes divisible by ten declare an unknown type, which makes the message invalid.
+    """
+    words = F.split("p_name", " ")
+    kind = F.when(F.col("p_size") % 10 == 0, F.lit("DECIMAL")).when(F.col("p_partkey") % 2 == 0, F.lit("int")).otherwise(F.lit("STRING"))
+    value = F.format_string(
+        '{"metadata":{"schema_version":"%s","source":"%s"},"total_fields":%d,"structure":{"%s":{"%s":{"type":"%s","category":"Dynamic_Numeric"}},'
+        '"size_%d":{"type":"LONG","category":"static_numeric"}}}',
+        F.col("p_type"), F.col("p_brand"), F.col("p_size"), F.element_at(words, 1), F.element_at(words, 2), kind, F.col("p_size"),
+    )
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("offset"), value.alias("value"))
+
+
+def arrivals_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cdp_events in arrival order (offset = event_id); every 20th event time lies 30 minutes back."""
+    late = F.when(F.col("event_id") % 20 == 0, F.col("event_time") - F.make_interval(mins=F.lit(30))).otherwise(F.col("event_time"))
+    return cdp_events(spark, sf_dir).select(
+        "event_id", "customer_id", F.lit("data").alias("topic"), (F.col("event_id") % 4).cast("int").alias("partition"),
+        F.col("event_id").alias("offset"), late.alias("event_time"),
+    )
+
+
+def field_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cdp_events with the long shape: a map of field texts."""
+    names = ("event_type", "device_type", "login_channel", "k", "amount_cents")
+    pairs = [x for n in names for x in (F.lit(n), F.col(n).cast("string"))]
+    return cdp_events(spark, sf_dir).select(
+        "event_id", "customer_id", "event_time", "source", "schema_version", F.create_map(*pairs).alias("fields")
+    )
+
+
+# ---- many rules ---------------------------------------------------------------------
+
+def rules_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One rule per part, with triggers derived from its key and size (JSON text in `body`)."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    device = F.element_at(F.array(*map(F.lit, DEVICES)), (key % 4 + 1).cast("int"))
+    channel = lambda shift: F.element_at(F.array(*map(F.lit, CHANNELS)), ((key + shift) % 5 + 1).cast("int"))
+    first = F.concat(
+        F.format_string('{"field":"device_type","op":"==","value":"%s"},{"field":"login_channel","op":"IN","value":["%s","%s"]}', device, channel(0), channel(2)),
+        F.when(key % 2 == 1, F.format_string(',{"field":"k","op":"BETWEEN","value":[%d,%d]}', size, size + 20)).otherwise(F.lit("")),
+    )
+    second = F.when(key % 3 == 0, F.format_string(',[{"field":"k","op":"==","value":%d},{"field":"event_type","op":"==","value":"view"}]', key % 100)).otherwise(F.lit(""))
+    conditions = F.when(key % 50 == 0, F.lit("[]")).otherwise(F.concat(F.lit("[["), first, F.lit("]"), second, F.lit("]")))
+    body = F.concat(
+        F.format_string('{"rule_id":"P%d","trigger_criteria":[{"source":"B","schema_version":"v2","conditions":', key), conditions,
+        F.lit('}],"condition_tree":{"type":"CONDITION","expression":{"field":"B.v2.amount_cents","op":">","value":0}}}'),
+    )
+    return table(spark, sf_dir, "part").select(
+        F.concat(F.lit("P"), key.cast("string")).alias("rule_id"), (key % 7 != 0).alias("is_active"), body.alias("body")
+    )
+
+
+def field_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """schema_columns rows of the event sources, for the pairs present in events."""
+    items = F.array(*[
+        F.struct(F.lit(p).alias("path"), F.lit(t).alias("type"), F.lit(c).alias("category")) for p, (t, c) in EVENT_FIELDS.items()
+    ])
+    pairs = cdp_events(spark, sf_dir).select("source", F.col("schema_version").alias("version")).distinct()
+    return pairs.select("source", "version", F.inline(items))

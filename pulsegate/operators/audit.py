@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 WARN_SHARE = 0.90
 HOT_RATE = 500
@@ -42,19 +43,17 @@ def throughput(events: DataFrame, time: str, target_per_second: float, interval_
 
     Only one row per interval reaches the running sums.
     """
-    from pyspark.sql import Window as W
-
     fail = F.lit(False) if failed is None else failed
     slots = events.groupBy(F.window(time, f"{interval_seconds} seconds").alias("w")).agg(
         F.count_if(~fail).alias("succeeded"), F.count_if(fail).alias("failed")
     ).select(F.col("w.start").alias("interval_start"), "succeeded", "failed")
-    begin = slots.groupBy().agg(F.min("interval_start").alias("_begin"))
+    begin = slots.groupBy().agg(F.min(F.unix_seconds("interval_start"))).scalar()
     day = F.unix_seconds(F.date_trunc("day", "interval_start"))
     days = slots.groupBy(day.alias("_day")).agg(F.sum("succeeded").alias("_d"))
     earlier = days.select("_day", F.coalesce(F.sum("_d").over(W.orderBy("_day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_past"))
     within = W.partitionBy("_day").orderBy("interval_start").rowsBetween(W.unboundedPreceding, 0)
-    rows = slots.withColumn("_day", day).withColumn("_run", F.sum("succeeded").over(within)).join(F.broadcast(earlier), "_day").join(F.broadcast(begin))
-    elapsed = F.unix_seconds("interval_start") - F.unix_seconds("_begin") + F.lit(interval_seconds)
+    rows = slots.withColumn("_day", day).withColumn("_run", F.sum("succeeded").over(within)).join(earlier, "_day")
+    elapsed = F.unix_seconds("interval_start") - begin + F.lit(interval_seconds)
     rate = F.col("succeeded") / F.lit(float(interval_seconds))
     return rows.select(
         "interval_start", "succeeded", "failed", rate.alias("rate"),

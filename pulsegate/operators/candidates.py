@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from pulsegate.operators.datasets import members  # noqa: F401  (re-exported for callers)
+from pulsegate.operators.datasets import newest
 from pulsegate.operators.joins import small
 
 EXACT = ("==", "IN", "IN_DATASET")
@@ -86,11 +86,10 @@ def tokens(sigs: DataFrame, index: DataFrame, dataset_rows: DataFrame | None = N
     parts = F.split(F.expr(f"substring(field, {len(DATASET) + 1})"), ",")
     wanted = sigs.join(small(asked), ["source", "version"]).withColumn("_key", F.transform(parts, lambda p: F.try_element_at("values", p)))
     complete = wanted.where(~F.exists("_key", lambda v: v.isNull()))
-    rows = dataset_rows.select("dataset_id", "dataset_version", F.col("key").alias("_key")).distinct()
-    hits = complete.join(rows, "_key")
-    versioned = hits.select(*keys, "field", F.concat_ws("@", "dataset_id", "dataset_version").alias("value"))
-    anyone = hits.select(*keys, "field", F.col("dataset_id").alias("value")).distinct()
-    return plain.unionByName(versioned).unionByName(anyone)
+    named = dataset_rows.select(F.concat_ws("@", "dataset_id", "dataset_version").alias("value"), F.col("key").alias("_key"))
+    unnamed = newest(dataset_rows).select(F.col("dataset_id").alias("value"), F.col("key").alias("_key"))
+    hits = complete.join(named.unionByName(unnamed).distinct(), "_key")
+    return plain.unionByName(hits.select(*keys, "field", "value"))
 
 
 def candidates(token_rows: DataFrame, sigs: DataFrame, index: DataFrame, always: DataFrame) -> DataFrame:
@@ -201,12 +200,10 @@ def per_event(marked: DataFrame, found: DataFrame, aggregates: list[Column]) ->
 
 def selectivity(sigs: DataFrame, found: DataFrame, rules: DataFrame) -> DataFrame:
     """Candidates per event and the share of rules pruned, per source."""
-    known = rules.groupBy().agg(F.countDistinct("rule_id").alias("rules"))
+    known = rules.groupBy().agg(F.countDistinct("rule_id")).scalar()
     per_sig = found.groupBy("source", "version", "signature").agg(F.count("*").alias("_n"))
     joined = sigs.join(per_sig, ["source", "version", "signature"], "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
     totals = joined.groupBy("source", "version").agg(
         F.sum("events").alias("events"), F.sum(F.col("_n") * F.col("events")).alias("candidates")
     )
-    return totals.join(F.broadcast(known)).withColumn(
-        "pruned", 1 - F.col("candidates") / (F.col("events") * F.col("rules"))
-    )
+    return totals.withColumn("rules", known).withColumn("pruned", 1 - F.col("candidates") / (F.col("events") * F.col("rules")))

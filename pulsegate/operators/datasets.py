@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulsegate.operators.joins import small
+
 MESSAGE = "dataset_id string, dataset_version string, fields array<string>, `values` array<array<string>>"
 SMALL_LIST = 50
 
@@ -36,14 +38,18 @@ def upsert(known: DataFrame | None, arriving: DataFrame) -> DataFrame:
     return rows.dropDuplicates(["dataset_id", "dataset_version", "key"])
 
 
+def newest(rows: DataFrame) -> DataFrame:
+    """Rows of the highest version number of each dataset: what a rule without a version means."""
+    number = F.coalesce(F.regexp_extract("dataset_version", r"(\d+)", 1).try_cast("bigint"), F.lit(-1).cast("bigint"))
+    top = rows.groupBy("dataset_id").agg(F.max(number).alias("_top"))
+    return rows.join(small(top), "dataset_id").where(number == F.col("_top")).drop("_top")
+
+
 def members(rows: DataFrame, dataset_id: str, version: str | None) -> DataFrame:
-    """Distinct keys of one dataset; without a version, of the highest version number."""
+    """Distinct keys of one dataset; without a version, of the newest one."""
     rows = rows.where(F.col("dataset_id") == dataset_id)
-    if version is not None:
-        return rows.where(F.col("dataset_version") == version).select("key").distinct()
-    number = F.coalesce(F.regexp_extract("dataset_version", r"(\d+)", 1).try_cast("bigint"), F.lit(-1).cast("bigint"))
-    latest = rows.groupBy().agg(F.max(number).alias("_latest"))
-    return rows.withColumn("_number", number).join(F.broadcast(latest), F.col("_number") == F.col("_latest")).select("key").distinct()
+    rows = newest(rows) if version is None else rows.where(F.col("dataset_version") == version)
+    return rows.select("key").distinct()
 
 
 def tuple_key(columns: tuple[Column, ...]) -> Column:

@@ -12,14 +12,13 @@ FAIL row per event and rule with the failing conditions.
 
 from __future__ import annotations
 
-import datetime as dt
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegate.functions.arithmetic import arithmetic
-from pulsegate.functions.predicates import NUMERIC, SPARK_TYPES, compare, literal, predicate
+from pulsegate.functions.arithmetic import arithmetic, fields_of
+from pulsegate.functions.predicates import SPARK_TYPES, compare, literal, predicate
 from pulsegate.operators import arrivals, datasets, sequences
 from pulsegate.operators.state import Metric, add_state
 from pulsegate.plans.fields import Catalogue, Field
@@ -121,7 +120,6 @@ class CompiledRules:
         if leaf.mapping:
             parts = [(s, self._version_of(s), p) for s, p in leaf.mapping]
         else:
-            from pulsegate.functions.arithmetic import fields_of
             first = self.catalogue.qualified((named or fields_of(leaf.expr))[0], default)
             parts = [(first.source, first.version, None)]
         key = "|".join([str(leaf.field or leaf.expr), str(leaf.mapping), "&".join(sorted(map(repr, leaf.filter)))])
