@@ -379,7 +379,7 @@ oracle("rules_effective", """ SELECT v.rule_id, v.rule_version, count(*) AS judg
 v AS (SELECT 'P' || p_partkey // 3 AS rule_id, p_partkey AS rule_version, (1704067200 + (p_partkey % 29) * 86400 + p_size * 617) * 1000000 AS s,
         (SELECT (1704067200 + (n.p_partkey % 29) * 86400 + n.p_size * 617) * 1000000 FROM part n WHERE n.p_partkey = part.p_partkey + 1 AND n.p_partkey // 3 = part.p_partkey // 3) AS e FROM part)""")
 MAPPERS = """
-m AS (SELECT 'M' || n_regionkey AS mapper_id, 'S' || n_regionkey AS source, 'a' || n_nationkey % 5 AS alias, 'raw.n' || n_nationkey AS raw_path FROM nation JOIN region ON n_regionkey = r_regionkey)"""
+m AS (SELECT 'M' || n_regionkey AS mapper_id, 'S' || n_regionkey AS source, 'a' || n_nationkey // 5 AS alias, 'raw.n' || n_nationkey AS raw_path FROM nation JOIN region ON n_regionkey = r_regionkey)"""
 oracle("rule_rewrite", """ SELECT DISTINCT l.rule_id, l.field, k.source || '.' || k.raw_path AS raw_field FROM l LEFT JOIN (SELECT DISTINCT n.rule_id, m.source, m.alias, m.raw_path FROM n JOIN m USING (mapper_id)) k
   ON k.rule_id = l.rule_id AND k.alias = l.alias AND (l.src = 'general_schema' OR l.src = k.source)""", MAPPERS, """
 l AS (SELECT 'P' || p_partkey AS rule_id, CASE WHEN p_partkey % 9 = 0 THEN 'general_schema' ELSE 'S' || p_size % 5 END AS src, 'a' || p_partkey % 6 AS alias,
@@ -387,11 +387,12 @@ l AS (SELECT 'P' || p_partkey AS rule_id, CASE WHEN p_partkey % 9 = 0 THEN 'gene
 n AS (SELECT 'P' || p_partkey AS rule_id, 'M' || (p_partkey % 5) AS mapper_id FROM part UNION SELECT 'P' || p_partkey, 'M' || (p_partkey % 3) FROM part)""")
 
 
-def _rewritten(alias: str) -> str:
-    """Latest mapping of (source, alias): several nations of a region may share an alias, so only count."""
-    return alias
-
-
+oracle("rule_rewrite_body", """ SELECT 'P' || p AS rule_id, 'S' || r || '.' || coalesce(a.raw_path, 'a' || p % 6) AS field,
+  'S' || r || '.' || coalesce(b.raw_path, 'a' || s % 6) || ' * 2' AS expr,
+  array_to_string(list_sort(list_distinct([CASE WHEN a.raw_path IS NULL THEN 'S' || r || '.a' || p % 6 END, CASE WHEN b.raw_path IS NULL THEN 'S' || r || '.a' || s % 6 END])), ',') AS unknown
+FROM (SELECT p_partkey AS p, p_size AS s, p_partkey % 5 AS r FROM part)
+LEFT JOIN m a ON a.source = 'S' || r AND a.alias = 'a' || p % 6 LEFT JOIN m b ON b.source = 'S' || r AND b.alias = 'a' || s % 6""", """
+m AS (SELECT 'S' || n_regionkey AS source, 'a' || n_nationkey // 5 AS alias, 'raw.n' || n_nationkey AS raw_path FROM nation)""")
 oracle("throughput", """ SELECT s AS interval_s, ok AS succeeded, bad AS failed, ok / CAST(3600 AS DOUBLE) AS rate, ok / CAST(3600 AS DOUBLE) / CAST(0.005 AS DOUBLE) AS share_of_target,
   ok / CAST(3600 AS DOUBLE) < CAST(0.0045 AS DOUBLE) AS warning,
   CAST((SELECT sum(ok) FROM slot b WHERE b.s <= a.s) AS DOUBLE) / (s - (SELECT min(s) FROM slot) + 3600) AS average_rate FROM slot a""", """

@@ -572,7 +572,7 @@ def _mappers(spark, sf_dir) -> DataFrame:
     nations = fx.table(spark, sf_dir, "nation")
     return nations.join(F.broadcast(regions), nations.n_regionkey == regions.r_regionkey).select(
         F.concat(F.lit("M"), F.col("r_regionkey").cast("string")).alias("mapper_id"), F.concat(F.lit("S"), F.col("r_regionkey").cast("string")).alias("source"),
-        F.concat(F.lit("a"), (F.col("n_nationkey") % 5).cast("string")).alias("alias"), F.concat(F.lit("raw.n"), F.col("n_nationkey").cast("string")).alias("raw_path"))
+        F.concat(F.lit("a"), F.call_function("div", F.col("n_nationkey"), F.lit(5)).cast("string")).alias("alias"), F.concat(F.lit("raw.n"), F.col("n_nationkey").cast("string")).alias("raw_path"))
 
 
 @query
@@ -583,7 +583,8 @@ def rule_rewrite(spark, sf_dir):
     field = F.concat(F.when(F.col("p_partkey") % 9 == 0, F.lit("general_schema.")).otherwise(F.concat(F.lit("S"), (F.col("p_size") % 5).cast("string"), F.lit("."))),
                      F.lit("a"), (F.col("p_partkey") % 6).cast("string"))
     leaves = part.select(rule_id.alias("rule_id"), field.alias("field"))
-    named = part.select(rule_id.alias("rule_id"), F.concat(F.lit("M"), (F.explode(F.array(F.col("p_partkey") % 5, F.col("p_partkey") % 3)) % 5).cast("string")).alias("mapper_id"))
+    named = part.select(rule_id.alias("rule_id"), F.explode(F.array(F.col("p_partkey") % 5, F.col("p_partkey") % 3)).alias("m")).select(
+        "rule_id", F.concat(F.lit("M"), F.col("m").cast("string")).alias("mapper_id"))
     return mapping.rewrite_leaves(leaves, named, _mappers(spark, sf_dir))
 
 
@@ -607,8 +608,8 @@ def _general(spark, sf_dir) -> DataFrame:
     events = fx.cdp_events(spark, sf_dir).withColumn("raw_type", F.col("event_type"))
     orders = fx.order_events(spark, sf_dir).withColumn("event_id", F.col("event_id") + 1_000_000_000)
     return mapping.unify({
-        "EVT": (events, {"amount_cents": "total_spend", "raw_type": "trans_type", "device_type": "device"}),
-        "ORD": (orders, {"amount_cents": "total_spend", "status": "trans_type"}),
+        "EVT": (events, {"total_spend": "amount_cents", "trans_type": "raw_type", "device": "device_type"}),
+        "ORD": (orders, {"total_spend": "amount_cents", "trans_type": "status"}),
     })
 
 
@@ -621,7 +622,7 @@ def general_schema(spark, sf_dir):
 
 @query
 def mapped_events(spark, sf_dir):
-    return mapping.project(fx.cdp_events(spark, sf_dir), {"amount_cents": "trans_amount", "login_channel": "channel"}, ("event_id",))
+    return mapping.project(fx.cdp_events(spark, sf_dir), {"trans_amount": "amount_cents", "channel": "login_channel"}, ("event_id",))
 
 
 # ---- monitoring ---------------------------------------------------------------------

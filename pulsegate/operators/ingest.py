@@ -62,7 +62,7 @@ def judge_messages(raw: DataFrame, schemas: DataFrame, on_bad_cast: str = "zero"
     rows = rows.join(
         known, (F.col("source") == F.col("_source")) & (F.col("schema_version") == F.col("_version")), "left"
     )
-    key = F.get_json_object("value", F.concat(F.lit("$."), F.col("key_field")))
+    key = F.call_function("get_json_object", F.col("value"), F.concat(F.lit("$."), F.col("key_field")))
     rows = rows.withColumns({
         "customer_id": F.when(F.col("_root").isNotNull(), _blank_as_null(key)),
         "event_time": instant(text("$.metadata.event_time")),

@@ -32,14 +32,13 @@ def rewrite_leaves(leaves: DataFrame, rule_mappers: DataFrame, mappers: DataFram
     asked = leaves.withColumns({
         "_source": F.when(~general, F.get(parts, F.lit(0))), "alias": F.get(parts, F.lit(1)),
     })
-    known = rule_mappers.join(mappers, "mapper_id").select("rule_id", F.col("source").alias("_known"), "alias", "raw_path").distinct()
-    same = F.col("_source").isNull() | (F.col("_source") == F.col("_known"))
-    joined = asked.join(known, ["rule_id", "alias"], "left").withColumn("_ok", F.col("raw_path").isNotNull() & same)
-    # Rows whose source has no such alias stay once, unresolved.
-    resolved = joined.where("_ok").select(*leaves.columns, F.concat_ws(".", "_known", "raw_path").alias("raw_field"))
-    lost = asked.join(known.select("rule_id", "alias", F.col("_known").alias("_k")), (asked.rule_id == known.rule_id) & (asked.alias == known.alias)
-                      & (F.col("_source").isNull() | (F.col("_source") == F.col("_k"))), "left_anti")
-    return resolved.unionByName(lost.select(*leaves.columns, F.lit(None).cast("string").alias("raw_field")))
+    # The mappings of one rule and alias: as many as the rule names mappers.
+    known = rule_mappers.join(mappers, "mapper_id").groupBy("rule_id", "alias").agg(
+        F.collect_set(F.struct(F.col("source"), F.col("raw_path"))).alias("_known")
+    )
+    fitting = F.filter("_known", lambda m: F.col("_source").isNull() | (m["source"] == F.col("_source")))
+    joined = asked.join(known, ["rule_id", "alias"], "left").withColumn("_m", F.explode_outer(fitting))
+    return joined.select(*leaves.columns, F.concat(F.col("_m.source"), F.lit("."), F.col("_m.raw_path")).alias("raw_field"))
 
 
 def rewrite_body(body: dict, mappers: list[dict]) -> tuple[dict, list[str]]:
