@@ -365,16 +365,18 @@ def rule_violations(spark, sf_dir):
 
 
 def _matching(spark, sf_dir):
-    predicates = candidates.trigger_predicates(_leaves(spark, sf_dir))
+    # The flattened rule table and the signatures are read several times; both are small.
+    predicates = candidates.trigger_predicates(_leaves(spark, sf_dir)).persist()
     index = candidates.rule_index(predicates)
     marked, sigs = candidates.signatures(fx.field_maps(spark, sf_dir), ["device_type", "login_channel", "k", "event_type"])
+    sigs = sigs.persist()
     return predicates, index, marked, sigs, candidates.tokens(sigs, index)
 
 
 
-def _per_event(marked, found) -> DataFrame:
+def _per_event(marked, sigs, found) -> DataFrame:
     number = F.substring("rule_id", 2, 20).cast("bigint")
-    counted = candidates.per_event(marked, found, [F.count("*").alias("n_rules"), F.sum(number).alias("rule_sum")])
+    counted = candidates.per_event(marked, sigs, found, [F.count("*").alias("n_rules"), F.sum(number).alias("rule_sum")])
     return counted.select("event_id", F.coalesce("n_rules", F.lit(0)).alias("n_rules"), F.coalesce("rule_sum", F.lit(0)).alias("rule_sum"))
 
 
@@ -395,20 +397,20 @@ def doc_freq(spark, sf_dir):
 @query
 def candidate_rules(spark, sf_dir):
     predicates, index, marked, sigs, looked_up = _matching(spark, sf_dir)
-    return _per_event(marked, candidates.candidates(looked_up, sigs, index, candidates.complex_rules(predicates)))
+    return _per_event(marked, sigs, candidates.candidates(looked_up, sigs, index, candidates.complex_rules(predicates)))
 
 
 @query
 def candidate_rules_active(spark, sf_dir):
     predicates, index, marked, sigs, looked_up = _matching(spark, sf_dir)
     found = candidates.candidates(looked_up, sigs, index, candidates.complex_rules(predicates))
-    return _per_event(marked, candidates.only_active(found, fx.rules_many(spark, sf_dir)))
+    return _per_event(marked, sigs, candidates.only_active(found, fx.rules_many(spark, sf_dir)))
 
 
 @query
 def rare_two(spark, sf_dir):
     predicates, index, marked, sigs, looked_up = _matching(spark, sf_dir)
-    return _per_event(marked, candidates.rare_two(looked_up, sigs, index, predicates))
+    return _per_event(marked, sigs, candidates.rare_two(looked_up, sigs, index, predicates))
 
 
 @query
@@ -416,8 +418,8 @@ def exact_groups(spark, sf_dir):
     """Rules whose trigger holds, by candidates and verification."""
     predicates, index, marked, sigs, looked_up = _matching(spark, sf_dir)
     found = candidates.rare_two(looked_up, sigs, index, predicates)
-    typed = candidates.with_types(predicates, fx.field_rows(spark, sf_dir))
-    return _per_event(marked, candidates.verify(found, sigs, typed))
+    groups = candidates.rule_groups(predicates, fx.field_rows(spark, sf_dir))
+    return _per_event(marked, sigs, candidates.verify(found, sigs, groups))
 
 
 @query

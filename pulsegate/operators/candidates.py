@@ -67,19 +67,30 @@ def read_fields(predicates: DataFrame) -> list[str]:
 
 
 def signatures(events: DataFrame, fields: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(events with `signature`, distinct signatures with the `values` map). Events need a `fields` map."""
+    """(events with `signature`, distinct signatures). Events need a `fields` map.
+
+    A signature row has source, version, signature, the number of `events`, the `values`
+    map and the short key (sig, twin): a 64-bit hash, and a number that tells apart
+    signatures of equal hash.
+    """
     values = F.map_filter("fields", lambda k, v: k.isin(*fields) & v.isNotNull())
-    text = F.to_json(F.array_sort(F.map_entries(values)))
-    marked = events.withColumn("signature", text)
+    marked = events.withColumn("signature", F.to_json(F.array_sort(F.map_entries(values))))
     distinct = marked.groupBy("source", F.col("schema_version").alias("version"), "signature").agg(F.count("*").alias("events"))
     entries = F.from_json("signature", "array<struct<key:string,value:string>>")
-    return marked, distinct.withColumn("values", F.map_from_entries(entries))
+    twin = F.row_number().over(W.partitionBy("sig").orderBy("source", "version", "signature"))
+    return marked, (
+        distinct.withColumn("sig", F.xxhash64("source", "version", "signature"))
+        .withColumns({"twin": twin, "values": F.map_from_entries(entries)})
+    )
+
+
+SIG = ["sig", "twin"]
 
 
 def tokens(sigs: DataFrame, index: DataFrame, dataset_rows: DataFrame | None = None) -> DataFrame:
-    """(source, version, signature, field, value) pairs to look up in the index."""
-    keys = ["source", "version", "signature"]
-    plain = sigs.select(*keys, F.explode("values").alias("field", "value"))
+    """(source, version, sig, twin, field, value) pairs to look up in the index."""
+    home = ["source", "version", *SIG]
+    plain = sigs.select(*home, F.explode("values").alias("field", "value"))
     if dataset_rows is None:
         return plain
     asked = index.where(F.startswith("field", F.lit(DATASET))).select("source", "version", "field").distinct()
@@ -89,102 +100,127 @@ def tokens(sigs: DataFrame, index: DataFrame, dataset_rows: DataFrame | None = N
     named = dataset_rows.select(F.concat_ws("@", "dataset_id", "dataset_version").alias("value"), F.col("key").alias("_key"))
     unnamed = newest(dataset_rows).select(F.col("dataset_id").alias("value"), F.col("key").alias("_key"))
     hits = complete.join(named.unionByName(unnamed).distinct(), "_key")
-    return plain.unionByName(hits.select(*keys, "field", "value"))
+    return plain.unionByName(hits.select(*home, "field", "value"))
 
 
 def candidates(token_rows: DataFrame, sigs: DataFrame, index: DataFrame, always: DataFrame) -> DataFrame:
-    """(source, version, signature, rule_id): rules hit by any exact predicate, and the complex ones."""
-    keys = ["source", "version", "signature", "rule_id"]
-    hits = token_rows.join(index, ["source", "version", "field", "value"]).select(*keys)
-    rest = sigs.join(always, ["source", "version"]).select(*keys)
-    return hits.unionByName(rest).dropDuplicates(keys)
+    """(sig, twin, rule_id): rules hit by any exact predicate, and the complex ones.
+
+    Complex rules come in by (source, version) alone and are left out of the index first,
+    so that only rules hit by several values need to be made distinct.
+    """
+    own = index.join(always, ["source", "version", "rule_id"], "left_anti")
+    hits = token_rows.join(own, ["source", "version", "field", "value"]).select(*SIG, "rule_id").distinct()
+    return hits.unionByName(sigs.join(always, ["source", "version"]).select(*SIG, "rule_id"))
 
 
 def rare_two(token_rows: DataFrame, sigs: DataFrame, index: DataFrame, predicates: DataFrame) -> DataFrame:
     """Candidates by intersection: in some AND group the two exact predicates on the rarest fields hit.
 
-    Groups with fewer exact predicates need all they have; groups without any always qualify.
+    Groups with fewer exact predicates need all they have; rules with a group without any
+    always qualify. The rarest field is looked up in the index, the second one read from
+    the signature. A dataset as second predicate is left to the verification.
     """
     rarity = index.groupBy("source", "version", "field").agg(F.countDistinct("rule_id").alias("df"))
     group = ["source", "version", "rule_id", "group_id"]
-    exact = index.select(*group, "pred_id", "field").distinct().join(rarity, ["source", "version", "field"])
-    rank = F.row_number().over(W.partitionBy(*group).orderBy("df", "field", "pred_id"))
-    chosen = exact.withColumn("_r", rank).where("_r <= 2")
-    needed = chosen.groupBy(*group).agg(F.count("*").alias("_needed"))
-    axis = index.join(chosen.select(*group, "pred_id"), [*group, "pred_id"], "left_semi")
-    keys = ["source", "version", "signature", "rule_id"]
-    hits = (
-        token_rows.join(axis, ["source", "version", "field", "value"])
-        .groupBy(*keys, "group_id").agg(F.countDistinct("pred_id").alias("_hit"))
-        .join(needed, group).where("_hit = _needed").select(*keys)
+    listed = index.groupBy(*group, "pred_id", "field").agg(F.collect_set("value").alias("values"))
+    chosen = listed.join(small(rarity), ["source", "version", "field"]).groupBy(*group).agg(
+        F.array_sort(F.collect_list(F.struct("df", "field", "pred_id", "values"))).alias("p")
+    )
+    grouped = predicates.groupBy("source", "version", "rule_id").agg(F.collect_set("group_id").alias("g"))
+    joined = predicates.select(*group).distinct().join(chosen, group, "left")
+    free = joined.where("p is null").select("source", "version", "rule_id").distinct()
+    axis = (
+        joined.where("p is not null").join(free, ["source", "version", "rule_id"], "left_anti")
+        .join(grouped, ["source", "version", "rule_id"])
+        .select(
+            "source", "version", "rule_id", (F.size("g") > 1).alias("_several"),
+            F.get("p", F.lit(0))["field"].alias("field"), F.explode(F.get("p", F.lit(0))["values"]).alias("value"),
+            F.get("p", F.lit(1))["field"].alias("_field2"), F.get("p", F.lit(1))["values"].alias("_values2"),
+        )
     )
-    free = predicates.select(*group).distinct().join(needed, group, "left_anti").select("source", "version", "rule_id").distinct()
-    rest = sigs.join(free, ["source", "version"]).select(*keys)
-    return hits.unionByName(rest).dropDuplicates(keys)
+    second = F.col("_field2").isNull() | F.startswith("_field2", F.lit(DATASET)) | F.array_contains(
+        "_values2", F.try_element_at("values", F.col("_field2"))
+    )
+    looked_up = token_rows.join(sigs.select(*SIG, "values"), SIG)
+    # A signature has one value per field, so it hits a group at most once.
+    hits = looked_up.join(axis, ["source", "version", "field", "value"]).where(F.coalesce(second, F.lit(False)))
+    once = hits.where("not _several").select(*SIG, "rule_id")
+    several = hits.where("_several").select(*SIG, "rule_id").distinct()
+    rest = sigs.join(free, ["source", "version"]).select(*SIG, "rule_id")
+    return once.unionByName(several).unionByName(rest)
+
 
+def rule_groups(predicates: DataFrame, columns: DataFrame) -> DataFrame:
+    """(source, version, rule_id, groups): the AND groups of each rule with their literals read once.
 
-def with_types(predicates: DataFrame, columns: DataFrame) -> DataFrame:
-    """Add the declared `type` of each predicate's field."""
+    What is collected to a row is one rule's own trigger.
+    """
     typed = columns.select("source", "version", F.col("path").alias("field"), "type")
-    return predicates.join(small(typed), ["source", "version", "field"], "left")
-
-
-def _satisfied() -> Column:
-    """Predicate row applied to a `values` map; missing fields are false except for IS_NULL."""
-    op, text, value = F.col("op"), F.try_element_at("values", F.col("field")), F.col("value")
-    other = F.when(F.col("right_field").isNotNull(), F.try_element_at("values", F.col("right_field"))).otherwise(value)
-    whole = F.col("type").isin("INT", "LONG")
-    real = F.col("type").isin("FLOAT", "DOUBLE") | F.coalesce("is_length", F.lit(False))
-    items = _list(value)
-
-    def by(cast) -> Column:
-        """All comparisons on values of one type; `cast` turns text into it."""
-        left = F.when(F.coalesce("is_length", F.lit(False)), cast(F.length(text).cast("string"))).otherwise(cast(text))
-        right = cast(other)
-        inside = F.exists(items, lambda i: cast(i) == left)
+    rows = predicates.join(small(typed), ["source", "version", "field"], "left")
+    is_list = F.col("op").isin("IN", "NOT IN", "BETWEEN")
+    words = F.when(is_list, _list(F.col("value"))).otherwise(F.array("value"))
+    item = F.struct(
+        "kind", "field", "op", "type", "right_field", F.coalesce("is_length", F.lit(False)).alias("is_length"),
+        F.col("value").alias("word"), words.alias("words"),
+        F.transform(words, lambda w: w.try_cast("decimal(38,9)")).alias("numbers"),
+        F.concat(F.lit(DATASET), F.concat_ws(",", "fields"), F.lit("="), F.concat_ws("@", "dataset_id", "dataset_version")).alias("dataset_key"),
+    )
+    groups = rows.groupBy("source", "version", "rule_id", "group_id").agg(F.collect_list(item).alias("g"))
+    return groups.groupBy("source", "version", "rule_id").agg(F.collect_list("g").alias("groups"))
+
+
+def _holds(p: Column) -> Column:
+    """One predicate against a `values` map; missing fields are false except for IS_NULL."""
+    op, text = p["op"], F.try_element_at("values", p["field"])
+
+    def by(left: Column, others: Column, cast) -> Column:
+        """All comparisons; `others` are the literals already cast, a right field is cast here."""
+        other = F.when(p["right_field"].isNotNull(), cast(F.try_element_at("values", p["right_field"]))).otherwise(F.get(others, F.lit(0)))
         return (
-            F.when(op == "==", left == right).when(op == "!=", left != right)
-            .when(op == ">", left > right).when(op == ">=", left >= right)
-            .when(op == "<", left < right).when(op == "<=", left <= right)
-            .when(op == "BETWEEN", (left >= cast(F.get(items, F.lit(0)))) & (left <= cast(F.get(items, F.lit(1)))))
-            .when(op == "IN", inside).when(op == "NOT IN", ~inside)
+            F.when(op == "==", left == other).when(op == "!=", left != other)
+            .when(op == ">", left > other).when(op == ">=", left >= other)
+            .when(op == "<", left < other).when(op == "<=", left <= other)
+            .when(op == "BETWEEN", (left >= F.get(others, F.lit(0))) & (left <= F.get(others, F.lit(1))))
+            .when(op == "IN", F.array_contains(others, left)).when(op == "NOT IN", ~F.array_contains(others, left))
         )
 
-    words = (
-        F.when(op == "STARTS_WITH", F.startswith(text, value)).when(op == "NOT_STARTS_WITH", ~F.startswith(text, value))
-        .when(op == "ENDS_WITH", F.endswith(text, value)).when(op == "NOT_ENDS_WITH", ~F.endswith(text, value))
-        .when(op == "CONTAINS", F.contains(text, value)).when(op == "NOT_CONTAINS", ~F.contains(text, value))
+    number = lambda t: t.try_cast("decimal(38,9)")
+    moment = lambda t: t.try_cast("timestamp")
+    word = p["word"]
+    affix = (
+        F.when(op == "STARTS_WITH", F.startswith(text, word)).when(op == "NOT_STARTS_WITH", ~F.startswith(text, word))
+        .when(op == "ENDS_WITH", F.endswith(text, word)).when(op == "NOT_ENDS_WITH", ~F.endswith(text, word))
+        .when(op == "CONTAINS", F.contains(text, word)).when(op == "NOT_CONTAINS", ~F.contains(text, word))
     )
     test = (
-        F.when(op == "IS_NULL", text.isNull()).when(op == "IS_NOT_NULL", text.isNotNull())
-        .when(whole, by(lambda c: c.try_cast("decimal(38,9)")))
-        .when(real, by(lambda c: c.try_cast("double")))
-        .when(F.col("type") == "TIMESTAMP", by(lambda c: c.try_cast("timestamp")))
-        .when(op.isin("==", "!=", "IN", "NOT IN"), by(lambda c: c))
-        .otherwise(words)
+        F.when(p["kind"] == "always", F.lit(True))
+        .when(op == "IS_NULL", text.isNull()).when(op == "IS_NOT_NULL", text.isNotNull())
+        .when(p["is_length"], by(F.length(text).cast("decimal(38,9)"), p["numbers"], number))
+        .when(p["type"].isin("INT", "LONG", "FLOAT", "DOUBLE"), by(number(text), p["numbers"], number))
+        .when(p["type"] == "TIMESTAMP", by(moment(text), F.transform(p["words"], moment), moment))
+        .when(op.isin("==", "!=", "IN", "NOT IN"), by(text, p["words"], lambda t: t))
+        .otherwise(affix)
     )
     return F.coalesce(test, F.lit(False))
 
 
-def verify(found: DataFrame, sigs: DataFrame, typed: DataFrame, token_rows: DataFrame | None = None) -> DataFrame:
+def verify(found: DataFrame, sigs: DataFrame, groups: DataFrame, token_rows: DataFrame | None = None) -> DataFrame:
     """Candidates whose trigger really holds: every predicate of at least one AND group.
 
-    Dataset predicates are decided by the dataset tokens of the signature. Arithmetic
-    triggers are not rows a join can decide; compile those rules instead.
+    `groups` come from rule_groups. Dataset predicates are decided by the dataset tokens of
+    the signature. Arithmetic triggers are not rows a join can decide; compile those rules.
     """
-    keys = ["source", "version", "signature", "rule_id"]
-    pairs = found.join(sigs.select("source", "version", "signature", "values"), ["source", "version", "signature"])
-    judged = pairs.join(typed, ["source", "version", "rule_id"])
-    holds = F.when(F.col("kind") == "always", F.lit(True)).otherwise(_satisfied())
+    valued = sigs.select("source", "version", *SIG, "values")
+    holds = _holds
     if token_rows is not None:
-        sets = token_rows.where(F.startswith("field", F.lit(DATASET))).groupBy("source", "version", "signature").agg(
+        sets = token_rows.where(F.startswith("field", F.lit(DATASET))).groupBy(*SIG).agg(
             F.collect_set(F.concat("field", F.lit("="), "value")).alias("_sets")
         )
-        judged = judged.join(sets, ["source", "version", "signature"], "left")
-        asked = F.concat(F.lit(DATASET), F.concat_ws(",", "fields"), F.lit("="), F.concat_ws("@", "dataset_id", "dataset_version"))
-        holds = F.when(F.col("op") == "IN_DATASET", F.coalesce(F.array_contains("_sets", asked), F.lit(False))).otherwise(holds)
-    groups = judged.groupBy(*keys, "group_id").agg(F.bool_and(holds).alias("_all"))
-    return groups.where("_all").select(*keys).dropDuplicates(keys)
+        valued = valued.join(sets, SIG, "left")
+        holds = lambda p: F.when(p["op"] == "IN_DATASET", F.coalesce(F.array_contains("_sets", p["dataset_key"]), F.lit(False))).otherwise(_holds(p))
+    pairs = found.join(valued, SIG).join(groups, ["source", "version", "rule_id"])
+    return pairs.where(F.exists("groups", lambda g: F.forall(g, holds))).select(*SIG, "rule_id")
 
 
 def only_active(found: DataFrame, rules: DataFrame) -> DataFrame:
@@ -192,17 +228,24 @@ def only_active(found: DataFrame, rules: DataFrame) -> DataFrame:
     return found.join(rules.where("is_active").select("rule_id"), "rule_id", "left_semi")
 
 
-def per_event(marked: DataFrame, found: DataFrame, aggregates: list[Column]) -> DataFrame:
+def per_event(marked: DataFrame, sigs: DataFrame, found: DataFrame, aggregates: list[Column]) -> DataFrame:
     """Aggregates over the rules of each event's signature, joined to the events."""
-    summed = found.groupBy("source", F.col("version").alias("schema_version"), "signature").agg(*aggregates)
-    return marked.join(summed, ["source", "schema_version", "signature"], "left")
+    summed = found.groupBy(*SIG).agg(*aggregates)
+    named = sigs.select("source", F.col("version").alias("schema_version"), *SIG, "signature").join(summed, SIG).drop(*SIG)
+    return marked.join(named, ["source", "schema_version", "signature"], "left")
+
+
+def pairs(marked: DataFrame, sigs: DataFrame, found: DataFrame) -> DataFrame:
+    """(event_id, rule_id) of every event and matching rule."""
+    named = sigs.join(found, SIG).select("source", F.col("version").alias("schema_version"), "signature", "rule_id")
+    return marked.select("event_id", "source", "schema_version", "signature").join(named, ["source", "schema_version", "signature"]).select("event_id", "rule_id")
 
 
 def selectivity(sigs: DataFrame, found: DataFrame, rules: DataFrame) -> DataFrame:
     """Candidates per event and the share of rules pruned, per source."""
     known = rules.groupBy().agg(F.countDistinct("rule_id")).scalar()
-    per_sig = found.groupBy("source", "version", "signature").agg(F.count("*").alias("_n"))
-    joined = sigs.join(per_sig, ["source", "version", "signature"], "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    per_sig = found.groupBy(*SIG).agg(F.count("*").alias("_n"))
+    joined = sigs.join(per_sig, SIG, "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
     totals = joined.groupBy("source", "version").agg(
         F.sum("events").alias("events"), F.sum(F.col("_n") * F.col("events")).alias("candidates")
     )

@@ -81,8 +81,13 @@ class FlattenRule:
 
 
 def flatten_rules(rules: DataFrame, body: str = "body") -> DataFrame:
-    """Columns of `rules` except the body, plus the leaf columns."""
+    """Columns of `rules` except the body, plus the leaf columns.
+
+    Rule files are few and small, but opening a body is work and what is joined with the
+    leaves is large, so the rules are spread over all cores first.
+    """
     spark: SparkSession = rules.sparkSession
+    rules = rules.repartition(spark.sparkContext.defaultParallelism, "rule_id")
     spark.udtf.register("flatten_rule", F.udtf(FlattenRule, returnType=LEAF))
     keep = [c for c in rules.columns if c != body]
     columns = ", ".join([*(f"r.`{c}`" for c in keep), "f.*"])
