@@ -111,15 +111,33 @@ def struct_type(columns: list[tuple[str, str]]) -> T.StructType:
     return build(tree)
 
 
+def _typed(path: str, dtype: str) -> Column:
+    text = F.try_element_at("fields", F.lit(path))
+    if dtype == "TIMESTAMP":
+        return F.when(text.rlike(INSTANT), text.try_cast("timestamp"))
+    return text.try_cast(SPARK_TYPES[dtype])
+
+
 def wide_view(valid: DataFrame, source: str, version: str, columns: list[tuple[str, str]], qualified: bool = True) -> DataFrame:
     """Typed columns of one (source, version) from validated events with a `fields` map."""
     here = valid.where((F.col("source") == source) & (F.col("schema_version") == version))
+    typed = [
+        _typed(path, dtype).alias(f"{source}.{version}.{path}" if qualified else path)
+        for path, dtype in columns if not path.startswith("metadata.")
+    ]
+    return here.select(*[c for c in valid.columns if c != "fields"], *typed)
+
+
+def timeline(valid: DataFrame, schemas: dict[tuple[str, str], dict[str, tuple[str, str]]]) -> DataFrame:
+    """Validated events of all sources with typed, qualified columns; NULL where the event is of another source.
+
+    One projection over the rows, so it serves a batch and a stream alike.
+    """
     typed = []
-    for path, dtype in columns:
-        if path.startswith("metadata."):
-            continue
-        text = F.try_element_at("fields", F.lit(path))
-        value = F.when(text.rlike(INSTANT), text.try_cast("timestamp")) if dtype == "TIMESTAMP" else text.try_cast(SPARK_TYPES[dtype])
-        typed.append(value.alias(f"{source}.{version}.{path}" if qualified else path))
-    rest = [c for c in valid.columns if c != "fields"]
-    return here.select(*rest, *typed)
+    for (source, version), fields in sorted(schemas.items()):
+        here = (F.col("source") == source) & (F.col("schema_version") == version)
+        typed += [
+            F.when(here, _typed(path, dtype)).alias(f"{source}.{version}.{path}")
+            for path, (dtype, _) in sorted(fields.items()) if not path.startswith("metadata.")
+        ]
+    return valid.select(*[c for c in valid.columns if c != "fields"], *typed)

@@ -45,11 +45,11 @@ class Metric:
 
 
 # Partials an aggregate needs: suffix -> (row expression, merge).
-_NEEDS = {"sum": ("sum", "n"), "avg": ("sum", "n"), "min": ("min",), "max": ("max",), "count": ("rows",)}
+NEEDS = {"sum": ("sum", "n"), "avg": ("sum", "n"), "min": ("min",), "max": ("max",), "count": ("rows",)}
 _MERGE = {"sum": F.sum, "n": F.sum, "rows": F.sum, "min": F.min, "max": F.max}
 
 
-def _partial(part: str, metric: Metric) -> Column:
+def partial(part: str, metric: Metric) -> Column:
     if part == "rows":
         return F.when(metric.keep, F.lit(1).cast("bigint"))
     value = F.when(metric.keep, metric.value)
@@ -93,8 +93,8 @@ def add_state(
     # Distinct (series, partial) columns; rules sharing a series share them.
     partials: dict[tuple[str, str], tuple[str, Column]] = {}
     for metric in metrics.values():
-        for part in _NEEDS[metric.agg]:
-            partials.setdefault((metric.series, part), (f"_p{len(partials)}", _partial(part, metric)))
+        for part in NEEDS[metric.agg]:
+            partials.setdefault((metric.series, part), (f"_p{len(partials)}", partial(part, metric)))
     carried = {name: f"_a{i}" for i, name in enumerate(attributes)}
 
     rows = timeline.withColumns({
@@ -144,7 +144,7 @@ def _earlier_buckets(rows, buckets, metrics, partials, carried, bucket):
     used: dict[tuple[int, int], set[tuple[str, str]]] = defaultdict(set)
     for metric in metrics.values():
         by_slide[metric.slide].add(metric.duration)
-        for part in _NEEDS[metric.agg]:
+        for part in NEEDS[metric.agg]:
             used[(metric.duration, metric.slide)].add((metric.series, part))
 
     earlier: dict[tuple[int, int, str], str] = {}

@@ -279,11 +279,15 @@ class CompiledRules:
         out = add_state(base, self.attributes, self.metrics, self.bucket, self.include_current)
         if marks:
             out = self._marked(out, marks)
+        return self.with_members(out, dataset_rows)
+
+    def with_members(self, rows: DataFrame, dataset_rows: DataFrame | None = None) -> DataFrame:
+        """Add the dataset memberships the rules ask for."""
         for name, spec in self.memberships.items():
             if dataset_rows is None:
                 raise ValueError("rules use IN_DATASET: pass dataset_rows")
-            out = datasets.add_membership(out, name, spec, dataset_rows)
-        return out
+            rows = datasets.add_membership(rows, name, spec, dataset_rows)
+        return rows
 
     def _marked(self, rows: DataFrame, marks: list[DataFrame]) -> DataFrame:
         """Sequence and arrival marks by event id: one join on a unique key, however many marks there are."""
