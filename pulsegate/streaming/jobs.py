@@ -11,7 +11,7 @@ import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from pulsegate.operators import ingest
 from pulsegate.operators.audit import evaluation_table
@@ -22,7 +22,21 @@ from pulsegate.plans.rules import parse_rule
 from pulsegate.sources.sinks import write_batch
 from pulsegate.streaming.processors import customer_state
 
-WATERMARK = "10 seconds"
+NO_DATA = "spark.sql.streaming.noDataMicroBatches.enabled"
+
+
+def _start(writer: DataStreamWriter, spark: SparkSession, trigger: dict | None, timers: bool = False) -> StreamingQuery:
+    """Start a query; batches without data are run only where event-time timers need them.
+
+    A processing-time state step would otherwise ask for such batches without end. The query
+    keeps the setting it was started under.
+    """
+    before = spark.conf.get(NO_DATA)
+    spark.conf.set(NO_DATA, str(timers).lower())
+    try:
+        return writer.trigger(**(trigger or {"availableNow": True})).start()
+    finally:
+        spark.conf.set(NO_DATA, before)
 
 
 def ingest_batch(batch: DataFrame, batch_id: int, schemas: DataFrame, valid_path: str, dead_path: str, **options) -> None:
@@ -44,7 +58,7 @@ def start_ingest(messages: DataFrame, schema_messages: Callable[[SparkSession],
         ingest_batch(batch, batch_id, schemas, valid_path, dead_path, **options)
 
     writer = messages.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
-    return writer.trigger(**(trigger or {"availableNow": True})).start()
+    return _start(writer, messages.sparkSession, trigger)
 
 
 def compile_table(rules: DataFrame, columns: DataFrame, bucket: int, limit: int = 1000, **options) -> CompiledRules:
@@ -79,10 +93,10 @@ def start_rules(valid: DataFrame, rules: CompiledRules, audit_path: str, checkpo
         write_batch(evaluation_table(current.judge(rows)), audit_path, batch_id)
 
     writer = state.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
-    return writer.trigger(**(trigger or {"availableNow": True})).start()
+    return _start(writer, valid.sparkSession, trigger)
 
 
-def start_append(rows: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Plain sink for late events, sequences and first arrivals."""
+def start_append(rows: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, timers: bool = False) -> StreamingQuery:
+    """Plain sink for late events, first arrivals and, with `timers`, sequences."""
     writer = rows.writeStream.foreachBatch(lambda batch, batch_id: write_batch(batch, path, batch_id)).option("checkpointLocation", checkpoint)
-    return writer.trigger(**(trigger or {"availableNow": True})).start()
+    return _start(writer, rows.sparkSession, trigger, timers)

@@ -97,9 +97,6 @@ class Sequence(StatefulProcessor):
         self.seen = handle.getMapState("seen", "us bigint, id string", "one int")
 
     def handleInputRows(self, key, rows, timerValues):
-        watermark = timerValues.getCurrentWatermarkInMs() * MS
-        for us, ident in [k for k in self.seen.keys() if k[0] <= watermark - self.within]:
-            self.seen.removeKey((us, ident))
         batch = _collect(rows, "event_us", "event_id")
         for row in batch.itertuples():
             at = (int(row.event_us), str(row.event_id))
@@ -109,8 +106,15 @@ class Sequence(StatefulProcessor):
                 self.handle.registerTimer(-(-(at[0] + self.within) // MS))
             if row.is_second:
                 self.seen.updateValue(at, (1,))
+        self._forget(timerValues.getCurrentWatermarkInMs() * MS)
         return iter(())
 
+    def _forget(self, watermark: int) -> None:
+        """Drop each B that no waiting A and no A still to come can precede."""
+        needed = min([a[0] for a in self.waiting.keys()], default=watermark)
+        for b in [b for b in self.seen.keys() if b[0] < min(watermark, needed)]:
+            self.seen.removeKey(b)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         due = expiredTimerInfo.getExpiryTimeInMs() * MS - self.within
         ready = [(a, value) for a, value in self.waiting.iterator() if a[0] <= due]
@@ -121,6 +125,7 @@ class Sequence(StatefulProcessor):
                 hit = any(_order(a) < _order(b) and b[0] < a[0] + self.within for b in seconds)
                 out.append((a[1], customer, a[0], a[0] + self.within, hit))
                 self.waiting.removeKey(a)
+            self._forget(timerValues.getCurrentWatermarkInMs() * MS)
             yield pd.DataFrame(out, columns=["event_id", "customer_id", "event_us", "decided_us", "followed"])
 
     def close(self) -> None:
@@ -234,17 +239,26 @@ def customer_state(events: DataFrame, attributes: dict, metrics: dict[str, Metri
     })
     types = dict(rows.dtypes)
     order = [n for n, _ in partials.values()]
+    # Names with dots or brackets do not pass the Python border: short ones there, and back.
+    short = {c: c if c in ("customer_id", "event_id") else f"c{i}" for i, c in enumerate(events.columns)}
+    short |= {name: f"s{i}" for i, name in enumerate([*metrics, *attributes])}
     read = [
-        (name, m.agg, [(part, order.index(partials[(m.series, part)][0])) for part in NEEDS[m.agg]], m.duration, m.slide)
+        (short[name], m.agg, [(part, order.index(partials[(m.series, part)][0])) for part in NEEDS[m.agg]], m.duration, m.slide)
         for name, m in metrics.items()
     ]
-    added = {
+    kinds = {
         name: "double" if m.agg == "avg" else "bigint" if m.agg == "count" else types[partials[(m.series, m.agg)][0]]
         for name, m in metrics.items()
-    }
-    schema = _extended(events.schema, added | {name: types[column] for name, column in carried.items()})
+    } | {name: types[column] for name, column in carried.items()}
+    crossing = rows.select(
+        *[F.col(f"`{c}`").alias(short[c]) for c in events.columns], "_us", *order, *carried.values()
+    )
+    base = T.StructType([f for f in crossing.schema.fields if not f.name.startswith("_")])
     processor = CustomerState(
-        [(n, part) for (_, part), (n, _) in partials.items()], read, list(carried.items()), bucket,
+        [(n, part) for (_, part), (n, _) in partials.items()], read, [(short[a], c) for a, c in carried.items()], bucket,
         ", ".join(f"`{n}` {types[n]}" for n in order), ", ".join(f"`{c}` {types[c]}" for c in carried.values()), profile_ttl_ms,
     )
-    return rows.groupBy("customer_id").transformWithStateInPandas(processor, schema, "Append", "ProcessingTime")
+    out = crossing.groupBy("customer_id").transformWithStateInPandas(
+        processor, _extended(base, {short[n]: kind for n, kind in kinds.items()}), "Append", "ProcessingTime"
+    )
+    return out.select(*[F.col(new).alias(old) for old, new in short.items()])

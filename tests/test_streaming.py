@@ -61,7 +61,7 @@ def test_ingest_job_writes_the_batch_result_and_replays_dead_letters(spark, sf,
     both = schemas.publish_schemas(columns).withColumn("offset", F.lit(1))
     stream = sources.file_stream(spark, str(tmp_path / "in"), files_per_batch=1)
     args = (str(tmp_path / "valid"), str(tmp_path / "dead"), str(tmp_path / "ckpt"))
-    jobs.start_ingest(stream, lambda s: only_a, *args).awaitTermination()
+    jobs.start_ingest(stream, lambda s: only_a, *args).awaitTermination(90)
     judged = ingest.judge_messages(messages, known).persist()
     valid, dead = sinks.read_batches(spark, args[0]), sinks.read_batches(spark, args[1])
     assert valid.select("batch_id").distinct().count() == 2
@@ -100,7 +100,7 @@ def test_late_rows_leave_the_main_flow(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
         time.sleep(1.1)
     marked = processors.split_late(_stream(spark, path, schema))
-    jobs.start_append(marked, str(tmp_path / "out"), str(tmp_path / "ckpt")).awaitTermination()
+    jobs.start_append(marked, str(tmp_path / "out"), str(tmp_path / "ckpt")).awaitTermination(90)
     out = sinks.read_batches(spark, str(tmp_path / "out"))
     assert sorted(r.event_id for r in out.where("is_late").collect()) == [10, 11]
     assert out.count() == 8
@@ -111,7 +111,7 @@ def test_first_arrival_stream_equals_batch(spark, ordered, tmp_path):
     rows = rows.withColumn("arrival_time", F.col("event_time"))
     stream = _stream(spark, path, rows.drop("arrival_time").schema).withColumn("arrival_time", F.col("event_time"))
     out = processors.first_arrivals(stream, ["customer_id", "event_type"], 24 * HOUR)
-    jobs.start_append(out, str(tmp_path / "out"), str(tmp_path / "ckpt")).awaitTermination()
+    jobs.start_append(out, str(tmp_path / "out"), str(tmp_path / "ckpt")).awaitTermination(90)
     spec = arrivals.ArrivalSpec((F.col("customer_id"), F.col("event_type")), "arrival_time", 24 * HOUR, F.lit(True))
     assert _set(sinks.read_batches(spark, str(tmp_path / "out")).select("event_id")) == _set(arrivals.first_arrivals(rows, spec))
 
@@ -120,7 +120,7 @@ def test_sequence_stream_decides_every_a_the_watermark_has_passed(spark, ordered
     path, rows = ordered
     first, second, within = F.col("event_type") == "view", F.col("event_type") == "click", micros("24h")
     out = processors.sequences(_stream(spark, path, rows.schema), ["customer_id"], first, second, within)
-    jobs.start_append(out, str(tmp_path / "out"), str(tmp_path / "ckpt")).awaitTermination()
+    jobs.start_append(out, str(tmp_path / "out"), str(tmp_path / "ckpt"), timers=True).awaitTermination(90)
     got = sinks.read_batches(spark, str(tmp_path / "out")).select(F.col("event_id").cast("bigint").alias("event_id"), "followed")
     key = (F.col("customer_id"),)
     want = batch_sequences.followed(rows, batch_sequences.SequenceSpec(first, second, key, key, within), payload=("event_time",))
@@ -140,7 +140,7 @@ def test_rule_stream_equals_batch(spark, sf, tmp_path):
     sets = fx.dataset_rows(spark, sf)
     stream = _stream(spark, str(tmp_path / "in"), line.schema)
     query = jobs.start_rules(stream, compiled, str(tmp_path / "audit"), str(tmp_path / "ckpt"), lambda s: sets)
-    query.awaitTermination()
+    assert query.awaitTermination(90)
     columns = ["event_id", "rule_id", "status", "failed_condition"]
     got = sinks.read_batches(spark, str(tmp_path / "audit")).select(*columns)
     assert _set(got) == _set(compiled.run(line, sets).select(*columns))
