@@ -151,6 +151,17 @@ def sequences(events: DataFrame, keys: list[str], first, second, within: int, la
     return rows.groupBy(*keys).transformWithStateInPandas(Sequence(within), DECIDED, "Append", "EventTime")
 
 
+def _native(value, kind: str):
+    """Python value of a pandas cell for a state column; NULL-bearing integers arrive as floats."""
+    if value is None or pd.isna(value):
+        return None
+    if kind in ("int", "bigint"):
+        return int(value)
+    if isinstance(value, pd.Timestamp):
+        return value.to_pydatetime()
+    return value.item() if hasattr(value, "item") else value
+
+
 class CustomerState(StatefulProcessor):
     """Latest profile and bucketed window partials of one customer, applied event by event.
 
@@ -164,6 +175,8 @@ class CustomerState(StatefulProcessor):
     def __init__(self, parts: list[tuple[str, str]], metrics: list[tuple], attributes: list[tuple[str, str]], bucket: int, partial_types: str, attribute_types: str, profile_ttl_ms: int | None):
         self.parts, self.metrics, self.attributes, self.bucket = parts, metrics, attributes, bucket
         self.partial_types, self.attribute_types, self.profile_ttl_ms = partial_types, attribute_types, profile_ttl_ms
+        self.part_kinds = [column.split()[-1] for column in partial_types.split(", ")]
+        self.attribute_kinds = [column.split()[-1] for column in attribute_types.split(", ")]
         self.keep = max([m[3] for m in metrics], default=0) // bucket
 
     def init(self, handle) -> None:
@@ -189,7 +202,7 @@ class CustomerState(StatefulProcessor):
         return total[agg]
 
     def handleInputRows(self, key, rows, timerValues):
-        batch = _collect(rows, "_us", "event_id")
+        batch = _collect(rows, "x_us", "event_id")
         if batch.empty:
             return
         held = {k[0]: list(v) for k, v in self.buckets.iterator()} if self.parts else {}
@@ -197,20 +210,19 @@ class CustomerState(StatefulProcessor):
         touched, results = set(), {m[0]: [] for m in self.metrics}
         latest = {name: [] for name, _ in self.attributes}
         for row in batch.to_dict("records"):
-            bucket = int(row["_us"]) // self.bucket
+            bucket = int(row["x_us"]) // self.bucket
             for metric in self.metrics:
                 results[metric[0]].append(self._metric(held, bucket, metric))
             mine = held.setdefault(bucket, [None] * len(self.parts)) if self.parts else []
             for i, (column, part) in enumerate(self.parts):
-                value = row[column]
-                if value is not None and not pd.isna(value):
-                    value = int(value) if float(value).is_integer() and "bigint" in self.partial_types.split(",")[i] else value
+                value = _native(row[column], self.part_kinds[i])
+                if value is not None:
                     mine[i] = value if mine[i] is None else self.MERGE[part](mine[i], value)
                     touched.add(bucket)
             for i, (name, column) in enumerate(self.attributes):
-                value = row[column]
-                if value is not None and not pd.isna(value):
-                    profile[i] = value.item() if hasattr(value, "item") else value
+                value = _native(row[column], self.attribute_kinds[i])
+                if value is not None:
+                    profile[i] = value
                 latest[name].append(profile[i])
         newest = max(held, default=0)
         for bucket in touched:
@@ -219,7 +231,7 @@ class CustomerState(StatefulProcessor):
             self.buckets.removeKey((bucket,))
         if self.attributes:
             self.profile.update(tuple(profile))
-        drop = [c for c in batch.columns if c.startswith("_")]
+        drop = [c for c in batch.columns if c.startswith("x_")]
         extra = pd.DataFrame({**results, **latest}, dtype=object)
         yield pd.concat([batch.drop(columns=drop), extra], axis=1)
 
@@ -232,10 +244,10 @@ def customer_state(events: DataFrame, attributes: dict, metrics: dict[str, Metri
     partials: dict[tuple[str, str], tuple[str, object]] = {}
     for metric in metrics.values():
         for part in NEEDS[metric.agg]:
-            partials.setdefault((metric.series, part), (f"_p{len(partials)}", partial(part, metric)))
-    carried = {name: f"_a{i}" for i, name in enumerate(attributes)}
+            partials.setdefault((metric.series, part), (f"x_p{len(partials)}", partial(part, metric)))
+    carried = {name: f"x_a{i}" for i, name in enumerate(attributes)}
     rows = events.withColumns({
-        "_us": event_us(), **{n: e for n, e in partials.values()}, **{carried[a]: c for a, c in attributes.items()},
+        "x_us": event_us(), **{n: e for n, e in partials.values()}, **{carried[a]: c for a, c in attributes.items()},
     })
     types = dict(rows.dtypes)
     order = [n for n, _ in partials.values()]
@@ -251,9 +263,9 @@ def customer_state(events: DataFrame, attributes: dict, metrics: dict[str, Metri
         for name, m in metrics.items()
     } | {name: types[column] for name, column in carried.items()}
     crossing = rows.select(
-        *[F.col(f"`{c}`").alias(short[c]) for c in events.columns], "_us", *order, *carried.values()
+        *[F.col(f"`{c}`").alias(short[c]) for c in events.columns], "x_us", *order, *carried.values()
     )
-    base = T.StructType([f for f in crossing.schema.fields if not f.name.startswith("_")])
+    base = T.StructType([f for f in crossing.schema.fields if not f.name.startswith("x_")])
     processor = CustomerState(
         [(n, part) for (_, part), (n, _) in partials.items()], read, [(short[a], c) for a, c in carried.items()], bucket,
         ", ".join(f"`{n}` {types[n]}" for n in order), ", ".join(f"`{c}` {types[c]}" for c in carried.values()), profile_ttl_ms,
