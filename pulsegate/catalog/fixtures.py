@@ -211,8 +211,11 @@ BREAKS = ("no key", "no time", "time without offset", "unknown version", "cut te
 
 
 def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """cdp_events as nested JSON messages with headers; every 50th row is broken in one of six ways."""
-    events = cdp_events(spark, sf_dir)
+    """cdp_events as nested JSON messages with headers; every 50th row is broken in one of six ways.
+
+    Messages come over many topic partitions; the test file is one, so it is spread here.
+    """
+    events = cdp_events(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)
     broken = F.when(F.col("event_id") % 50 == 0, F.call_function("div", F.col("event_id"), F.lit(50)) % 6)
     is_broken = lambda n: F.coalesce(broken == n, F.lit(False))
     no_source = F.col("event_id") % 97 == 13

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 12
+# Objects nested deeper stay one leaf, as JSON text.
+MAX_DEPTH = 6
 OBJECT = "map<string,variant>"
 # ISO-8601 with an offset or Z; text without one is not an instant.
 INSTANT = r"^\d{4}-\d\d-\d\d[Tt]\d\d:\d\d(:\d\d(\.\d{1,9})?)?([Zz]|[+-]\d\d:\d\d(:\d\d)?)$"
@@ -31,7 +32,9 @@ def leaves(root: Column, skip: Column | None = None, depth: int = MAX_DEPTH, sto
 
     def open_up(entry: Column) -> Column:
         node = entry["value"].try_cast(OBJECT)
-        inner = node.isNotNull() if stop is None else node.isNotNull() & ~stop(node)
+        inner = F.startswith(F.to_json(entry["value"]), F.lit("{"))
+        if stop is not None:
+            inner = inner & ~F.coalesce(stop(node), F.lit(True))
         return F.when(inner, _entries(node, entry["path"])).otherwise(F.array(entry))
 
     for _ in range(depth - 1):

@@ -298,7 +298,7 @@ class CompiledRules:
         flags = table.groupBy("event_id").agg(*[F.bool_or(F.col("mark") == name).alias(name) for name in names])
         return rows.join(flags, "event_id", "left")
 
-    def _verdict(self, rule: Rule, triggers, leaves) -> Column:
+    def _verdict(self, rule: Rule, triggers, leaves, passed_only: bool = False) -> Column:
         routed, fired, trigger_failures = F.lit(False), F.lit(False), []
         for trigger, groups in triggers:
             here = (F.col("source") == trigger.source) & (F.col("schema_version") == trigger.version)
@@ -310,6 +310,8 @@ class CompiledRules:
         if rule.effective_to is not None:
             routed = routed & (F.col(self.order_column) < literal(rule.effective_to, "TIMESTAMP"))
         tree = self._tree(rule.tree, leaves)
+        if passed_only:
+            routed = routed & fired & tree
         tree_failures = [F.when(~F.col(leaf.column), F.lit(leaf.path)) for leaf in leaves.values()]
         failed = F.when(~fired, F.concat_ws(",", *trigger_failures) if trigger_failures else F.lit("trigger")).when(
             ~tree, F.concat_ws(",", *tree_failures)
@@ -329,10 +331,9 @@ class CompiledRules:
         base = list(dict.fromkeys([*EVENT_COLUMNS, *keep]))
         tested = state.select(*base, *([self.order_column] if self.order_column not in base else []),
                               *[test.alias(name) for name, test in self._tests.items()])
-        verdicts = F.filter(F.array(*[self._verdict(*plan) for plan in self._plans]), lambda v: v.isNotNull())
-        if passed_only:
-            verdicts = F.filter(verdicts, lambda v: v["status"] == "PASS")
-        return tested.select(*base, F.inline(verdicts))
+        verdicts = F.array(*[self._verdict(*plan, passed_only) for plan in self._plans])
+        # A rule that does not listen gives a NULL struct, which inline turns into a row of NULLs.
+        return tested.select(*base, F.inline(verdicts)).where("rule_id is not null")
 
     def run(self, timeline: DataFrame, dataset_rows: DataFrame | None = None, **options) -> DataFrame:
         return self.judge(self.prepare(timeline, dataset_rows), **options)
