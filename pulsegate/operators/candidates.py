@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from pulsegate.operators.datasets import newest
-from pulsegate.operators.joins import small
+from pulsegate.operators.joins import small, spread_join
 
 EXACT = ("==", "IN", "IN_DATASET")
 DATASET = "in_dataset:"
@@ -85,6 +85,7 @@ def signatures(events: DataFrame, fields: list[str]) -> tuple[DataFrame, DataFra
 
 
 SIG = ["sig", "twin"]
+TOKEN = ["source", "version", "field", "value"]
 
 
 def tokens(sigs: DataFrame, index: DataFrame, dataset_rows: DataFrame | None = None) -> DataFrame:
@@ -110,8 +111,8 @@ def candidates(token_rows: DataFrame, sigs: DataFrame, index: DataFrame, always:
     so that only rules hit by several values need to be made distinct.
     """
     own = index.join(always, ["source", "version", "rule_id"], "left_anti")
-    hits = token_rows.join(own, ["source", "version", "field", "value"]).select(*SIG, "rule_id").distinct()
-    return hits.unionByName(sigs.join(always, ["source", "version"]).select(*SIG, "rule_id"))
+    hits = spread_join(token_rows, own, TOKEN, SIG).select(*SIG, "rule_id").distinct()
+    return hits.unionByName(spread_join(sigs, always, ["source", "version"], SIG).select(*SIG, "rule_id"))
 
 
 def rare_two(token_rows: DataFrame, sigs: DataFrame, index: DataFrame, predicates: DataFrame) -> DataFrame:
@@ -144,10 +145,10 @@ def rare_two(token_rows: DataFrame, sigs: DataFrame, index: DataFrame, predicate
     )
     looked_up = token_rows.join(sigs.select(*SIG, "values"), SIG)
     # A signature has one value per field, so it hits a group at most once.
-    hits = looked_up.join(axis, ["source", "version", "field", "value"]).where(F.coalesce(second, F.lit(False)))
+    hits = spread_join(looked_up, axis, TOKEN, SIG).where(F.coalesce(second, F.lit(False)))
     once = hits.where("not _several").select(*SIG, "rule_id")
     several = hits.where("_several").select(*SIG, "rule_id").distinct()
-    rest = sigs.join(free, ["source", "version"]).select(*SIG, "rule_id")
+    rest = spread_join(sigs, free, ["source", "version"], SIG).select(*SIG, "rule_id")
     return once.unionByName(several).unionByName(rest)
 
 

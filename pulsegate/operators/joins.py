@@ -15,3 +15,17 @@ def small(config: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     partitions adaptive execution splits.
     """
     return F.broadcast(config) if config.limit(limit + 1).count() <= limit else config
+
+
+def spread_join(rows: DataFrame, config: DataFrame, keys: list[str], spread: list[str], limit: int = BROADCAST_ROWS, salts: int = 64) -> DataFrame:
+    """Inner join of many `rows` with `config` on keys of few values, such as (source, version).
+
+    A small config is broadcast. Otherwise each key is split into `salts` parts by a hash of
+    the `spread` columns and the config repeated per part, so that a key with a third of all
+    rows is shared by many tasks.
+    """
+    if config.limit(limit + 1).count() <= limit:
+        return rows.join(F.broadcast(config), keys)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+    repeated = config.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(repeated, [*keys, "_salt"]).drop("_salt")

@@ -199,3 +199,12 @@ def test_a_rule_judges_only_events_after_it_was_loaded(spark):
     out = compile_rules([parse_rule(rule)], catalogue).run(line).orderBy("event_id").collect()
     # The event without n is judged by the profile, which still holds the last value.
     assert [(r.event_id, r.status) for r in out] == [(2, "PASS"), (3, "PASS"), (4, "PASS")]
+
+
+def test_spread_join_beyond_the_broadcast_limit(spark):
+    from pulsegate.operators.joins import spread_join
+
+    rows = spark.range(100).select(F.col("id"), (F.col("id") % 2).alias("k"))
+    config = spark.range(10).select((F.col("id") % 3).alias("k"), F.col("id").alias("c"))
+    got = [sorted(map(tuple, spread_join(rows, config, ["k"], ["id"], limit).collect())) for limit in (100, 5)]
+    assert got[0] == got[1] and len(got[0]) == 50 * 4 + 50 * 3

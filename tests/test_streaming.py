@@ -159,3 +159,20 @@ def test_rules_read_validated_messages(spark, sf):
     direct = valid.where("source = 'B' and fields['risk.device_type'] = 'IOS' and int(fields['risk.k']) < 50")
     assert judged.where("status = 'PASS'").count() == direct.count() > 0
     assert judged.count() == valid.where("source = 'B'").count()
+
+
+def test_rate_listener_reports_batches(spark, ordered, tmp_path):
+    from pulsegate.streaming.monitor import RateListener
+
+    path, rows = ordered
+    lines = []
+    listener = RateListener(1e9, lines.append)
+    spark.streams.addListener(listener)
+    try:
+        jobs.start_append(_stream(spark, path, rows.schema), str(tmp_path / "out"), str(tmp_path / "ckpt")).awaitTermination(90)
+        deadline = time.time() + 20
+        while len(lines) < 4 and time.time() < deadline:
+            time.sleep(0.5)
+    finally:
+        spark.streams.removeListener(listener)
+    assert sum(line["rows"] for line in lines) == rows.count() and all(line["warning"] for line in lines)
