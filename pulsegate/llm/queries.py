@@ -2,18 +2,44 @@
 
 from __future__ import annotations
 
-from pulsegate.llm import line_dedup
+from pulsegate.llm import chat_format, line_dedup, mixing, substring_dedup, token_counts, token_store
 from pulsegate.llm.common import table
 
 
+def op1_substring_dedup(spark, sf_dir):
+    return substring_dedup.repeat_digest(table(spark, sf_dir, "documents"))
+
+
+def op2_token_counts(spark, sf_dir):
+    return token_counts.token_digest(table(spark, sf_dir, "documents"))
+
+
+def op5_token_store(spark, sf_dir):
+    return token_store.store_digest(table(spark, sf_dir, "documents"))
+
+
+def op6_source_mix(spark, sf_dir):
+    return mixing.mix_digest(table(spark, sf_dir, "documents"))
+
+
+def op7_chat_format(spark, sf_dir):
+    return chat_format.chat_digest(table(spark, sf_dir, "conversations"))
+
+
 def op8_line_dedup(spark, sf_dir):
     return line_dedup.line_digest(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op2_token_counts": op2_token_counts,
+    "op5_token_store": op5_token_store,
+    "op6_source_mix": op6_source_mix,
+    "op7_chat_format": op7_chat_format,
     "op8_line_dedup": op8_line_dedup,
 }
 
 ORACLES = {
+    "op7_chat_format": chat_format.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
 }
