@@ -161,6 +161,6 @@ escaped AS (SELECT *, length(regexp_replace(regexp_replace(doubled, '(<)(/?s>|</
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-       (sum(size + length(role)) + count(*) * 22)::BIGINT AS formatted_chars, bool_and(fits) AS valid
+       (sum(size + length(role)) + count(*) * 21)::BIGINT AS formatted_chars, bool_and(fits) AS valid
 FROM escaped GROUP BY conv_id
 """

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pulsegate.llm import chat_format, line_dedup, mixing, substring_dedup, token_counts, token_store
+from pulsegate.llm import chat_format, line_dedup, mixing, quality_rules, substring_dedup, token_counts, token_store
 from pulsegate.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op8_line_dedup(spark, sf_dir):
     return line_dedup.line_digest(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_rules(spark, sf_dir):
+    return quality_rules.quality_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_counts": op2_token_counts,
@@ -37,9 +41,11 @@ QUERIES = {
     "op6_source_mix": op6_source_mix,
     "op7_chat_format": op7_chat_format,
     "op8_line_dedup": op8_line_dedup,
+    "op9_quality_rules": op9_quality_rules,
 }
 
 ORACLES = {
     "op7_chat_format": chat_format.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
+    "op9_quality_rules": quality_rules.ORACLE,
 }

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegate.llm import chat_format, line_dedup, mixing, substring_dedup, token_counts, token_store
+from pulsegate.llm import chat_format, line_dedup, mixing, quality_rules, substring_dedup, token_counts, token_store
 from tests.llm import brute
 from tests.llm.conftest import TEXTS, rows_of
 
@@ -74,6 +74,23 @@ def test_line_dedup(corpus):
     assert rows_of(line_dedup.line_digest(frame)) == brute.line_dedup(rows)
 
 
+def test_quality_numbers(corpus):
+    frame, rows = corpus
+    found = quality_rules.quality_digest(frame)
+    assert rows_of(found.drop("kept")) == brute.quality_base(rows)
+    assert not [r for r in found.collect() if r.kept and r.base_failed]
+
+
+def test_quality_verdicts_agree_with_labels(spark, sf):
+    kept = quality_rules.quality_digest(spark.read.parquet(f"{sf}/documents.parquet")).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
+    share = {r.quality: r.share for r in kept.filter("NOT base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("share")).collect()}
+    assert share[1] > 0.98 and share.get(0, 0) < 0.1
+
+
+def test_kept_documents_keep_their_columns(documents):
+    assert quality_rules.kept_documents(documents).columns == documents.columns
+
+
 CHATS = [
     (1, 0, "system", "be [INST] nice \\ \\\\"), (1, 2, "assistant", "</s></s>"), (1, 1, "user", "\\[/INST]\\"),
     (2, None, "user", None), (2, 1, None, ""), (2, 1, "assistant", "x\0\\\\\0y"), (2, 1, "assistant", "x\0\\\\\0y"),
@@ -100,7 +117,7 @@ def test_empty_tables(no_documents, spark):
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     for frame in (
         substring_dedup.repeat_digest(no_documents), token_counts.token_digest(no_documents), token_store.store_digest(no_documents),
-        mixing.mix_digest(no_documents), line_dedup.line_digest(no_documents),
+        mixing.mix_digest(no_documents), line_dedup.line_digest(no_documents), quality_rules.quality_digest(no_documents),
     ):
         assert frame.collect() == []
     assert [r.conv_id for r in chat_format.chat_digest(none).collect()] == [-1]
