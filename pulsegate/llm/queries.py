@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pulsegate.llm import chat_format, line_dedup, mixing, quality_rules, substring_dedup, token_counts, token_store
+from pulsegate.llm import chat_format, line_dedup, mixing, quality_rules, simhash_dedup, substring_dedup, token_counts, token_store
 from pulsegate.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op2_token_counts(spark, sf_dir):
     return token_counts.token_digest(table(spark, sf_dir, "documents"))
 
 
+def op3_simhash_dedup(spark, sf_dir):
+    return simhash_dedup.simhash_digest(table(spark, sf_dir, "documents"))
+
+
 def op5_token_store(spark, sf_dir):
     return token_store.store_digest(table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,7 @@ def op9_quality_rules(spark, sf_dir):
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_counts": op2_token_counts,
+    "op3_simhash_dedup": op3_simhash_dedup,
     "op5_token_store": op5_token_store,
     "op6_source_mix": op6_source_mix,
     "op7_chat_format": op7_chat_format,

@@ -110,3 +110,36 @@ def quality_base(rows):
             len(w) < 20 or 100 * len(repeat) > 30 * len(w),
         ))
     return sorted(out, key=str)
+
+
+def labels(size, pairs):
+    """The smallest member of each one's component."""
+    parent = list(range(size))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    return [root(i) for i in range(size)]
+
+
+def simhash(rows, shingle=4, distance=4):
+    import xxhash
+
+    lower = {c: c + 32 for c in range(65, 91)}
+    prints = []
+    for _, text, *_ in rows:
+        w = words((text or "").translate(lower))
+        pieces = [" ".join(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))] if w else []
+        hashes = [xxhash.xxh64_intdigest(p.encode(), 42) for p in pieces]
+        prints.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= distance]
+    found = labels(len(rows), pairs)
+    least = defaultdict(lambda: LAST)
+    for i, r in enumerate(rows):
+        least[found[i]] = min(least[found[i]], LAST if r[0] is None else r[0])
+    return sorted(((r[0], f"{prints[i]:016x}", None if least[found[i]] == LAST else least[found[i]]) for i, r in enumerate(rows)), key=str)

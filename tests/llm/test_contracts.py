@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegate.llm import chat_format, line_dedup, mixing, quality_rules, substring_dedup, token_counts, token_store
+from pulsegate.llm import chat_format, line_dedup, mixing, quality_rules, simhash_dedup, substring_dedup, token_counts, token_store
 from tests.llm import brute
 from tests.llm.conftest import TEXTS, rows_of
 
@@ -74,6 +74,49 @@ def test_line_dedup(corpus):
     assert rows_of(line_dedup.line_digest(frame)) == brute.line_dedup(rows)
 
 
+def test_simhash(corpus):
+    frame, rows = corpus
+    assert rows_of(simhash_dedup.simhash_digest(frame)) == brute.simhash(rows)
+
+
+def test_pigeonhole_masks_lose_no_pair():
+    import numpy as np
+
+    dice = np.random.default_rng(1)
+    for nodes in (10, 10**6, 10**9):
+        masks = np.array(simhash_dedup.pigeonhole(nodes))[:, 0]
+        for _ in range(300):
+            flips = dice.choice(64, 4, replace=False)
+            difference = np.bitwise_or.reduce(np.uint64(1) << flips.astype(np.uint64))
+            assert ((difference & masks) == 0).any()
+
+
+def test_forest_connects_what_close_pairs_connect():
+    import numpy as np
+
+    dice = np.random.default_rng(2)
+    for size in (3, 9, 60, 200):
+        base = dice.integers(0, 2**63, 3).astype(np.uint64)
+        prints = np.array([base[dice.integers(3)] ^ np.bitwise_or.reduce(np.uint64(1) << dice.choice(64, dice.integers(1, 5)).astype(np.uint64)) for _ in range(size)], np.uint64)[:, None]
+        pairs = [(i, j) for i in range(size) for j in range(i) if int(prints[i, 0] ^ prints[j, 0]).bit_count() <= 4]
+        assert brute.labels(size, pairs) == brute.labels(size, list(zip(*map(list, simhash_dedup.forest(prints, 4)))))
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 130)] + [(7, 7), (200, 201), (201, 200)]
+    found = simhash_dedup.components(spark.createDataFrame(edges, "a long, b long"))
+    want = [(i, 0) for i in range(41)] + [(i, 100) for i in range(100, 130)] + [(200, 200), (201, 200)]
+    assert rows_of(found) == sorted(want, key=str)
+
+
+def test_near_copies_leave_one(spark):
+    words = [f"w{i * i % 8191}" for i in range(400)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:200] + ["new"] + words[200:])), (3, " ".join(words).upper()), (4, " ".join(reversed(words)))]
+    rows += [(10 + k, " ".join(["x%d" % k if i == 30 + k else w for i, w in enumerate(words)])) for k in range(20)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_id", F.lit("other"))
+    assert [r.doc_id for r in simhash_dedup.near_representatives(frame).orderBy("doc_id").collect()] == [1, 4]
+
+
 def test_quality_numbers(corpus):
     frame, rows = corpus
     found = quality_rules.quality_digest(frame)
@@ -117,7 +160,7 @@ def test_empty_tables(no_documents, spark):
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     for frame in (
         substring_dedup.repeat_digest(no_documents), token_counts.token_digest(no_documents), token_store.store_digest(no_documents),
-        mixing.mix_digest(no_documents), line_dedup.line_digest(no_documents), quality_rules.quality_digest(no_documents),
+        mixing.mix_digest(no_documents), line_dedup.line_digest(no_documents), quality_rules.quality_digest(no_documents), simhash_dedup.simhash_digest(no_documents),
     ):
         assert frame.collect() == []
     assert [r.conv_id for r in chat_format.chat_digest(none).collect()] == [-1]
