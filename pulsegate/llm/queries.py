@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pulsegate.llm import chat_format, line_dedup, mixing, quality_rules, simhash_dedup, substring_dedup, token_counts, token_store
+from pulsegate.llm import chat_format, decontaminate, line_dedup, mixing, quality_rules, simhash_dedup, substring_dedup, token_counts, token_store
 from pulsegate.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op3_simhash_dedup(spark, sf_dir):
     return simhash_dedup.simhash_digest(table(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark, sf_dir):
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_token_store(spark, sf_dir):
     return token_store.store_digest(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_counts": op2_token_counts,
     "op3_simhash_dedup": op3_simhash_dedup,
+    "op4_decontaminate": op4_decontaminate,
     "op5_token_store": op5_token_store,
     "op6_source_mix": op6_source_mix,
     "op7_chat_format": op7_chat_format,

@@ -85,8 +85,8 @@ _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 class Words:
     """The words of many texts: where each begins and ends in `raw`, its document and its hash."""
 
-    def __init__(self, texts: list[str]):
-        encoded = [x.encode("utf-8", "surrogatepass") for x in texts]
+    def __init__(self, texts: list[str] | list[bytes]):
+        encoded = [x if isinstance(x, bytes) else x.encode("utf-8", "surrogatepass") for x in texts]
         self.raw = np.frombuffer(b" ".join(encoded) + b" ", np.uint8)
         lengths = np.fromiter(map(len, encoded), np.int64, len(encoded)) + 1
         edges = np.cumsum(lengths)

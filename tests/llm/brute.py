@@ -143,3 +143,12 @@ def simhash(rows, shingle=4, distance=4):
     for i, r in enumerate(rows):
         least[found[i]] = min(least[found[i]], LAST if r[0] is None else r[0])
     return sorted(((r[0], f"{prints[i]:016x}", None if least[found[i]] == LAST else least[found[i]]) for i, r in enumerate(rows)), key=str)
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        last, row[0] = row[0], i + 1
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], min(row[j + 1] + 1, row[j] + 1, last + (x != y))
+    return row[-1]

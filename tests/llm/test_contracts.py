@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegate.llm import chat_format, line_dedup, mixing, quality_rules, simhash_dedup, substring_dedup, token_counts, token_store
+from pulsegate.llm import chat_format, decontaminate, line_dedup, mixing, quality_rules, simhash_dedup, substring_dedup, token_counts, token_store
 from tests.llm import brute
 from tests.llm.conftest import TEXTS, rows_of
 
@@ -117,6 +117,59 @@ def test_near_copies_leave_one(spark):
     assert [r.doc_id for r in simhash_dedup.near_representatives(frame).orderBy("doc_id").collect()] == [1, 4]
 
 
+ITEMS = [(1, " ".join(f"term{i * 7 % 101}" for i in range(40))), (2, "A few, short words are in it."), (3, None), (4, ""), (None, "no id here"), (1, " ".join(f"term{i * 7 % 101}" for i in range(40)))]
+
+
+def test_leaks_are_found_with_edits_and_without(spark):
+    item = ITEMS[0][1].split()
+    edited = [*item[:5], "new", *item[6:20], *item[21:30], "put", "in", *item[30:]]
+    rows = [
+        (0, "before " + " ".join(item) + " after"), (1, "Before it: " + ", ".join(edited).upper() + " ..."), (2, " ".join(item[:20])), (3, None), (4, ""),
+        (5, "we say a few short\nwords are in it"), (6, " ".join(reversed(item))), (None, " ".join(item)), (7, ("filler text " * 30_000) + " ".join(item)),
+    ]
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    documents = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_hits", F.lit(1)).withColumn("item_id", F.lit(9))
+    found = rows_of(decontaminate.leaks(documents, items).distinct())
+    assert found == sorted([(0, 1, 0, 1, 41), (1, 1, 4, 2, 43), (5, 2, 0, 2, 9), (None, 1, 0, 0, 40), (7, 1, 0, 60_000, 60_040)], key=str)
+    clean = decontaminate.clean_documents(documents, items)
+    assert clean.columns == documents.columns and sorted(r.doc_id for r in clean.collect()) == [2, 3, 4, 6]
+    assert decontaminate.clean_documents(documents, items.limit(0)).count() == len(rows)
+
+
+def test_leaks_of_whole_passages_are_all_found(spark, sf, given):
+    items = spark.read.parquet(f"{sf}/benchmark.parquet")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.read.parquet(f"{sf}/documents.parquet"), items).collect()}
+    plain = lambda x: " ".join((x or "").lower().split())
+    assert found >= {(d, r.item_id) for r in items.collect() for d, text, *_ in given if plain(r.text) in plain(text)}
+
+
+def test_recall_at_the_most_edits():
+    import random
+
+    dice = random.Random(3)
+    words = [f"{dice.randrange(10**6):06d}"[: dice.randrange(2, 7)] for _ in range(3000)]
+    items = [" ".join(dice.choices(words, k=dice.randrange(8, 70))) for _ in range(120)]
+    index, found = decontaminate.Index(list(range(len(items))), items), 0
+    for number, item in enumerate(items):
+        text = item.split()
+        for place in sorted(dice.sample(range(len(text)), len(text) // 5), reverse=True):
+            kind = dice.randrange(3)
+            text[place : place + (kind != 1)] = [] if kind == 2 else ["changed"]
+        hits = index.hits([" ".join(dice.choices(words, k=50) + text + dice.choices(words, k=50))])[0]
+        found += number in [h[0] for h in hits]
+    assert found >= 0.9 * len(items)
+
+
+def test_edit_rows_equal_the_plain_distance():
+    import numpy as np
+
+    dice = np.random.default_rng(4)
+    for _ in range(40):
+        text, item = dice.integers(0, 4, dice.integers(1, 12)).astype(np.uint64), dice.integers(0, 4, dice.integers(1, 9)).astype(np.uint64)
+        row = decontaminate.edit_rows(text[None, :], item[None, :], np.array([len(item)]), free=False)[0]
+        assert row.tolist() == [brute.edits(item.tolist(), text[:j].tolist()) for j in range(len(text) + 1)]
+
+
 def test_quality_numbers(corpus):
     frame, rows = corpus
     found = quality_rules.quality_digest(frame)
