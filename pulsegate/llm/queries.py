@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pulsegate.llm import chat_format, decontaminate, line_dedup, mixing, quality_rules, simhash_dedup, substring_dedup, token_counts, token_store
+from pulsegate.llm import chat_format, decontaminate, line_dedup, mixing, quality_rules, secret_scan, simhash_dedup, substring_dedup, token_counts, token_store
 from pulsegate.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op9_quality_rules(spark, sf_dir):
     return quality_rules.quality_digest(table(spark, sf_dir, "documents"))
 
 
+def op10_secret_scan(spark, sf_dir):
+    return secret_scan.scan_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_counts": op2_token_counts,
@@ -52,6 +56,7 @@ QUERIES = {
     "op7_chat_format": op7_chat_format,
     "op8_line_dedup": op8_line_dedup,
     "op9_quality_rules": op9_quality_rules,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLES = {
