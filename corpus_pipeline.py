@@ -4,11 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pulsegate.llm import decontaminate, mixing, quality_rules, simhash_dedup, token_store
 from pulsegate.llm.common import store, table
 
-STAGES = []
 
-# Hashing, sampling and binary files are not to be had in SQL; tests hold run() against a brute-force version.
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the thresholds of their language and source."""
+    return quality_rules.kept_documents(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five-word shingles, similarity about 0.8 or more)."""
+    return simhash_dedup.near_representatives(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark, up to a fifth of its words edited."""
+    return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them; copies are repeated rows."""
+    return mixing.mixed_documents(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token store's documents: doc_id, start, n_tokens, ids_crc32."""
+    return token_store.store_digest(docs)
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixture", mixture), ("tokens", tokens)]
+
+# Fingerprints, sampling by hash and token ids are not to be had in SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
