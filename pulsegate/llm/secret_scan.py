@@ -8,8 +8,8 @@ taken by hash; everything else covers all rows. Only DataFrame functions and Spa
 Texts are read once; candidates, a small part of them, are written to the shared folder.
 
 Defined results: null and empty texts have no candidates. Repeated rows have findings of their own. If the
-labelled findings lack one of the two classes, there is no forest and all candidates are reported, with
-score 1. Other columns are ignored.
+labelled findings lack one of the two classes, there is no forest; candidates that distant labels call none
+have score 0 and all others 1. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -82,11 +82,17 @@ def with_features(found: DataFrame) -> DataFrame:
     return found.select("*", *(c.cast("double").alias(name) for name, c in columns.items()))
 
 
+def _sure() -> Column:
+    return (F.col("named") == 1) & (F.col("assigned") == 1) & (F.col("coverage") < 0.3) & (F.col("benign") == 0)
+
+
+def _none() -> Column:
+    return ((F.col("named") == 0) & (F.col("assigned") == 0)) | (F.col("benign") == 1)
+
+
 def distant_labels(featured: DataFrame) -> DataFrame:
-    """Labels where no reviewer's are at hand: 1 for quoted values assigned to a credential's name, 0 where nothing of this holds; others have none."""
-    sure = (F.col("named") == 1) & (F.col("assigned") == 1) & (F.col("coverage") < 0.3) & (F.col("benign") == 0)
-    none = ((F.col("named") == 0) & (F.col("assigned") == 0)) | (F.col("benign") == 1)
-    return featured.withColumn("label", F.when(sure, 1.0).when(none, 0.0)).filter("label IS NOT NULL")
+    """Labels where no reviewer's are at hand: 1 for values assigned to a credential's name, 0 where nothing of this holds; others have none."""
+    return featured.withColumn("label", F.when(_sure(), 1.0).when(_none(), 0.0)).filter("label IS NOT NULL")
 
 
 def train(labelled: DataFrame, rows: int = TRAINING_ROWS):
@@ -110,7 +116,7 @@ def score(featured: DataFrame, forest) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
     if forest is None:
-        return featured.withColumn("score", F.lit(1.0))
+        return featured.withColumn("score", F.when(_none(), 0.0).otherwise(1.0))
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(featured)
     scored = forest.transform(vectors)
     return scored.withColumn("score", F.round(vector_to_array("probability")[1], 6)).select(*featured.columns, "score")
