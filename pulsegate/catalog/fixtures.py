@@ -103,13 +103,14 @@ def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
         "last_login_time": F.col("event_time") - F.make_interval(hours=F.col("k")),
     }
     events = events.select(
-        "event_id", "customer_id", "event_time", "source", "schema_version",
+        "event_id", "customer_id", "event_time", F.col("event_time").alias("arrival_time"), "source", "schema_version",
         *_qualified("A", EVENT_FIELDS, derived), *_qualified("B", EVENT_FIELDS, derived),
     )
     profile = cdp_profile(spark, sf_dir).select(
         (-1 - F.substring_index("customer_id", "_", -1).cast("bigint")).alias("event_id"),
         "customer_id",
         F.timestamp_seconds(F.lit(0)).alias("event_time"),
+        F.timestamp_seconds(F.lit(0)).alias("arrival_time"),
         F.lit("C").alias("source"),
         F.lit("v1").alias("schema_version"),
         *[F.col(n).alias(f"C.v1.{n}") for n in PROFILE_FIELDS],

@@ -37,16 +37,24 @@ SPARK_TYPES = {
 }
 
 
+def moment_us(value: Any) -> int:
+    """Microseconds since the epoch of an ISO-8601 text with an offset, or of a datetime with one."""
+    moment = value if isinstance(value, dt.datetime) else dt.datetime.fromisoformat(str(value).replace("Z", "+00:00"))
+    if moment.tzinfo is None:
+        raise ValueError(f"timestamp literal needs an offset: {value!r}")
+    return (moment - dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)) // dt.timedelta(microseconds=1)
+
+
 def literal(value: Any, dtype: str) -> Column:
-    """Typed literal; ISO-8601 text becomes a timestamp for TIMESTAMP fields."""
+    """Literal of a declared type; a value that is none is refused here, not when rows are read."""
     if dtype == "TIMESTAMP":
-        moment = value if isinstance(value, dt.datetime) else dt.datetime.fromisoformat(str(value).replace("Z", "+00:00"))
-        if moment.tzinfo is None:
-            raise ValueError(f"timestamp literal needs an offset: {value!r}")
-        epoch = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
-        return F.timestamp_micros(F.lit((moment - epoch) // dt.timedelta(microseconds=1)).cast("bigint"))
+        return F.timestamp_micros(F.lit(moment_us(value)).cast("bigint"))
     if dtype == "STRING":
         return F.lit(str(value))
+    if dtype in NUMERIC and (isinstance(value, bool) or not isinstance(value, (int, float))):
+        raise ValueError(f"not a number: {value!r}")
+    if dtype == "BOOLEAN" and not isinstance(value, bool):
+        raise ValueError(f"not a boolean: {value!r}")
     return F.lit(value)
 
 
@@ -79,7 +87,7 @@ def predicate(op: str, left: Column, dtype: str, value: Any = None, right: Colum
         low, high = value
         test = left.between(literal(low, dtype), literal(high, dtype))
     elif op in ("IN", "NOT IN"):
-        test = left.isin([str(v) for v in value] if dtype == "STRING" else list(value))
+        test = left.isin([literal(v, dtype) for v in value])
         test = ~test if op == "NOT IN" else test
     elif op in TEXT_OPS:
         text = F.lit(str(value))

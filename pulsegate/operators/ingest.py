@@ -87,6 +87,8 @@ def judge_messages(raw: DataFrame, schemas: DataFrame, on_bad_cast: str = "zero"
         .when(F.col("source").isNull(), F.lit("missing_source"))
         .when(F.col("_source").isNull(), F.lit("schema_missing"))
         .when(F.coalesce(corrupted, F.lit(True)), F.lit("corrupted_payload")),
+        # Payload ids may repeat between sources; the place in the log never does.
+        "row_id": F.concat_ws("-", "topic", "partition", "offset"),
         "event_id": F.coalesce(F.col("payload_id"), F.concat_ws("-", "topic", "partition", "offset")),
         "_task": F.spark_partition_id(),
     })
@@ -101,7 +103,7 @@ REJECTED = "reject_reason is not null and _task >= 0"
 def valid_events(judged: DataFrame) -> DataFrame:
     """Accepted messages as events: envelope plus `fields`, a map of dot path to canonical text."""
     return judged.where(ACCEPTED).select(
-        "event_id", "topic", "partition", "offset", F.col("timestamp").alias("arrival_time"),
+        "event_id", "row_id", "topic", "partition", "offset", F.col("timestamp").alias("arrival_time"),
         "customer_id", "event_time", "source", "schema_version",
         F.map_from_entries(F.transform("_cast", lambda e: F.struct(e["path"], e["text"]))).alias("fields"),
     )

@@ -13,7 +13,7 @@ A customer with a third of all rows is thereby spread over all its buckets.
 
 A window of `duration` and `slide` covers the cells (c - duration/slide, c] where
 c is the cell of the event, restricted to rows strictly before the event in
-(event_time, event_id) order. A tumbling window has slide = duration.
+(event_time, id) order, the id being one that no two rows share. A tumbling window has slide = duration.
 """
 
 from __future__ import annotations
@@ -78,6 +78,7 @@ def add_state(
     metrics: dict[str, Metric],
     bucket: int = 60_000_000,
     include_current: bool = False,
+    ident: str = ID,
 ) -> DataFrame:
     """Add `attributes` (latest non-null value up to and including the event) and `metrics`.
 
@@ -101,7 +102,7 @@ def add_state(
         "_bucket": cell(event_us(TIME), bucket),
         **{name: expr for name, expr in partials.values()},
     })
-    order = F.struct(event_us(TIME), F.col(ID))
+    order = F.struct(event_us(TIME), F.col(ident))
     buckets = rows.groupBy(KEY, "_bucket").agg(
         *[_MERGE[part](name).alias(name) for (_, part), (name, _) in partials.items()],
         *[F.max_by(attributes[a], F.when(attributes[a].isNotNull(), order)).alias(c) for a, c in carried.items()],
@@ -110,7 +111,7 @@ def add_state(
 
     buckets, earlier, open_columns = _earlier_buckets(rows, buckets, metrics, partials, carried, bucket)
 
-    in_bucket = W.partitionBy(KEY, "_bucket").orderBy(TIME, ID)
+    in_bucket = W.partitionBy(KEY, "_bucket").orderBy(TIME, ident)
     before = in_bucket.rowsBetween(W.unboundedPreceding, 0 if include_current else -1)
     upto = in_bucket.rowsBetween(W.unboundedPreceding, 0)
     local = {f"_here{name}": _MERGE[part](name).over(before) for (_, part), (name, _) in partials.items()}
@@ -172,8 +173,8 @@ def _earlier_buckets(rows, buckets, metrics, partials, carried, bucket):
         wanted = sorted({p for parts in closing.values() for p in parts})
         cells = buckets
         if slide > bucket:
-            # From the rows again: partial sums per cell, one small shuffle.
-            cells = rows.groupBy(KEY, cell(F.col("_bucket"), slide // bucket).alias(grain)).agg(*[_MERGE[part](partials[(s, part)][0]).alias(partials[(s, part)][0]) for s, part in wanted])
+            # Partial sums merge: cells are sums of the buckets that are there already.
+            cells = buckets.groupBy(KEY, grain).agg(*[_MERGE[part](partials[(s, part)][0]).alias(partials[(s, part)][0]) for s, part in wanted])
         added = {}
         for duration, parts in sorted(closing.items()):
             span = W.partitionBy(KEY).orderBy(grain).rangeBetween(-(duration // slide - 1), -1)

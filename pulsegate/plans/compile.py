@@ -7,7 +7,11 @@ The compiler reads the normal form of the rules and gives
   first arrivals.
 
 `CompiledRules.prepare` adds that state to a timeline, `judge` gives one PASS or
-FAIL row per event and rule with the failing conditions.
+FAIL row per event and rule with the failing conditions. Verdicts are written as SQL text
+over the shared predicates, so that thousands of rules are put together in one pass.
+
+Rows are told apart by `row_id` where the timeline has one (ingest gives topic, partition
+and offset): payload ids may repeat between sources.
 """
 
 from __future__ import annotations
@@ -18,19 +22,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegate.functions.arithmetic import arithmetic, fields_of
-from pulsegate.functions.predicates import SPARK_TYPES, compare, literal, predicate
+from pulsegate.functions.predicates import SPARK_TYPES, compare, moment_us, predicate
 from pulsegate.operators import arrivals, datasets, sequences
 from pulsegate.operators.state import Metric, add_state
 from pulsegate.plans.fields import Catalogue, Field
 from pulsegate.plans.rules import Arrival, Condition, Node, Rule, Sequence, Trigger, WindowCondition
 
 EVENT_COLUMNS = ("event_id", "customer_id", "event_time", "source", "schema_version")
+# Columns that go with the rows where the timeline has them.
+EXTRA_COLUMNS = ("row_id", "arrival_time")
 
 
 def _quoted(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def _text(value: str) -> str:
+    """SQL literal of a text."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def identity(rows: DataFrame) -> str:
+    return "row_id" if "row_id" in rows.columns else "event_id"
+
+
 @dataclass
 class _Leaf:
     path: str
@@ -41,12 +56,15 @@ class CompiledRules:
     """A rule set compiled against a field catalogue."""
 
     def __init__(self, rules: list[Rule], catalogue: Catalogue, bucket: int, include_current: bool = False,
-                 order_column: str = "event_time"):
+                 order_column: str = "event_time", arrival_column: str = "arrival_time", on_error: str = "raise"):
+        """on_error: 'raise', or 'refuse' to leave out rules that cannot be compiled and list them in `refused`."""
         self.rules = rules
         self.catalogue = catalogue
         self.bucket = bucket
         self.include_current = include_current
         self.order_column = order_column
+        self.arrival_column = arrival_column
+        self.refused: dict[str, str] = {}
         self.metrics: dict[str, Metric] = {}
         self.attributes: dict[str, Column] = {}
         self.memberships: dict[str, datasets.Membership] = {}
@@ -56,7 +74,22 @@ class CompiledRules:
         self._names: dict[str, str] = {}
         self._columns: set[str] | None = None
         self._used: dict[str, Field] = {}
-        self._plans = [(rule, *self._compile(rule)) for rule in rules]
+        self._plans = []
+        for rule in rules:
+            held = [dict(x) for x in self._tables()]
+            try:
+                self._plans.append((rule, *self._compile(rule)))
+            except ValueError as error:
+                if on_error == "raise":
+                    raise
+                self.refused[rule.rule_id] = str(error)
+                # What the rule had asked for so far goes with it.
+                for table, before in zip(self._tables(), held):
+                    table.clear()
+                    table.update(before)
+
+    def _tables(self) -> tuple[dict, ...]:
+        return (self.metrics, self.attributes, self.memberships, self.sequences, self.arrivals, self._tests, self._names, self._used)
 
     # ---- fields -----------------------------------------------------------------
 
@@ -122,7 +155,15 @@ class CompiledRules:
         else:
             first = self.catalogue.qualified((named or fields_of(leaf.expr))[0], default)
             parts = [(first.source, first.version, None)]
-        key = "|".join([str(leaf.field or leaf.expr), str(leaf.mapping), "&".join(sorted(map(repr, leaf.filter)))])
+        # Metrics are equal if they read equal columns under equal filters, whatever the rules call them.
+        if leaf.mapping:
+            reads = [self.catalogue.local(*part).column for part in parts]
+        elif leaf.field:
+            reads = [self.catalogue.qualified(leaf.field, default).column]
+        else:
+            reads = [leaf.expr, *(self.catalogue.qualified(p, default).column for p in fields_of(leaf.expr))]
+        kept = sorted(f"{s}.{v}:{c}" for s, v, _ in parts for c in map(repr, leaf.filter))
+        key = "|".join([",".join(reads), ",".join(f"{s}.{v}" for s, v, _ in parts), "&".join(kept)])
         values, keeps = [], []
         for source, version, path in parts:
             here = (F.col("source") == source) & (F.col("schema_version") == version)
@@ -140,11 +181,8 @@ class CompiledRules:
             keep = keep | other
         metric = Metric(key, leaf.agg, F.coalesce(*values) if len(values) > 1 else values[0], keep, leaf.duration, leaf.slide)
         name = f"{leaf.agg}({key})/{leaf.duration}/{leaf.slide}"
-        for known, spec in self.metrics.items():
-            if known.endswith(name):
-                return known
-        self.metrics[f"m{len(self.metrics)}:{name}"] = metric
-        return f"m{len(self.metrics) - 1}:{name}"
+        self.metrics.setdefault(name, metric)
+        return name
 
     def _version_of(self, source: str) -> str:
         versions = [v for s, v in self.catalogue.schemas if s == source]
@@ -181,7 +219,7 @@ class CompiledRules:
                 field = self.catalogue.local(trigger.source, trigger.version, path)
                 per_source.append(F.when(here, self._current(field).cast("string")))
             keys.append(F.coalesce(*per_source) if len(per_source) > 1 else per_source[0])
-        order = self.order_column if leaf.order_by == "processing_time" else "event_time"
+        order = self.arrival_column if leaf.order_by == "processing_time" else "event_time"
         name = f"first:{len(self.arrivals)}"
         self.arrivals[name] = arrivals.ArrivalSpec(tuple(keys), order, leaf.ttl, self._fires(rule))
         return F.coalesce(_quoted(name), F.lit(False))
@@ -232,6 +270,10 @@ class CompiledRules:
             out = every if out is None else out | every
         return out
 
+    @staticmethod
+    def _dnf_text(groups: list[list[_Leaf]]) -> str:
+        return " OR ".join("(" + (" AND ".join(leaf.column for leaf in group) or "true") + ")" for group in groups) or "true"
+
     def _fires(self, rule: Rule) -> Column:
         """Trigger of a rule as one Column over the timeline (before predicates have columns)."""
         out = F.lit(False)
@@ -245,21 +287,17 @@ class CompiledRules:
         leaves = {node.path: self._leaf(node, rule) for node in rule.tree.leaves()}
         return triggers, leaves
 
-    def _tree(self, node: Node, leaves: dict[str, _Leaf]) -> Column:
+    def _tree_text(self, node: Node, leaves: dict[str, _Leaf]) -> str:
         if node.leaf is not None:
-            return F.col(leaves[node.path].column)
-        out = None
-        for child in node.children:
-            test = self._tree(child, leaves)
-            out = test if out is None else (out & test if node.kind == "AND" else out | test)
-        return out
+            return leaves[node.path].column
+        return "(" + f" {node.kind} ".join(self._tree_text(child, leaves) for child in node.children) + ")"
 
     # ---- evaluation -------------------------------------------------------------
 
     def pruned(self, timeline: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         """Timeline with only the columns the rules read; declared fields it lacks become NULL."""
         have = set(timeline.columns)
-        extra = [c for c in (self.order_column, *keep) if c in have and c not in EVENT_COLUMNS]
+        extra = [c for c in (*EXTRA_COLUMNS, self.order_column, self.arrival_column, *keep) if c in have and c not in EVENT_COLUMNS]
         fields = [
             _quoted(name) if name in have else F.lit(None).cast(SPARK_TYPES[field.dtype]).alias(name)
             for name, field in sorted(self._used.items())
@@ -269,14 +307,15 @@ class CompiledRules:
     def prepare(self, timeline: DataFrame, dataset_rows: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
         """Timeline plus every state column the rules read."""
         base = self.pruned(timeline, keep)
+        row = identity(base)
         marks = [
-            sequences.followed(base, spec).where("followed").select("event_id", F.lit(name).alias("mark"))
+            sequences.followed(base, spec, ident=row).where("followed").select(row, F.lit(name).alias("mark"))
             for name, spec in self.sequences.items()
         ] + [
-            arrivals.first_arrivals(base, spec).select("event_id", F.lit(name).alias("mark"))
+            arrivals.first_arrivals(base, spec, ident=row).select(row, F.lit(name).alias("mark"))
             for name, spec in self.arrivals.items()
         ]
-        out = add_state(base, self.attributes, self.metrics, self.bucket, self.include_current)
+        out = add_state(base, self.attributes, self.metrics, self.bucket, self.include_current, ident=row)
         if marks:
             out = self._marked(out, marks)
         return self.with_members(out, dataset_rows)
@@ -290,48 +329,41 @@ class CompiledRules:
         return rows
 
     def _marked(self, rows: DataFrame, marks: list[DataFrame]) -> DataFrame:
-        """Sequence and arrival marks by event id: one join on a unique key, however many marks there are."""
+        """Sequence and arrival marks by row: one join on a unique key, however many marks there are."""
+        row = identity(rows)
         table = marks[0]
         for other in marks[1:]:
             table = table.unionByName(other)
         names = [*self.sequences, *self.arrivals]
-        flags = table.groupBy("event_id").agg(*[F.bool_or(F.col("mark") == name).alias(name) for name in names])
-        return rows.join(flags, "event_id", "left")
-
-    def _verdict(self, rule: Rule, triggers, leaves, passed_only: bool = False) -> Column:
-        routed, fired, trigger_failures = F.lit(False), F.lit(False), []
-        for trigger, groups in triggers:
-            here = (F.col("source") == trigger.source) & (F.col("schema_version") == trigger.version)
-            routed = routed | here
-            fired = fired | (here & self._dnf(groups, F.col))
-            trigger_failures += [F.when(here & ~F.col(leaf.column), F.lit(leaf.path)) for group in groups for leaf in group]
-        if rule.effective_from is not None:
-            routed = routed & (F.col(self.order_column) >= literal(rule.effective_from, "TIMESTAMP"))
-        if rule.effective_to is not None:
-            routed = routed & (F.col(self.order_column) < literal(rule.effective_to, "TIMESTAMP"))
-        tree = self._tree(rule.tree, leaves)
+        flags = table.groupBy(row).agg(*[F.bool_or(F.col("mark") == name).alias(name) for name in names])
+        return rows.join(flags, row, "left")
+
+    def _verdict(self, rule: Rule, triggers, leaves, passed_only: bool = False) -> str:
+        """SQL text of a rule's verdict: a struct, or NULL where the rule does not listen."""
+        here = [f"(source = {_text(t.source)} AND schema_version = {_text(t.version)})" for t, _ in triggers]
+        routed = "(" + " OR ".join(here) + ")"
+        fired = "(" + " OR ".join(f"({h} AND ({self._dnf_text(groups)}))" for h, (_, groups) in zip(here, triggers)) + ")"
+        trigger_failures = [f"if({h} AND NOT {leaf.column}, {_text(leaf.path)}, NULL)" for h, (_, groups) in zip(here, triggers) for group in groups for leaf in group]
+        for bound, sign in ((rule.effective_from, ">="), (rule.effective_to, "<")):
+            if bound is not None:
+                routed += f" AND `{self.order_column}` {sign} timestamp_micros({moment_us(bound)})"
+        tree = self._tree_text(rule.tree, leaves)
         if passed_only:
-            routed = routed & fired & tree
-        tree_failures = [F.when(~F.col(leaf.column), F.lit(leaf.path)) for leaf in leaves.values()]
-        failed = F.when(~fired, F.concat_ws(",", *trigger_failures) if trigger_failures else F.lit("trigger")).when(
-            ~tree, F.concat_ws(",", *tree_failures)
-        )
-        return F.when(
-            routed,
-            F.struct(
-                F.lit(rule.rule_id).alias("rule_id"),
-                F.lit(rule.version).cast("bigint").alias("rule_version"),
-                F.when(fired & tree, F.lit("PASS")).otherwise(F.lit("FAIL")).alias("status"),
-                failed.alias("failed_condition"),
-            ),
+            routed += f" AND {fired} AND {tree}"
+        tree_failures = [f"if(NOT {leaf.column}, {_text(leaf.path)}, NULL)" for leaf in leaves.values()]
+        unfired = f"concat_ws(',', {', '.join(trigger_failures)})" if trigger_failures else "'trigger'"
+        failed = f"CASE WHEN NOT {fired} THEN {unfired} WHEN NOT {tree} THEN concat_ws(',', {', '.join(tree_failures)}) END"
+        return (
+            f"if({routed}, named_struct('rule_id', {_text(rule.rule_id)}, 'rule_version', {int(rule.version)}L, "
+            f"'status', if({fired} AND {tree}, 'PASS', 'FAIL'), 'failed_condition', {failed}), NULL)"
         )
 
     def judge(self, state: DataFrame, keep: tuple[str, ...] = (), passed_only: bool = False) -> DataFrame:
         """One row per event and rule listening to its source: status and failing conditions."""
-        base = list(dict.fromkeys([*EVENT_COLUMNS, *keep]))
+        base = list(dict.fromkeys([*EVENT_COLUMNS, *(["row_id"] if "row_id" in state.columns else []), *keep]))
         tested = state.select(*base, *([self.order_column] if self.order_column not in base else []),
                               *[test.alias(name) for name, test in self._tests.items()])
-        verdicts = F.array(*[self._verdict(*plan, passed_only) for plan in self._plans])
+        verdicts = F.expr("array(" + ", ".join(self._verdict(*plan, passed_only) for plan in self._plans) + ")")
         # A rule that does not listen gives a NULL struct, which inline turns into a row of NULLs.
         return tested.select(*base, F.inline(verdicts)).where("rule_id is not null")
 
