@@ -15,7 +15,6 @@ ENVELOPE = {
     "metadata.id": ("event_id", "STRING"),
     "event_time": ("event_time", "TIMESTAMP"),
 }
-DRIVER_LIMIT = 200_000
 
 
 class UnknownField(ValueError):
@@ -43,15 +42,19 @@ class Catalogue:
 
     @classmethod
     def from_columns(cls, columns: DataFrame) -> "Catalogue":
-        """From `schema_columns` rows. Configuration sized; more than DRIVER_LIMIT rows is refused."""
-        rows = columns.select("source", "version", "path", "type", "category").limit(DRIVER_LIMIT + 1).collect()
-        if len(rows) > DRIVER_LIMIT:
-            raise ValueError(f"more than {DRIVER_LIMIT} schema columns")
+        """From `schema_columns` rows, configuration; `of_rules` reads only what a rule set names."""
         schemas: dict[tuple[str, str], dict[str, tuple[str, str]]] = {}
-        for row in rows:
+        for row in columns.select("source", "version", "path", "type", "category").toLocalIterator():
             schemas.setdefault((row["source"], row["version"]), {})[row["path"]] = (row["type"], row["category"])
         return cls(schemas)
 
+    @classmethod
+    def of_rules(cls, columns: DataFrame, rules) -> "Catalogue":
+        """Only the schemas of sources that some rule names, in its triggers or anywhere in its text."""
+        texts = " ".join(str(rule.body or rule) for rule in rules)
+        sources = [r["source"] for r in columns.select("source").distinct().toLocalIterator() if r["source"] in texts]
+        return cls.from_columns(columns.where(columns.source.isin(sources)))
+
     def _field(self, source: str, version: str, path: str) -> Field:
         if path in ENVELOPE and (path.startswith("metadata.") or path not in self.schemas[(source, version)]):
             column, dtype = ENVELOPE[path]

@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from pulsegate.operators import ingest
-from pulsegate.operators.audit import evaluation_table
+from pulsegate.operators.audit import evaluation_table, event_log
 from pulsegate.operators.schemas import latest_schemas, parse_schemas
-from pulsegate.plans.compile import CompiledRules, compile_rules
+from pulsegate.plans.compile import CompiledRules, compile_rules, identity
 from pulsegate.plans.fields import Catalogue
 from pulsegate.plans.rules import parse_rule
 from pulsegate.sources.sinks import write_batch
@@ -61,39 +61,55 @@ def start_ingest(messages: DataFrame, schema_messages: Callable[[SparkSession],
     return _start(writer, messages.sparkSession, trigger)
 
 
-def compile_table(rules: DataFrame, columns: DataFrame, bucket: int, limit: int = 1000, **options) -> CompiledRules:
-    """Compile the active rules of a rule table. More than `limit` belong to operators.candidates."""
-    bodies = rules.where("is_active").select("body", "rule_version", "effective_from").limit(limit + 1).collect()
-    if len(bodies) > limit:
-        raise ValueError(f"more than {limit} rules: select candidates by join instead")
+def compile_table(rules: DataFrame, columns: DataFrame, bucket: int, **options) -> CompiledRules:
+    """Compile the active rules of a rule table; rules that cannot be compiled are listed in `refused`.
+
+    Bodies come to the driver, as Catalyst's plan of them does; only the schemas that rules
+    name are read.
+    """
+    bodies = rules.where("is_active").select("body", "rule_version", "effective_from").toLocalIterator()
     parsed = [parse_rule({**json.loads(r["body"]), "rule_version": r["rule_version"], "effective_from": r["effective_from"]}) for r in bodies]
-    return compile_rules(parsed, Catalogue.from_columns(columns), bucket, **options)
+    return compile_rules(parsed, Catalogue.of_rules(columns, parsed), bucket, **{"on_error": "refuse", **options})
 
 
 def start_rules(valid: DataFrame, rules: CompiledRules, audit_path: str, checkpoint: str, dataset_rows: Callable[[SparkSession], DataFrame] | None = None,
-                reload: Callable[[SparkSession], CompiledRules] | None = None, trigger: dict | None = None) -> StreamingQuery:
+                reload: Callable[[SparkSession], CompiledRules] | None = None, trigger: dict | None = None, late_path: str | None = None,
+                log_path: str | None = None, lateness: str = "10 seconds", ordered: bool = False) -> StreamingQuery:
     """Rule job over a timeline stream: customer state, then verdicts per micro-batch.
 
-    Window metrics and profile attributes are fixed by `rules` when the query starts.
-    `reload` may give a newer rule set per batch as long as it reads the same state; a rule
-    with a new window needs a restart from the same checkpoint, and its window starts empty.
+    Late rows are not judged; they go to `late_path`. The events themselves go to `log_path`,
+    the first audit table. With `ordered` rows are judged in order of time once the watermark
+    has passed them, and late ones are dropped (split them off before).
+
+    `reload` may give a newer rule set per batch; with it all columns are carried, so that new
+    rules may read any field. New windows and profile attributes need a restart from the same
+    checkpoint, with the rules that have them; what other rules have gathered stays.
     Sequences and first arrivals run as queries of their own (see processors).
     """
     if rules.sequences or rules.arrivals:
         raise ValueError("sequences and first arrivals are separate streaming queries")
-    base = rules.pruned(valid)
-    state = customer_state(base, rules.attributes, rules.metrics, rules.bucket) if rules.metrics or rules.attributes else base
+    base = valid if reload else rules.pruned(valid)
+    state = customer_state(base, rules.attributes, rules.metrics, rules.bucket, lateness=lateness, ordered=ordered, ident=identity(base))
 
     def run(batch: DataFrame, batch_id: int) -> None:
         current = reload(batch.sparkSession) if reload else rules
         unknown = (set(current.metrics) - set(rules.metrics)) | (set(current.attributes) - set(rules.attributes))
         if unknown:
             raise ValueError(f"restart needed, new state: {sorted(unknown)}")
-        rows = current.with_members(batch, dataset_rows(batch.sparkSession) if dataset_rows else None)
-        write_batch(evaluation_table(current.judge(rows)), audit_path, batch_id)
+        batch = batch.persist()
+        try:
+            if late_path:
+                write_batch(batch.where("is_late").select(*[f"`{c}`" for c in base.columns]), late_path, batch_id)
+            on_time = batch.where("not is_late").drop("is_late")
+            if log_path:
+                write_batch(event_log(on_time.select(*[f"`{c}`" for c in base.columns])), log_path, batch_id)
+            rows = current.with_members(on_time, dataset_rows(batch.sparkSession) if dataset_rows else None)
+            write_batch(evaluation_table(current.judge(rows)), audit_path, batch_id)
+        finally:
+            batch.unpersist()
 
     writer = state.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
-    return _start(writer, valid.sparkSession, trigger)
+    return _start(writer, valid.sparkSession, trigger, timers=ordered)
 
 
 def start_append(rows: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, timers: bool = False) -> StreamingQuery:

@@ -6,6 +6,10 @@ cross the border as microseconds (bigint), so that nothing depends on time zones
 
 from __future__ import annotations
 
+import hashlib
+import pickle
+from bisect import bisect_left, bisect_right, insort
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +20,7 @@ from pulsegate.functions.durations import cell, event_us
 from pulsegate.operators.state import NEEDS, Metric, partial
 
 MS = 1_000
+SPREAD = 256
 
 
 def _collect(rows, *order: str) -> pd.DataFrame:
@@ -37,38 +42,43 @@ class LateSplit(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         watermark = timerValues.getCurrentWatermarkInMs() * MS
         for part in rows:
-            yield part.assign(watermark_us=watermark, is_late=part["event_us"] < watermark)
+            yield part.drop(columns="x_spread").assign(watermark_us=watermark, is_late=part["event_us"] < watermark)
 
     def close(self) -> None:
         pass
 
 
 def split_late(events: DataFrame, lateness: str = "10 seconds", time: str = "event_time") -> DataFrame:
-    """Streaming events with `watermark_us` and `is_late`; late ones go to their own sink."""
+    """Streaming events with `watermark_us` and `is_late`; late ones go to their own sink.
+
+    The step keeps no state, so rows are spread by a hash of themselves, not by customer.
+    """
     rows = events.withColumn("event_us", event_us(time)).withWatermark(time, lateness)
     schema = _extended(rows.schema, {"watermark_us": "bigint", "is_late": "boolean"})
-    return rows.groupBy("customer_id").transformWithStateInPandas(LateSplit(), schema, "Append", "ProcessingTime")
+    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(SPREAD))
+    return rows.withColumn("x_spread", spread).groupBy("x_spread").transformWithStateInPandas(LateSplit(), schema, "Append", "ProcessingTime")
 
 
 class FirstArrival(StatefulProcessor):
     """Accepts the first row of a key, and the next one once `ttl` has passed since the accepted one.
 
-    Arrival time is a column, so that a replay gives the same answer; the state itself is
-    dropped by the store after the ttl of processing time (with slack for slow batches).
+    Arrival time is a column, so that a replay, a stop or a lag gives the same answer: what a
+    key remembers is one number, and it is kept until a later arrival replaces it. Without a
+    ttl a key is accepted once.
     """
 
-    def __init__(self, ttl: int):
+    def __init__(self, ttl: int | None):
         self.ttl = ttl
 
     def init(self, handle) -> None:
-        self.last = handle.getValueState("last", "us bigint", ttlDurationMs=max(2 * self.ttl // MS, 3_600_000))
+        self.last = handle.getValueState("last", "us bigint")
 
     def handleInputRows(self, key, rows, timerValues):
         batch = _collect(rows, "arrival_us", "event_id")
         last = self.last.get()[0] if self.last.exists() else None
         taken = []
         for position, us in enumerate(batch["arrival_us"]):
-            if last is None or us >= last + self.ttl:
+            if last is None or (self.ttl is not None and us >= last + self.ttl):
                 taken.append(position)
                 last = int(us)
         if taken:
@@ -79,7 +89,7 @@ class FirstArrival(StatefulProcessor):
         pass
 
 
-def first_arrivals(events: DataFrame, keys: list[str], ttl: int, arrival: str = "arrival_time") -> DataFrame:
+def first_arrivals(events: DataFrame, keys: list[str], ttl: int | None, arrival: str = "arrival_time") -> DataFrame:
     """Streaming first arrival; with keys (customer_id, rule_id) over PASS rows it is the cooldown."""
     rows = events.withColumn("arrival_us", event_us(arrival))
     return rows.groupBy(*keys).transformWithStateInPandas(FirstArrival(ttl), rows.schema, "Append", "ProcessingTime")
@@ -119,10 +129,11 @@ class Sequence(StatefulProcessor):
         due = expiredTimerInfo.getExpiryTimeInMs() * MS - self.within
         ready = [(a, value) for a, value in self.waiting.iterator() if a[0] <= due]
         if ready:
-            seconds = sorted(self.seen.keys(), key=_order)
+            seconds = sorted(map(_order, self.seen.keys()))
             out = []
             for a, (customer,) in sorted(ready, key=lambda item: _order(item[0])):
-                hit = any(_order(a) < _order(b) and b[0] < a[0] + self.within for b in seconds)
+                following = bisect_right(seconds, _order(a))
+                hit = following < len(seconds) and seconds[following][0] < a[0] + self.within
                 out.append((a[1], customer, a[0], a[0] + self.within, hit))
                 self.waiting.removeKey(a)
             self._forget(timerValues.getCurrentWatermarkInMs() * MS)
@@ -151,126 +162,234 @@ def sequences(events: DataFrame, keys: list[str], first, second, within: int, la
     return rows.groupBy(*keys).transformWithStateInPandas(Sequence(within), DECIDED, "Append", "EventTime")
 
 
+INTEGERS = ("tinyint", "smallint", "int", "bigint")
+MERGE = {"sum": lambda a, b: a + b, "n": lambda a, b: a + b, "rows": lambda a, b: a + b, "min": min, "max": max}
+# State has one shape whatever the rules are: integers (and times), fractions, text.
+CELL = "i bigint, d double, s string"
+
+
+def _kind(dtype: str) -> str:
+    return "i" if dtype in (*INTEGERS, "boolean") else "s" if dtype == "string" else "d"
+
+
+def _cell(value, kind: str) -> tuple:
+    return tuple(value if kind == k else None for k in "ids")
+
+
 def _native(value, kind: str):
-    """Python value of a pandas cell for a state column; NULL-bearing integers arrive as floats."""
+    """Python value of a pandas cell; NULL-bearing integers arrive as floats."""
     if value is None or pd.isna(value):
         return None
-    if kind in ("int", "bigint"):
-        return int(value)
-    if isinstance(value, pd.Timestamp):
-        return value.to_pydatetime()
-    return value.item() if hasattr(value, "item") else value
+    return int(value) if kind == "i" else float(value) if kind == "d" else str(value)
+
+
+class _Totals:
+    """Running totals of one series part over windows: recomputed when a window moves on, else added to."""
+
+    def __init__(self, merge):
+        self.merge, self.held, self.order, self.open = merge, {}, [], {}
+
+    def load(self, bucket: int, value) -> None:
+        self.held[bucket] = value
+        insort(self.order, bucket)
+
+    def over(self, first: int, last: int):
+        known = self.open.get((first, last))
+        if known is None:
+            total = None
+            for bucket in self.order[bisect_left(self.order, first) : bisect_right(self.order, last)]:
+                value = self.held[bucket]
+                total = value if total is None else self.merge(total, value)
+            self.open[(first, last)] = known = [total]
+        return known[0]
+
+    def add(self, bucket: int, value) -> None:
+        if bucket in self.held:
+            self.held[bucket] = self.merge(self.held[bucket], value)
+        else:
+            self.load(bucket, value)
+        # Windows that end here take the value; others that cover it are counted anew when asked for.
+        for (first, last), total in list(self.open.items()):
+            if first <= bucket <= last:
+                if last == bucket:
+                    total[0] = value if total[0] is None else self.merge(total[0], value)
+                else:
+                    del self.open[(first, last)]
+        if len(self.open) > 64:
+            self.open.clear()
 
 
 class CustomerState(StatefulProcessor):
     """Latest profile and bucketed window partials of one customer, applied event by event.
 
-    `parts` names the partial columns with their merge, `metrics` what is read from them:
-    (name, aggregate, partial names, duration, slide). Buckets older than the longest
-    window are removed, so state stays bounded by the windows, not by the stream.
-    """
+    State is a row for each (series, part, bucket) and one for each attribute, under names that
+    come from what the rules read and not from their place in the rule set. So a query may go
+    on from its checkpoint with rules replaced, added or put in another order; a new window
+    starts empty. Buckets go once the watermark has left the longest window behind them.
 
-    MERGE = {"sum": lambda a, b: a + b, "n": lambda a, b: a + b, "rows": lambda a, b: a + b, "min": min, "max": max}
+    Rows behind the watermark are marked late and change nothing. `ordered` holds rows back
+    until the watermark has passed them and applies them in order of (time, id), so that rows
+    in any order above the watermark give the batch result; otherwise rows count in the order
+    in which they come.
+    """
 
-    def __init__(self, parts: list[tuple[str, str]], metrics: list[tuple], attributes: list[tuple[str, str]], bucket: int, partial_types: str, attribute_types: str, profile_ttl_ms: int | None):
-        self.parts, self.metrics, self.attributes, self.bucket = parts, metrics, attributes, bucket
-        self.partial_types, self.attribute_types, self.profile_ttl_ms = partial_types, attribute_types, profile_ttl_ms
-        self.part_kinds = [column.split()[-1] for column in partial_types.split(", ")]
-        self.attribute_kinds = [column.split()[-1] for column in attribute_types.split(", ")]
+    def __init__(self, parts, metrics, attributes, carried, bucket: int, ordered: bool, profile_ttl_ms: int | None):
+        self.parts, self.metrics, self.attributes, self.carried = parts, metrics, attributes, carried
+        self.bucket, self.ordered, self.profile_ttl_ms = bucket, ordered, profile_ttl_ms
         self.keep = max([m[3] for m in metrics], default=0) // bucket
 
     def init(self, handle) -> None:
-        self.buckets = handle.getMapState("buckets", "bucket bigint", self.partial_types) if self.parts else None
-        self.profile = handle.getValueState("profile", self.attribute_types, ttlDurationMs=self.profile_ttl_ms) if self.attributes else None
-
-    def _metric(self, held: dict, bucket: int, metric: tuple):
-        name, agg, columns, duration, slide = metric
-        per_cell, cells = slide // self.bucket, duration // slide
-        first = (bucket // per_cell - cells + 1) * per_cell
-        total = {}
-        for part, index in columns:
-            merge, value = self.MERGE[part], None
-            for b in range(first, bucket + 1):
-                v = held[b][index] if b in held else None
-                if v is not None:
-                    value = v if value is None else merge(value, v)
-            total[part] = value
-        if agg == "count":
-            return total["rows"] or 0
-        if agg == "avg":
-            return total["sum"] / total["n"] if total["n"] else None
-        return total[agg]
+        self.handle = handle
+        self.buckets = handle.getMapState("buckets", "series string, part string, bucket bigint", CELL)
+        self.profile = handle.getMapState("profile", "name string", CELL, ttlDurationMs=self.profile_ttl_ms)
+        self.pending = handle.getMapState("pending", "us bigint, id string", "row binary") if self.ordered else None
 
     def handleInputRows(self, key, rows, timerValues):
-        batch = _collect(rows, "x_us", "event_id")
+        batch = _collect(rows, "x_us", "x_id")
         if batch.empty:
             return
-        held = {k[0]: list(v) for k, v in self.buckets.iterator()} if self.parts else {}
-        profile = list(self.profile.get()) if self.attributes and self.profile.exists() else [None] * len(self.attributes)
-        touched, results = set(), {m[0]: [] for m in self.metrics}
-        latest = {name: [] for name, _ in self.attributes}
-        for row in batch.to_dict("records"):
-            bucket = int(row["x_us"]) // self.bucket
-            for metric in self.metrics:
-                results[metric[0]].append(self._metric(held, bucket, metric))
-            mine = held.setdefault(bucket, [None] * len(self.parts)) if self.parts else []
-            for i, (column, part) in enumerate(self.parts):
-                value = _native(row[column], self.part_kinds[i])
+        watermark = timerValues.getCurrentWatermarkInMs() * MS
+        taken = batch.to_dict("records")
+        if not self.ordered:
+            yield self._applied(taken, watermark)
+            return
+        for row in taken:
+            named = {old: row[new] for old, new, _ in self.carried}
+            named |= {(s, p): row[c] for c, s, p, _ in self.parts} | {("last", a): row[c] for _, a, c, _ in self.attributes}
+            self.pending.updateValue((int(row["x_us"]), str(row["x_id"])), (pickle.dumps((named, row["customer_id"])),))
+        self._wake()
+
+    def _wake(self) -> None:
+        waiting = [k[0] for k in self.pending.keys()]
+        if waiting:
+            self.handle.registerTimer(min(waiting) // MS + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        watermark = timerValues.getCurrentWatermarkInMs() * MS
+        due = sorted(((k, v) for k, v in self.pending.iterator() if k[0] < watermark), key=lambda item: _order(item[0]))
+        rows = []
+        for (us, ident), (blob,) in due:
+            named, customer = pickle.loads(blob)
+            row = {new: named.get(old) for old, new, _ in self.carried} | {"x_us": us, "x_id": ident, "customer_id": customer}
+            row |= {c: named.get((s, p)) for c, s, p, _ in self.parts} | {c: named.get(("last", a)) for _, a, c, _ in self.attributes}
+            rows.append(row)
+            self.pending.removeKey((us, ident))
+        self._wake()
+        if rows:
+            yield self._applied(rows, None)
+
+    def _applied(self, rows: list[dict], watermark: int | None) -> pd.DataFrame:
+        """The rows with their state; late ones (behind `watermark`) without."""
+        totals = {(s, p): _Totals(MERGE[p]) for _, s, p, _ in self.parts}
+        kinds = {(s, p): "ids".index(k) for _, s, p, k in self.parts}
+        stale = []
+        for (series, part, bucket), value in self.buckets.iterator():
+            if watermark is not None and bucket < watermark // self.bucket - self.keep - 1:
+                stale.append((series, part, bucket))
+            elif (series, part) in totals:
+                totals[(series, part)].load(bucket, value[kinds[(series, part)]])
+        for gone in stale:
+            self.buckets.removeKey(gone)
+        latest = {}
+        for _, name, _, kind in self.attributes:
+            held = self.profile.getValue((name,)) if self.profile.containsKey((name,)) else None
+            latest[name] = held["ids".index(kind)] if held is not None else None
+        touched, changed, out = set(), set(), []
+        for row in rows:
+            late = watermark is not None and row["x_us"] < watermark
+            bucket, done = int(row["x_us"]) // self.bucket, {}
+            for name, agg, series, duration, slide in self.metrics:
+                per_cell, cells = slide // self.bucket, duration // slide
+                first = (bucket // per_cell - cells + 1) * per_cell
+                total = {p: None if late else totals[(series, p)].over(first, bucket) for p in NEEDS[agg]}
+                if agg == "count":
+                    done[name] = total["rows"] or 0
+                elif agg == "avg":
+                    done[name] = total["sum"] / total["n"] if total["n"] else None
+                else:
+                    done[name] = total[agg]
+            for column, series, part, kind in self.parts:
+                value = None if late else _native(row[column], kind)
                 if value is not None:
-                    mine[i] = value if mine[i] is None else self.MERGE[part](mine[i], value)
-                    touched.add(bucket)
-            for i, (name, column) in enumerate(self.attributes):
-                value = _native(row[column], self.attribute_kinds[i])
+                    totals[(series, part)].add(bucket, value)
+                    touched.add((series, part, bucket))
+            for short, name, column, kind in self.attributes:
+                value = None if late else _native(row[column], kind)
                 if value is not None:
-                    profile[i] = value
-                latest[name].append(profile[i])
-        newest = max(held, default=0)
-        for bucket in touched:
-            self.buckets.updateValue((bucket,), tuple(held[bucket]))
-        for bucket in [b for b in held if b < newest - self.keep - 1]:
-            self.buckets.removeKey((bucket,))
-        if self.attributes:
-            self.profile.update(tuple(profile))
-        drop = [c for c in batch.columns if c.startswith("x_")]
-        extra = pd.DataFrame({**results, **latest}, dtype=object)
-        yield pd.concat([batch.drop(columns=drop), extra], axis=1)
+                    latest[name] = value
+                    changed.add(name)
+                done[short] = None if late else latest[name]
+            out.append({new: _native(row[new], kind) for _, new, kind in self.carried} | {"customer_id": row["customer_id"], "is_late": late} | done)
+        for series, part, bucket in touched:
+            kind = "ids"[kinds[(series, part)]]
+            self.buckets.updateValue((series, part, bucket), _cell(totals[(series, part)].held[bucket], kind))
+        for _, name, _, kind in self.attributes:
+            if name in changed:
+                self.profile.updateValue((name,), _cell(latest[name], kind))
+        return pd.DataFrame(out, dtype=object)
 
     def close(self) -> None:
         pass
 
 
-def customer_state(events: DataFrame, attributes: dict, metrics: dict[str, Metric], bucket: int, profile_ttl_ms: int | None = None) -> DataFrame:
-    """Streaming twin of operators.state.add_state: the same columns, from state instead of windows."""
+def _series_id(metric: Metric) -> str:
+    return hashlib.sha256(metric.series.encode()).hexdigest()[:32]
+
+
+def customer_state(events: DataFrame, attributes: dict, metrics: dict[str, Metric], bucket: int, profile_ttl_ms: int | None = None,
+                   lateness: str = "10 seconds", ordered: bool = False, ident: str = "event_id") -> DataFrame:
+    """Streaming twin of operators.state.add_state: the same columns and `is_late`, from state instead of windows.
+
+    The watermark follows the event times, but no event time counts beyond its arrival: a row
+    dated far ahead moves nothing. With `ordered`, rows behind the watermark are dropped by
+    Spark; split them off before (split_late).
+    """
+    for name, metric in metrics.items():
+        if metric.slide % bucket or metric.duration % metric.slide:
+            raise ValueError(f"{name}: duration must be whole slides, slide whole buckets of {bucket} us")
     partials: dict[tuple[str, str], tuple[str, object]] = {}
     for metric in metrics.values():
         for part in NEEDS[metric.agg]:
-            partials.setdefault((metric.series, part), (f"x_p{len(partials)}", partial(part, metric)))
+            partials.setdefault((_series_id(metric), part), (f"x_p{len(partials)}", partial(part, metric)))
     carried = {name: f"x_a{i}" for i, name in enumerate(attributes)}
+    clock = F.least("event_time", "arrival_time") if "arrival_time" in events.columns else F.least("event_time", F.current_timestamp())
     rows = events.withColumns({
-        "x_us": event_us(), **{n: e for n, e in partials.values()}, **{carried[a]: c for a, c in attributes.items()},
-    })
+        "x_us": event_us(), "x_id": F.col(f"`{ident}`").cast("string"), "x_clock": clock,
+        **{n: e for n, e in partials.values()}, **{carried[a]: c for a, c in attributes.items()},
+    }).withWatermark("x_clock", lateness)
     types = dict(rows.dtypes)
-    order = [n for n, _ in partials.values()]
-    # Names with dots or brackets do not pass the Python border: short ones there, and back.
-    short = {c: c if c in ("customer_id", "event_id") else f"c{i}" for i, c in enumerate(events.columns)}
-    short |= {name: f"s{i}" for i, name in enumerate([*metrics, *attributes])}
-    read = [
-        (short[name], m.agg, [(part, order.index(partials[(m.series, part)][0])) for part in NEEDS[m.agg]], m.duration, m.slide)
-        for name, m in metrics.items()
-    ]
-    kinds = {
-        name: "double" if m.agg == "avg" else "bigint" if m.agg == "count" else types[partials[(m.series, m.agg)][0]]
-        for name, m in metrics.items()
-    } | {name: types[column] for name, column in carried.items()}
+
+    def crosses(name: str):
+        """Times cross the border as microseconds, so that nothing depends on time zones."""
+        column = F.col(f"`{name}`")
+        return F.unix_micros(column) if types[name] == "timestamp" else column.cast("boolean").cast("int") if types[name] == "boolean" else column
+
+    def back(column, dtype: str):
+        return F.timestamp_micros(column.cast("bigint")) if dtype == "timestamp" else column.cast(dtype)
+
+    kind_of = lambda name: "i" if types[name] == "timestamp" else _kind(types[name])
+    # Names with dots or brackets do not pass the border: short ones there, and back.
+    plain = [c for c in events.columns if c != "customer_id"]
+    short = {c: f"c{i}" for i, c in enumerate(plain)}
+    named = {name: f"s{i}" for i, name in enumerate([*metrics, *attributes])}
     crossing = rows.select(
-        *[F.col(f"`{c}`").alias(short[c]) for c in events.columns], "x_us", *order, *carried.values()
+        "customer_id", "x_us", "x_id", "x_clock", *[crosses(c).alias(short[c]) for c in plain],
+        *[crosses(n).alias(n) for n, _ in partials.values()], *[crosses(c).alias(c) for c in carried.values()],
     )
-    base = T.StructType([f for f in crossing.schema.fields if not f.name.startswith("x_")])
     processor = CustomerState(
-        [(n, part) for (_, part), (n, _) in partials.items()], read, [(short[a], c) for a, c in carried.items()], bucket,
-        ", ".join(f"`{n}` {types[n]}" for n in order), ", ".join(f"`{c}` {types[c]}" for c in carried.values()), profile_ttl_ms,
-    )
-    out = crossing.groupBy("customer_id").transformWithStateInPandas(
-        processor, _extended(base, {short[n]: kind for n, kind in kinds.items()}), "Append", "ProcessingTime"
+        [(n, series, part, kind_of(n)) for (series, part), (n, _) in partials.items()],
+        [(named[name], m.agg, _series_id(m), m.duration, m.slide) for name, m in metrics.items()],
+        [(named[a], a, c, kind_of(c)) for a, c in carried.items()], [(c, short[c], kind_of(c)) for c in plain], bucket, ordered, profile_ttl_ms,
     )
-    return out.select(*[F.col(new).alias(old) for old, new in short.items()])
+    ddl = {"i": "bigint", "d": "double", "s": "string"}
+    results = {name: ("double" if m.agg == "avg" else "bigint" if m.agg == "count" else types[partials[(_series_id(m), m.agg)][0]]) for name, m in metrics.items()}
+    results |= {name: types[column] for name, column in carried.items()}
+    state_kind = lambda dtype: "i" if dtype == "timestamp" else _kind(dtype)
+    schema = ", ".join([
+        "customer_id string", "is_late boolean", *[f"{short[c]} {ddl[kind_of(c)]}" for c in plain],
+        *[f"{named[n]} {ddl[state_kind(dtype)]}" for n, dtype in results.items()],
+    ])
+    out = crossing.groupBy("customer_id").transformWithStateInPandas(processor, schema, "Append", "EventTime" if ordered else "ProcessingTime")
+    columns = {c: F.col("customer_id") if c == "customer_id" else back(F.col(short[c]), types[c]) for c in events.columns}
+    columns |= {n: back(F.col(named[n]), dtype) for n, dtype in results.items()}
+    return out.select(*[column.alias(c) for c, column in columns.items()], "is_late")

@@ -176,3 +176,106 @@ def test_rate_listener_reports_batches(spark, ordered, tmp_path):
     finally:
         spark.streams.removeListener(listener)
     assert sum(line["rows"] for line in lines) == rows.count() and all(line["warning"] for line in lines)
+
+
+BASE = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+EVENTS = "event_id bigint, customer_id string, event_time timestamp, source string, schema_version string, `S.v1.a` bigint, `S.v1.b` bigint"
+SMALL = Catalogue({("S", "v1"): {"a": ("LONG", "dynamic_numeric"), "b": ("LONG", "dynamic_numeric")}})
+MINUTE = 60_000_000
+
+
+def _window_rules(*given):
+    """Rules of nothing but a window: (id, field, threshold)."""
+    rules = []
+    for rule_id, field, threshold in given:
+        leaf = fx._window(f"S.v1.{field}", "sum", "1h", "1m", [], ">", threshold)
+        rules.append(parse_rule({"rule_id": rule_id, "trigger_criteria": [{"source": "S", "schema_version": "v1"}], "condition_tree": leaf}))
+    return compile_rules(rules, SMALL, bucket=MINUTE)
+
+
+def _minutes(*rows):
+    return [(i, "c", BASE + dt.timedelta(minutes=m), "S", "v1", a, b) for i, m, a, b in rows]
+
+
+def _put(spark, path, rows):
+    spark.createDataFrame(rows, EVENTS).coalesce(1).write.mode("append").parquet(path)
+    time.sleep(1.1)
+
+
+def _verdicts(frame):
+    return sorted((r.event_id, r.rule_id, r.status) for r in frame.select("event_id", "rule_id", "status").collect())
+
+
+def _run_rules(spark, tmp_path, rules, name="audit", **options):
+    stream = _stream(spark, str(tmp_path / "in"), spark.createDataFrame([], EVENTS).schema)
+    assert jobs.start_rules(stream, rules, str(tmp_path / name), str(tmp_path / "ckpt"), **options).awaitTermination(120)
+    return sinks.read_batches(spark, str(tmp_path / name))
+
+
+def test_a_rule_of_one_window_runs_on_a_stream(spark, tmp_path):
+    rows = _minutes((1, 0, 5, 0), (2, 10, 5, 0), (3, 20, 5, 0), (4, 90, 5, 0))
+    _put(spark, str(tmp_path / "in"), rows)
+    rules = _window_rules(("R", "a", 8))
+    got = _run_rules(spark, tmp_path, rules)
+    assert _verdicts(got) == _verdicts(rules.run(spark.createDataFrame(rows, EVENTS))) and (3, "R", "PASS") in _verdicts(got)
+
+
+def test_ordered_stream_of_unordered_rows_equals_batch(spark, tmp_path):
+    first, second = _minutes((1, 60, 5, 0), (3, 100, 5, 0)), _minutes((2, 80, 5, 0), (4, 101, 5, 0))
+    end = _minutes((9, 600, 0, 0))
+    for part in (first, second, end):
+        _put(spark, str(tmp_path / "in"), part)
+    rules = _window_rules(("R", "a", 8))
+    got = _verdicts(_run_rules(spark, tmp_path, rules, ordered=True, lateness="60 minutes"))
+    want = [v for v in _verdicts(rules.run(spark.createDataFrame(first + second + end, EVENTS))) if v[0] != 9]
+    assert [v for v in got if v[0] != 9] == want
+
+
+def test_restart_with_other_rules_keeps_what_belongs_to_each(spark, tmp_path):
+    _put(spark, str(tmp_path / "in"), _minutes((1, 0, 100, 1)))
+    _run_rules(spark, tmp_path, _window_rules(("RA", "a", 15)))
+    _put(spark, str(tmp_path / "in"), _minutes((2, 5, 100, 1)))
+    # Another rule first, a window more: no state is taken for another's.
+    got = _run_rules(spark, tmp_path, _window_rules(("RB", "b", 15), ("RA", "a", 15)), "second")
+    assert [v for v in _verdicts(got) if v[0] == 2] == [(2, "RA", "PASS"), (2, "RB", "FAIL")]
+
+
+def test_a_row_dated_far_ahead_takes_nothing_away(spark, tmp_path):
+    far = [(2, "c", dt.datetime(2100, 1, 1, tzinfo=dt.timezone.utc), "S", "v1", 0, 0)]
+    for part in (_minutes((1, 0, 100, 0)), far, _minutes((3, 10, 0, 0))):
+        _put(spark, str(tmp_path / "in"), part)
+    got = _run_rules(spark, tmp_path, _window_rules(("R", "a", 50)), lateness="1 day")
+    # Today's clock bounds the watermark, so the third row is late but the state stays as it was.
+    assert (1, "R", "FAIL") in _verdicts(got) and (2, "R", "FAIL") in _verdicts(got)
+
+
+def test_late_rows_and_the_event_log_of_a_rule_job(spark, tmp_path):
+    for part in (_minutes((1, 0, 1, 0)), _minutes((2, 600, 1, 0)), _minutes((3, 1, 1, 0), (4, 601, 1, 0))):
+        _put(spark, str(tmp_path / "in"), part)
+    got = _run_rules(spark, tmp_path, _window_rules(("R", "a", 50)), late_path=str(tmp_path / "late"), log_path=str(tmp_path / "log"))
+    assert [r.event_id for r in sinks.read_batches(spark, str(tmp_path / "late")).collect()] == [3]
+    assert [v[0] for v in _verdicts(got)] == [1, 2, 4]
+    assert sorted(r.event_id for r in sinks.read_batches(spark, str(tmp_path / "log")).collect()) == [1, 2, 4]
+
+
+def test_first_arrival_of_shared_payload_ids(spark, tmp_path):
+    """Four sources share an id: one PASS for each key, in batch and on a stream."""
+    names = ["S1", "S2", "S3", "S4"]
+    catalogue = Catalogue({(n, "v1"): {"trans_type": ("STRING", "dynamic_categorical")} for n in names})
+    schema = "row_id string, event_id string, customer_id string, event_time timestamp, arrival_time timestamp, source string, schema_version string, " + ", ".join(f"`{n}.v1.trans_type` string" for n in names)
+    rows = [
+        (f"{n}-0-{k}", f"id{k}", "c", BASE + dt.timedelta(seconds=i), BASE + dt.timedelta(seconds=10 * k + i), n, "v1", *["pay" if m == n else None for m in names])
+        for k in range(2) for i, n in enumerate(names)
+    ]
+    rule = {
+        "rule_id": "F", "trigger_criteria": [{"source": n, "schema_version": "v1"} for n in names],
+        "condition_tree": {"type": "CONDITION", "expression": {"op": "IS_FIRST_ARRIVAL", "order_by": "processing_time", "key_fields": ["metadata.id", "trans_type"], "ttl": "1h"}},
+    }
+    frame = spark.createDataFrame(rows, schema)
+    judged = compile_rules([parse_rule(rule)], catalogue).run(frame)
+    assert sorted(r.row_id for r in judged.where("status = 'PASS'").collect()) == ["S1-0-0", "S1-0-1"] and judged.count() == 8
+    frame.coalesce(1).write.parquet(str(tmp_path / "in"))
+    keyed = _stream(spark, str(tmp_path / "in"), frame.schema).select("row_id", "event_id", "arrival_time", F.coalesce(*[f"`{n}.v1.trans_type`" for n in names]).alias("kind"))
+    out = processors.first_arrivals(keyed, ["event_id", "kind"], 3600 * 1_000_000)
+    jobs.start_append(out, str(tmp_path / "out"), str(tmp_path / "ckpt")).awaitTermination(90)
+    assert sorted(r.row_id for r in sinks.read_batches(spark, str(tmp_path / "out")).collect()) == ["S1-0-0", "S1-0-1"]
