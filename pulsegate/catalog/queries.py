@@ -367,7 +367,7 @@ def rule_violations(spark, sf_dir):
 def _matching(spark, sf_dir):
     # The flattened rule table and the signatures are read several times; both are small.
     predicates = candidates.trigger_predicates(_leaves(spark, sf_dir)).persist()
-    index = candidates.rule_index(predicates)
+    index = candidates.rule_index(predicates, fx.field_rows(spark, sf_dir))
     marked, sigs = candidates.signatures(fx.field_maps(spark, sf_dir), ["device_type", "login_channel", "k", "event_type"])
     sigs = sigs.persist()
     return predicates, index, marked, sigs, candidates.tokens(sigs, index)
@@ -384,7 +384,7 @@ def _per_event(marked, sigs, found) -> DataFrame:
 def rule_index(spark, sf_dir):
     """Rules per indexed value, and the always-candidate set."""
     predicates = candidates.trigger_predicates(_leaves(spark, sf_dir))
-    exact = candidates.rule_index(predicates).groupBy("field", "value").agg(F.countDistinct("rule_id").alias("rules"))
+    exact = candidates.rule_index(predicates, fx.field_rows(spark, sf_dir)).groupBy("field", "value").agg(F.countDistinct("rule_id").alias("rules"))
     always = candidates.complex_rules(predicates).agg(F.count("*").alias("rules")).select(F.lit("*").alias("field"), F.lit("*").alias("value"), "rules")
     return exact.unionByName(always)
 
@@ -419,7 +419,7 @@ def exact_groups(spark, sf_dir):
     predicates, index, marked, sigs, looked_up = _matching(spark, sf_dir)
     found = candidates.rare_two(looked_up, sigs, index, predicates)
     groups = candidates.rule_groups(predicates, fx.field_rows(spark, sf_dir))
-    return _per_event(marked, sigs, candidates.verify(found, sigs, groups))
+    return _per_event(marked, sigs, candidates.verify(found, sigs, groups, texts=candidates.expressions(predicates)))
 
 
 @query

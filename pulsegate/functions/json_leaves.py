@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Objects nested deeper stay one leaf, as JSON text.
-MAX_DEPTH = 6
 OBJECT = "map<string,variant>"
 # ISO-8601 with an offset or Z; text without one is not an instant.
 INSTANT = r"^\d{4}-\d\d-\d\d[Tt]\d\d:\d\d(:\d\d(\.\d{1,9})?)?([Zz]|[+-]\d\d:\d\d(:\d\d)?)$"
@@ -21,25 +19,28 @@ def _entries(node: Column, prefix: Column | None) -> Column:
     )
 
 
-def leaves(root: Column, skip: Column | None = None, depth: int = MAX_DEPTH, stop=None) -> Column:
+def leaves(root: Column, text: Column, skip: Column | None = None, stop=None) -> Column:
     """Array of (path, value) for the leaves of a variant object; nested objects become dot paths.
 
-    `skip` is a top-level name to leave out; `stop(map)` tells which objects count as leaves.
+    `text` is the JSON that `root` was read from: it has at least as many opening braces as its
+    objects are deep, so every object is opened, at any depth. `skip` is a top-level name to
+    leave out; `stop(map)` tells which objects count as leaves.
     """
     rows = _entries(root.try_cast(OBJECT), None)
     if skip is not None:
         rows = F.filter(rows, lambda e: ~((e["path"] == skip) & e["value"].try_cast(OBJECT).isNotNull()))
 
-    def open_up(entry: Column) -> Column:
+    def opens(entry: Column) -> Column:
         node = entry["value"].try_cast(OBJECT)
-        inner = F.startswith(F.to_json(entry["value"]), F.lit("{"))
-        if stop is not None:
-            inner = inner & ~F.coalesce(stop(node), F.lit(True))
-        return F.when(inner, _entries(node, entry["path"])).otherwise(F.array(entry))
-
-    for _ in range(depth - 1):
-        rows = F.flatten(F.transform(rows, open_up))
-    return rows
+        return node.isNotNull() if stop is None else node.isNotNull() & ~F.coalesce(stop(node), F.lit(True))
+
+    def open_up(entry: Column) -> Column:
+        return F.when(opens(entry), _entries(entry["value"].try_cast(OBJECT), entry["path"])).otherwise(F.array(entry))
+
+    # A round opens one level; once no object is left, rounds change nothing.
+    braces = F.regexp_count(text, F.lit(r"\{"))
+    rounds = F.when(braces > 1, F.sequence(F.lit(2), braces)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(rounds, rows, lambda held, _: F.when(F.exists(held, opens), F.flatten(F.transform(held, open_up))).otherwise(held))
 
 
 def instant(text: Column) -> Column:

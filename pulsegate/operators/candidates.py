@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from pulsegate.functions.arithmetic import arithmetic, fields_of
+from pulsegate.functions.json_leaves import instant, instant_text
 from pulsegate.operators.datasets import newest
 from pulsegate.operators.joins import small, spread_join
 
@@ -34,17 +36,37 @@ def trigger_predicates(leaves: DataFrame) -> DataFrame:
     return leaves.where("part = 'trigger'")
 
 
-def rule_index(predicates: DataFrame) -> DataFrame:
+def _canonical(word: Column, dtype: Column) -> Column:
+    """The text that ingest writes for a literal of a declared type; text of no such value stays as it is."""
+    number = word.try_cast("decimal(38,9)")
+    whole = F.when(number == F.floor(number), number.try_cast("bigint").cast("string"))
+    written = (
+        F.when(dtype.isin("INT", "LONG"), whole)
+        .when(dtype == "FLOAT", word.try_cast("float").cast("string"))
+        .when(dtype == "DOUBLE", word.try_cast("double").cast("string"))
+        .when(dtype == "BOOLEAN", F.lower(F.trim(word)))
+        .when(dtype == "TIMESTAMP", instant_text(instant(word)))
+    )
+    return F.coalesce(written, word)
+
+
+def rule_index(predicates: DataFrame, columns: DataFrame) -> DataFrame:
     """Exact predicates as (source, version, field, value, rule_id, group_id, pred_id).
 
+    Values are the texts that events carry for the declared types, from `columns`: 100 is
+    '100.0' in a DOUBLE field, and times are in UTC.
+
     IN lists give a row per value. A dataset predicate is indexed under its tuple of
     fields with the dataset as value.
     """
     dataset = F.concat_ws("@", "dataset_id", "dataset_version")
     values = F.when(F.col("op") == "IN", _list(F.col("value"))).when(F.col("op") == "==", F.array("value")).otherwise(F.array(dataset))
     field = F.when(F.col("op") == "IN_DATASET", F.concat(F.lit(DATASET), F.concat_ws(",", "fields"))).otherwise(F.col("field"))
-    return predicates.where(_is_exact()).select(
-        "source", "version", field.alias("field"), F.explode(F.array_distinct(values)).alias("value"), "rule_id", "group_id", "pred_id"
+    typed = columns.select("source", "version", F.col("path").alias("field"), F.col("type").alias("_type"))
+    rows = predicates.where(_is_exact()).join(small(typed), ["source", "version", "field"], "left")
+    written = F.transform(values, lambda v: F.when(F.col("op") == "IN_DATASET", v).otherwise(_canonical(v, F.col("_type"))))
+    return rows.select(
+        "source", "version", field.alias("field"), F.explode(F.array_distinct(written)).alias("value"), "rule_id", "group_id", "pred_id"
     )
 
 
@@ -63,7 +85,27 @@ def document_frequency(predicates: DataFrame) -> DataFrame:
 def read_fields(predicates: DataFrame) -> list[str]:
     """Names of the fields the triggers read: configuration sized."""
     names = F.concat(F.coalesce("fields", F.array().cast("array<string>")), F.filter(F.array("field", "right_field"), lambda f: f.isNotNull()))
-    return sorted(r["f"] for r in predicates.select(F.explode(names).alias("f")).distinct().collect())
+    plain = {r["f"] for r in predicates.select(F.explode(names).alias("f")).distinct().collect()}
+    return sorted(plain | {_local(p, source, version) for source, version, text in expressions(predicates) for p in fields_of(text)})
+
+
+def expressions(predicates: DataFrame) -> list[tuple[str, str, str]]:
+    """(source, version, text) of each arithmetic side of a trigger: configuration sized."""
+    texts = F.filter(F.array("expr", "right_expr"), lambda t: t.isNotNull())
+    return sorted(tuple(r) for r in predicates.select("source", "version", F.explode(texts).alias("text")).distinct().collect())
+
+
+def _local(path: str, source: str, version: str) -> str:
+    return path.removeprefix(f"{source}.{version}.") if path.startswith(f"{source}.{version}.") else path.removeprefix(f"{source}.")
+
+
+def _computed(texts: list[tuple[str, str, str]]) -> Column:
+    """Map of each arithmetic text to its value over the `values` of a signature; its key names source and version too."""
+    pairs = []
+    for source, version, text in texts:
+        number = lambda p, s=source, v=version: F.try_element_at("values", F.lit(_local(p, s, v))).try_cast("double")
+        pairs += [F.lit(f"{source}|{version}|{text}"), arithmetic(text, number).cast("double")]
+    return F.create_map(*pairs) if pairs else F.create_map().cast("map<string,double>")
 
 
 def signatures(events: DataFrame, fields: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -162,9 +204,11 @@ def rule_groups(predicates: DataFrame, columns: DataFrame) -> DataFrame:
     is_list = F.col("op").isin("IN", "NOT IN", "BETWEEN")
     words = F.when(is_list, _list(F.col("value"))).otherwise(F.array("value"))
     item = F.struct(
-        "kind", "field", "op", "type", "right_field", F.coalesce("is_length", F.lit(False)).alias("is_length"),
+        "kind", "field", "op", F.when(F.col("expr").isNotNull(), F.lit("DOUBLE")).otherwise(F.col("type")).alias("type"), "right_field",
+        F.concat_ws("|", "source", "version", F.col("expr")).alias("left_key"), F.col("expr").isNotNull().alias("has_left"),
+        F.concat_ws("|", "source", "version", F.col("right_expr")).alias("right_key"), F.col("right_expr").isNotNull().alias("has_right"), F.coalesce("is_length", F.lit(False)).alias("is_length"),
         F.col("value").alias("word"), words.alias("words"),
-        F.transform(words, lambda w: w.try_cast("decimal(38,9)")).alias("numbers"),
+        F.transform(words, lambda w: w.try_cast("double")).alias("numbers"),
         F.concat(F.lit(DATASET), F.concat_ws(",", "fields"), F.lit("="), F.concat_ws("@", "dataset_id", "dataset_version")).alias("dataset_key"),
     )
     groups = rows.groupBy("source", "version", "rule_id", "group_id").agg(F.collect_list(item).alias("g"))
@@ -173,11 +217,13 @@ def rule_groups(predicates: DataFrame, columns: DataFrame) -> DataFrame:
 
 def _holds(p: Column) -> Column:
     """One predicate against a `values` map; missing fields are false except for IS_NULL."""
-    op, text = p["op"], F.try_element_at("values", p["field"])
+    computed = F.when(p["has_left"], F.try_element_at("_computed", p["left_key"]).cast("string"))
+    op, text = p["op"], F.coalesce(computed, F.try_element_at("values", p["field"]))
+    right = F.when(p["has_right"], F.try_element_at("_computed", p["right_key"]).cast("string")).otherwise(F.try_element_at("values", p["right_field"]))
 
     def by(left: Column, others: Column, cast) -> Column:
         """All comparisons; `others` are the literals already cast, a right field is cast here."""
-        other = F.when(p["right_field"].isNotNull(), cast(F.try_element_at("values", p["right_field"]))).otherwise(F.get(others, F.lit(0)))
+        other = F.when(p["right_field"].isNotNull() | p["has_right"], cast(right)).otherwise(F.get(others, F.lit(0)))
         return (
             F.when(op == "==", left == other).when(op == "!=", left != other)
             .when(op == ">", left > other).when(op == ">=", left >= other)
@@ -186,7 +232,8 @@ def _holds(p: Column) -> Column:
             .when(op == "IN", F.array_contains(others, left)).when(op == "NOT IN", ~F.array_contains(others, left))
         )
 
-    number = lambda t: t.try_cast("decimal(38,9)")
+    # Fractions are compared as doubles, as compiled rules do.
+    number = lambda t: t.try_cast("double")
     moment = lambda t: t.try_cast("timestamp")
     word = p["word"]
     affix = (
@@ -197,7 +244,7 @@ def _holds(p: Column) -> Column:
     test = (
         F.when(p["kind"] == "always", F.lit(True))
         .when(op == "IS_NULL", text.isNull()).when(op == "IS_NOT_NULL", text.isNotNull())
-        .when(p["is_length"], by(F.length(text).cast("decimal(38,9)"), p["numbers"], number))
+        .when(p["is_length"], by(F.length(text).cast("double"), p["numbers"], number))
         .when(p["type"].isin("INT", "LONG", "FLOAT", "DOUBLE"), by(number(text), p["numbers"], number))
         .when(p["type"] == "TIMESTAMP", by(moment(text), F.transform(p["words"], moment), moment))
         .when(op.isin("==", "!=", "IN", "NOT IN"), by(text, p["words"], lambda t: t))
@@ -206,13 +253,14 @@ def _holds(p: Column) -> Column:
     return F.coalesce(test, F.lit(False))
 
 
-def verify(found: DataFrame, sigs: DataFrame, groups: DataFrame, token_rows: DataFrame | None = None) -> DataFrame:
+def verify(found: DataFrame, sigs: DataFrame, groups: DataFrame, token_rows: DataFrame | None = None, texts: list[tuple[str, str, str]] = ()) -> DataFrame:
     """Candidates whose trigger really holds: every predicate of at least one AND group.
 
     `groups` come from rule_groups. Dataset predicates are decided by the dataset tokens of
-    the signature. Arithmetic triggers are not rows a join can decide; compile those rules.
+    the signature. `texts`, from `expressions`, are the arithmetic sides of the triggers; each
+    is computed once for a signature.
     """
-    valued = sigs.select("source", "version", *SIG, "values")
+    valued = sigs.select("source", "version", *SIG, "values").withColumn("_computed", _computed(texts))
     holds = _holds
     if token_rows is not None:
         sets = token_rows.where(F.startswith("field", F.lit(DATASET))).groupBy(*SIG).agg(

@@ -67,7 +67,7 @@ def judge_messages(raw: DataFrame, schemas: DataFrame, on_bad_cast: str = "zero"
         "customer_id": F.when(F.col("_root").isNotNull(), _blank_as_null(key)),
         "event_time": instant(text("$.metadata.event_time")),
         "payload_id": text("$.metadata.id"),
-        "_leaves": F.filter(leaves(root, skip=F.lit("metadata")), lambda e: F.schema_of_variant(e["value"]) != "VOID"),
+        "_leaves": F.filter(leaves(root, F.col("value"), skip=F.lit("metadata")), lambda e: F.schema_of_variant(e["value"]) != "VOID"),
     })
     cast = F.transform(
         "_leaves",

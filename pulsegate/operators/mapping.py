@@ -8,10 +8,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegate.functions.arithmetic import fields_of
+from pulsegate.functions.arithmetic import rename_fields
+from pulsegate.plans.rules import text_condition
 
 GENERAL = "general_schema."
 SIDES = ("field", "field_name", "right_field")
+CONDITIONS = ("conditions", "filter", "expression")
+
+
+def spelled_out(item):
+    """Conditions given as text in their object form, in lists of any depth."""
+    if isinstance(item, list):
+        return [spelled_out(x) for x in item]
+    return text_condition(item) if isinstance(item, str) else item
 
 
 def mapper_rows(messages: DataFrame, value: str = "value") -> DataFrame:
@@ -77,9 +86,9 @@ def rewrite_body(body: dict, mappers: list[dict]) -> tuple[dict, list[str]]:
             elif key == "fields" and isinstance(item, list):
                 out[key] = [path(f) for f in item]
             elif key in ("expr", "right_expr") and isinstance(item, str):
-                for name in sorted(fields_of(item), key=len, reverse=True):
-                    item = item.replace(name, path(name))
-                out[key] = item
+                out[key] = rename_fields(item, path)
+            elif key in CONDITIONS:
+                out[key] = walk(spelled_out(item))
             else:
                 out[key] = walk(item)
         return out

@@ -26,7 +26,7 @@ def parse_schemas(messages: DataFrame, value: str = "value") -> DataFrame:
     is_leaf = lambda node: F.map_contains_key(node, F.lit("type")) & F.map_contains_key(node, F.lit("category"))
     parsed = messages.withColumn("_root", root).withColumn(
         "_leaves",
-        F.filter(leaves(F.try_variant_get("_root", "$.structure", "variant"), stop=is_leaf),
+        F.filter(leaves(F.try_variant_get("_root", "$.structure", "variant"), F.col(value).cast("string"), stop=is_leaf),
                  lambda e: e["value"].try_cast(OBJECT).isNotNull()),
     )
 

@@ -18,6 +18,29 @@ def _operator_allowed() -> Column:
     return test
 
 
+def _literal_wrong() -> Column:
+    """Literals that cannot be read as the field's type."""
+    given = F.when(F.startswith("value", F.lit("[")), F.from_json("value", "array<string>")).otherwise(F.array("value"))
+    unread = (
+        F.when(F.col("type").isin(*NUMERIC), F.exists(given, lambda v: v.try_cast("double").isNull()))
+        .when(F.col("type") == "BOOLEAN", F.exists(given, lambda v: ~F.lower(v).isin("true", "false")))
+        .when(F.col("type") == "TIMESTAMP", F.exists(given, lambda v: v.try_cast("timestamp").isNull()))
+    )
+    plain = F.col("right_field").isNull() & F.col("right_expr").isNull() & F.col("value").isNotNull() & ~F.coalesce("is_length", F.lit(False))
+    return plain & F.col("op").isin("==", "!=", ">", "<", ">=", "<=", *LIST_OPS) & F.coalesce(unread, F.lit(False))
+
+
+def _unknown(rows: DataFrame, columns: DataFrame) -> DataFrame:
+    """Fields read anywhere in a rule - either side, expressions, keys, filters of sequences - that no schema declares."""
+    names = columns.select(F.explode(F.array(F.concat_ws(".", "source", "version", "path"), F.concat_ws(".", "source", "path"))).alias("_name")).distinct()
+    asked = rows.select("rule_id", "node_path", F.posexplode("reads").alias("_n", "_names")).where(
+        ~F.exists("_names", lambda n: n.rlike(r"(^|\\.)metadata\\.|(^|\\.)event_time$")) & ~F.startswith(F.get("_names", F.lit(0)), F.lit("general_schema."))
+    )
+    each = asked.select("*", F.explode("_names").alias("_name")).join(names.withColumn("_known", F.lit(True)), "_name", "left")
+    found = each.groupBy("rule_id", "node_path", "_n").agg(F.first(F.get("_names", F.lit(0))).alias("_spelled"), F.count("_known").alias("_hits"))
+    return found.where("_hits = 0").select("rule_id", "node_path", F.concat(F.lit("unknown field "), F.col("_spelled")).alias("problem")).distinct()
+
+
 def violations(leaves: DataFrame, columns: DataFrame, bucket: int = 60_000_000) -> DataFrame:
     """(rule_id, node_path, problem) rows; problems starting with ``warning`` do not refuse a rule.
 
@@ -44,7 +67,7 @@ def violations(leaves: DataFrame, columns: DataFrame, bucket: int = 60_000_000)
     size = F.size(F.from_json("value", "array<string>"))
     problems = F.array(
         F.when(F.col("part") == "error", F.concat(F.lit("unreadable: "), F.col("error"))),
-        F.when(F.col("_path").isNotNull() & F.col("type").isNull(), F.concat(F.lit("unknown field "), F.col("_path"))),
+        F.when(compared & _literal_wrong(), F.concat(F.lit("literal is no "), F.col("type"), F.lit(": "), F.col("value"))),
         F.when(compared & F.col("type").isNotNull() & ~F.when(F.col("is_length"), length_ok).otherwise(_operator_allowed()),
                F.concat(F.lit("operator "), F.col("op"), F.lit(" not allowed for "), F.col("type"))),
         F.when(F.col("op").isin(*LIST_OPS) & (F.col("right_field").isNotNull() | F.col("right_expr").isNotNull() | F.coalesce(~F.startswith("value", F.lit("[")), F.lit(True))),
@@ -60,15 +83,17 @@ def violations(leaves: DataFrame, columns: DataFrame, bucket: int = 60_000_000)
     own = typed.select("rule_id", "node_path", F.explode(F.filter(problems, lambda p: p.isNotNull())).alias("problem"))
     # Filter fields of window leaves must be dynamic_categorical fields of the metric's source.
     filters = rows.where(is_window).select(
-        "rule_id", "node_path", F.explode("filter_fields").alias("_filter"), F.substring_index("field", ".", 2).alias("_prefix")
+        "rule_id", "node_path", F.explode("filter_fields").alias("_filter"), F.substring_index(F.coalesce("field", F.get("fields", F.lit(0))), ".", 2).alias("_prefix")
     ).withColumn("_path", F.when(F.startswith("_filter", F.concat("_prefix", F.lit("."))), F.col("_filter")).otherwise(F.concat_ws(".", "_prefix", "_filter")))
+    # A metric of a general schema has a filter for each source that maps it; those are looked up when compiled.
+    filters = filters.where(~F.startswith("_prefix", F.lit("general_schema.")))
     wrong = filters.join(named, F.col("_path") == F.col("_qualified"), "left").select(
         "rule_id", "node_path",
         F.when(F.col("category").isNull(), F.concat(F.lit("unknown filter field "), F.col("_path")))
         .when(F.col("category") != "dynamic_categorical", F.concat(F.lit("filter field is not dynamic_categorical: "), F.col("_path")))
         .alias("problem"),
     ).where("problem is not null")
-    return own.unionByName(wrong)
+    return own.unionByName(wrong).unionByName(_unknown(rows, columns))
 
 
 def accepted_rules(rules: DataFrame, found: DataFrame) -> DataFrame:

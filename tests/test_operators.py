@@ -154,7 +154,7 @@ def test_candidate_walk_through(spark):
                                     (2, "S", "v1", {"country": "VN", "amount": "20000000", "mcc": "5411", "user_agent": "a Chrome b"})],
                                    "event_id bigint, source string, schema_version string, fields map<string,string>")
     marked, sigs = candidates.signatures(events, candidates.read_fields(predicates))
-    index = candidates.rule_index(predicates)
+    index = candidates.rule_index(predicates, columns)
     looked_up = candidates.tokens(sigs, index)
     found = candidates.candidates(looked_up, sigs, index, candidates.complex_rules(predicates))
     groups = candidates.rule_groups(predicates, columns)
@@ -175,7 +175,7 @@ def test_dataset_predicates_as_index_tokens(spark):
                                    "event_id bigint, source string, schema_version string, fields map<string,string>")
     columns = spark.createDataFrame([("S", "v1", "a", "STRING")], "source string, version string, path string, type string")
     marked, sigs = candidates.signatures(events, ["a", "b"])
-    index = candidates.rule_index(predicates)
+    index = candidates.rule_index(predicates, columns)
     looked_up = candidates.tokens(sigs, index, sets)
     found = candidates.candidates(looked_up, sigs, index, candidates.complex_rules(predicates))
     held = candidates.verify(found, sigs, candidates.rule_groups(predicates, columns), looked_up)
@@ -208,3 +208,59 @@ def test_spread_join_beyond_the_broadcast_limit(spark):
     config = spark.range(10).select((F.col("id") % 3).alias("k"), F.col("id").alias("c"))
     got = [sorted(map(tuple, spread_join(rows, config, ["k"], ["id"], limit).collect())) for limit in (100, 5)]
     assert got[0] == got[1] and len(got[0]) == 50 * 4 + 50 * 3
+
+
+def _trigger_rule(rule_id, *conditions):
+    return (rule_id, json.dumps({"rule_id": rule_id, "trigger_criteria": [{"source": "S", "version": "v1", "conditions": [list(conditions)]}],
+                                 "condition_tree": {"type": "CONDITION", "expression": {"field": "S.v1.k", "op": "IS_NOT_NULL"}}}))
+
+
+def test_matched_rules_equal_compiled_ones_for_every_type(spark):
+    """Literals in other spellings than the events', arithmetic sides and right fields."""
+    types = {"d": "DOUBLE", "f": "FLOAT", "k": "INT", "n": "LONG", "s": "STRING", "b": "BOOLEAN", "ts": "TIMESTAMP"}
+    cond = lambda field, op, value=None, **more: {"field": field, "op": op, "value": value, **more}
+    groups = [
+        [cond("d", "==", 100)], [cond("ts", "==", "2024-01-01T07:00:00+07:00")], [cond("f", "<=", 0.5)], [cond("k", "IN", [1, 2])], [cond("n", "BETWEEN", [5, 9])],
+        [cond("b", "==", True)], [cond("s", "STARTS_WITH", "ab"), cond("k", "!=", 3)], [cond("ts", ">", "2023-12-31T23:59:59Z")], [cond("s", "IS_NULL")],
+        [{"expr": "k * 2 + n", "op": ">", "value": 9}], [{"field": "d", "op": "<", "right_expr": "S.v1.n * 20"}], [{"field": "k", "op": "<", "right_field": "n"}],
+        [{"field": "s", "function": "LENGTH", "op": "==", "value": 3}], [cond("k", "==", 5.5)],
+    ]
+    rules = [_trigger_rule(f"R{i}", *group) for i, group in enumerate(groups)]
+    rows = [
+        (1, {"d": "100.0", "f": "0.5", "k": "1", "n": "8", "s": "abc", "b": "true", "ts": "2024-01-01T00:00:00.000000Z"}),
+        (2, {"d": "99.5", "f": "0.75", "k": "3", "n": "4", "b": "false", "ts": "2023-01-01T00:00:00.000000Z"}), (3, {"k": "5", "s": "ab"}), (4, {}),
+    ]
+    fields = [(e, "c", BASE, "S", "v1", values) for e, values in rows]
+    events = spark.createDataFrame(fields, "event_id bigint, customer_id string, event_time timestamp, source string, schema_version string, fields map<string,string>")
+    columns = spark.createDataFrame([("S", "v1", f, t) for f, t in types.items()], "source string, version string, path string, type string")
+    predicates = candidates.trigger_predicates(flatten_rules(spark.createDataFrame(rules, "rule_id string, body string"))).persist()
+    marked, sigs = candidates.signatures(events, candidates.read_fields(predicates))
+    index = candidates.rule_index(predicates, columns)
+    looked_up = candidates.tokens(sigs, index)
+    catalogue = Catalogue({("S", "v1"): {f: (t, "dynamic_categorical") for f, t in types.items()}})
+    compiled = compile_rules([parse_rule(body) for _, body in rules], catalogue)
+    fired = compiled.judge(compiled.prepare(schemas.timeline(events, catalogue.schemas))).where("failed_condition is null or not startswith(failed_condition, 'trigger')")
+    want = sorted((r.event_id, r.rule_id) for r in fired.collect())
+    for found in (candidates.candidates(looked_up, sigs, index, candidates.complex_rules(predicates)), candidates.rare_two(looked_up, sigs, index, predicates)):
+        held = candidates.verify(found, sigs, candidates.rule_groups(predicates, columns), texts=candidates.expressions(predicates))
+        assert sorted((r.event_id, r.rule_id) for r in candidates.pairs(marked, sigs, held).collect()) == want
+    assert {r for _, r in want} == {f"R{i}" for i in range(len(groups)) if i != 13}
+
+
+def test_schemas_and_events_of_any_depth(spark):
+    def nested(levels, leaf):
+        for level in reversed(range(levels)):
+            leaf = {f"l{level}": leaf}
+        return leaf
+
+    schema = {"metadata": {"source": "S", "schema_version": "v1"}, "structure": nested(9, {"type": "INT", "category": "dynamic_numeric"})}
+    parsed = schemas.parse_schemas(spark.createDataFrame([(1, json.dumps(schema))], "offset bigint, value string"))
+    path = ".".join(f"l{i}" for i in range(9))
+    row = parsed.collect()[0]
+    assert row.valid and [c.path for c in row.columns] == [path]
+    event = {"metadata": {"customer_id": "c", "source": "S", "schema_version": "v1", "event_time": "2024-01-01T00:00:00Z"}, **nested(9, "7"), "u": nested(12, {"x{": "{"})}
+    raw = [("t", 0, 0, dt.datetime(2024, 1, 1), [], bytearray(json.dumps(event).encode()))]
+    messages = spark.createDataFrame(raw, "topic string, partition int, offset bigint, timestamp timestamp, headers array<struct<key:string,value:binary>>, value binary")
+    valid = ingest.valid_events(ingest.judge_messages(messages, schemas.latest_schemas(parsed))).collect()
+    assert valid[0].fields == {path: "7", "u." + ".".join(f"l{i}" for i in range(12)) + ".x{": "{"}
+    assert valid[0].row_id == "t-0-0"

@@ -5,9 +5,11 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from pulsegate.catalog import fixtures as fx
 from pulsegate.functions import durations
 from pulsegate.functions.arithmetic import ExpressionError, arithmetic, fields_of
 from pulsegate.operators import mapping
+from pulsegate.plans.compile import compile_rules
 from pulsegate.plans.fields import Catalogue, UnknownField
 from pulsegate.plans.flatten import flatten_rules
 from pulsegate.plans.rules import RuleError, WindowCondition, parse_rule, text_condition
@@ -114,3 +116,59 @@ def test_rule_files(spark, tmp_path):
 def test_unreadable_rule_is_one_error_row(spark):
     rows = flatten_rules(spark.createDataFrame([("a", "{"), ("b", "{}")], "rule_id string, body string")).collect()
     assert sorted((r.rule_id, r.part) for r in rows) == [("a", "error"), ("b", "error")]
+
+
+def test_rewriting_is_one_pass_and_reads_text_conditions():
+    mappers = [{"source": "S", "alias": "amount2", "raw_path": "amount"}, {"source": "S", "alias": "amount", "raw_path": "amt.total"}, {"source": "S", "alias": "tier", "raw_path": "c.tier"}]
+    body = {
+        "trigger_criteria": [{"source": "S", "conditions": [["S.tier == 'X'", "S.unknown == 1"]]}],
+        "condition_tree": {"type": "CONDITION", "expression": {"expr": "S.amount2 + S.amount", "op": ">", "value": 1}},
+    }
+    new, unknown = mapping.rewrite_body(body, mappers)
+    assert new["condition_tree"]["expression"]["expr"] == "S.amount + S.amt.total"
+    assert new["trigger_criteria"][0]["conditions"][0][0] == {"field": "S.c.tier", "op": "==", "value": "X"} and unknown == ["S.unknown"]
+
+
+def test_checks_find_each_fault_and_pass_sound_rules(spark):
+    from pulsegate.plans.checks import violations
+
+    columns = spark.createDataFrame(
+        [(s, "v2", p, t, c) for s in ("A", "B") for p, (t, c) in fx.EVENT_FIELDS.items()] + [("C", "v1", p, t, c) for p, (t, c) in fx.PROFILE_FIELDS.items()],
+        "source string, version string, path string, type string, category string",
+    )
+    sound = spark.createDataFrame([(r["rule_id"], json.dumps(r)) for r in fx.rules_small()], "rule_id string, body string")
+    found = violations(flatten_rules(sound), columns).where("not startswith(problem, 'warning')").collect()
+    assert found == []
+
+    def rule(name, tree, conditions=()):
+        return (name, json.dumps({"rule_id": name, "trigger_criteria": [{"source": "B", "schema_version": "v2", "conditions": list(conditions)}], "condition_tree": tree}))
+
+    leaf = lambda **e: {"type": "CONDITION", "expression": e}
+    fine = leaf(field="B.v2.k", op=">", value=1)
+    step = {"source": "B", "filter": [{"field": "event_type", "op": "==", "value": "view"}]}
+    faults = [
+        rule("expr", leaf(expr="B.v2.k + B.v2.nope", op=">", value=1)), rule("right", leaf(field="B.v2.k", op=">", right_field="B.v2.nope")),
+        rule("key", leaf(op="IS_FIRST_ARRIVAL", key_fields=["nope"])), rule("literal", leaf(field="B.v2.k", op="==", value="abc")),
+        rule("trigger", fine, [{"field": "nope", "op": "==", "value": 1}]), rule("operator", leaf(field="B.v2.event_type", op=">", value="x")),
+        rule("between", leaf(field="B.v2.k", op="BETWEEN", value=[1])), rule("list", leaf(field="B.v2.k", op="IN", value=["a"])),
+        rule("dataset", leaf(fields=["B.v2.k", "B.v2.nope"], op="IN_DATASET", dataset_id="d")),
+        rule("sequence", {"type": "SEQUENCE", "pattern": "FOLLOWED_BY", "within": "1h", "join_keys": [{"left_field": "nope", "right_field": "session_id"}], "first": step, "second": step}),
+        rule("filter", {"type": "SEQUENCE", "pattern": "FOLLOWED_BY", "within": "1h", "join_keys": [], "first": step, "second": {"source": "B", "filter": [{"field": "nope", "op": "==", "value": 1}]}}),
+    ]
+    bad = violations(flatten_rules(spark.createDataFrame(faults, "rule_id string, body string")), columns)
+    assert {r.rule_id for r in bad.where("not startswith(problem, 'warning')").collect()} == {name for name, _ in faults}
+
+
+def test_a_bad_rule_is_refused_alone():
+    good = _rule({"type": "CONDITION", "expression": "A.v2.k == 1"}) | {"rule_id": "good"}
+    bad = _rule({"type": "CONDITION", "expression": "A.v2.k == 'abc'"}) | {"rule_id": "bad"}
+    compiled = compile_rules([parse_rule(good), parse_rule(bad)], fx.catalogue(), on_error="refuse")
+    assert set(compiled.refused) == {"bad"} and len(compiled._plans) == 1
+
+
+def test_equal_local_names_of_two_sources_are_two_metrics():
+    rules = [
+        parse_rule({"rule_id": s, "trigger_criteria": [{"source": s, "schema_version": "v2"}], "condition_tree": fx._window("amount_cents", "sum", "1h", "1h", [], ">", 1)})
+        for s in ("A", "B")
+    ]
+    assert len(compile_rules(rules, fx.catalogue(), bucket=3_600_000_000).metrics) == 2
