@@ -317,7 +317,11 @@ oracle("candidate_rules_active", _matches(f"r.p % 7 <> 0 AND ({_ANY})"), MANY)
 _RARE = f"r.empty OR ({_G0}) OR ({_G1})"
 oracle("rare_two", _matches(_RARE), MANY)
 oracle("exact_groups", _matches(f"r.empty OR ({_G0} AND (r.p % 2 = 0 OR e.k BETWEEN r.s AND r.s + 20)) OR ({_G1})"), MANY)
-oracle("selectivity", f""" SELECT e.source, count(DISTINCT e.event_id) AS events, count(r.p) AS candidates, (SELECT count(*) FROM part) AS rules
+oracle("event_log", " SELECT event_id, customer_id, event_type, amount_cents FROM cdp")
+oracle("first_arrival_shared", """ SELECT event_id AS row_id, event_id - event_id % 4 AS event_id,
+  CASE WHEN row_number() OVER (PARTITION BY event_id - event_id % 4, event_type ORDER BY us, event_id) = 1 THEN 'PASS' ELSE 'FAIL' END AS status FROM cdp""")
+oracle("selectivity", f""" SELECT e.source, count(DISTINCT e.event_id) AS events, count(r.p) AS candidates, (SELECT count(*) FROM part) AS rules,
+  round(1 - count(r.p)::DOUBLE / (count(DISTINCT e.event_id) * (SELECT count(*) FROM part)), 6) AS pruned
 FROM cdp e LEFT JOIN r ON e.source = 'B' AND ({_RARE}) GROUP BY e.source""", MANY)
 
 # ---- datasets -----------------------------------------------------------------------

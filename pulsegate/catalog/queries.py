@@ -51,6 +51,29 @@ def rule_audit(spark, sf_dir):
     return _judged(spark, sf_dir).select("event_id", "customer_id", "rule_id", "rule_version", "status", "failed_condition")
 
 
+@query
+def event_log(spark, sf_dir):
+    """The first audit table, its events read back from the text."""
+    events = fx.cdp_events(spark, sf_dir).select("event_id", "customer_id", "event_type", "amount_cents")
+    log = audit.event_log(events).where("processing_time is not null")
+    part = lambda name: F.get_json_object("event", f"$.{name}")
+    return log.select("event_id", part("customer_id").alias("customer_id"), part("event_type").alias("event_type"), part("amount_cents").cast("bigint").alias("amount_cents"))
+
+
+@query
+def first_arrival_shared(spark, sf_dir):
+    """Payload ids shared by four events each: one PASS for each id and kind of event, told apart by row."""
+    shared = (F.col("event_id") - F.col("event_id") % 4).alias("event_id")
+    line = fx.timeline(spark, sf_dir).where("source <> 'C'")
+    line = line.select(F.col("event_id").alias("row_id"), shared, *[F.col(f"`{c}`") for c in line.columns if c != "event_id"])
+    rule = {
+        "rule_id": "S", "trigger_criteria": [{"source": s, "schema_version": "v2"} for s in ("A", "B")],
+        "condition_tree": {"type": "CONDITION", "expression": {"op": "IS_FIRST_ARRIVAL", "order_by": "processing_time", "key_fields": ["metadata.id", "event_type"]}},
+    }
+    judged = compile_rules([parse_rule(rule)], fx.catalogue(), bucket=BUCKET).run(line)
+    return judged.select("row_id", "event_id", "status")
+
+
 @query
 def rule_audit_flat(spark, sf_dir):
     """Evaluation joined with the events it is about."""
@@ -426,7 +449,8 @@ def exact_groups(spark, sf_dir):
 def selectivity(spark, sf_dir):
     predicates, index, _, sigs, looked_up = _matching(spark, sf_dir)
     found = candidates.rare_two(looked_up, sigs, index, predicates)
-    return candidates.selectivity(sigs, found, fx.rules_many(spark, sf_dir)).select("source", "events", "candidates", "rules")
+    shares = candidates.selectivity(sigs, found, fx.rules_many(spark, sf_dir))
+    return shares.select("source", "events", "candidates", "rules", F.round("pruned", 6).alias("pruned"))
 
 
 # ---- datasets -----------------------------------------------------------------------

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from pulsegate.functions.durations import cell, event_us
-from pulsegate.operators.joins import small
 
 ENVELOPE = "before string, after string, op string, ts_ms bigint"
 
@@ -67,44 +66,30 @@ def effective_spans(history: DataFrame) -> DataFrame:
 def judged_counts(events: DataFrame, spans: DataFrame, arrival: str = "arrival_time", slot: int = 3_600_000_000) -> DataFrame:
     """Events each rule version has to judge: arrived while it was in force, on a source it listens to.
 
-    `spans` has rule_id, rule_version, source, version, effective_from, effective_to. Events
-    are counted per (source, version, slot) first; whole slots are added up from those
-    counts and only the slots a span begins or ends in are looked at event by event, so no
-    pair of event and rule is ever built outside them.
+    `spans` has rule_id, rule_version, source, version, effective_from, effective_to. Each
+    bound of a span asks how many events came before it: those of earlier slots, from running
+    counts of slots, and those of its own slot, from a running count of the slot's instants and
+    the bounds in it. So events and rules meet in order of time inside a slot, never in pairs,
+    and what is ordered by source alone is one row for each slot.
     """
     us = event_us(arrival)
-    ev = events.select("source", "schema_version", us.alias("_us"), cell(us, slot).alias("_slot"))
-    counts = ev.groupBy("source", "schema_version", "_slot").agg(F.count("*").alias("_n"))
-    end = F.coalesce(event_us("effective_to"), F.lit((1 << 62)))
-    sp = spans.select(
-        "rule_id", "rule_version", F.col("source").alias("_s"), F.col("version").alias("_v"),
-        event_us("effective_from").alias("_from"), end.alias("_to"),
-    ).withColumns({"_first": cell(F.col("_from"), slot), "_last": cell(F.col("_to"), slot)})
-    # Running count per (source, version): whole slots of a span as a difference of two.
-    total = W.partitionBy("source", "schema_version").orderBy("_slot").rowsBetween(W.unboundedPreceding, 0)
-    running = counts.select("source", "schema_version", "_slot", F.sum("_n").over(total).alias("_sum"))
-
-    def upto(bound: Column, name: str) -> DataFrame:
-        """Per span: events of its source in slots up to `bound`."""
-        asked = sp.select("rule_id", "rule_version", F.col("_s").alias("source"), F.col("_v").alias("schema_version"), bound.alias("_slot"))
-        points = asked.withColumn("_sum", F.lit(None).cast("bigint")).withColumn("_ask", F.lit(1)).unionByName(
-            running.select(F.lit(None).cast("string").alias("rule_id"), F.lit(None).cast(dict(spans.dtypes)["rule_version"]).alias("rule_version"),
-                           "source", "schema_version", "_slot", "_sum", F.lit(0).alias("_ask"))
-        )
-        seen = W.partitionBy("source", "schema_version").orderBy("_slot", "_ask").rowsBetween(W.unboundedPreceding, 0)
-        return points.withColumn(name, F.coalesce(F.max("_sum").over(seen), F.lit(0))).where("_ask = 1").select(
-            "rule_id", "rule_version", "source", "schema_version", name
-        )
-
-    keys = ["rule_id", "rule_version", "source", "schema_version"]
-    whole = upto(F.col("_last") - 1, "_b").join(upto(F.col("_first"), "_a"), keys).select(*keys, F.greatest(F.col("_b") - F.col("_a"), F.lit(0)).alias("n"))
-    # Boundary slots, counted per distinct instant before they meet the spans.
-    edges = sp.select("rule_id", "rule_version", "_s", "_v", "_from", "_to", F.explode(F.array_distinct(F.array("_first", "_last"))).alias("_edge"))
-    needed = small(edges.select("_s", "_v", "_edge").distinct())
-    at_edges = ev.join(needed, (F.col("source") == F.col("_s")) & (F.col("schema_version") == F.col("_v")) & (F.col("_slot") == F.col("_edge")), "left_semi")
-    instants = at_edges.groupBy("source", "schema_version", "_slot", "_us").agg(F.count("*").alias("_n"))
-    boundary = instants.join(
-        edges, (F.col("source") == F.col("_s")) & (F.col("schema_version") == F.col("_v")) & (F.col("_slot") == F.col("_edge"))
-        & (F.col("_us") >= F.col("_from")) & (F.col("_us") < F.col("_to")),
-    ).groupBy(*keys).agg(F.sum("_n").alias("n"))
-    return whole.unionByName(boundary).groupBy("rule_id", "rule_version").agg(F.sum("n").alias("judged"))
+    place = ["source", "schema_version", "_slot"]
+    counts = events.select("source", "schema_version", us.alias("_us")).groupBy("source", "schema_version", "_us").agg(F.count("*").alias("_n"))
+    counts = counts.withColumn("_slot", cell(F.col("_us"), slot))
+    kinds = dict(spans.dtypes)
+    end = F.coalesce(event_us("effective_to"), F.lit(1 << 62))
+    both = F.array(F.struct(event_us("effective_from").alias("_us"), F.lit(-1).alias("_sign")), F.struct(end.alias("_us"), F.lit(1).alias("_sign")))
+    bounds = spans.select("rule_id", "rule_version", "source", F.col("version").alias("schema_version"), F.inline(both)).withColumn("_slot", cell(F.col("_us"), slot))
+    rows = counts.select(
+        F.lit(None).cast(kinds["rule_id"]).alias("rule_id"), F.lit(None).cast(kinds["rule_version"]).alias("rule_version"), *place, "_us", "_n", F.lit(0).alias("_sign")
+    ).unionByName(bounds.withColumn("_n", F.lit(0).cast("bigint")))
+    # Of equal instants bounds come first: an event at the bound is not before it.
+    inside = W.partitionBy(*place).orderBy("_us", F.desc(F.abs("_sign"))).rowsBetween(W.unboundedPreceding, 0)
+    asked = rows.withColumn("_inside", F.sum("_n").over(inside)).where("_sign <> 0")
+    slots = counts.groupBy(*place).agg(F.sum("_n").alias("_n")).unionByName(bounds.select(*place).distinct().withColumn("_n", F.lit(0).cast("bigint")))
+    before = W.partitionBy("source", "schema_version").orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
+    running = slots.groupBy(*place).agg(F.sum("_n").alias("_n")).select(*place, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_earlier"))
+    counted = asked.join(running, place)
+    # A span that ends before it begins has judged nothing.
+    each = counted.groupBy("rule_id", "rule_version", "source", "schema_version").agg(F.sum(F.col("_sign") * (F.col("_inside") + F.col("_earlier"))).alias("n"))
+    return each.groupBy("rule_id", "rule_version").agg(F.sum(F.greatest("n", F.lit(0))).alias("judged"))

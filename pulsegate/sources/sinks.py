@@ -29,6 +29,29 @@ def read_snapshot(spark: SparkSession, path: str, version: int | None = None) ->
     return spark.read.parquet(f"{path}/version={version}")
 
 
+def write_load(active: DataFrame, history: DataFrame, path: str, load: int) -> None:
+    """A rule load: history and active table, both or neither.
+
+    A load counts once its mark is there, and the mark is written last. A load that failed half
+    way is written again under its number.
+    """
+    history.write.mode("overwrite").parquet(f"{path}/load={load}/history")
+    active.write.mode("overwrite").parquet(f"{path}/load={load}/active")
+    active.sparkSession.range(1).select(F.lit(load).alias("load")).coalesce(1).write.mode("overwrite").parquet(f"{path}/done/load={load}")
+
+
+def read_load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, int] | None:
+    """(active table, history of all complete loads, number of the newest one), or None before the first."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        marks = sorted(r["load"] for r in spark.read.option("basePath", f"{path}/done").parquet(f"{path}/done").select(F.col("load").cast("int").alias("load")).collect())
+    except AnalysisException:
+        return None
+    history = spark.read.parquet(*[f"{path}/load={load}/history" for load in marks])
+    return spark.read.parquet(f"{path}/load={marks[-1]}/active"), history, marks[-1]
+
+
 def replay_dead_letters(spark: SparkSession, path: str, reasons: tuple[str, ...] = ("schema_missing",)) -> DataFrame:
     """Dead letters as messages again, for instance after their schema has arrived."""
     rows = read_batches(spark, path).where(F.col("reject_reason").isin(*reasons))

@@ -172,3 +172,19 @@ def test_equal_local_names_of_two_sources_are_two_metrics():
         for s in ("A", "B")
     ]
     assert len(compile_rules(rules, fx.catalogue(), bucket=3_600_000_000).metrics) == 2
+
+
+def test_a_load_counts_as_a_whole(spark, tmp_path):
+    from pulsegate.sources import sinks
+
+    path = str(tmp_path / "rules")
+    assert sinks.read_load(spark, path) is None
+    rows = lambda *ids: spark.createDataFrame([(i,) for i in ids], "rule_id string")
+    sinks.write_load(rows("a"), rows("a_v1"), path, 1)
+    # A load that stops after its history leaves the older one in force.
+    rows("b_v1").write.parquet(f"{path}/load=2/history")
+    active, history, load = sinks.read_load(spark, path)
+    assert (load, [r.rule_id for r in active.collect()], [r.rule_id for r in history.collect()]) == (1, ["a"], ["a_v1"])
+    sinks.write_load(rows("a", "b"), rows("b_v1"), path, 2)
+    active, history, load = sinks.read_load(spark, path)
+    assert load == 2 and active.count() == 2 and sorted(r.rule_id for r in history.collect()) == ["a_v1", "b_v1"]
