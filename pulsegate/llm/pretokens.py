@@ -18,7 +18,7 @@ import numpy as np
 LETTER, NUMBER, OTHER, SPACE = 1, 2, 3, 4
 # Code points of the Unicode property White_Space.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-# A doubled quantity of state that tasks of one Python worker share.
+# Where a Python worker keeps what its tasks share.
 _STATE = "_pulsegate_worker_state"
 
 
