@@ -24,11 +24,12 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), folded).head())
 
 
-def _star(pairs: DataFrame, centre: DataFrame) -> DataFrame:
-    """pairs (u, v) and the smallest neighbour m of each u: v and u tied to m."""
-    joined = pairs.join(centre, "u").select("u", "v", F.least("m", "u").alias("m"))
-    ties = F.array(F.struct(F.col("v").alias("hi"), F.col("m").alias("lo")), F.struct(F.col("u").alias("hi"), F.col("m").alias("lo")))
-    return joined.select(F.explode(ties).alias("e")).select("e.*").filter("hi <> lo").distinct()
+def _star(pairs: DataFrame, centre: DataFrame, own: bool) -> DataFrame:
+    """pairs (u, v) and the smallest neighbour m of each u: every v tied to m, and with `own` u too, once."""
+    ties = pairs.join(centre, "u").select(F.col("v").alias("hi"), F.least("m", "u").alias("lo"))
+    if own:
+        ties = ties.union(centre.select(F.col("u").alias("hi"), F.least("m", "u").alias("lo")))
+    return ties.filter("hi <> lo").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -41,11 +42,11 @@ def components(edges: DataFrame) -> DataFrame:
         # Large star: of all neighbours, the larger ones go to the smallest.
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         centre = store(both.groupBy("u").agg(F.min("v").alias("m")), "centres")
-        large = store(_star(both.filter("v > u"), centre), "large-star")
+        large = store(_star(both.filter("v > u"), centre, own=False), "large-star")
         # Small star: the smaller neighbours and the node itself go to the smallest of them.
         small = large.select(F.col("hi").alias("u"), F.col("lo").alias("v"))
         centre = store(small.groupBy("u").agg(F.min("v").alias("m")), "centres")
-        now = store(_star(small, centre), "small-star")
+        now = store(_star(small, centre, own=True), "small-star")
         before, state = state, _state(now)
         if before == state:
             break
