@@ -67,16 +67,19 @@ def judge_messages(raw: DataFrame, schemas: DataFrame, on_bad_cast: str = "zero"
         "customer_id": F.when(F.col("_root").isNotNull(), _blank_as_null(key)),
         "event_time": instant(text("$.metadata.event_time")),
         "payload_id": text("$.metadata.id"),
-        "_leaves": F.filter(leaves(root, F.col("value"), skip=F.lit("metadata")), lambda e: F.schema_of_variant(e["value"]) != "VOID"),
     })
-    cast = F.transform(
-        "_leaves",
+    # Text, kind and declared type of a leaf are read once, then judged.
+    read = F.transform(
+        leaves(root, F.col("value"), skip=F.lit("metadata")),
         lambda e: F.struct(
-            e["path"].alias("path"),
-            coerce(e["value"].try_cast("string"), F.schema_of_variant(e["value"]),
-                   F.try_element_at(F.col("types"), e["path"]), on_bad_cast == "zero").alias("text"),
+            e["path"].alias("path"), e["value"].try_cast("string").alias("text"), F.schema_of_variant(e["value"]).alias("kind"),
+            F.try_element_at(F.col("types"), e["path"]).alias("dtype"),
         ),
     )
+    cast = F.transform(
+        F.filter(read, lambda e: e["kind"] != "VOID"),
+        lambda e: F.struct(e["path"].alias("path"), coerce(e["text"], e["kind"], e["dtype"], on_bad_cast == "zero").alias("text")),
+    )
     rows = rows.withColumn("_cast", F.when(F.col("_source").isNotNull(), cast))
     bad_leaf = F.exists("_cast", lambda e: e["text"].isNull())
     corrupted = F.col("_root").isNull() | F.col("customer_id").isNull() | F.col("event_time").isNull() | F.coalesce(bad_leaf, F.lit(False))
