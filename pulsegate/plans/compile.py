@@ -76,17 +76,17 @@ class CompiledRules:
         self._used: dict[str, Field] = {}
         self._plans = []
         for rule in rules:
-            held = [dict(x) for x in self._tables()]
+            sizes = [len(x) for x in self._tables()]
             try:
                 self._plans.append((rule, *self._compile(rule)))
             except ValueError as error:
                 if on_error == "raise":
                     raise
                 self.refused[rule.rule_id] = str(error)
-                # What the rule had asked for so far goes with it.
-                for table, before in zip(self._tables(), held):
-                    table.clear()
-                    table.update(before)
+                # What the rule had asked for so far goes with it; the tables only grow.
+                for table, size in zip(self._tables(), sizes):
+                    while len(table) > size:
+                        table.popitem()
 
     def _tables(self) -> tuple[dict, ...]:
         return (self.metrics, self.attributes, self.memberships, self.sequences, self.arrivals, self._tests, self._names, self._used)
