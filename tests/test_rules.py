@@ -159,14 +159,14 @@ def test_checks_find_each_fault_and_pass_sound_rules(spark):
     assert {r.rule_id for r in bad.where("not startswith(problem, 'warning')").collect()} == {name for name, _ in faults}
 
 
-def test_a_bad_rule_is_refused_alone():
+def test_a_bad_rule_is_refused_alone(spark):
     good = _rule({"type": "CONDITION", "expression": "A.v2.k == 1"}) | {"rule_id": "good"}
     bad = _rule({"type": "CONDITION", "expression": "A.v2.k == 'abc'"}) | {"rule_id": "bad"}
     compiled = compile_rules([parse_rule(good), parse_rule(bad)], fx.catalogue(), on_error="refuse")
     assert set(compiled.refused) == {"bad"} and len(compiled._plans) == 1
 
 
-def test_equal_local_names_of_two_sources_are_two_metrics():
+def test_equal_local_names_of_two_sources_are_two_metrics(spark):
     rules = [
         parse_rule({"rule_id": s, "trigger_criteria": [{"source": s, "schema_version": "v2"}], "condition_tree": fx._window("amount_cents", "sum", "1h", "1h", [], ">", 1)})
         for s in ("A", "B")
