@@ -44,6 +44,8 @@ MOST_REPETITIONS = 24
 LONG_WORD, FEW_WORDS = 4, 6
 BLOCK_ITEMS = 20_000
 TRIALS = 300
+# Texts searched at once, so that an executor's workers stay small.
+BATCH_CHARS = 1_000_000
 STARTS = 1 << 17
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 HITS = "array<struct<item_id: long, edits: int, begin: int, end: int>>"
@@ -294,7 +296,7 @@ def hits_of(ids: list[int], texts: list[str]):
         if ("items", key) not in state:
             state["items", key] = Index(ids, texts)
         rows = column.tolist()
-        out = [own for part in in_batches(rows) for own in state["items", key].hits(rows[part])]
+        out = [own for part in in_batches(rows, BATCH_CHARS) for own in state["items", key].hits(rows[part])]
         return pd.Series([[dict(zip(names, x)) for x in own] for own in out], dtype=object)
 
     return hits

@@ -38,7 +38,8 @@ from pulsegate.llm.common import NO_ID, order_id, store, text_or_empty
 WINDOW = 13
 PIECE = 4
 BLOCK_BYTES = 2_000_000
-PART = 1 << 22
+# Bytes hashed at once; tables of powers of this size stay in each worker.
+PART = (1 << 20) - 1
 U = np.uint64
 # Odd multipliers of the hashes; any others would do.
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
