@@ -1,16 +1,12 @@
-"""Benchmark decontamination: CGK walks turn edit distance into Hamming distance, bit sampling finds the windows.
+"""Benchmark decontamination: runs of words shared with an item find the passages, the edit distance verifies them.
 
-A CGK walk reads a sequence of words with a random rule for each step: it writes the word it stands on and
-then stays or goes on, as the rule says for that word. Sequences at a small edit distance fall into step
-again after an edit, so their walks agree in most places. A repetition samples a few places of the walk over
-windows of an item's size; windows and items that agree in all of them are candidates. The number of
-repetitions is chosen so that items with as many edits as are allowed are found at the target recall, which
-is measured on the items themselves. Candidates are verified exactly: the edit distance in words between
-the item and the best passage near the window must be at most `RATE` of the item's words.
-
-Walks run over words of four bytes or more; short words occur everywhere and tell little. Items with few
-such words are walked over all their words. Each window is given up as soon as a sampled word occurs in no
-item at that place, so most windows cost a few steps.
+An item of n words with e edits keeps n + 1 - q (e + 1) of its runs of q words at least, wherever the edits are:
+each edit breaks q of them at most. Kept runs stand in the text nearly as they stand in the item: where the item
+would begin, as told by one run, moves by a word for each word put in or left out, so by e at most. Each item has
+the longest runs (`GRAM` at most) of which one must be left, and a text is looked at where as many of an item's
+runs as must be left agree on its beginning within e words. So no passage is missed. Candidates are verified
+exactly: the edit distance in words between the item and the best passage near the place must be at most `RATE`
+of the item's words.
 
 The benchmark is the query set: it is read in blocks of `BLOCK_ITEMS` items, and every document is held
 against all blocks. Documents are judged one by one: nothing is shuffled, and no document waits for another.
@@ -35,189 +31,103 @@ from pulsegate.llm.substring_dedup import Words, mixed
 from pulsegate.llm.token_counts import in_batches
 
 RATE = 0.2
-RECALL = 0.95
-PLACES = 2
-# Steps of a walk that are sampled, for each walked word of an item: about its first half, since later places
-# have met more edits. Two places in so many steps need the fewest repetitions for the recall.
-STEPS = 1.0
-MOST_REPETITIONS = 24
-LONG_WORD, FEW_WORDS = 4, 6
+GRAM = 4
 BLOCK_ITEMS = 20_000
-TRIALS = 300
 # Texts searched at once, so that an executor's workers stay small.
 BATCH_CHARS = 1_000_000
-STARTS = 1 << 17
+# Shared runs held at once; one text is never split.
+RUNS = 1 << 21
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 HITS = "array<struct<item_id: long, edits: int, begin: int, end: int>>"
 U = np.uint64
-TOP = 1 << 16
+TOP_BITS = 22
 
 
 def normal(texts: list[str]) -> Words:
     return Words([x.lower().encode("utf-8", "surrogatepass").translate(None, PUNCTUATION) for x in texts])
 
 
-class Walk:
-    """The rules of one repetition, and the places that it samples for each class of item sizes."""
-
-    def __init__(self, repetition: int, sizes: list[int]):
-        dice = np.random.default_rng(1000 + repetition)
-        self.places = {}
-        for size in sizes:
-            length = max(1, int(STEPS * size))
-            cuts = [length * k // PLACES for k in range(PLACES + 1)]
-            self.places[size] = sorted(int(dice.integers(a, max(a + 1, b))) for a, b in zip(cuts, cuts[1:]))
-        steps = max((p[-1] for p in self.places.values()), default=0) + 1
-        self.rules = dice.integers(0, 2**63, steps).astype(U) * U(2) + U(1)
-
-    def move(self, at: np.ndarray, words: np.ndarray, step: int, upto: int) -> np.ndarray:
-        """Where walks at `at` are after the rules from `step` to before `upto`."""
-        for j in range(step, upto):
-            at = at + ((words[at] * self.rules[j]) >> U(63)).astype(np.int64)
-        return at
-
-
-def add(key: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mixed(key * U(3) ^ word)
-
-
-class Finder:
-    """An index of items, all walked over their long words or all over every word."""
-
-    def __init__(self, words: Words, items: np.ndarray, least_bytes: int, repetitions: int):
-        self.least_bytes = least_bytes
-        self.classes: dict[int, list[int]] = {}
-        sequences = {}
-        for item in items:
-            own = self.chosen(words, words.first[item], words.last[item])
-            sequences[item] = words.hash[own]
-            size = 1
-            while int(size * 1.5) + 1 <= len(own):
-                size = int(size * 1.5) + 1
-            self.classes.setdefault(size, []).append(item)
-        self.walks = [Walk(r, sorted(self.classes)) for r in range(repetitions)]
-        self.pad = max([1, *(int(STEPS * c) + 2 for c in self.classes)])
-        self.tables = [
-            {size: self._table(walk, walk.places[size], [sequences[i] for i in own], np.array(own)) for size, own in self.classes.items()}
-            for walk in self.walks
-        ]
-
-    def chosen(self, words: Words, begin: int, end: int) -> np.ndarray:
-        where = np.arange(begin, end)
-        return where[words.end[where] - words.begin[where] >= self.least_bytes]
-
-    def _table(self, walk: Walk, places, sequences, items):
-        """Which words may stand at the first places, and the items by the key of all places."""
-        keys, filters = np.zeros(len(items), U), []
-        padded = np.zeros((len(items), max(map(len, sequences)) + self.pad), U)
-        for row, sequence in zip(padded, sequences):
-            row[: len(sequence)] = sequence
-        flat, at, step = padded.reshape(-1), np.arange(len(items)) * padded.shape[1], 0
-        for place in places:
-            at, step = walk.move(at, flat, step, place), place
-            keys = add(keys, flat[at])
-            allowed = np.zeros(TOP, bool)
-            allowed[keys >> U(48)] = True
-            filters.append(allowed)
-        order = np.argsort(keys, kind="stable")
-        return filters, keys[order], items[order]
-
-    def candidates(self, tokens: np.ndarray, repetitions: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Starts of windows among `tokens` (hashes of chosen words) and the items that they may hold."""
-        found = []
-        padded = np.concatenate([tokens, np.zeros(self.pad, U)])
-        for begin in range(0, len(tokens), STARTS):
-            starts = np.arange(begin, min(begin + STARTS, len(tokens)))
-            for walk, tables in zip(self.walks[:repetitions], self.tables):
-                at, step = starts, 0
-                for size in sorted(tables, key=lambda s: walk.places[s][0]):
-                    filters, keys, items = tables[size]
-                    first, *others = walk.places[size]
-                    at, step = walk.move(at, padded, step, first), first
-                    key = add(np.zeros(len(at), U), padded[at])
-                    left = np.flatnonzero(filters[0][key >> U(48)])
-                    own, key, here = at[left], key[left], first
-                    for place, allowed in zip(others, filters[1:]):
-                        own, here = walk.move(own, padded, here, place), place
-                        key = add(key, padded[own])
-                        stays = allowed[key >> U(48)]
-                        own, key, left = own[stays], key[stays], left[stays]
-                    low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-                    many = high - low
-                    if many.any():
-                        inner = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                        found.append((starts[np.repeat(left, many)], items[np.repeat(low, many) + inner]))
-        if not found:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        pairs = np.unique(np.stack([np.concatenate(x) for x in zip(*found)]), axis=1)
-        return pairs[0], pairs[1]
+def longer(keys: np.ndarray, words: np.ndarray, size: int) -> np.ndarray:
+    """Keys of all runs of `size` words from those of one word less."""
+    return mixed(keys[: max(0, len(words) - size + 1)] * U(3) ^ words[size - 1 :])
 
 
 class Index:
     """Items of a block, ready to be looked for in documents."""
 
-    def __init__(self, ids: list[int], texts: list[str], rate: float = RATE, recall: float = RECALL):
+    def __init__(self, ids: list[int], texts: list[str], rate: float = RATE):
         self.ids, self.words = np.array(ids, np.int64), normal(texts)
         self.size = self.words.last - self.words.first
         self.edits = np.floor(self.size * rate + 1e-9).astype(np.int64)
-        full = self.words.end - self.words.begin >= LONG_WORD
-        long_words = np.array([full[a:b].sum() for a, b in zip(self.words.first, self.words.last)], np.int64)
-        self.shift = np.array([np.argmax(full[a:b]) if b > a else 0 for a, b in zip(self.words.first, self.words.last)], np.int64)
-        some = np.flatnonzero(self.size > 0)
-        parts = [(some[long_words[some] >= FEW_WORDS], LONG_WORD), (some[long_words[some] < FEW_WORDS], 1)]
-        self.finders = [self._fitted(items, least, recall) for items, least in parts if len(items)]
-
-    def _fitted(self, items: np.ndarray, least: int, recall: float) -> Finder:
-        """A finder with as many repetitions as the target recall takes, for items with all edits that are allowed."""
-        finder = Finder(self.words, items, least, MOST_REPETITIONS)
-        dice = np.random.default_rng(7)
-        trials = items if len(items) <= TRIALS else np.sort(dice.choice(items, TRIALS, replace=False))
-        missed = set(trials.tolist())
-        edited = {item: self._edited(item, dice, finder) for item in missed}
-        repetitions = 0
-        while repetitions < MOST_REPETITIONS and len(missed) > (1 - recall) * len(trials):
-            repetitions += 1
-            alone = Finder.__new__(Finder)
-            alone.pad, alone.walks, alone.tables = finder.pad, finder.walks[repetitions - 1 : repetitions], finder.tables[repetitions - 1 : repetitions]
-            missed = {item for item in missed if item not in alone.candidates(edited[item])[1]}
-        finder.walks, finder.tables = finder.walks[:repetitions], finder.tables[:repetitions]
-        return finder
-
-    def _edited(self, item: int, dice, finder: Finder) -> np.ndarray:
-        own = self.words.hash[finder.chosen(self.words, self.words.first[item], self.words.last[item])].tolist()
-        for _ in range(int(self.edits[item])):
-            place, word = int(dice.integers(len(own))), int(dice.integers(2**63))
-            kind = dice.integers(3)
-            if kind == 0:
-                own[place] = word
-            elif kind == 1:
-                own.insert(place, word)
-            elif len(own) > 1:
-                del own[place]
-        # Text before and behind, as in a document.
-        around = dice.integers(0, 2**63, 20).tolist()
-        return np.array(around[:10] + own + around[10:], U)
+        gram = np.minimum(GRAM, self.size // (self.edits + 1))
+        # Runs that are left whatever the edits.
+        self.least = self.size + 1 - gram * (self.edits + 1)
+        self.tables, keys = {}, np.zeros(len(self.words.hash), U)
+        for size in range(1, GRAM + 1):
+            keys = longer(keys, self.words.hash, size)
+            items = np.flatnonzero(gram == size)
+            if len(items):
+                self.tables[size] = self._table(keys, size, items)
+
+    def _table(self, keys: np.ndarray, size: int, items: np.ndarray):
+        """Which first bits the keys of the items' runs have, and the sorted keys with item and place in it."""
+        count = self.size[items] - size + 1
+        place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        item = np.repeat(items, count)
+        own = keys[self.words.first[item] + place]
+        known = np.zeros(1 << TOP_BITS, bool)
+        known[own >> U(64 - TOP_BITS)] = True
+        order = np.argsort(own, kind="stable")
+        return known, own[order], item[order], place[order]
+
+    def candidates(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places, documents and items: an item may begin up to its edits behind the place, or before or behind that."""
+        found, keys = [np.empty((3, 0), np.int64)], np.zeros(len(words.hash), U)
+        for size in range(1, max(self.tables, default=0) + 1):
+            keys = longer(keys, words.hash, size)
+            if size not in self.tables:
+                continue
+            known, own, items, places = self.tables[size]
+            at = np.flatnonzero(known[keys >> U(64 - TOP_BITS)])
+            at = at[words.doc[at] == words.doc[at + size - 1]]
+            low = np.searchsorted(own, keys[at], "left")
+            many = np.searchsorted(own, keys[at], "right") - low
+            at, low, many = at[many > 0], low[many > 0], many[many > 0]
+            docs, upto = words.doc[at], np.cumsum(many)
+            begin = 0
+            while begin < len(at):
+                end = max(begin, int(np.searchsorted(upto, upto[begin] - many[begin] + RUNS, "right")) - 1)
+                end = int(np.searchsorted(docs, docs[end], "right"))
+                part = many[begin:end]
+                row = np.arange(part.sum()) + np.repeat(low[begin:end] - np.cumsum(part) + part, part)
+                found.append(self._agreeing(np.repeat(at[begin:end], part) - places[row], np.repeat(docs[begin:end], part), items[row]))
+                begin = end
+        return tuple(np.concatenate(found, axis=1))
+
+    def _agreeing(self, place, doc, item) -> np.ndarray:
+        """Where as many runs as must be left agree on an item's beginning, give or take its edits."""
+        order = np.lexsort((place, item, doc))
+        place, doc, item = place[order], doc[order], item[order]
+        here = np.arange(len(place))
+        there = np.minimum(here + self.least[item] - 1, len(place) - 1)
+        enough = (here + self.least[item] <= len(place)) & (doc[there] == doc) & (item[there] == item) & (place[there] - place <= self.edits[item])
+        place, doc, item = place[enough], doc[enough], item[enough]
+        # Places next to each other are verified as one.
+        step = self.edits[item] + 1
+        found = np.stack([place // step * step, doc, item])
+        new = np.ones(len(place), bool)
+        new[1:] = (found[:, 1:] != found[:, :-1]).any(axis=0)
+        return found[:, new]
 
     def hits(self, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
         """For each text: (item_id, edits, begin, end) of each item found, begin and end in words."""
         words = normal(texts)
-        places, items = [], []
-        for finder in self.finders:
-            chosen = np.flatnonzero(words.end - words.begin >= finder.least_bytes)
-            starts, own = finder.candidates(words.hash[chosen])
-            # Where the item would begin: its first walked word stands at the start.
-            places.append(chosen[starts] - (self.shift[own] if finder.least_bytes > 1 else 0))
-            items.append(own)
-            docs = words.doc[chosen[starts]]
-            places[-1] = np.stack([places[-1], docs]) if len(starts) else np.empty((2, 0), np.int64)
         out: list[dict] = [{} for _ in texts]
-        if not places:
-            return [[] for _ in texts]
-        placed, items = np.concatenate(places, axis=1), np.concatenate(items)
+        places, docs, items = self.candidates(words)
         order = np.argsort(self.size[items], kind="stable")  # alike sizes together
         for at in range(0, len(order), 1024):
             part = order[at : at + 1024]
-            for doc, item, edits, begin, end in self._verified(words, placed[0][part], placed[1][part], items[part]):
+            for doc, item, edits, begin, end in self._verified(words, places[part], docs[part], items[part]):
                 found = (edits, begin, end)
                 known = out[doc].get(item)
                 if known is None or found < known:
@@ -226,8 +136,8 @@ class Index:
 
     def _verified(self, words: Words, place, doc, item):
         n, e = self.size[item], self.edits[item]
-        low = np.maximum(place - 2 * e - 2, words.first[doc])
-        high = np.minimum(place + n + 2 * e + 2, words.last[doc])
+        low = np.maximum(place - e, words.first[doc])
+        high = np.minimum(place + n + 3 * e, words.last[doc])
         ok = high > low
         low, high, n, e, doc, item = (x[ok] for x in (low, high, n, e, doc, item))
         if not len(low):

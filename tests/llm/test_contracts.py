@@ -160,6 +160,40 @@ def test_recall_at_the_most_edits():
     assert found >= 0.9 * len(items)
 
 
+@pytest.mark.parametrize("where", [0.0, 0.4, 0.8])
+@pytest.mark.parametrize("kind", ["changed", "left out", "put in"])
+def test_no_item_is_missed_wherever_its_edits_are(where, kind):
+    import random
+
+    dice = random.Random(5)
+    words = [f"{dice.randrange(10**6):06d}"[: dice.randrange(2, 7)] for _ in range(3000)]
+    items = [dice.choices(words, k=k) for k in range(1, 90)]
+    index = decontaminate.Index(list(range(len(items))), [" ".join(x) for x in items])
+    for number, item in enumerate(items):
+        edits, at = len(item) // 5, int(where * len(item))
+        new = [f"new{i}" for i in range(edits)] if kind != "left out" else []
+        text = dice.choices(words, k=50) + item[:at] + new + item[at + (edits if kind != "put in" else 0) :] + dice.choices(words, k=50)
+        assert [h[1] for h in index.hits([" ".join(text)])[0] if h[0] == number][:1] <= [edits]
+        assert number in [h[0] for h in index.hits([" ".join(text)])[0]]
+
+
+def test_items_of_few_different_words_equal_brute_force():
+    import numpy as np
+
+    dice = np.random.default_rng(6)
+    draw = lambda k: " ".join(f"w{x}" for x in dice.integers(0, 3, k))
+    items, texts = [draw(k) for k in range(1, 24)], [draw(dice.integers(1, 60)) for _ in range(40)]
+    patterns = decontaminate.normal(items)
+    found = [{(h[0], h[1]) for h in x} for x in decontaminate.Index(list(range(len(items))), items).hits(texts)]
+    for text, own in zip(texts, found):
+        words, want = decontaminate.normal([text]).hash[None, :], set()
+        for i in range(len(items)):
+            pattern = patterns.hash[patterns.first[i] : patterns.last[i]]
+            least = int(decontaminate.edit_rows(words, pattern[None, :], np.array([len(pattern)]), free=True).min())
+            want |= {(i, least)} if least <= len(pattern) // 5 else set()
+        assert own == want
+
+
 def test_edit_rows_equal_the_plain_distance():
     import numpy as np
 
