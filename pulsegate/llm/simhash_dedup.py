@@ -12,6 +12,11 @@ Links are needed for components only, so equal fingerprints are one node, and un
 forest of the close pairs is kept instead of all pairs: a fingerprint takes all it is linked to out of the
 rest, so that a group of thousands of near copies costs little more than its size.
 
+Search for similar shingle sets (`near_roots`): blocks and Hamming distance only propose pairs there; a link is
+a pair whose sets have a Jaccard similarity of `NEAR_SIMILARITY` or more, counted exactly. A forest built on
+proposals holds only if all its edges are links, so groups with an edge that is none are searched again with
+closer edges, at last pair by pair; what links have connected by then is not proposed again.
+
 Defined results: null and empty texts and texts without words have fingerprint zero and are linked like any
 other. A null id counts as larger than all others, and as a component id only for components without ids.
 Rows of equal id and different text are nodes of their own. Other columns stay as they are.
@@ -27,33 +32,46 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegate.llm.common import NO_ID, order_id, store, text_or_empty
+from pulsegate.llm.common import NO_ID, checked_broadcast, order_id, store, text_or_empty
 from pulsegate.llm.components import components
 from pulsegate.llm.substring_dedup import mixed
 
 SEED = 42
 SHINGLE, DISTANCE = 4, 4
 # The pipeline's likeness: five words, similarity 0.8. Fingerprints of such pairs differ in 39 of 256 bits, give
-# or take 6; 46 lets nine tenths of them pass, and half of the pairs of similarity 0.73. Each of the 64 blocks of
+# or take 6; 46 lets nine tenths of them pass to the exact test, nearly all of those at 0.85 and more. Each of the 64 blocks of
 # 16 bits is equal at odds of 0.07 at 39 bits (recall 0.99) and of 0.04 at 46 (0.94).
 NEAR_SHINGLE, NEAR_WORDS, NEAR_DISTANCE, NEAR_SPLITS, NEAR_BITS = 5, 4, 46, 4, 16
+NEAR_SIMILARITY = (4, 5)
+# Distances up to which a forest's edges are taken for links, search by search.
+NEAR_TRUST = (NEAR_DISTANCE, 30, -1)
 SMALL_GROUP = 8
 SLICE = 1 << 15
 
 
-def fingerprint(text: str, shingle: int, words: int = 1) -> np.ndarray:
-    """64 bits for each of `words`: a bit is set if it is in over half of the shingles' hashes."""
+def shingles(text: str, shingle: int) -> np.ndarray:
+    """Hashes of the shingles in their order; a text of fewer words is one shingle."""
     import xxhash
 
     parts = text.encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return np.zeros(words, "<u8")
+        return np.empty(0, "<u8")
     joined, ends = b" ".join(parts), np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
     size = min(shingle, len(parts))
     starts = (np.concatenate([[0], ends[:-1]]))[: len(parts) - size + 1]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), (ends[size - 1 :] - 1).tolist())], "<u8")
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), (ends[size - 1 :] - 1).tolist())], "<u8")
+
+
+def fingerprint(text: str, shingle: int, words: int = 1) -> np.ndarray:
+    """64 bits for each of `words`: a bit is set if it is in over half of the shingles' hashes."""
+    return majority(shingles(text, shingle), words)
+
+
+def majority(hashes: np.ndarray, words: int) -> np.ndarray:
     out = np.zeros(words, "<u8")
+    if not len(hashes):
+        return out
     for k in range(words):
         own = hashes if not k else mixed(hashes + np.uint64(k))
         counts = np.zeros(64, np.int64)
@@ -217,14 +235,137 @@ def simhash_digest(documents: DataFrame) -> DataFrame:
     return joined.select("doc_id", digits.alias("fingerprint"), F.when(first != NO_ID, first).alias("component_id"))
 
 
+def with_shingle_sets(documents: DataFrame) -> DataFrame:
+    """id, text_key, node, fingerprint and pieces of each row: the fingerprint is that of the set, the node its hash."""
+
+    @F.pandas_udf("struct<fingerprint: binary, pieces: array<bigint>>")
+    def sets(texts: pd.Series) -> pd.DataFrame:
+        own = [np.unique(shingles(x, NEAR_SHINGLE)) for x in texts]
+        return pd.DataFrame({"fingerprint": [majority(x, NEAR_WORDS).tobytes() for x in own], "pieces": pd.Series([x.view(np.int64) for x in own], dtype=object)})
+
+    text = text_or_empty()
+    rows = documents.select(order_id().alias("id"), F.xxhash64(text).alias("text_key"), sets(text).alias("s")).select("id", "text_key", "s.*")
+    return rows.withColumn("node", F.xxhash64("pieces"))
+
+
+def proposals(prints: np.ndarray, roots: np.ndarray, distance: int, trust: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Close pairs of one group and whether each was trusted: if the trusted ones are links, so many that no link is lost.
+
+    Members of equal root are connected already.
+    """
+    rest, found = np.arange(len(prints)), []
+    while len(rest):
+        queue, rest = [rest[0]], rest[1:]
+        while queue and len(rest):
+            at = queue.pop()
+            apart, known = distances(prints[at], prints[rest]), roots[rest] == roots[at]
+            near, taken = (apart <= distance) & ~known, (apart <= trust) | known
+            found.append((np.full(near.sum(), at), rest[near], apart[near] <= trust))
+            queue += rest[taken].tolist()
+            rest = rest[~taken]
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool))
+
+
+def near_pairs(nodes: DataFrame, masks: list[np.ndarray], distance: int, trust: int, keys: DataFrame | None = None) -> DataFrame:
+    """key, a, b, trusted: proposed pairs of the groups of all keys, or of the given ones. nodes: node, root, fingerprint."""
+    table = np.array(masks)
+
+    def keyed(batches):
+        for batch in batches:
+            for at in range(0, len(batch), 2048):
+                part = batch.iloc[at : at + 2048]
+                prints = np.frombuffer(b"".join(part["fingerprint"]), "<u8").reshape(len(part), -1)
+                masked = prints[:, None, :] & table[None, :, :]
+                own = np.tile(np.arange(len(table), dtype=np.uint64), (len(part), 1))
+                for k in range(prints.shape[1]):
+                    own = mixed(own + np.uint64(1)) ^ mixed(masked[:, :, k] + np.uint64(k))
+                again = {name: np.repeat(part[name].to_numpy(), len(table)) for name in ("node", "root", "fingerprint")}
+                yield pd.DataFrame({"key": own.reshape(-1).view(np.int64), **again})
+
+    def proposed(batches):
+        held = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            # The last group may go on in the next batch.
+            last = int(np.searchsorted(held["key"].to_numpy(), held["key"].iloc[-1]))
+            yield _proposed(held.iloc[:last], distance, trust)
+            held = held.iloc[last:]
+        if held is not None:
+            yield _proposed(held, distance, trust)
+
+    by_key = nodes.select("node", "root", "fingerprint").mapInPandas(keyed, "key long, node long, root long, fingerprint binary")
+    if keys is not None:
+        by_key = by_key.join(keys, "key", "left_semi").select("key", "node", "root", "fingerprint")
+    by_key = by_key.repartition("key").sortWithinPartitions("key")
+    return by_key.mapInPandas(proposed, "key long, a long, b long, trusted boolean").distinct()
+
+
+def _proposed(rows: pd.DataFrame, distance: int, trust: int) -> pd.DataFrame:
+    keys, ids, roots = (rows[name].to_numpy() for name in ("key", "node", "root"))
+    out = [pd.DataFrame({"key": np.empty(0, np.int64), "a": np.empty(0, np.int64), "b": np.empty(0, np.int64), "trusted": np.empty(0, bool)})]
+    if len(rows):
+        prints = np.frombuffer(b"".join(rows["fingerprint"]), "<u8").reshape(len(rows), -1)
+        new = np.concatenate([[True], keys[1:] != keys[:-1]])
+        starts = np.flatnonzero(new)
+        sizes = np.diff(np.append(starts, len(keys)))
+        group = np.cumsum(new) - 1
+        small = sizes[group] <= SMALL_GROUP
+        # Groups of few give all close pairs, whose key does not matter.
+        for step in range(1, SMALL_GROUP):
+            left = np.flatnonzero(small[:-step] & (group[:-step] == group[step:])) if step < len(keys) else np.empty(0, np.int64)
+            near = left[(distances(prints[left], prints[left + step]) <= distance) & (roots[left] != roots[left + step])]
+            out.append(pd.DataFrame({"key": 0, "a": ids[near], "b": ids[near + step], "trusted": False}))
+        for start, size in zip(starts[sizes > SMALL_GROUP].tolist(), sizes[sizes > SMALL_GROUP].tolist()):
+            a, b, trusted = proposals(prints[start : start + size], roots[start : start + size], distance, trust)
+            out.append(pd.DataFrame({"key": keys[start], "a": ids[a + start], "b": ids[b + start], "trusted": trusted}))
+    found = pd.concat(out, ignore_index=True)
+    least, most = np.minimum(found["a"], found["b"]), np.maximum(found["a"], found["b"])
+    return found.assign(a=least, b=most).drop_duplicates()
+
+
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are as similar as `NEAR_SIMILARITY`. sets: node, pieces."""
+    one, two = (sets.select(F.col("node").alias(x), F.col("pieces").alias(f"pieces_{x}")) for x in "ab")
+    both = pairs.join(one, "a").join(two, "b")
+    sizes, common = F.size("pieces_a") + F.size("pieces_b"), F.size(F.array_intersect("pieces_a", "pieces_b"))
+    part, whole = NEAR_SIMILARITY
+    # common / (sizes - common) >= part / whole
+    return both.filter(common * (part + whole) >= sizes * part).select("a", "b")
+
+
+def near_roots(prints: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, root of the nodes that are linked to another. prints: rows of `with_shingle_sets`; nodes: node, fingerprint, least."""
+    masks = shared_blocks(64 * NEAR_WORDS, NEAR_BITS, NEAR_SPLITS)
+    own = nodes.select("node", "fingerprint", F.col("node").alias("root"))
+    links, keys, roots = None, None, None
+    for trust in NEAR_TRUST:
+        found = store(near_pairs(own, masks, NEAR_DISTANCE, trust, keys), "near-proposals")
+        pairs = store(found.select("a", "b").distinct(), "near-pairs")
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        wanted = store(nodes.join(ends, "node", "left_semi").select("node", "least.id", "least.text_key"), "near-ends")
+        sets = prints.select("id", "text_key", "pieces").join(checked_broadcast(wanted), ["id", "text_key"]).select("node", "pieces")
+        true = store(similar(pairs, store(sets.dropDuplicates(["node"]), "near-sets")).distinct(), "near-links")
+        links = true if links is None else links.union(true)
+        roots = store(components(links), "roots")
+        keys = store(found.filter("trusted").join(true, ["a", "b"], "left_anti").select("key").distinct(), "near-keys")
+        if keys.isEmpty():
+            break
+        own = store(nodes.select("node", "fingerprint").join(roots, "node", "left").select("node", "fingerprint", F.coalesce("root", "node").alias("root")), "near-rooted")
+    return roots
+
+
 def near_representatives(documents: DataFrame) -> DataFrame:
     """The rows of `documents` without near copies: of each component the row of the smallest id stays.
 
     Rows of equal id and text are one document; they stay or go together.
     """
-    prints = store(with_fingerprints(documents, NEAR_SHINGLE, NEAR_WORDS, ()), "near-simhashes")
-    masks = shared_blocks(64 * NEAR_WORDS, NEAR_BITS, NEAR_SPLITS)
-    firsts = grouped(prints, NEAR_DISTANCE, masks).select("first.*").distinct()
+    prints = store(with_shingle_sets(documents), "near-shingles")
+    least = F.min(F.struct("id", "text_key")).alias("least")
+    nodes = store(prints.groupBy("node").agg(least, F.min("fingerprint").alias("fingerprint")), "near-nodes")
+    rooted = nodes.join(near_roots(prints, nodes), "node", "left").select("least", F.coalesce("root", "node").alias("root"))
+    firsts = rooted.groupBy("root").agg(F.min("least").alias("first")).select("first.*")
     kept = store(firsts.select(F.col("id").alias("_id"), F.col("text_key").alias("_key")), "near-firsts")
     rows = documents.select(F.struct("*").alias("_doc"), order_id().alias("_id"), F.xxhash64(text_or_empty()).alias("_key"))
     return rows.join(kept, ["_id", "_key"], "left_semi").select("_doc.*")

@@ -117,6 +117,41 @@ def test_near_copies_leave_one(spark):
     assert [r.doc_id for r in simhash_dedup.near_representatives(frame).orderBy("doc_id").collect()] == [1, 4]
 
 
+def test_near_copies_by_exact_similarity(spark):
+    import random
+
+    dice, rows = random.Random(8), []
+    # Families of pairs around the limit, and one large family whose members are seldom alike enough.
+    for family in range(150):
+        base = [f"f{family}w{i}" for i in range(100)]
+        edits = 1 + family % 6
+        rows += [(2 * family, " ".join(base)), (2 * family + 1, " ".join("new" if i % (100 // edits) == 50 // edits and i // (100 // edits) < edits else w for i, w in enumerate(base)))]
+    base = [f"h{i}" for i in range(120)]
+    for k in range(60):
+        gone = set(dice.sample(range(120), 1 + k % 4))
+        rows.append((1000 + k, " ".join(f"k{k}" if i in gone else w for i, w in enumerate(base))))
+    pieces = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for _, t in rows for w in [t.split()]]
+    alike = lambda limit: [(i, j) for i in range(len(rows)) for j in range(i) if len(pieces[i] & pieces[j]) >= limit * len(pieces[i] | pieces[j])]
+    firsts = lambda limit: {rows[i][0] for i in brute.labels(len(rows), alike(limit))}
+    found = {r.doc_id for r in simhash_dedup.near_representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # Nothing below the limit goes; of the pairs at it the search may miss some, of clearly closer ones none.
+    assert firsts(0.8) <= found <= firsts(0.87)
+    assert len(found - firsts(0.8)) <= 0.1 * (len(rows) - len(firsts(0.8)))
+
+
+def test_proposals_connect_what_links_connect():
+    import numpy as np
+
+    dice = np.random.default_rng(9)
+    for trust in (46, 30, -1):
+        base = dice.integers(0, 2**63, (3, 4)).astype(np.uint64)
+        prints = np.array([base[dice.integers(3)] ^ np.packbits(dice.random(256) < dice.choice([0.03, 0.08, 0.12]), bitorder="little").view("<u8") for _ in range(80)])
+        near = [(i, j) for i in range(80) for j in range(i) if simhash_dedup.distances(prints[i], prints[j]) <= 46]
+        a, b, trusted = simhash_dedup.proposals(prints, np.arange(80), 46, trust)
+        assert brute.labels(80, near) == brute.labels(80, list(zip(a.tolist(), b.tolist())))
+        assert trust >= 0 or {(max(p), min(p)) for p in zip(a.tolist(), b.tolist())} == set(near) and not trusted.any()
+
+
 ITEMS = [(1, " ".join(f"term{i * 7 % 101}" for i in range(40))), (2, "A few, short words are in it."), (3, None), (4, ""), (None, "no id here"), (1, " ".join(f"term{i * 7 % 101}" for i in range(40)))]
 
 
