@@ -1,6 +1,8 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest trained on labelled findings.
 
-Candidates are long runs of key characters in the words of a text. Features are numbers of the run itself
+Candidates are long runs of key characters in the words of a text, and every value that is assigned to a
+credential's name or follows it, whatever its length and characters: the word and what a sign of separation
+leaves of it, and what stands in quotes, over several words (put together by single blanks) if need be. Features are numbers of the run itself
 (length, character classes and their transitions, letter pairs of plain language, dictionary coverage, path
 marks) and of the words around it. Spark ML trains the forest on at most `TRAINING_ROWS` labelled findings,
 taken by hash; everything else covers all rows. Only DataFrame functions and Spark ML are used.
@@ -37,6 +39,14 @@ DICTIONARY = (
 )
 PAIRS = ("th", "he", "in", "er", "an", "re", "on", "at", "en", "nd", "ti", "es", "or", "te", "of", "ed", "is", "it", "al", "ar", "st", "to", "nt", "ch", "de", "le", "qu", "ou", "ie", "ge", "ue", "ci")
 
+# Of values beside a credential's name. A name may be part of a longer one.
+_NAME = "(?i)(?:" + "|".join(CREDENTIAL) + r""")[A-Za-z0-9_.\-]*["'`\])]*"""
+NAME_BEFORE, ASSIGNED_HERE = _NAME + r"""[=:]*>?["'`]*$""", _NAME + r"[=:]+>?(.+)"
+ASSIGNED_PART = _NAME + r"""[=:]+>?(["'`][^"'`]+|[^"'`,;&]+)"""
+BETWEEN = r"(?i)^(?:[=:>\-]+|is|was)$"
+OPENING, PHRASE = r"""^[=:>]*["'`][^"'`]*$""", r"""^[=:>]*(["'`])(.*?)\1"""
+EDGES = r"""^[=:>]*["'`(\[{<]*|["'`)\]}>,;]+$"""
+
 FEATURES = (
     "length", "digits", "uppers", "hexes", "vowels", "distinct", "changes", "pairs", "coverage", "slashes", "dots", "dashes", "numeric",
     "named", "benign", "assigned", "quoted", "alone",
@@ -44,24 +54,45 @@ FEATURES = (
 
 
 def candidates(documents: DataFrame) -> DataFrame:
-    """doc_id, word (its number in the text), value, before (three words and what precedes the value in its own), after."""
+    """doc_id, word (its number in the text), part, value, before (three words and what precedes the value in its own), after."""
     words = F.filter(F.split(text_or_empty(), r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
     at = lambda all_words, i: F.coalesce(F.get(all_words, i), F.lit(""))
 
     def picked(all_words: Column) -> Column:
-        around = F.transform(all_words, lambda w, i: F.when(
-            (F.length(w) >= 16) & w.rlike(RUN),
-            F.struct(i.alias("word"), w.alias("own"), F.concat_ws(" ", at(all_words, i - 3), at(all_words, i - 2), at(all_words, i - 1)).alias("left")),
-        ))
-        return F.filter(around, lambda x: x.isNotNull())
-
-    found = documents.select("doc_id", F.explode(let(words, picked)).alias("w"))
+        def near(w: Column, i: Column) -> Column:
+            before = at(all_words, i - 1)
+            follows = (before.rlike(NAME_BEFORE) | (before.rlike(BETWEEN) & at(all_words, i - 2).rlike(NAME_BEFORE))) & ~w.rlike(BETWEEN)
+            here = w.rlike(ASSIGNED_HERE)
+            runs = (F.length(w) >= 16) & w.rlike(RUN)
+            # What follows a name may be quoted up to a later word.
+            opened = (follows & w.rlike(OPENING)) | (here & F.regexp_extract(w, ASSIGNED_HERE, 1).rlike(OPENING))
+            rest = F.when(opened, F.array_join(F.slice(all_words, i + 1, F.size(all_words)), " "))
+            left = F.concat_ws(" ", at(all_words, i - 3), at(all_words, i - 2), before)
+            return F.when(runs | follows | here, F.struct(i.alias("word"), w.alias("own"), left.alias("left"), follows.alias("follows"), here.alias("here"), rest.alias("rest")))
+
+        return F.filter(F.transform(all_words, near), lambda x: x.isNotNull())
+
+    def plain(raw: Column) -> Column:
+        """A value without its quotes: up to the closing one, or without signs at its edges."""
+        return F.array(F.regexp_extract(raw, PHRASE, 2), F.regexp_replace(raw, EDGES, ""))
+
+    none = F.array().cast("array<string>")
+    found = documents.select("doc_id", F.explode(let(words, picked)).alias("w")).select("doc_id", "w.*")
+    here, rest = F.regexp_extract("own", ASSIGNED_HERE, 1), F.coalesce("rest", F.lit(""))
+    phrase = F.when(F.col("here"), F.regexp_extract(F.regexp_extract(rest, ASSIGNED_HERE, 1), PHRASE, 2)).otherwise(F.regexp_extract(rest, PHRASE, 2))
+    parts = F.flatten(F.transform(F.regexp_extract_all("own", F.lit(ASSIGNED_PART), F.lit(1)), plain))
+    named = F.concat(F.when(F.col("follows"), plain(F.col("own"))).otherwise(none), F.when(F.col("here"), F.concat(plain(here), parts)).otherwise(none), F.array(phrase))
     # An explode of its own keeps the parts of a word from being searched again for each column.
-    runs = found.select("doc_id", "w.word", "w.own", "w.left", F.posexplode(F.regexp_extract_all(F.col("w.own"), F.lit(f"({RUN})"), F.lit(1))).alias("part", "value"))
-    kept = runs.withColumn("before", F.concat_ws(" ", "left", F.expr("substring(own, 1, instr(own, value) - 1)"))).withColumn(
+    told = found.withColumn("runs", F.regexp_extract_all("own", F.lit(f"({RUN})"), F.lit(1))).withColumn("named", F.filter(F.array_distinct(named), lambda v: v != ""))
+    values = F.concat("runs", F.array_except("named", "runs"))
+    runs = told.select("doc_id", "word", "own", "left", "rest", "named", F.posexplode(values).alias("part", "value"))
+    # Quoted phrases are longer than their word.
+    held = F.when(F.instr("own", F.col("value")) > 0, F.col("own")).otherwise(F.coalesce("rest", "own"))
+    placed = runs.withColumn("own", held)
+    kept = placed.withColumn("before", F.concat_ws(" ", "left", F.expr("substring(own, 1, instr(own, value) - 1)"))).withColumn(
         "after", F.expr("substring(own, instr(own, value) + length(value))"),
     )
-    odd = F.col("value").rlike("[0-9]") | F.col("value").rlike("[a-z][A-Z]") | F.col("before").rlike("[=:]\\s*[\"']?$")
+    odd = F.col("value").rlike("[0-9]") | F.col("value").rlike("[a-z][A-Z]") | F.col("before").rlike("[=:]\\s*[\"']?$") | F.array_contains("named", F.col("value"))
     return kept.filter(odd).select("doc_id", "word", "part", "value", "before", "after")
 
 

@@ -151,6 +151,22 @@ def test_scan_of_generated_documents(spark, sf, given):
     assert secrets == {(d, v) for d, t, *_ in given for v in re.findall(r'(?i)token = "([0-9a-f]{40})"', t or "")}
 
 
+def test_every_value_beside_a_credentials_name_is_a_candidate(spark):
+    texts = {
+        'set password = "Xk9qL2vB" now': {"Xk9qL2vB"}, "the password is hunter2 here": {"hunter2"}, "PASSWORD=P@ss#word!with$igns1 end": {"P@ss#word!with$igns1"},
+        "token abcdefghijklmnopqrstuvwxyzabcd end": {"abcdefghijklmnopqrstuvwxyzabcd"}, '{"password":"a,b","token":"c"}': {"a,b", "c"},
+        'pwd: "two words, and more" end': {"two words, and more"}, 'secret="two words" end': {"two words"}, "Authorization: Bearer x1 end": {"x1"}, "password: p": {"p"},
+        "no name beside Xk9qL2vB": set(), 'api_key => "k1"': {"k1"}, None: set(), "password =": set(),
+    }
+    rows = [(i, t) for i, t in enumerate(texts)]
+    found = {}
+    for r in secret_scan.candidates(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found.setdefault(r.doc_id, []).append(r.value)
+        assert r.before is not None and r.after is not None
+    for (i, _), want in zip(rows, texts.values()):
+        assert want <= set(found.get(i, [])) and len(found.get(i, [])) == len(set(found.get(i, []))) and (want or not found.get(i))
+
+
 def test_scan_of_edge_cases(documents, no_documents):
     assert secret_scan.scan_digest(no_documents).collect() == []
     assert all(r.score in (0, 1) for r in secret_scan.scan_digest(documents).collect())
