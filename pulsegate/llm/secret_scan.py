@@ -7,11 +7,15 @@ leaves of it, and what stands in quotes, over several words (put together by sin
 marks) and of the words around it. Spark ML trains the forest on at most `TRAINING_ROWS` labelled findings,
 taken by hash; everything else covers all rows. Only DataFrame functions and Spark ML are used.
 
+Labels of reviewers train a forest over all features. Distant labels come in part from the context: so their
+forest reads only what `FORM` has, not the names and signs around a value, and keys without a name are judged
+by their form. Bare keys of unknown form have no distant label; those of a known form (`KNOWN`) are secrets.
+
 Texts are read once; candidates, a small part of them, are written to the shared folder.
 
 Defined results: null and empty texts have no candidates. Repeated rows have findings of their own. If the
 labelled findings lack one of the two classes, there is no forest; candidates that distant labels call none
-have score 0 and all others 1. Other columns are ignored.
+have score 0 and all others 1, bare keys of unknown form among them. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,6 +43,12 @@ DICTIONARY = (
 )
 PAIRS = ("th", "he", "in", "er", "an", "re", "on", "at", "en", "nd", "ti", "es", "or", "te", "of", "ed", "is", "it", "al", "ar", "st", "to", "nt", "ch", "de", "le", "qu", "ou", "ie", "ge", "ue", "ci")
 
+# Whole words only: `latest` and `discard` say nothing.
+_BENIGN = r"(?<![a-z0-9])(?:" + "|".join(BENIGN) + r")(?:e?s)?(?![a-z0-9])"
+KNOWN = (
+    r"^(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_\-]{20,}|xox[abprs]-[A-Za-z0-9\-]{10,}"
+    r"|[sr]k_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_\-]{35}|eyJ[A-Za-z0-9_\-]{10,}\.eyJ[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]+)[.]?$"
+)
 # Of values beside a credential's name. A name may be part of a longer one.
 _NAME = "(?i)(?:" + "|".join(CREDENTIAL) + r""")[A-Za-z0-9_.\-]*["'`\])]*"""
 NAME_BEFORE, ASSIGNED_HERE = _NAME + r"""[=:]*>?["'`]*$""", _NAME + r"[=:]+>?(.+)"
@@ -51,6 +61,7 @@ FEATURES = (
     "length", "digits", "uppers", "hexes", "vowels", "distinct", "changes", "pairs", "coverage", "slashes", "dots", "dashes", "numeric",
     "named", "benign", "assigned", "quoted", "alone",
 )
+FORM = tuple(x for x in FEATURES if x not in ("named", "assigned", "quoted", "alone"))
 
 
 def candidates(documents: DataFrame) -> DataFrame:
@@ -107,26 +118,45 @@ def with_features(found: DataFrame) -> DataFrame:
         "distinct": F.size(F.array_distinct(F.split(value, ""))) / size, "changes": (runs - 1) / size,
         "pairs": F.regexp_count(F.lower(value), F.lit("|".join(PAIRS))) / size, "coverage": 1 - F.length(F.regexp_replace(F.lower(value), "|".join(sorted(DICTIONARY, key=len, reverse=True)), "")) / size,
         "slashes": share("/"), "dots": share("[.]"), "dashes": share("[-_]"), "numeric": value.rlike("^[0-9.\\-]+$").cast("double"),
-        "named": mark(CREDENTIAL, F.col("before")), "benign": mark(BENIGN, F.col("before")), "assigned": F.col("before").rlike("[=:]\\s*[\"']?$").cast("double"),
+        "named": mark(CREDENTIAL, F.col("before")), "benign": F.lower("before").rlike(_BENIGN).cast("double"), "assigned": F.col("before").rlike("[=:]\\s*[\"']?$").cast("double"),
         "quoted": (F.col("before").rlike("[\"'`]$") & F.col("after").rlike("^[\"'`]")).cast("double"), "alone": (F.col("before").rlike("(^|\\s)$") & (F.col("after") == "")).cast("double"),
     }
     return found.select("*", *(c.cast("double").alias(name) for name, c in columns.items()))
 
 
+def _known() -> Column:
+    return F.col("value").rlike(KNOWN) & (F.col("benign") == 0)
+
+
 def _sure() -> Column:
-    return (F.col("named") == 1) & (F.col("assigned") == 1) & (F.col("coverage") < 0.3) & (F.col("benign") == 0)
+    return _known() | ((F.col("named") == 1) & (F.col("assigned") == 1) & (F.col("coverage") < 0.3) & (F.col("benign") == 0))
+
+
+def _keylike() -> Column:
+    """Letters and digits in no order that words, paths, addresses and numbers have."""
+    form = F.col("value").rlike("^[A-Za-z0-9+/_\\-]+={0,2}[.]?$") & F.col("value").rlike("[A-Za-z]") & F.col("value").rlike("[0-9]")
+    return form & (F.col("length") >= 16) & (F.col("coverage") < 0.3) & (F.col("changes") >= 0.2)
 
 
 def _none() -> Column:
-    return ((F.col("named") == 0) & (F.col("assigned") == 0)) | (F.col("benign") == 1)
+    """Benign by the words before, if no name claims the value; or no name, no assignment and no form of a key."""
+    claimed = (F.col("named") == 1) & (F.col("assigned") == 1)
+    bare = (F.col("named") == 0) & (F.col("assigned") == 0)
+    return ~_known() & (((F.col("benign") == 1) & ~claimed) | (bare & ~_keylike()) | _prose())
+
+
+def _prose() -> Column:
+    """A short plain word that follows a name without a sign of assignment."""
+    return (F.col("assigned") == 0) & (F.col("length") < 16) & F.col("value").rlike("^[A-Za-z]?[a-z']*[.,;:!?]*$")
 
 
 def distant_labels(featured: DataFrame) -> DataFrame:
-    """Labels where no reviewer's are at hand: 1 for values assigned to a credential's name, 0 where nothing of this holds; others have none."""
+    """Labels where no reviewer's are at hand: 1 for values assigned to a credential's name or of a known form, 0 where
+    nothing of this holds; others, keys without a name and values claimed by a name beside a benign word among them, have none."""
     return featured.withColumn("label", F.when(_sure(), 1.0).when(_none(), 0.0)).filter("label IS NOT NULL")
 
 
-def train(labelled: DataFrame, rows: int = TRAINING_ROWS):
+def train(labelled: DataFrame, rows: int = TRAINING_ROWS, features: tuple[str, ...] = FEATURES):
     """A forest from labelled findings (features and label), or None if one class is missing."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
@@ -137,18 +167,18 @@ def train(labelled: DataFrame, rows: int = TRAINING_ROWS):
     sample = store(parts[0].union(parts[1]), "labelled-findings")
     if sample.select("label").distinct().count() < 2:
         return None
-    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(sample)
+    vectors = VectorAssembler(inputCols=list(features), outputCol="features").transform(sample)
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, minInstancesPerNode=2).fit(vectors)
 
 
-def score(featured: DataFrame, forest) -> DataFrame:
+def score(featured: DataFrame, forest, features: tuple[str, ...] = FEATURES) -> DataFrame:
     """`featured` and the forest's score."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
     if forest is None:
         return featured.withColumn("score", F.when(_none(), 0.0).otherwise(1.0))
-    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(featured)
+    vectors = VectorAssembler(inputCols=list(features), outputCol="features").transform(featured)
     scored = forest.transform(vectors)
     return scored.withColumn("score", F.round(vector_to_array("probability")[1], 6)).select(*featured.columns, "score")
 
@@ -160,8 +190,12 @@ def scan(documents: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     from the candidates themselves by `distant_labels`.
     """
     found = store(with_features(candidates(documents)), "secret-candidates")
-    training = distant_labels(found) if labelled is None else with_features(labelled)
-    return score(found, train(training)).withColumn("secret", F.col("score") >= THRESHOLD)
+    if labelled is not None:
+        scored = score(found, train(with_features(labelled)))
+    else:
+        scored = score(found, train(distant_labels(found), features=FORM), FORM)
+        scored = scored.withColumn("score", F.when(_known(), 1.0).otherwise(F.col("score")))
+    return scored.withColumn("secret", F.col("score") >= THRESHOLD)
 
 
 def scan_digest(documents: DataFrame) -> DataFrame:

@@ -151,6 +151,22 @@ def test_scan_of_generated_documents(spark, sf, given):
     assert secrets == {(d, v) for d, t, *_ in given for v in re.findall(r'(?i)token = "([0-9a-f]{40})"', t or "")}
 
 
+def test_bare_secrets_and_benign_parts_of_words(spark):
+    dice, rows = random.Random(4), planted(400, 3)
+    hexes, mixed = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    key = lambda letters, k: "".join(dice.choices(letters, k=k))
+    known = ["AKIA" + key(mixed[26:], 16), "ghp_" + key(mixed, 36)]
+    bare = [key(hexes, 40) for _ in range(20)] + [key(mixed, 40) for _ in range(20)]
+    claimed = [key(hexes, 40) for _ in range(20)]
+    texts = [f"we found {v} there" for v in known + bare] + [f'the {("latest", "discard")[i % 2]} api_key = "{v}" end' for i, v in enumerate(claimed)]
+    found = secret_scan.scan(spark.createDataFrame([(i, t) for i, t, _ in rows] + [(1000 + i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    kept = {r.value for r in found.filter("secret").collect()}
+    assert kept >= {*known, *claimed} and len(kept & {*bare}) >= 0.9 * len(bare)
+    labels = secret_scan.distant_labels(secret_scan.with_features(found.select("doc_id", "word", "part", "value", "before", "after")))
+    label = {r.value: r.label for r in labels.filter("doc_id >= 1000").collect()}
+    assert not {*bare} & {*label} and all(label[v] == 1 for v in known + claimed)
+
+
 def test_every_value_beside_a_credentials_name_is_a_candidate(spark):
     texts = {
         'set password = "Xk9qL2vB" now': {"Xk9qL2vB"}, "the password is hunter2 here": {"hunter2"}, "PASSWORD=P@ss#word!with$igns1 end": {"P@ss#word!with$igns1"},
