@@ -15,7 +15,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 # A document without an id is judged as if its id were larger than all others.
 NO_ID = 2**63 - 1
 
-__all__ = ["BLANKS", "NO_ID", "WORD", "checked_broadcast", "let", "lower_ascii", "order_id", "shared_folder", "store", "table", "text_or_empty"]
+__all__ = ["BLANKS", "NO_ID", "WORD", "checked_broadcast", "discard", "let", "lower_ascii", "order_id", "shared_folder", "store", "table", "text_or_empty"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,14 @@ def store(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes what `store` wrote for `df`, which nothing may read any more."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pulsegate.llm import chat_format, decontaminate, line_dedup, mixing, quality_rules, secret_scan, simhash_dedup, substring_dedup, token_counts, token_store
+from pulsegate.llm import chat_format, decontaminate, line_dedup, mixing, quality_rules, secret_scan, shallot, simhash_dedup, substring_dedup, token_counts, token_store, vantage, whitening
 from pulsegate.llm.common import table
 
 
@@ -46,6 +46,18 @@ def op10_secret_scan(spark, sf_dir):
     return secret_scan.scan_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark, sf_dir):
+    return whitening.whitening_digest(table(spark, sf_dir, "embeddings"))
+
+
+def op12_centroid_clustering(spark, sf_dir):
+    return shallot.clusters_digest(table(spark, sf_dir, "embeddings"))
+
+
+def op13_nearest_neighbours(spark, sf_dir):
+    return vantage.neighbours_digest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_counts": op2_token_counts,
@@ -57,10 +69,15 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_secret_scan": op10_secret_scan,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_nearest_neighbours": op13_nearest_neighbours,
 }
 
 ORACLES = {
     "op7_chat_format": chat_format.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
     "op9_quality_rules": quality_rules.ORACLE,
+    "op12_centroid_clustering": shallot.ORACLE,
+    "op13_nearest_neighbours": vantage.ORACLE,
 }
