@@ -118,6 +118,12 @@ def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.unionByName(profile, allowMissingColumns=True)
 
 
+def shared_ids(rows: DataFrame) -> DataFrame:
+    """Payload ids shared by four rows each; `row_id` tells them apart."""
+    shared = (F.col("event_id") - F.col("event_id") % 4).alias("event_id")
+    return rows.select(F.col("event_id").alias("row_id"), shared, *[F.col(f"`{c}`") for c in rows.columns if c != "event_id"])
+
+
 def catalogue() -> Catalogue:
     return Catalogue({("A", "v2"): EVENT_FIELDS, ("B", "v2"): EVENT_FIELDS, ("C", "v1"): PROFILE_FIELDS})
 

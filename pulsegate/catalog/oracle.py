@@ -153,6 +153,10 @@ AUDIT = " SELECT event_id, customer_id, rule_id, rule_version, status, failed_co
 oracle("flagship", AUDIT, *judged("R01"))
 oracle("rule_audit", AUDIT, *judged(*RULES))
 oracle("rule_audit_flat", " SELECT event_id, customer_id, rule_id, status, failed_condition, event_type, amount_cents, device_type FROM judged RECURSIVE", *judged("R02", "R05"))
+oracle("audit_flat_shared", """ SELECT c.event_id AS row_id, c.event_id - c.event_id % 4 AS event_id, rule_id, status, c.event_type
+FROM judged j JOIN cdp c ON c.event_id = j.event_id RECURSIVE""", *judged("R02", "R05"))
+oracle("rules_in_force", f""" SELECT event_id, 'F1' AS rule_id, CASE WHEN device_type = 'TABLET' AND amount_cents > 3000 THEN 'PASS' ELSE 'FAIL' END AS status FROM cdp
+WHERE source = 'B' AND us + (event_id % 5) * {H} >= epoch_us(TIMESTAMP '2024-01-08 00:00:00') AND us + (event_id % 5) * {H} < epoch_us(TIMESTAMP '2024-01-20 12:00:00')""")
 oracle("segments", " SELECT rule_id, count(DISTINCT customer_id) AS customers FROM judged WHERE status = 'PASS' GROUP BY rule_id RECURSIVE", *judged("R02", "R04", "R05", "R12"))
 oracle("trigger_dnf", """ SELECT rule_id, source, count(*) FILTER (WHERE NOT coalesce(failed_condition LIKE 'trigger%', false)) AS fired, count(*) AS routed
 FROM judged GROUP BY rule_id, source RECURSIVE""", *judged("R02", "R04", "R06", "R12"))
@@ -299,6 +303,7 @@ oracle("rule_violations", """ SELECT 'P' || p_partkey AS rule_id, 'tree' AS node
   WHEN 1 THEN ['operator > not allowed for STRING'] WHEN 11 THEN ['unknown field B.v2.no_such_field'] WHEN 21 THEN ['IN needs a list of literals']
   WHEN 31 THEN ['slide must divide duration', 'filter field is not dynamic_categorical: B.v2.k'] ELSE ['operator REGEX not allowed for STRING'] END) AS problem
 FROM part WHERE p_partkey % 50 IN (1, 11, 21, 31, 41)""")
+oracle("rule_envelope_paths", """ SELECT 'P' || p_partkey AS rule_id, CASE WHEN p_partkey % 4 = 3 THEN 'unknown field metadata.no_such' ELSE 'accepted' END AS outcome FROM part""")
 oracle("rule_index", """ SELECT field, value, count(DISTINCT p) AS rules FROM idx GROUP BY field, value UNION ALL SELECT '*', '*', count(*) FROM complex""", MANY)
 oracle("doc_freq", " SELECT 'B' AS source, 'v2' AS version, field, count(DISTINCT p) AS rules FROM preds GROUP BY field", MANY)
 
@@ -332,6 +337,10 @@ t AS (SELECT event_id, k, CASE WHEN k % 5 = 0 THEN 'A' WHEN k % 5 = 1 THEN 'A_B'
         CASE WHEN k % 5 = 0 THEN 'B_C' WHEN k % 5 = 1 THEN 'C' WHEN k % 5 <> 4 THEN login_channel END AS c FROM cdp),
 members AS (SELECT DISTINCT d, c FROM t WHERE k % 7 = 0 AND c IS NOT NULL AND d <> 'A_B' AND k % 2 + 1 = (
   SELECT max(k % 2 + 1) FROM t WHERE k % 7 = 0 AND c IS NOT NULL AND d <> 'A_B'))""")
+oracle("dataset_newest", """ SELECT dataset_id, dataset_version, tuples FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY n DESC) AS r FROM (
+  SELECT o_orderstatus AS dataset_id, o_orderkey % 12 AS n, CASE o_orderstatus WHEN 'F' THEN 'v1.' || (o_orderkey % 12) WHEN 'O' THEN '2024-' || (o_orderkey % 12) END AS dataset_version, count(DISTINCT o_orderpriority) AS tuples
+  FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY ALL)) WHERE r = 1
+UNION ALL SELECT o_orderstatus, NULL, count(DISTINCT o_orderpriority) FROM orders WHERE o_orderstatus NOT IN ('F', 'O') GROUP BY 1""")
 oracle("dataset_upsert", """ SELECT 'seen' AS dataset_id, v AS dataset_version, count(*) AS tuples, count(*) < 50 AS use_in FROM (
   SELECT DISTINCT 'v' || o_orderkey % 3 AS v, a, b FROM (SELECT o_orderkey, o_orderstatus AS a, o_orderpriority AS b FROM orders UNION ALL SELECT o_orderkey, o_orderpriority, o_orderstatus FROM orders))
 GROUP BY v""")

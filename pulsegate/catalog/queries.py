@@ -63,9 +63,7 @@ def event_log(spark, sf_dir):
 @query
 def first_arrival_shared(spark, sf_dir):
     """Payload ids shared by four events each: one PASS for each id and kind of event, told apart by row."""
-    shared = (F.col("event_id") - F.col("event_id") % 4).alias("event_id")
-    line = fx.timeline(spark, sf_dir).where("source <> 'C'")
-    line = line.select(F.col("event_id").alias("row_id"), shared, *[F.col(f"`{c}`") for c in line.columns if c != "event_id"])
+    line = fx.shared_ids(fx.timeline(spark, sf_dir).where("source <> 'C'"))
     rule = {
         "rule_id": "S", "trigger_criteria": [{"source": s, "schema_version": "v2"} for s in ("A", "B")],
         "condition_tree": {"type": "CONDITION", "expression": {"op": "IS_FIRST_ARRIVAL", "order_by": "processing_time", "key_fields": ["metadata.id", "event_type"]}},
@@ -84,6 +82,30 @@ def rule_audit_flat(spark, sf_dir):
     )
 
 
+@query
+def audit_flat_shared(spark, sf_dir):
+    """The flat audit of rows that share payload ids: one line for each row and rule."""
+    line = fx.shared_ids(fx.timeline(spark, sf_dir).where("source <> 'C'"))
+    rules = [parse_rule(r) for r in fx.rules_small() if r["rule_id"] in ("R02", "R05")]
+    evaluation = audit.evaluation_table(compile_rules(rules, fx.catalogue(), bucket=BUCKET).run(line))
+    log = audit.event_log(fx.shared_ids(fx.cdp_events(spark, sf_dir)).select("row_id", "event_id", "event_type"))
+    flat = audit.flat_audit(log, evaluation)
+    return flat.select("row_id", "event_id", "rule_id", "status", F.get_json_object("event", "$.event_type").alias("event_type"))
+
+
+@query
+def rules_in_force(spark, sf_dir):
+    """Verdicts of a rule that is in force for twelve days: of events that arrive then, whenever they happened."""
+    line = fx.timeline(spark, sf_dir).where("source = 'B'")
+    line = line.withColumn("arrival_time", F.col("event_time") + F.make_interval(hours=(F.col("event_id") % 5).cast("int")))
+    rule = {
+        "rule_id": "F1", "effective_from": "2024-01-08T00:00:00Z", "effective_to": "2024-01-20T12:00:00Z",
+        "trigger_criteria": [{"source": "B", "schema_version": "v2", "conditions": [[{"field": "device_type", "op": "==", "value": "TABLET"}]]}],
+        "condition_tree": {"type": "CONDITION", "expression": {"field": "B.v2.amount_cents", "op": ">", "value": 3000}},
+    }
+    return compile_rules([parse_rule(rule)], fx.catalogue(), bucket=BUCKET).run(line).select("event_id", "rule_id", "status")
+
+
 @query
 def segments(spark, sf_dir):
     return audit.segment_sizes(_judged(spark, sf_dir, {"R02", "R04", "R05", "R12"}))
@@ -387,6 +409,23 @@ def rule_violations(spark, sf_dir):
     return checks.violations(flatten.flatten_rules(rules), fx.field_rows(spark, sf_dir)).select("rule_id", "node_path", "problem")
 
 
+@query
+def rule_envelope_paths(spark, sf_dir):
+    """Rules that read the envelope: its known paths are no violations, others are."""
+    key = F.col("p_partkey")
+    expression = (
+        F.when(key % 4 == 0, F.lit('{"op":"IS_FIRST_ARRIVAL","key_fields":["metadata.id","event_type"],"ttl":"1h"}'))
+        .when(key % 4 == 1, F.lit('{"field":"B.v2.event_time","op":">","value":"2024-01-05T00:00:00Z"}'))
+        .when(key % 4 == 2, F.lit('{"field":"metadata.customer_id","op":"IS_NOT_NULL"}'))
+        .otherwise(F.lit('{"field":"metadata.no_such","op":"IS_NOT_NULL"}'))
+    )
+    body = F.concat(F.format_string('{"rule_id":"P%d","trigger_criteria":[{"source":"B","schema_version":"v2","conditions":[]}],"condition_tree":{"type":"CONDITION","expression":', key), expression, F.lit("}}"))
+    rules = fx.table(spark, sf_dir, "part").select(F.concat(F.lit("P"), key.cast("string")).alias("rule_id"), body.alias("body"))
+    found = checks.violations(flatten.flatten_rules(rules), fx.field_rows(spark, sf_dir))
+    kept = checks.accepted_rules(rules, found).select("rule_id", F.lit("accepted").alias("outcome"))
+    return kept.unionByName(found.select("rule_id", F.col("problem").alias("outcome")))
+
+
 def _matching(spark, sf_dir):
     # The flattened rule table and the signatures are read several times; both are small.
     predicates = candidates.trigger_predicates(_leaves(spark, sf_dir)).persist()
@@ -476,6 +515,15 @@ def in_dataset_tuple(spark, sf_dir):
     return datasets.add_membership(events, "member", spec, rows).select("event_id", "member")
 
 
+@query
+def dataset_newest(spark, sf_dir):
+    """The newest version of each dataset by all its numbers: v1.11 comes after v1.9, 2024-10 after 2024-9."""
+    number = (F.col("o_orderkey") % 12).cast("string")
+    version = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("v1."), number)).when(F.col("o_orderstatus") == "O", F.concat(F.lit("2024-"), number))
+    rows = fx.table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("dataset_id"), version.alias("dataset_version"), F.array("o_orderpriority").alias("key")).distinct()
+    return datasets.newest(rows).groupBy("dataset_id", "dataset_version").agg(F.count("*").alias("tuples"))
+
+
 @query
 def dataset_upsert(spark, sf_dir):
     """Dataset messages built from orders, loaded in two halves; repeated tuples are ignored."""

@@ -45,17 +45,38 @@ def moment_us(value: Any) -> int:
     return (moment - dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)) // dt.timedelta(microseconds=1)
 
 
-def literal(value: Any, dtype: str) -> Column:
-    """Literal of a declared type; a value that is none is refused here, not when rows are read."""
+def plain(value: Any, dtype: str) -> Any:
+    """A literal of a declared type as a plain value, times in microseconds; a value that is none is refused."""
     if dtype == "TIMESTAMP":
-        return F.timestamp_micros(F.lit(moment_us(value)).cast("bigint"))
+        return moment_us(value)
     if dtype == "STRING":
-        return F.lit(str(value))
+        return str(value)
     if dtype in NUMERIC and (isinstance(value, bool) or not isinstance(value, (int, float))):
         raise ValueError(f"not a number: {value!r}")
     if dtype == "BOOLEAN" and not isinstance(value, bool):
         raise ValueError(f"not a boolean: {value!r}")
-    return F.lit(value)
+    return value
+
+
+def literal(value: Any, dtype: str) -> Column:
+    """Literal of a declared type; a value that is none is refused here, not when rows are read."""
+    value = plain(value, dtype)
+    return F.timestamp_micros(F.lit(value).cast("bigint")) if dtype == "TIMESTAMP" else F.lit(value)
+
+
+def typed(op: str, dtype: str, value: Any, has_right: bool) -> Any:
+    """What an operator compares with, as plain values: one, a list, or None for a right side; refuses what `predicate` refuses."""
+    if op in NULL_OPS or (op in COMPARE and has_right):
+        return None
+    if op in COMPARE:
+        return plain(value, dtype)
+    if op in LIST_OPS:
+        if not isinstance(value, (list, tuple)) or (op == "BETWEEN" and len(value) != 2):
+            raise ValueError(f"{op} needs a list of literals, BETWEEN of two: {value!r}")
+        return [plain(v, dtype) for v in value]
+    if op in TEXT_OPS:
+        return str(value)
+    raise ValueError(f"operator not supported: {op!r}")
 
 
 def compare(op: str, left: Column, right: Column) -> Column:

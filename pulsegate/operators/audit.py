@@ -11,22 +11,29 @@ HOT_RATE = 500
 HOT_TOP = 10
 
 
+def _identity(rows: DataFrame) -> list[str]:
+    """Payload ids may be shared between sources and rows; where rows have an identity of their own it goes along."""
+    return ["event_id", *(["row_id"] if "row_id" in rows.columns else [])]
+
+
 def evaluation_table(judged: DataFrame, processing_time: Column | None = None) -> DataFrame:
     """Second audit table: status and failed condition per event and rule."""
     now = F.current_timestamp() if processing_time is None else processing_time
-    return judged.select("event_id", now.alias("processing_time"), "customer_id", "rule_id", "rule_version", "status", "failed_condition")
+    return judged.select(*_identity(judged), now.alias("processing_time"), "customer_id", "rule_id", "rule_version", "status", "failed_condition")
 
 
 def event_log(events: DataFrame, processing_time: Column | None = None) -> DataFrame:
     """First audit table: the event as it came, with the processing time."""
     now = F.current_timestamp() if processing_time is None else processing_time
     body = F.to_json(F.struct(*[F.col(f"`{c}`") for c in events.columns]))
-    return events.select("event_id", now.alias("processing_time"), body.alias("event"))
+    return events.select(*_identity(events), now.alias("processing_time"), body.alias("event"))
 
 
 def flat_audit(log: DataFrame, evaluation: DataFrame) -> DataFrame:
-    """Both tables in one, joined on the event id."""
-    return evaluation.join(log.drop("processing_time"), "event_id")
+    """Both tables in one, joined on the row where both tell rows apart, else on the event id."""
+    both = "row_id" in log.columns and "row_id" in evaluation.columns
+    log = log.drop("processing_time", *(["event_id"] if both else ["row_id"]))
+    return evaluation.join(log, "row_id" if both else "event_id")
 
 
 def segments(judged: DataFrame) -> DataFrame:

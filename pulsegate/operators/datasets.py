@@ -38,11 +38,16 @@ def upsert(known: DataFrame | None, arriving: DataFrame) -> DataFrame:
     return rows.dropDuplicates(["dataset_id", "dataset_version", "key"])
 
 
+def version_order(version: Column) -> Column:
+    """What versions are ordered by: all their numbers from left to right (v1.10 after v1.2), then the text; NULL first."""
+    numbers = F.transform(F.regexp_extract_all(F.coalesce(version, F.lit("")), F.lit(r"(\d+)")), lambda n: n.try_cast("decimal(38,0)"))
+    return F.struct(version.isNotNull().alias("given"), numbers.alias("numbers"), F.coalesce(version, F.lit("")).alias("text"))
+
+
 def newest(rows: DataFrame) -> DataFrame:
-    """Rows of the highest version number of each dataset: what a rule without a version means."""
-    number = F.coalesce(F.regexp_extract("dataset_version", r"(\d+)", 1).try_cast("bigint"), F.lit(-1).cast("bigint"))
-    top = rows.groupBy("dataset_id").agg(F.max(number).alias("_top"))
-    return rows.join(small(top), "dataset_id").where(number == F.col("_top")).drop("_top")
+    """Rows of the highest version of each dataset: what a rule without a version means."""
+    top = rows.groupBy("dataset_id").agg(F.max_by("dataset_version", version_order(F.col("dataset_version"))).alias("_top"))
+    return rows.join(small(top), "dataset_id").where(F.col("dataset_version").eqNullSafe(F.col("_top"))).drop("_top")
 
 
 def members(rows: DataFrame, dataset_id: str, version: str | None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegate.functions.predicates import ALLOWED, NUMERIC
+from pulsegate.plans.fields import ENVELOPE
 
 LIST_OPS = ("IN", "NOT IN", "BETWEEN")
 SHORT_LIST = 50
@@ -32,9 +33,11 @@ def _literal_wrong() -> Column:
 
 def _unknown(rows: DataFrame, columns: DataFrame) -> DataFrame:
     """Fields read anywhere in a rule - either side, expressions, keys, filters of sequences - that no schema declares."""
-    names = columns.select(F.explode(F.array(F.concat_ws(".", "source", "version", "path"), F.concat_ws(".", "source", "path"))).alias("_name")).distinct()
+    envelope = columns.select("source", "version").distinct().select("source", "version", F.explode(F.array(*map(F.lit, ENVELOPE))).alias("path"))
+    every = columns.select("source", "version", "path").unionByName(envelope)
+    names = every.select(F.explode(F.array(F.concat_ws(".", "source", "version", "path"), F.concat_ws(".", "source", "path"))).alias("_name")).distinct()
     asked = rows.select("rule_id", "node_path", F.posexplode("reads").alias("_n", "_names")).where(
-        ~F.exists("_names", lambda n: n.rlike(r"(^|\\.)metadata\\.|(^|\\.)event_time$")) & ~F.startswith(F.get("_names", F.lit(0)), F.lit("general_schema."))
+        ~F.startswith(F.get("_names", F.lit(0)), F.lit("general_schema."))
     )
     each = asked.select("*", F.explode("_names").alias("_name")).join(names.withColumn("_known", F.lit(True)), "_name", "left")
     found = each.groupBy("rule_id", "node_path", "_n").agg(F.first(F.get("_names", F.lit(0))).alias("_spelled"), F.count("_known").alias("_hits"))

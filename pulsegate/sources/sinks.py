@@ -11,6 +11,14 @@ def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
     rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
+def write_once(rows: DataFrame, path: str, batch_id: int) -> None:
+    """Write one micro-batch for a stream that reads it: a batch that is there whole is left as it is."""
+    spark = rows.sparkSession
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/batch_id={batch_id}/_SUCCESS")
+    if not mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark):
+        write_batch(rows, path, batch_id)
+
+
 def read_batches(spark: SparkSession, path: str) -> DataFrame:
     """All batches written so far, with `batch_id`."""
     return spark.read.option("basePath", path).parquet(path).withColumn("batch_id", F.col("batch_id").cast("bigint"))

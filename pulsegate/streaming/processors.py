@@ -20,7 +20,8 @@ from pulsegate.functions.durations import cell, event_us
 from pulsegate.operators.state import NEEDS, Metric, partial
 
 MS = 1_000
-SPREAD = 256
+# Groups for each shuffle partition, so that a stateless step is evenly dealt.
+SPREAD = 4
 
 
 def _collect(rows, *order: str) -> pd.DataFrame:
@@ -33,6 +34,12 @@ def _extended(schema: T.StructType, columns: dict[str, str]) -> T.StructType:
     return T.StructType([*schema.fields, *[T.StructField(n, T.DataType.fromDDL(kind)) for n, kind in columns.items()]])
 
 
+def _holds_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_holds_map(f.dataType) for f in kind.fields)
+    return _holds_map(kind.elementType) if isinstance(kind, T.ArrayType) else isinstance(kind, (T.MapType, T.VariantType))
+
+
 class LateSplit(StatefulProcessor):
     """Marks rows behind the watermark. Runs in processing time: an event-time step would drop them unseen."""
 
@@ -55,7 +62,10 @@ def split_late(events: DataFrame, lateness: str = "10 seconds", time: str = "eve
     """
     rows = events.withColumn("event_us", event_us(time)).withWatermark(time, lateness)
     schema = _extended(rows.schema, {"watermark_us": "bigint", "is_late": "boolean"})
-    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(SPREAD))
+    # Rows have an identity, or at least columns that can be hashed (maps cannot).
+    named = ["row_id"] if "row_id" in rows.columns else [f.name for f in rows.schema if not _holds_map(f.dataType)]
+    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in named]), F.lit(SPREAD * parts))
     return rows.withColumn("x_spread", spread).groupBy("x_spread").transformWithStateInPandas(LateSplit(), schema, "Append", "ProcessingTime")
 
 
@@ -63,15 +73,18 @@ class FirstArrival(StatefulProcessor):
     """Accepts the first row of a key, and the next one once `ttl` has passed since the accepted one.
 
     Arrival time is a column, so that a replay, a stop or a lag gives the same answer: what a
-    key remembers is one number, and it is kept until a later arrival replaces it. Without a
-    ttl a key is accepted once.
+    key remembers is one number. It goes a ttl and LAG_MS after it was written, by the clock of the
+    cluster; rows may lag behind their arrival by as much. Without a ttl a key is accepted once.
     """
 
+    LAG_MS = 86_400_000
+
     def __init__(self, ttl: int | None):
         self.ttl = ttl
 
     def init(self, handle) -> None:
-        self.last = handle.getValueState("last", "us bigint")
+        keep = None if self.ttl is None else self.ttl // MS + self.LAG_MS
+        self.last = handle.getValueState("last", "us bigint", ttlDurationMs=keep)
 
     def handleInputRows(self, key, rows, timerValues):
         batch = _collect(rows, "arrival_us", "event_id")
@@ -149,6 +162,120 @@ def _order(at):
     return (us, int(ident) if ident.lstrip("-").isdigit() else 0, ident)
 
 
+class Marks(StatefulProcessor):
+    """Decides the sequence and arrival marks that rules wait for; a key is one mark and its key.
+
+    An arrival is decided as it comes: the first of its key, and the next one a time to live
+    after an accepted one. The last accepted time is removed by a timer once the clock has
+    passed its time to live; without one a key is kept, since it is accepted once.
+
+    The A of a sequence waits until the clock has passed its limit, when every B in time has come.
+    Times are cut into cells of a 256th of the limit; a key has one timer for each cell that holds
+    rows, and only a timer looks over what waits. It decides the A whose limit has passed, at most a
+    cell after it, and drops each B that neither a waiting A nor one still to come can precede. So
+    what is kept for a key are the rows of one limit and a cell.
+    """
+
+    CELLS = 256
+
+    def __init__(self, numeric: bool):
+        self.numeric = numeric
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "us bigint, span bigint")
+        self.waiting = handle.getMapState("waiting", "us bigint, id string", "span bigint")
+        self.seen = handle.getMapState("seen", "us bigint, id string", "one int")
+
+    def _place(self, us: int, ident: str):
+        return (us, int(ident) if self.numeric else 0, ident)
+
+    def handleInputRows(self, key, rows, timerValues):
+        batch = _collect(rows, "event_us", "ident")
+        if batch.empty:
+            return
+        if batch["role"].isin(["F", "E"]).any():
+            yield self._arrivals(batch)
+            return
+        clock = timerValues.getCurrentWatermarkInMs() * MS
+        due = set()
+        for row in batch.itertuples():
+            us, span = int(row.event_us), int(row.span)
+            grain = max(MS, span // self.CELLS)
+            if row.role == "A":
+                self.waiting.updateValue((us, str(row.ident)), (span,))
+                due.add((us + span) // grain * grain + grain)
+            else:
+                self.seen.updateValue((us, str(row.ident)), (1,))
+                due.add(us // grain * grain + grain)
+        for at in due:
+            self.handle.registerTimer(max(-(-at // MS), clock // MS + 1))
+
+    def _arrivals(self, batch: pd.DataFrame) -> pd.DataFrame:
+        time = ["arrival_us" if r == "F" else "event_us" for r in batch["role"]]
+        batch = batch.assign(at=[int(batch[c].iloc[i]) for i, c in enumerate(time)])
+        order = sorted(range(len(batch)), key=lambda i: self._place(batch["at"].iloc[i], str(batch["ident"].iloc[i])))
+        batch = batch.iloc[order]
+        last = self.last.get()[0] if self.last.exists() else None
+        before, accepted = last, []
+        for at, span in zip(batch["at"], batch["span"]):
+            taken = last is None or (not pd.isna(span) and at >= last + int(span))
+            last = int(at) if taken else last
+            accepted.append(bool(taken))
+        if last != before:
+            span = batch["span"].iloc[0]
+            span = None if pd.isna(span) else int(span)
+            self.last.update((last, span))
+            if span is not None:
+                self.handle.registerTimer(-(-(last + span) // MS))
+        return self._out(batch["mark"].iloc[0], [(str(i), int(us), v) for i, us, v in zip(batch["ident"], batch["event_us"], accepted)])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        clock = timerValues.getCurrentWatermarkInMs() * MS
+        if self.last.exists():
+            last, span = self.last.get()
+            if span is not None and last + span <= clock:
+                self.last.clear()
+            return
+        waiting = {k: v[0] for k, v in self.waiting.iterator()}
+        ready = sorted((k for k, span in waiting.items() if k[0] + span <= clock), key=lambda k: self._place(*k))
+        seconds = sorted((self._place(*k) for k in self.seen.keys()))
+        decided = []
+        for us, ident in ready:
+            following = bisect_right(seconds, self._place(us, ident))
+            decided.append((ident, us, following < len(seconds) and seconds[following][0] < us + waiting[(us, ident)]))
+            self.waiting.removeKey((us, ident))
+        # A row still to come lies at the clock or after it.
+        needed = min([us for us, ident in waiting if us + waiting[(us, ident)] > clock], default=clock)
+        for us, _, ident in seconds:
+            if us < min(clock, needed):
+                self.seen.removeKey((us, ident))
+        later = [us for us, *_ in seconds if min(clock, needed) <= us < clock]
+        if later and len(waiting) > len(ready):
+            # Kept for an A that still waits; looked at again when that is decided.
+            self.handle.registerTimer(-(-min(us + waiting[(us, ident)] for us, ident in waiting if us + waiting[(us, ident)] > clock) // MS))
+        if decided:
+            yield self._out(key[0], decided)
+
+    @staticmethod
+    def _out(mark: str, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(ident, mark, us, value) for ident, us, value in rows], columns=["ident", "mark", "event_us", "value"])
+
+    def close(self) -> None:
+        pass
+
+
+STEP = "ident string, event_us bigint, arrival_us bigint, watermark_us bigint, mark string, role string, key string, span bigint"
+MARK = "ident string, mark string, event_us bigint, value boolean"
+
+
+def marks(steps: DataFrame, numeric: bool) -> DataFrame:
+    """Streaming marks (ident, mark, event_us, value) of steps, which carry the watermark they were judged under as clock."""
+    # Spark takes a row at the watermark itself for late, so the clock runs a second ahead of the one it waits for.
+    rows = steps.withColumn("clock", F.timestamp_micros(F.col("watermark_us") + 1_000 * MS)).withWatermark("clock", "1 second")
+    return rows.groupBy("mark", "key").transformWithStateInPandas(Marks(numeric), MARK, "Append", "EventTime")
+
+
 DECIDED = "event_id string, customer_id string, event_us bigint, decided_us bigint, followed boolean"
 
 
@@ -251,7 +378,7 @@ class CustomerState(StatefulProcessor):
         watermark = timerValues.getCurrentWatermarkInMs() * MS
         taken = batch.to_dict("records")
         if not self.ordered:
-            yield self._applied(taken, watermark)
+            yield self._applied(taken, watermark, watermark)
             return
         for row in taken:
             named = {old: row[new] for old, new, _ in self.carried}
@@ -276,15 +403,17 @@ class CustomerState(StatefulProcessor):
             self.pending.removeKey((us, ident))
         self._wake()
         if rows:
-            yield self._applied(rows, None)
+            yield self._applied(rows, None, watermark)
 
-    def _applied(self, rows: list[dict], watermark: int | None) -> pd.DataFrame:
-        """The rows with their state; late ones (behind `watermark`) without."""
+    def _applied(self, rows: list[dict], watermark: int | None, clock: int) -> pd.DataFrame:
+        """The rows with their state; late ones (behind `watermark`) without. Buckets behind the `clock` go."""
         totals = {(s, p): _Totals(MERGE[p]) for _, s, p, _ in self.parts}
         kinds = {(s, p): "ids".index(k) for _, s, p, k in self.parts}
         stale = []
+        # Ordered rows lie behind the clock, so the oldest of them still reads its own windows.
+        oldest = min([clock, *(row["x_us"] for row in rows)]) if watermark is None else clock
         for (series, part, bucket), value in self.buckets.iterator():
-            if watermark is not None and bucket < watermark // self.bucket - self.keep - 1:
+            if bucket < oldest // self.bucket - self.keep - 1:
                 stale.append((series, part, bucket))
             elif (series, part) in totals:
                 totals[(series, part)].load(bucket, value[kinds[(series, part)]])
@@ -319,7 +448,7 @@ class CustomerState(StatefulProcessor):
                     latest[name] = value
                     changed.add(name)
                 done[short] = None if late else latest[name]
-            out.append({new: _native(row[new], kind) for _, new, kind in self.carried} | {"customer_id": row["customer_id"], "is_late": late} | done)
+            out.append({new: _native(row[new], kind) for _, new, kind in self.carried} | {"customer_id": row["customer_id"], "is_late": late, "watermark_us": clock} | done)
         for series, part, bucket in touched:
             kind = "ids"[kinds[(series, part)]]
             self.buckets.updateValue((series, part, bucket), _cell(totals[(series, part)].held[bucket], kind))
@@ -338,7 +467,7 @@ def _series_id(metric: Metric) -> str:
 
 def customer_state(events: DataFrame, attributes: dict, metrics: dict[str, Metric], bucket: int, profile_ttl_ms: int | None = None,
                    lateness: str = "10 seconds", ordered: bool = False, ident: str = "event_id") -> DataFrame:
-    """Streaming twin of operators.state.add_state: the same columns and `is_late`, from state instead of windows.
+    """Streaming twin of operators.state.add_state: the same columns, `is_late` and `watermark_us`, from state instead of windows.
 
     The watermark follows the event times, but no event time counts beyond its arrival: a row
     dated far ahead moves nothing. With `ordered`, rows behind the watermark are dropped by
@@ -386,10 +515,10 @@ def customer_state(events: DataFrame, attributes: dict, metrics: dict[str, Metri
     results |= {name: types[column] for name, column in carried.items()}
     state_kind = lambda dtype: "i" if dtype == "timestamp" else _kind(dtype)
     schema = ", ".join([
-        "customer_id string", "is_late boolean", *[f"{short[c]} {ddl[kind_of(c)]}" for c in plain],
+        "customer_id string", "is_late boolean", "watermark_us bigint", *[f"{short[c]} {ddl[kind_of(c)]}" for c in plain],
         *[f"{named[n]} {ddl[state_kind(dtype)]}" for n, dtype in results.items()],
     ])
     out = crossing.groupBy("customer_id").transformWithStateInPandas(processor, schema, "Append", "EventTime" if ordered else "ProcessingTime")
     columns = {c: F.col("customer_id") if c == "customer_id" else back(F.col(short[c]), types[c]) for c in events.columns}
     columns |= {n: back(F.col(named[n]), dtype) for n, dtype in results.items()}
-    return out.select(*[column.alias(c) for c, column in columns.items()], "is_late")
+    return out.select(*[column.alias(c) for c, column in columns.items()], "is_late", "watermark_us")

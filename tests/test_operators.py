@@ -196,6 +196,7 @@ def test_a_rule_judges_only_events_after_it_was_loaded(spark):
             "condition_tree": {"type": "CONDITION", "expression": "S.v1.n > 10"}}
     rows = [(i, "c", BASE + dt.timedelta(seconds=30 * i), "S", "v1", None if i == 3 else 15) for i in range(5)]
     line = spark.createDataFrame(rows, "event_id bigint, customer_id string, event_time timestamp, source string, schema_version string, `S.v1.n` int")
+    line = line.withColumn("arrival_time", F.col("event_time"))
     out = compile_rules([parse_rule(rule)], catalogue).run(line).orderBy("event_id").collect()
     # The event without n is judged by the profile, which still holds the last value.
     assert [(r.event_id, r.status) for r in out] == [(2, "PASS"), (3, "PASS"), (4, "PASS")]

@@ -106,6 +106,23 @@ def test_late_rows_leave_the_main_flow(spark, tmp_path):
     assert out.count() == 8
 
 
+def test_late_split_takes_what_ingest_writes(spark, sf, tmp_path):
+    """Validated events hold a map of fields; each row comes out once."""
+    judged = ingest.judge_messages(fx.raw_messages(spark, sf), fx.message_schemas(spark, sf))
+    valid = ingest.valid_events(judged)
+    assert "fields" in valid.columns
+    valid.coalesce(2).write.parquet(str(tmp_path / "in"))
+    marked = processors.split_late(_stream(spark, str(tmp_path / "in"), valid.schema))
+    jobs.start_append(marked, str(tmp_path / "out"), str(tmp_path / "ckpt")).awaitTermination(90)
+    out = sinks.read_batches(spark, str(tmp_path / "out"))
+    assert _set(out.select("row_id")) == _set(valid.select("row_id")) and out.where("is_late").count() > 0
+
+
+def test_ordered_rules_refuse_a_late_sink(spark, tmp_path):
+    with pytest.raises(ValueError, match="split"):
+        jobs.start_rules(spark.createDataFrame([], EVENTS), _window_rules(("R", "a", 8)), "a", "b", ordered=True, late_path="c")
+
+
 def test_first_arrival_stream_equals_batch(spark, ordered, tmp_path):
     path, rows = ordered
     rows = rows.withColumn("arrival_time", F.col("event_time"))
@@ -279,3 +296,127 @@ def test_first_arrival_of_shared_payload_ids(spark, tmp_path):
     out = processors.first_arrivals(keyed, ["event_id", "kind"], 3600 * 1_000_000)
     jobs.start_append(out, str(tmp_path / "out"), str(tmp_path / "ckpt")).awaitTermination(90)
     assert sorted(r.row_id for r in sinks.read_batches(spark, str(tmp_path / "out")).collect()) == ["S1-0-0", "S1-0-1"]
+
+
+@pytest.mark.parametrize("order", ["as they come", "shuffled in files"])
+def test_rules_with_sequences_and_arrivals_on_a_stream_equal_batch(spark, sf, tmp_path, order):
+    """R08 (absence) and R09 (first arrival), a tree with both, and a rule with neither: one audit, equal to batch."""
+    both = {
+        "rule_id": "X", "trigger_criteria": [{"source": "B", "schema_version": "v2", "conditions": [[{"field": "k", "op": "<", "value": 80}]]}],
+        "condition_tree": {"type": "OR", "children": [
+            {"type": "AND", "children": [
+                {"type": "SEQUENCE", "pattern": "FOLLOWED_BY", "within": "36h", "first": {"source": "B", "filter": [{"field": "event_type", "op": "==", "value": "view"}]},
+                 "second": {"source": "A", "version": "v2", "filter": []}},
+                {"type": "CONDITION", "expression": {"op": "IS_FIRST_ARRIVAL", "key_fields": ["session_id"], "ttl": "6h"}}]},
+            {"type": "CONDITION", "expression": {"field": "B.v2.amount_cents", "op": ">", "value": 8000}}]}}
+    bodies = [r for r in fx.rules_small() if r["rule_id"] in {"R01", "R08", "R09"}] + [both]
+    rules = compile_rules([parse_rule(r) for r in bodies], fx.catalogue(), bucket=HOUR)
+    line = fx.timeline(spark, sf)
+    if order == "shuffled in files":
+        line = line.repartition(3)
+    _files(line, str(tmp_path / "in"), "event_id", 4)
+    paths = {n: str(tmp_path / n) for n in ("audit", "late audit", "waiting")}
+    stream = _stream(spark, str(tmp_path / "in"), line.schema)
+    assert jobs.start_rules(stream, rules, paths["audit"], str(tmp_path / "c1"), waiting_path=paths["waiting"]).awaitTermination(180)
+    assert jobs.start_marks(spark, rules, paths["waiting"], paths["late audit"], str(tmp_path / "c2"), numeric_ids=True).awaitTermination(180)
+    columns = ["event_id", "rule_id", "status", "failed_condition"]
+    got = _set(sinks.read_batches(spark, paths["audit"]).select(*columns)) + _set(sinks.read_batches(spark, paths["late audit"]).select(*columns))
+    want = rules.run(line, keep=("event_time",))
+    clock = sinks.read_batches(spark, f"{paths['waiting']}/steps").agg(F.max("watermark_us")).head()[0]
+    # An A is decided a cell after its limit at the latest; later ones are still open: views, in the rules with a sequence.
+    views = line.where("`B.v2.event_type` = 'view'").select("event_id").withColumn("view", F.lit(True))
+    limit = F.when(F.col("rule_id") == "R08", micros("24h")).when(F.col("rule_id") == "X", micros("36h"))
+    open_ = want.join(views, "event_id", "left").where(F.col("view") & (event_us() + limit * (1 + 1 / processors.Marks.CELLS) > clock - 1_000_000)).select(*columns)
+    still = set(_set(open_))
+    assert len(got) == len(set(got)) and len(still) > 10
+    assert set(_set(want.select(*columns))) - still <= set(got) <= set(_set(want.select(*columns)))
+    assert {(r, s) for _, r, s, _ in got} >= {("R08", "PASS"), ("R08", "FAIL"), ("R09", "PASS"), ("R09", "FAIL"), ("X", "PASS"), ("X", "FAIL")}
+
+
+class _Store(dict):
+    """A map or value state in memory."""
+
+    updateValue, removeKey, iterator = dict.__setitem__, dict.__delitem__, lambda self: iter(list(self.items()))
+
+    def keys(self):
+        return list(dict.keys(self))
+
+    def exists(self):
+        return "v" in self
+
+    def get(self):
+        return self["v"]
+
+    def update(self, value):
+        self["v"] = value
+
+
+class _Handle:
+    def __init__(self):
+        self.timers, self.stores = set(), {}
+
+    def state(self, name, *_, **__):
+        return self.stores.setdefault(name, _Store())
+
+    getMapState = getValueState = state
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+
+class _Clock:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_marks_decide_as_the_definition_and_leave_no_state(seed):
+    """Rows out of order above the clock: each A as by comparing all pairs; nothing is left once the clock has passed."""
+    import random
+
+    import pandas as pd
+
+    rng = random.Random(seed)
+    span = rng.choice([5_000, 60_000]) * 1_000
+    rows = [(rng.randrange(0, 300_000) * 1_000, i, rng.choice("AB")) for i in range(120)]
+    rows += [(us, 1_000 + i, "A") for us, i, role in rows if role == "B"][:10]
+    step = processors.Marks(numeric=True)
+    handle = _Handle()
+    step.init(handle)
+    got, clock, most = {}, 0, 0
+    waves = {}
+    for us, i, role in rows:
+        # A row comes while the clock is behind it.
+        waves.setdefault(max(0, us - rng.randrange(0, 20_000_000)) // 10_000_000, []).append((us, i, role))
+    for wave in [*sorted(waves), 10_000]:
+        batch = pd.DataFrame([(str(i), us, us, 0, "m", role, "k", span) for us, i, role in waves.get(wave, [])], columns=[c.split()[0] for c in processors.STEP.split(", ")])
+        out = list(step.handleInputRows(("m", "k"), iter([batch]), _Clock(clock)) or ())
+        clock = max(clock, wave * 10_000)
+        while due := [t for t in handle.timers if t <= clock]:
+            handle.timers -= set(due)
+            for _ in due:
+                out += list(step.handleExpiredTimer(("m", "k"), _Clock(clock), None))
+        got |= {int(r.ident): r.value for part in out for r in part.itertuples()}
+        most = max(most, sum(map(len, handle.stores.values())))
+    want = {i: any(role == "B" and (us, i) < (t, j) and t < us + span for t, j, role in rows) for us, i, kind in rows if kind == "A"}
+    assert got == want
+    assert not handle.stores["waiting"] and not handle.stores["seen"] and most < len(rows)
+
+
+def test_arrival_marks_forget_what_has_lived(monkeypatch):
+    import pandas as pd
+
+    step = processors.Marks(numeric=True)
+    handle = _Handle()
+    step.init(handle)
+    columns = [c.split()[0] for c in processors.STEP.split(", ")]
+    rows = [("1", 0, 5_000_000, 0, "m", "F", "k", 10_000_000), ("2", 0, 14_999_999, 0, "m", "F", "k", 10_000_000), ("3", 0, 15_000_000, 0, "m", "F", "k", 10_000_000)]
+    out = list(step.handleInputRows(("m", "k"), iter([pd.DataFrame(rows, columns=columns)]), _Clock(0)))
+    assert out[0]["value"].tolist() == [True, False, True]
+    list(step.handleExpiredTimer(("m", "k"), _Clock(24_999), None))
+    assert handle.stores["last"]
+    list(step.handleExpiredTimer(("m", "k"), _Clock(25_000), None))
+    assert not handle.stores["last"]
