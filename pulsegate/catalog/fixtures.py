@@ -324,6 +324,31 @@ def rules_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rules_of_all_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One rule per part whose trigger is of one of ten shapes, by its key."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    one = lambda text, *args: F.format_string(text, *args)
+    device = F.element_at(F.array(*map(F.lit, DEVICES)), (key % 4 + 1).cast("int"))
+    shapes = [
+        one('[[{"field":"k","op":"BETWEEN","value":[%d,%d]}]]', size, size + 3),
+        one('[[{"field":"amount_cents","op":">","value":%d},{"field":"amount_cents","op":"<=","value":%d}]]', key * 3, key * 3 + 200),
+        one('[[{"field":"k","op":"<","value":%d}],[{"field":"amount_cents","op":">=","value":%d}]]', size % 5, 20000 + key),
+        one('[[{"field":"device_type","op":"STARTS_WITH","value":"%s"},{"field":"k","op":"==","value":%d}]]', F.substring(device, 1, 2), key % 100),
+        one('[[{"field":"device_type","op":"STARTS_WITH","value":"%s"},{"field":"k","op":"!=","value":%d}]]', F.substring(device, 1, 3), key % 100),
+        one('[[{"field":"login_channel","op":"ENDS_WITH","value":"%s"},{"field":"amount_cents","op":"<","value":%d}]]', F.element_at(F.array(*map(F.lit, ("EB", "TM", "NCH"))), (key % 3 + 1).cast("int")), key % 700),
+        one('[[{"field":"event_type","op":"CONTAINS","value":"ie"},{"field":"k","op":">","value":%d}]]', 97 - size % 3),
+        one('[[{"field":"login_channel","op":"NOT IN","value":["ATM","WEB"]},{"field":"amount_cents","op":"BETWEEN","value":[%d,%d]}],[{"field":"device_type","op":"IN","value":["IOS","%s"]},{"field":"login_channel","op":"==","value":"ATM"},{"field":"k","op":">=","value":%d}]]', key * 5, key * 5 + 90, device, 90 + size % 9),
+        one('[[{"field":"device_type","op":"NOT_ENDS_WITH","value":"T"},{"field":"login_channel","function":"LENGTH","op":">","value":%d}]]', 6 + size % 6),
+        one('[[{"field":"amount_cents","op":"<","right_field":"k"}],[{"field":"device_type","op":"ENDS_WITH","value":"%s"},{"field":"k","op":"BETWEEN","value":[%d,%d]}]]', F.substring(device, -2, 2), size, size),
+    ]
+    conditions = F.element_at(F.array(*shapes), (key % 10 + 1).cast("int"))
+    body = F.concat(
+        F.format_string('{"rule_id":"P%d","trigger_criteria":[{"source":"B","schema_version":"v2","conditions":', key), conditions,
+        F.lit('}],"condition_tree":{"type":"CONDITION","expression":{"field":"B.v2.amount_cents","op":">","value":0}}}'),
+    )
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("P"), key.cast("string")).alias("rule_id"), F.lit(True).alias("is_active"), body.alias("body"))
+
+
 def field_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """schema_columns rows of the event sources, for the pairs present in events."""
     items = F.array(*[

@@ -322,6 +322,17 @@ oracle("candidate_rules_active", _matches(f"r.p % 7 <> 0 AND ({_ANY})"), MANY)
 _RARE = f"r.empty OR ({_G0}) OR ({_G1})"
 oracle("rare_two", _matches(_RARE), MANY)
 oracle("exact_groups", _matches(f"r.empty OR ({_G0} AND (r.p % 2 = 0 OR e.k BETWEEN r.s AND r.s + 20)) OR ({_G1})"), MANY)
+_SHAPES = [
+    "e.k BETWEEN r.s AND r.s + 3", "e.amount_cents > r.p * 3 AND e.amount_cents <= r.p * 3 + 200", "e.k < r.s % 5 OR e.amount_cents >= 20000 + r.p",
+    "starts_with(e.device_type, r.dev[1:2]) AND e.k = r.p % 100", "starts_with(e.device_type, r.dev[1:3]) AND e.k <> r.p % 100",
+    "e.login_channel LIKE '%' || (['EB', 'TM', 'NCH'])[r.p % 3 + 1] AND e.amount_cents < r.p % 700", "e.event_type LIKE '%ie%' AND e.k > 97 - r.s % 3",
+    "(e.login_channel NOT IN ('ATM', 'WEB') AND e.amount_cents BETWEEN r.p * 5 AND r.p * 5 + 90) OR (e.device_type IN ('IOS', r.dev) AND e.login_channel = 'ATM' AND e.k >= 90 + r.s % 9)",
+    "e.device_type NOT LIKE '%T' AND length(e.login_channel) > 6 + r.s % 6",
+    "e.amount_cents < e.k OR (e.device_type LIKE '%' || r.dev[-2:] AND e.k = r.s)",
+]
+oracle("exact_all_operators", _matches("CASE r.p % 10 " + " ".join(f"WHEN {i} THEN {test}" for i, test in enumerate(_SHAPES)) + " END"), MANY)
+oracle("access_paths", """ SELECT unnest(CASE p % 10 WHEN 0 THEN ['line'] WHEN 1 THEN ['line'] WHEN 2 THEN ['line'] WHEN 3 THEN ['one'] WHEN 4 THEN ['text'] WHEN 5 THEN ['text']
+  WHEN 6 THEN ['line'] WHEN 7 THEN ['line', 'pair'] WHEN 8 THEN ['always'] ELSE ['always'] END) AS kind, count(DISTINCT p) AS rules FROM r GROUP BY kind""", MANY)
 oracle("event_log", " SELECT event_id, customer_id, event_type, amount_cents FROM cdp")
 oracle("first_arrival_shared", """ SELECT event_id AS row_id, event_id - event_id % 4 AS event_id,
   CASE WHEN row_number() OVER (PARTITION BY event_id - event_id % 4, event_type ORDER BY us, event_id) = 1 THEN 'PASS' ELSE 'FAIL' END AS status FROM cdp""")

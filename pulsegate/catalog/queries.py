@@ -11,7 +11,7 @@ from pulsegate.catalog import fixtures as fx
 from pulsegate.functions.arithmetic import arithmetic
 from pulsegate.functions.durations import UNITS, event_us, micros
 from pulsegate.functions.predicates import predicate
-from pulsegate.operators import arrivals, audit, candidates, datasets, ingest, lateness, mapping, schemas, sequences, validation
+from pulsegate.operators import access, arrivals, audit, candidates, datasets, ingest, lateness, mapping, schemas, sequences, validation
 from pulsegate.operators.profile import batch_rows, latest_values, profile_as_of
 from pulsegate.operators.state import Metric, add_state, pane_report
 from pulsegate.plans import checks, flatten, lifecycle
@@ -472,22 +472,41 @@ def candidate_rules_active(spark, sf_dir):
 @query
 def rare_two(spark, sf_dir):
     predicates, index, marked, sigs, looked_up = _matching(spark, sf_dir)
-    return _per_event(marked, sigs, candidates.rare_two(looked_up, sigs, index, predicates))
+    return _per_event(marked, sigs, candidates.rare_two(looked_up, sigs, index, predicates, fx.field_rows(spark, sf_dir)))
 
 
 @query
 def exact_groups(spark, sf_dir):
     """Rules whose trigger holds, by candidates and verification."""
     predicates, index, marked, sigs, looked_up = _matching(spark, sf_dir)
-    found = candidates.rare_two(looked_up, sigs, index, predicates)
-    groups = candidates.rule_groups(predicates, fx.field_rows(spark, sf_dir))
-    return _per_event(marked, sigs, candidates.verify(found, sigs, groups, texts=candidates.expressions(predicates)))
+    return _per_event(marked, sigs, candidates.matches(looked_up, sigs, index, predicates, fx.field_rows(spark, sf_dir)))
+
+
+@query
+def exact_all_operators(spark, sf_dir):
+    """Triggers of every operator: ranges, prefixes and suffixes are found in the index as equal values are."""
+    predicates = candidates.trigger_predicates(flatten.flatten_rules(fx.rules_of_all_operators(spark, sf_dir))).persist()
+    columns = fx.field_rows(spark, sf_dir)
+    index = candidates.rule_index(predicates, columns)
+    marked, sigs = candidates.signatures(fx.field_maps(spark, sf_dir), candidates.read_fields(predicates))
+    sigs = sigs.persist()
+    return _per_event(marked, sigs, candidates.matches(candidates.tokens(sigs, index), sigs, index, predicates, columns))
+
+
+@query
+def access_paths(spark, sf_dir):
+    """How the rules of every operator are found: rules by kind of key, and those that are always candidates."""
+    predicates = candidates.trigger_predicates(flatten.flatten_rules(fx.rules_of_all_operators(spark, sf_dir))).persist()
+    columns = fx.field_rows(spark, sf_dir)
+    keys, _, free = access.access_index(predicates, candidates.rule_index(predicates, columns), columns)
+    kinds = keys.groupBy(F.get_json_object("axis", "$[0]").alias("kind")).agg(F.countDistinct("rule_id").alias("rules"))
+    return kinds.unionByName(free.select(F.lit("always").alias("kind"), "rule_id").groupBy("kind").agg(F.count("*").alias("rules")))
 
 
 @query
 def selectivity(spark, sf_dir):
     predicates, index, _, sigs, looked_up = _matching(spark, sf_dir)
-    found = candidates.rare_two(looked_up, sigs, index, predicates)
+    found = candidates.rare_two(looked_up, sigs, index, predicates, fx.field_rows(spark, sf_dir))
     shares = candidates.selectivity(sigs, found, fx.rules_many(spark, sf_dir))
     return shares.select("source", "events", "candidates", "rules", F.round("pruned", 6).alias("pruned"))
 

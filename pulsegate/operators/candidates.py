@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 
 from pulsegate.functions.arithmetic import arithmetic, fields_of
 from pulsegate.functions.json_leaves import instant, instant_text
+from pulsegate.operators import access
 from pulsegate.operators.datasets import newest
 from pulsegate.operators.joins import small, spread_join
 
@@ -157,41 +158,22 @@ def candidates(token_rows: DataFrame, sigs: DataFrame, index: DataFrame, always:
     return hits.unionByName(spread_join(sigs, always, ["source", "version"], SIG).select(*SIG, "rule_id"))
 
 
-def rare_two(token_rows: DataFrame, sigs: DataFrame, index: DataFrame, predicates: DataFrame) -> DataFrame:
+def rare_two(token_rows: DataFrame, sigs: DataFrame, index: DataFrame, predicates: DataFrame, columns: DataFrame) -> DataFrame:
     """Candidates by intersection: in some AND group the two exact predicates on the rarest fields hit.
 
-    Groups with fewer exact predicates need all they have; rules with a group without any
-    always qualify. The rarest field is looked up in the index, the second one read from
-    the signature. A dataset as second predicate is left to the verification.
+    Both are one key of the index (operators.access). Groups with fewer exact predicates need all
+    they have; rules with a group without any always qualify. A dataset as second predicate is left
+    to the verification.
     """
-    rarity = index.groupBy("source", "version", "field").agg(F.countDistinct("rule_id").alias("df"))
-    group = ["source", "version", "rule_id", "group_id"]
-    listed = index.groupBy(*group, "pred_id", "field").agg(F.collect_set("value").alias("values"))
-    chosen = listed.join(small(rarity), ["source", "version", "field"]).groupBy(*group).agg(
-        F.array_sort(F.collect_list(F.struct("df", "field", "pred_id", "values"))).alias("p")
-    )
-    grouped = predicates.groupBy("source", "version", "rule_id").agg(F.collect_set("group_id").alias("g"))
-    joined = predicates.select(*group).distinct().join(chosen, group, "left")
-    free = joined.where("p is null").select("source", "version", "rule_id").distinct()
-    axis = (
-        joined.where("p is not null").join(free, ["source", "version", "rule_id"], "left_anti")
-        .join(grouped, ["source", "version", "rule_id"])
-        .select(
-            "source", "version", "rule_id", (F.size("g") > 1).alias("_several"),
-            F.get("p", F.lit(0))["field"].alias("field"), F.explode(F.get("p", F.lit(0))["values"]).alias("value"),
-            F.get("p", F.lit(1))["field"].alias("_field2"), F.get("p", F.lit(1))["values"].alias("_values2"),
-        )
-    )
-    second = F.col("_field2").isNull() | F.startswith("_field2", F.lit(DATASET)) | F.array_contains(
-        "_values2", F.try_element_at("values", F.col("_field2"))
-    )
-    looked_up = token_rows.join(sigs.select(*SIG, "values"), SIG)
-    # A signature has one value per field, so it hits a group at most once.
-    hits = spread_join(looked_up, axis, TOKEN, SIG).where(F.coalesce(second, F.lit(False)))
-    once = hits.where("not _several").select(*SIG, "rule_id")
-    several = hits.where("_several").select(*SIG, "rule_id").distinct()
-    rest = spread_join(sigs, free, ["source", "version"], SIG).select(*SIG, "rule_id")
-    return once.unionByName(several).unionByName(rest)
+    return access.found(sigs, *access.access_index(predicates, index, columns, beyond_exact=False), token_rows).select(*SIG, "rule_id")
+
+
+def matches(token_rows: DataFrame, sigs: DataFrame, index: DataFrame, predicates: DataFrame, columns: DataFrame) -> DataFrame:
+    """Rules whose trigger holds: found under the access path of a group, verified where that does not decide it."""
+    hits = access.found(sigs, *access.access_index(predicates, index, columns), token_rows).persist()
+    sure = hits.where("whole").select(*SIG, "rule_id")
+    open_ = hits.where("not whole").select(*SIG, "rule_id")
+    return sure.unionByName(verify(open_, sigs, rule_groups(predicates, columns), token_rows, expressions(predicates)))
 
 
 def rule_groups(predicates: DataFrame, columns: DataFrame) -> DataFrame:
