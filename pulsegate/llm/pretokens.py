@@ -10,8 +10,9 @@ before a run belongs to it, and the last of several white space characters stand
 
 from __future__ import annotations
 
+import functools
+import itertools
 import sys
-import unicodedata
 
 import numpy as np
 
@@ -31,8 +32,11 @@ def classes() -> np.ndarray:
     """The class of each code point."""
     state = worker_state()
     if "classes" not in state:
-        kinds = {"L": LETTER, "N": NUMBER}
-        found = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
+        every = np.arange(0x110000, dtype=np.uint32).view("<U1")
+        found = np.full(len(every), OTHER, np.uint8)
+        # What has a numeric value is of class N, but for ideographs, which are letters.
+        found[np.strings.isnumeric(every)] = NUMBER
+        found[np.strings.isalpha(every)] = LETTER
         found[WHITE_SPACE] = SPACE
         state["classes"] = found
     return state["classes"]
@@ -98,6 +102,130 @@ def split_texts(texts: list[str]) -> tuple[list[str], np.ndarray]:
     return words, counts
 
 
+def codes_of(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts joined, their code points, where pre-tokens start, and how many each text has."""
+    joined = "".join(texts)
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    ends = np.cumsum(lengths)
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    cuts = boundaries(codes, (ends - lengths)[lengths > 0])
+    return joined, codes, cuts, np.diff(np.searchsorted(cuts, np.concatenate([[0], ends])))
+
+
+class Lexicon:
+    """Numbers for pre-tokens, looked up for whole batches by a hash of their code points.
+
+    The code points of a found pre-token are compared with those stored for its number, so nothing rests
+    on a hash; what is not found that way is looked up by its text. Holds bounded memory: a table of
+    `SLOTS` hashes, at most `MOST_WORDS` pre-tokens and `MOST_CODES` code points, beyond which it starts anew.
+    """
+
+    SLOTS = 1 << 21
+    MOST_WORDS = 1_000_000
+    MOST_CODES = 12_000_000
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self):
+        self.hashes, self.slots = np.zeros(self.SLOTS, np.uint64), np.full(self.SLOTS, -1, np.int32)
+        self.index: dict[str, int] = {}
+        self.pool, self.used = np.empty(1 << 16, np.uint32), 0
+        self.at, self.length = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+
+    @property
+    def full(self) -> bool:
+        return self.used > self.MOST_CODES or len(self.index) > self.MOST_WORDS
+
+    def _hash(self, codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        up, down = _powers(self.BASE, max(1, len(codes).bit_length()))
+        sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum((codes + np.uint32(1)) * up[: len(codes)], out=sums[1:])
+        h = (sums[end] - sums[begin]) * down[begin]
+        h ^= h >> np.uint64(33)
+        h *= np.uint64(0xFF51AFD7ED558CCD)
+        return h ^ (h >> np.uint64(29))
+
+    def numbers(self, joined: str, codes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, list[str]]:
+        """The number of each pre-token, and the texts of those that are new, in order of their numbers."""
+        if not len(begin):
+            return np.empty(0, np.int64), []
+        end = np.append(begin[1:], len(codes))
+        h = self._hash(codes, begin, end)
+        known = len(self.index)
+        found = self._look(codes, begin, end, h)
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            # One of each hash by its text, then the others by the table again, then what is left by its text.
+            one = missing[np.unique(h[missing], return_index=True)[1]]
+            found[one] = self._by_text(joined, codes, begin[one], end[one], h[one])
+            rest = np.flatnonzero(found < 0)
+            found[rest] = self._look(codes, begin[rest], end[rest], h[rest])
+            rest = np.flatnonzero(found < 0)
+            found[rest] = self._by_text(joined, codes, begin[rest], end[rest], h[rest])
+        return found, list(itertools.islice(self.index, known, None))
+
+    def _slots(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mask = np.uint64(self.SLOTS - 1)
+        return (h & mask).astype(np.int64), (h >> np.uint64(32) & mask).astype(np.int64)
+
+    def _look(self, codes, begin, end, h) -> np.ndarray:
+        """Numbers by the table, where the stored code points are those of the pre-token; -1 for the others."""
+        first, second = self._slots(h)
+        found = np.where(self.hashes[first] == h, self.slots[first], np.where(self.hashes[second] == h, self.slots[second], -1)).astype(np.int64)
+        found[(found >= 0) & (self.length[np.maximum(found, 0)] != end - begin)] = -1
+        hit = np.flatnonzero(found >= 0)
+        if len(hit):
+            sizes = (end - begin)[hit]
+            starts = np.cumsum(sizes) - sizes
+            within = np.arange(int(sizes.sum()))
+            same = self.pool[np.repeat(self.at[found[hit]] - starts, sizes) + within] == codes[np.repeat(begin[hit] - starts, sizes) + within]
+            found[hit[~np.logical_and.reduceat(same, starts)]] = -1
+        return found
+
+    def _by_text(self, joined, codes, begin, end, h) -> np.ndarray:
+        """Numbers by the texts themselves; new ones are kept."""
+        index, known = self.index, len(self.index)
+        found = np.fromiter((index.setdefault(joined[a:b], len(index)) for a, b in zip(begin.tolist(), end.tolist())), np.int64, len(begin))
+        new, at = np.unique(found, return_index=True)
+        at = at[new >= known]
+        if len(at):
+            sizes = (end - begin)[at]
+            starts = np.cumsum(sizes) - sizes
+            total = int(sizes.sum())
+            self.pool = room(self.pool, self.used + total)
+            self.pool[self.used : self.used + total] = codes[np.repeat(begin[at] - starts, sizes) + np.arange(total)]
+            upto = known + len(at)
+            self.at, self.length = room(self.at, upto), room(self.length, upto)
+            self.at[known:upto], self.length[known:upto] = self.used + starts, sizes
+            self.used += total
+            for way in (0, 1):
+                # Of several that want a slot the last one gets it; each takes one slot at most.
+                slot = self._slots(h[at])[way]
+                free = self.slots[slot] < 0
+                self.slots[slot[free]], self.hashes[slot[free]] = found[at][free], h[at][free]
+                at = at[self.slots[slot] != found[at]]
+        return found
+
+
+@functools.lru_cache(maxsize=2)
+def _powers(base: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """base^i and base^-i modulo 2^64 for i up to 2^bits."""
+    both = []
+    for b in (base, pow(base, -1, 1 << 64)):
+        steps = np.full((1 << bits) + 1, np.uint64(b))
+        steps[0] = 1
+        both.append(np.multiply.accumulate(steps))
+    return tuple(both)
+
+
+def room(array: np.ndarray, size: int) -> np.ndarray:
+    """`array` with room for `size` values at least."""
+    if size <= len(array):
+        return array
+    grown = np.empty(max(size, 2 * len(array)), array.dtype)
+    grown[: len(array)] = array
+    return grown
+
+
 class Interner:
     """Numbers for pre-tokens, and for each number what a tokenizer makes of it.
 

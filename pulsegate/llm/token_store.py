@@ -32,12 +32,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegate.llm.common import NO_ID, order_id, shared_folder, text_or_empty
-from pulsegate.llm.pretokens import Interner, split_texts, worker_state
+from pulsegate.llm.pretokens import Lexicon, codes_of, room, worker_state
 from pulsegate.llm.token_counts import BATCH_CHARS, in_batches, vocabulary_path
 
 BLOCK = 1 << 16
 CHUNK_IDS = 1 << 18
 LEVEL = 3
+# New pre-tokens that go to the library as one text.
+TOGETHER = 20_000
 END = 0
 CHUNK_TYPE = (
     "shard int, chunk int, start long, doc_ids array<long>, lengths array<long>, n_ids long, kind string, "
@@ -103,33 +105,76 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.interner = Interner()
+        self.lexicon = Lexicon()
         self.ids, self.used = np.empty(1 << 16, np.uint32), 0
         self.at, self.length, self.known = np.empty(1 << 15, np.int64), np.empty(1 << 15, np.int64), 0
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(x.ids, np.uint32) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pre-tokens, one after another, and how many each has.
+
+        Pre-tokens that stay apart side by side go to the library as one text: those that start with one
+        blank directly, those without white space with a line feed between. Where it sees other
+        pre-tokens than were given, and for all other kinds, each goes alone.
+        """
+        kinds = np.fromiter((0 if w[0] == " " and w[1:] and not w[1].isspace() else 2 if w[0].isspace() else 1 for w in words), np.int8, len(words))
+        counts, found = np.zeros(len(words), np.int64), {}
+        for kind, between, step in ((0, "", 1), (1, "\n", 2)):
+            for part in np.array_split(np.flatnonzero(kinds == kind), max(1, int((kinds == kind).sum()) // TOGETHER)):
+                if not len(part):
+                    continue
+                text = self.library.encode(between.join([words[i] for i in part.tolist()]), add_special_tokens=False)
+                of, ids = np.array(text.word_ids, np.int64), np.array(text.ids, np.uint32)
+                if of.max() + 1 != step * (len(part) - 1) + 1:
+                    kinds[part] = 2
+                    continue
+                ids, of = ids[of % step == 0], of[of % step == 0] // step
+                counts[part] = np.bincount(of, minlength=len(part))
+                found[kind, int(part[0])] = part, ids
+        alone = np.flatnonzero(kinds == 2)
+        each = [x.ids for x in self.library.encode_batch_fast([words[i] for i in alone.tolist()], add_special_tokens=False)]
+        counts[alone] = np.fromiter(map(len, each), np.int64, len(each))
+        found[2, 0] = alone, np.fromiter((i for x in each for i in x), np.uint32, int(counts[alone].sum()))
+        begin = np.cumsum(counts) - counts
+        out = np.empty(int(counts.sum()), np.uint32)
+        for part, ids in found.values():
+            sizes = counts[part]
+            out[np.repeat(begin[part] - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(ids))] = ids
+        return out, counts
+
     def _learn(self, fresh: list[str]) -> None:
-        found = [x.ids for x in self.library.encode_batch_fast(fresh, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        more = np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum()))
-        self.ids = _room(self.ids, self.used + len(more))
-        self.at, self.length = _room(self.at, self.known + len(sizes)), _room(self.length, self.known + len(sizes))
+        more, sizes = self._each(fresh)
+        self.ids = room(self.ids, self.used + len(more))
+        self.at, self.length = room(self.at, self.known + len(sizes)), room(self.length, self.known + len(sizes))
         self.ids[self.used : self.used + len(more)] = more
         self.at[self.known : self.known + len(sizes)] = self.used + np.cumsum(sizes) - sizes
         self.length[self.known : self.known + len(sizes)] = sizes
         self.used, self.known = self.used + len(more), self.known + len(sizes)
 
+    def _tailed(self, numbers: np.ndarray, counts: np.ndarray, end: int) -> np.ndarray:
+        """The numbers with that of the end id behind each text."""
+        self.ids = room(self.ids, self.used + 1)
+        self.ids[self.used] = end
+        self.at, self.length = room(self.at, self.known + 1), room(self.length, self.known + 1)
+        # Just above what is known: the next new pre-token takes the place.
+        self.at[self.known], self.length[self.known] = self.used, 1
+        tailed = np.full(len(numbers) + len(counts), self.known)
+        tailed[np.arange(len(numbers)) + np.repeat(np.arange(len(counts)), counts)] = numbers
+        return tailed
+
     def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after another, and how many each text has; end: an id put behind each text."""
         odd = {i for i, x in enumerate(texts) if any(s in x for s in self.specials)}
-        if len(self.interner.index) > self.interner.limit:
+        if self.lexicon.full:
             self._forget()
-        words, counts = split_texts(["" if i in odd else x for i, x in enumerate(texts)])
-        numbers, fresh, _ = self.interner.numbers(words)
+        joined, codes, cuts, counts = codes_of(["" if i in odd else x for i, x in enumerate(texts)])
+        numbers, fresh = self.lexicon.numbers(joined, codes, cuts)
         if fresh:
             self._learn(fresh)
+        if end is not None:
+            numbers, counts = self._tailed(numbers, counts, end), counts + 1
         size = self.length[numbers]
         # Ragged gather: the ids of each pre-token stand together.
         total = int(size.sum())
@@ -138,28 +183,15 @@ class Encoder:
         sums = np.concatenate([[0], np.cumsum(size)])
         edges = np.cumsum(counts)
         per_text = sums[edges] - sums[edges - counts]
-        if not odd and end is None:
-            return ids, per_text
         if odd:
             parts = np.split(ids, np.cumsum(per_text)[:-1])
             for i, found in zip(sorted(odd), self._whole([texts[i] for i in sorted(odd)])):
-                parts[i], per_text[i] = found, len(found)
+                # An odd text has given its end id alone so far.
+                parts[i], per_text[i] = np.concatenate([found, parts[i]]), len(found) + per_text[i]
             ids = np.concatenate(parts) if parts else ids
-        if end is not None:
-            ids = np.insert(ids, np.cumsum(per_text), np.uint32(end))
-            per_text = per_text + 1
         return ids, per_text
 
 
-def _room(array: np.ndarray, size: int) -> np.ndarray:
-    """`array` with room for `size` values at least."""
-    if size <= len(array):
-        return array
-    grown = np.empty(max(size, 2 * len(array)), array.dtype)
-    grown[: len(array)] = array
-    return grown
-
-
 def encoder(path: str) -> Encoder:
     state = worker_state()
     if ("encoder", path) not in state:

@@ -296,3 +296,37 @@ def test_planes_round_trip(kind):
         ids = np.random.default_rng(n).integers(0, 50_257, n).astype(np.uint32)
         width, planes, sizes = token_store.pack(ids, kind)
         assert (token_store.unpack(planes, sizes, n, kind, width) == ids).all()
+
+
+def test_lexicon_finds_each_pretoken(monkeypatch):
+    """Numbers of pre-tokens in batches, with crowded tables, equal hashes and a fresh start in between."""
+    import random
+
+    from pulsegate.llm import pretokens
+
+    monkeypatch.setattr(pretokens.Lexicon, "SLOTS", 64)
+    for clash in (False, True):
+        if clash:
+            monkeypatch.setattr(pretokens.Lexicon, "_hash", lambda self, codes, begin, end: (end - begin).astype("uint64") + 1)
+        rng = random.Random(5)
+        lexicon, known = pretokens.Lexicon(), []
+        for _ in range(6):
+            texts = ["".join(rng.choice("ab \n1é\U0001f600'") for _ in range(rng.randrange(40))) for _ in range(50)] + [""]
+            joined, codes, cuts, counts = pretokens.codes_of(texts)
+            numbers, fresh = lexicon.numbers(joined, codes, cuts)
+            known += fresh
+            words, sizes = pretokens.split_texts(texts)
+            assert [known[i] for i in numbers] == words and counts.tolist() == sizes.tolist()
+        assert len(known) == len(set(known))
+
+
+def test_pretokens_encoded_together(tokenizer):
+    """The library sees the same pre-tokens side by side as alone."""
+    from pulsegate.llm.token_store import Encoder
+
+    words = [" a", "b", " 's", "'s", "'ll", "\n", "  ", " \t", "12", " 12", "é", " ½", "!?", " !?", "　", " 　", "x" * 400, "a\x1c", "\x1c", " \x1c", " ça", "\U0001f600", "‍", " ‍́"]
+    encoder = Encoder(token_counts.vocabulary_path())
+    ids, counts = encoder._each(words)
+    ends = counts.cumsum()
+    for word, n, end in zip(words, counts, ends):
+        assert ids[end - n : end].tolist() == tokenizer.encode(word, add_special_tokens=False).ids, word
