@@ -164,8 +164,10 @@ def quality_digest(documents: DataFrame) -> DataFrame:
 
 def kept_documents(documents: DataFrame) -> DataFrame:
     """The rows of `documents` that the rules keep."""
-    thresholds = store(fences(store(sketches(measured(documents).drop("doc")), "quality-sketches")), "quality-fences")
-    return judge(measured(documents), thresholds).filter("kept").select("doc.*")
+    # The measures are costly and both the thresholds and the verdicts read them, so they are written once, beside the row.
+    numbers = store(measured(documents), "quality-numbers")
+    thresholds = store(fences(store(sketches(numbers.drop("doc")), "quality-sketches")), "quality-fences")
+    return judge(numbers, thresholds).filter("kept").select("doc.*")
 
 
 def _sql() -> str:
