@@ -55,8 +55,8 @@ def longer(keys: np.ndarray, words: np.ndarray, size: int) -> np.ndarray:
 class Index:
     """Items of a block, ready to be looked for in documents."""
 
-    def __init__(self, ids: list[int], texts: list[str], rate: float = RATE):
-        self.ids, self.words = np.array(ids, np.int64), normal(texts)
+    def __init__(self, ids: list[int | None], texts: list[str], rate: float = RATE):
+        self.ids, self.words = list(ids), normal(texts)
         self.size = self.words.last - self.words.first
         self.edits = np.floor(self.size * rate + 1e-9).astype(np.int64)
         gram = np.minimum(GRAM, self.size // (self.edits + 1))
@@ -132,7 +132,7 @@ class Index:
                 known = out[doc].get(item)
                 if known is None or found < known:
                     out[doc][item] = found
-        return [[(int(self.ids[i]), e, b, z) for i, (e, b, z) in sorted(x.items())] for x in out]
+        return [[(self.ids[i], e, b, z) for i, (e, b, z) in sorted(x.items())] for x in out]
 
     def _verified(self, words: Words, place, doc, item):
         n, e = self.size[item], self.edits[item]
@@ -183,11 +183,10 @@ def edit_rows(text: np.ndarray, pattern: np.ndarray, sizes: np.ndarray, free: bo
 
 
 def item_blocks(benchmark: DataFrame, size: int = BLOCK_ITEMS):
-    """The items in blocks: ids and texts. Items are the query set and are read once."""
+    """The items in blocks: ids (null ones too) and texts. Items are the query set and are read once."""
     ids, texts = [], []
     for row in benchmark.select(F.col("item_id").cast("long"), text_or_empty()).toLocalIterator():
-        if row[0] is not None:
-            ids.append(row[0]), texts.append(row[1])
+        ids.append(row[0]), texts.append(row[1])
         if len(ids) >= size:
             yield ids, texts
             ids, texts = [], []

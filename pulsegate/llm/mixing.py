@@ -66,7 +66,13 @@ def pareto_rank(key: Column, probability: Column) -> Column:
 
 
 def mix(documents: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.0, most: float = MOST, seed: int = 6) -> DataFrame:
-    """`documents` and a column `_mix` with size, source_size, target and copies (0 up) of each row."""
+    """`documents` and a column `_mix` with size, source_size, target and copies (0 up) of each row, in place of one of that name."""
+    mixed = _mixed(documents, weights, share, most, seed)
+    return mixed.select(*[F.col("_doc")[c].alias(c) for c in documents.columns if c.lower() != MIX], MIX)
+
+
+def _mixed(documents: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.0, most: float = MOST, seed: int = 6) -> DataFrame:
+    """The rows of `documents` as `_doc`, and `_mix`."""
     # The row travels as one column, so that its names cannot clash with those used here.
     key = F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(seed))
     rows = documents.select(F.struct("*").alias("_doc"), F.col("source").alias("_s"), word_count(F.col("text").cast("string")).alias("size"), key.alias("key"))
@@ -79,7 +85,7 @@ def mix(documents: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
     taken = (F.col("extra") > 0) & ((rank < F.col("cut_rank")) | ((rank == F.col("cut_rank")) & F.col("at_cut")))
     copies = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("certain") + F.coalesce(taken, F.lit(False)).cast("int"))
     packed = F.struct("size", "source_size", "target", copies.cast("int").alias("copies"))
-    return joined.select("_doc.*", packed.alias(MIX))
+    return joined.select("_doc", packed.alias(MIX))
 
 
 def _rank(key: Column) -> Column:
@@ -133,4 +139,5 @@ def mix_digest(documents: DataFrame) -> DataFrame:
 
 def mixed_documents(documents: DataFrame) -> DataFrame:
     """The rows of `documents`, each as often as the mix takes it."""
-    return mix(documents).filter(F.col(f"{MIX}.copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col(f"{MIX}.copies")))).select(*documents.columns)
+    copies = F.explode(F.sequence(F.lit(1), F.col(f"{MIX}.copies")))
+    return _mixed(documents).filter(F.col(f"{MIX}.copies") > 0).select("_doc", copies.alias("copy")).select("_doc.*")

@@ -330,3 +330,20 @@ def test_pretokens_encoded_together(tokenizer):
     ends = counts.cumsum()
     for word, n, end in zip(words, counts, ends):
         assert ids[end - n : end].tolist() == tokenizer.encode(word, add_special_tokens=False).ids, word
+
+
+def test_items_without_an_id_are_looked_for(spark):
+    item = " ".join(f"word{i}" for i in range(40))
+    items = spark.createDataFrame([(None, item), (1, " ".join(f"other{i}" for i in range(40))), (None, None)], "item_id long, text string")
+    documents = spark.createDataFrame([(1, "before " + item + " after"), (2, "nothing of it")], "doc_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontaminate.leaks(documents, items).collect()] == [(1, None)]
+    assert [r.doc_id for r in decontaminate.clean_documents(documents, items).collect()] == [2]
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    rows = [(i, f"some words of text {i} " * (1 + i % 5), "ab"[i % 2], i * 10, i * 100, "x") for i in range(60)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, source string, _copy int, _mix int, _doc string")
+    mixed = mixing.mixed_documents(documents)
+    assert mixed.columns == documents.columns
+    assert all((r._copy, r._mix, r._doc) == (r.doc_id * 10, r.doc_id * 100, "x") for r in mixed.collect()) and mixed.count() > 0
+    assert mixing.mix(documents).columns == ["doc_id", "text", "source", "_copy", "_doc", "_mix"]
