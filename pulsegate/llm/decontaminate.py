@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegate.llm.common import text_or_empty
-from pulsegate.llm.pretokens import worker_state
+from pulsegate.llm.pretokens import at_work
 from pulsegate.llm.substring_dedup import Words, mixed
 from pulsegate.llm.token_counts import in_batches
 
@@ -201,11 +201,11 @@ def hits_of(ids: list[int], texts: list[str]):
 
     @F.pandas_udf(HITS)
     def hits(column: pd.Series) -> pd.Series:
-        state = worker_state()
-        if ("items", key) not in state:
-            state["items", key] = Index(ids, texts)
         rows = column.tolist()
-        out = [own for part in in_batches(rows, BATCH_CHARS) for own in state["items", key].hits(rows[part])]
+        with at_work() as state:
+            if ("items", key) not in state:
+                state["items", key] = Index(ids, texts)
+            out = [own for part in in_batches(rows, BATCH_CHARS) for own in state["items", key].hits(rows[part])]
         return pd.Series([[dict(zip(names, x)) for x in own] for own in out], dtype=object)
 
     return hits

@@ -10,9 +10,13 @@ before a run belongs to it, and the last of several white space characters stand
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
+import gc
 import itertools
 import sys
+import threading
 
 import numpy as np
 
@@ -20,14 +24,42 @@ LETTER, NUMBER, OTHER, SPACE = 1, 2, 3, 4
 # Code points of the Unicode property White_Space.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 # Where a Python worker keeps what its tasks share.
-_STATE = "_pulsegate_worker_state"
+_STATE, _TIMER = "_pulsegate_worker_state", "_pulsegate_worker_timer"
+IDLE_SECONDS = 2.0
 
 
 def worker_state() -> dict:
-    """A dict that lives as long as the Python process, so that tasks need not load a vocabulary anew."""
+    """A dict of the Python process, so that its tasks need not load a vocabulary anew."""
     return sys.__dict__.setdefault(_STATE, {})
 
 
+@contextlib.contextmanager
+def at_work():
+    """The state of the worker, kept while a batch is worked on and IDLE_SECONDS longer.
+
+    Spark keeps workers for later stages; so what a stage has kept goes when no batch follows, and its
+    memory back to the system.
+    """
+    before = sys.__dict__.pop(_TIMER, None)
+    if before is not None:
+        before.cancel()
+    try:
+        yield worker_state()
+    finally:
+        timer = sys.__dict__[_TIMER] = threading.Timer(IDLE_SECONDS, _release)
+        timer.daemon = True
+        timer.start()
+
+
+def _release() -> None:
+    if sys.__dict__.get(_TIMER) is not threading.current_thread():
+        return  # a batch has come in between
+    sys.__dict__.pop(_STATE, None)
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def classes() -> np.ndarray:
     """The class of each code point."""
     state = worker_state()

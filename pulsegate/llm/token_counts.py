@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegate.llm.pretokens import Interner, split_texts, worker_state
+from pulsegate.llm.pretokens import Interner, at_work, split_texts
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
@@ -160,11 +160,11 @@ def count_tokens(documents: DataFrame, vocabulary: str | None = None, text: str
 
     @F.pandas_udf("n_bytes long, n_tokens long")
     def counts(column: pd.Series) -> pd.DataFrame:
-        state = worker_state()
-        counter = state.setdefault(("counter", path), None) or Counter(path)
-        state["counter", path] = counter
         texts = column.tolist()
-        found = [counter.count(texts[part]) for part in in_batches(texts)]
+        with at_work() as state:
+            counter = state.setdefault(("counter", path), None) or Counter(path)
+            state["counter", path] = counter
+            found = [counter.count(texts[part]) for part in in_batches(texts)]
         return pd.DataFrame({
             "n_bytes": np.fromiter((len(x.encode("utf-8", "surrogatepass")) for x in texts), np.int64, len(texts)),
             "n_tokens": np.concatenate(found) if found else np.empty(0, np.int64),

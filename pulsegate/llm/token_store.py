@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegate.llm.common import NO_ID, order_id, shared_folder, text_or_empty
-from pulsegate.llm.pretokens import Lexicon, codes_of, room, worker_state
+from pulsegate.llm.pretokens import Lexicon, at_work, codes_of, room, worker_state
 from pulsegate.llm.token_counts import BATCH_CHARS, in_batches, vocabulary_path
 
 BLOCK = 1 << 16
@@ -220,11 +220,11 @@ def write_store(documents: DataFrame, path: str, vocabulary: str | None = None,
             held.clear(), docs.clear(), sizes.clear()
             return pd.DataFrame([row], columns=[x.split()[0] for x in CHUNK_TYPE.split(", ")])
 
-        library = encoder(vocabulary)
         for batch in batches:
             texts, order = batch["text"].tolist(), batch["id"].to_numpy()
             for part in in_batches(texts, BATCH_CHARS // 2):
-                ids, per_text = library.encode(texts[part], end)
+                with at_work():
+                    ids, per_text = encoder(vocabulary).encode(texts[part], end)
                 held.append(ids), docs.append(order[part]), sizes.append(per_text)
                 if sum(map(len, held)) >= CHUNK_IDS:
                     yield flush()

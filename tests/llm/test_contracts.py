@@ -347,3 +347,21 @@ def test_mix_keeps_columns_of_any_name(spark):
     assert mixed.columns == documents.columns
     assert all((r._copy, r._mix, r._doc) == (r.doc_id * 10, r.doc_id * 100, "x") for r in mixed.collect()) and mixed.count() > 0
     assert mixing.mix(documents).columns == ["doc_id", "text", "source", "_copy", "_doc", "_mix"]
+
+
+def test_workers_forget_when_idle(monkeypatch):
+    import time
+
+    from pulsegate.llm import pretokens
+
+    monkeypatch.setattr(pretokens, "IDLE_SECONDS", 0.3)
+    with pretokens.at_work() as state:
+        state["kept"] = 1
+        time.sleep(0.6)
+        assert pretokens.worker_state()["kept"] == 1
+    for _ in range(3):
+        time.sleep(0.1)
+        with pretokens.at_work() as state:
+            assert state["kept"] == 1
+    time.sleep(1.0)
+    assert "kept" not in pretokens.worker_state()

@@ -107,7 +107,7 @@ def test_pipeline_of_edge_cases_and_of_nothing(documents, no_documents, spark, s
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_queries_equal_their_sql(spark, sf, name):
     con = duckdb.connect()
-    for table in ("documents", "conversations", "labels"):
+    for table in ("documents", "conversations", "labels", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
     want, got = con.sql(ORACLES[name]), QUERIES[name](spark, sf)
     assert sorted(want.columns) == sorted(got.columns)
