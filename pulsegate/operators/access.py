@@ -94,11 +94,11 @@ def _above(place: Column, levels: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), levels), lambda n: F.concat_ws(":", n.cast("string"), F.call_function("shiftright", place.cast("long"), n.cast("int")).cast("string")))
 
 
-def access_index(predicates: DataFrame, index: DataFrame, columns: DataFrame, beyond_exact: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+def access_index(predicates: DataFrame, index: DataFrame, columns: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(keys, axes, free): keys as (source, version, axis, value, rule_id, group_id, whole, several), axes in use, and rules that are always candidates.
 
     `index` are the exact predicates (rule_index). whole: the key decides the group; several: the
-    rule has more than one group. Without `beyond_exact` only exact predicates give keys.
+    rule has more than one group. Without `columns`, the declared fields, only exact predicates give keys.
     """
     # Configuration: each table is kept, or every join below would plan and compute it anew.
     index = index.persist()
@@ -109,14 +109,15 @@ def access_index(predicates: DataFrame, index: DataFrame, columns: DataFrame, be
     sizes = predicates.groupBy(*GROUP).agg(F.count("*").alias("size"), F.bool_or(F.col("kind") == "always").alias("always"))
     several = sizes.groupBy(*HOME, "rule_id").agg((F.count("*") > 1).alias("several"))
     groups = sizes.join(exact, GROUP, "left")
-    typed = columns.select(*HOME, F.col("path").alias("field"), "type")
+    untyped = "source string, version string, field string, type string"
+    typed = predicates.sparkSession.createDataFrame([], untyped) if columns is None else columns.select(*HOME, F.col("path").alias("field"), "type")
     plain = predicates.where(F.col("right_field").isNull() & F.col("right_expr").isNull() & F.col("expr").isNull() & ~F.coalesce("is_length", F.lit(False)) & F.col("field").isNotNull())
     others = plain.join(typed, [*HOME, "field"], "left")
     words = F.when(F.col("op") == "BETWEEN", F.from_json("value", "array<string>")).otherwise(F.array("value"))
     bounds = F.transform(words, lambda w: as_number(w, F.col("type")))
     span = F.when(F.col("type").isin(*NUMBERS, "TIMESTAMP") & ~F.exists(bounds, lambda b: b.isNull()), _range_of(F.col("op"), bounds))
     affix = F.when((F.col("type") == "STRING") & (F.length("value") > 0), F.when(F.col("op") == "STARTS_WITH", "prefix").when(F.col("op") == "ENDS_WITH", "suffix"))
-    other = others.select(*GROUP, "pred_id", "field", "type", "value", span.alias("span"), affix.alias("affix")).where(F.lit(beyond_exact) & (F.col("span").isNotNull() | F.col("affix").isNotNull()))
+    other = others.select(*GROUP, "pred_id", "field", "type", "value", span.alias("span"), affix.alias("affix")).where(F.col("span").isNotNull() | F.col("affix").isNotNull())
     # Two-sided ranges narrow most, then texts, longer ones first, then half lines.
     closed = F.col("span.low").isNotNull() & F.col("span.high").isNotNull()
     order = F.when(closed, 0).when(F.col("affix").isNotNull(), 1).otherwise(2)

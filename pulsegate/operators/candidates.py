@@ -158,14 +158,14 @@ def candidates(token_rows: DataFrame, sigs: DataFrame, index: DataFrame, always:
     return hits.unionByName(spread_join(sigs, always, ["source", "version"], SIG).select(*SIG, "rule_id"))
 
 
-def rare_two(token_rows: DataFrame, sigs: DataFrame, index: DataFrame, predicates: DataFrame, columns: DataFrame) -> DataFrame:
+def rare_two(token_rows: DataFrame, sigs: DataFrame, index: DataFrame, predicates: DataFrame) -> DataFrame:
     """Candidates by intersection: in some AND group the two exact predicates on the rarest fields hit.
 
     Both are one key of the index (operators.access). Groups with fewer exact predicates need all
     they have; rules with a group without any always qualify. A dataset as second predicate is left
     to the verification.
     """
-    return access.found(sigs, *access.access_index(predicates, index, columns, beyond_exact=False), token_rows).select(*SIG, "rule_id")
+    return access.found(sigs, *access.access_index(predicates, index), token_rows).select(*SIG, "rule_id")
 
 
 def matches(token_rows: DataFrame, sigs: DataFrame, index: DataFrame, predicates: DataFrame, columns: DataFrame) -> DataFrame:

@@ -265,3 +265,53 @@ def test_schemas_and_events_of_any_depth(spark):
     valid = ingest.valid_events(ingest.judge_messages(messages, schemas.latest_schemas(parsed))).collect()
     assert valid[0].fields == {path: "7", "u." + ".".join(f"l{i}" for i in range(12)) + ".x{": "{"}
     assert valid[0].row_id == "t-0-0"
+
+
+def test_a_value_meets_each_range_it_lies_in_once(spark):
+    """Dyadic blocks of ranges against plain comparison: bounds, gaps, open and closed ends, NaN and infinities."""
+    import random
+
+    from pulsegate.operators import access
+
+    rng = random.Random(3)
+    ranges = []
+    for i in range(200):
+        low, high = sorted((rng.randrange(40) / 2, rng.randrange(40) / 2))
+        ranges.append((i, low if i % 5 else None, i % 3 != 0, high if i % 7 else None, i % 2 == 0))
+    cuts = sorted({b for _, low, _, high, _ in ranges for b in (low, high) if b is not None})
+    values = [x / 4 for x in range(-4, 90)] + [float("inf"), float("-inf"), float("nan")]
+    line = spark.createDataFrame([(cuts,)], "cuts array<double>")
+    stated = spark.createDataFrame(ranges, "id int, low double, low_in boolean, high double, high_in boolean").crossJoin(line)
+    first = F.when(F.col("low").isNull(), 0).otherwise(access._place(F.col("cuts"), F.col("low")) + F.when(F.col("low_in"), 0).otherwise(1))
+    last = F.when(F.col("high").isNull(), 2 * F.size("cuts")).otherwise(access._place(F.col("cuts"), F.col("high")) - F.when(F.col("high_in"), 0).otherwise(1))
+    blocks = stated.select("id", F.explode(access._blocks(first, last, access._levels(F.col("cuts")))).alias("block"))
+    asked = spark.createDataFrame([(v,) for v in values], "v double").crossJoin(line)
+    above = asked.select("v", F.explode(access._above(access._place(F.col("cuts"), F.col("v")), access._levels(F.col("cuts")))).alias("block"))
+    got = sorted((repr(r.v), r.id) for r in above.join(blocks, "block").select("v", "id").collect())
+    key = lambda v: (1, 0) if v != v else (0, v)  # noqa: E731  NaN lies above all
+    want = sorted(
+        (repr(v), i) for v in values for i, low, low_in, high, high_in in ranges
+        if (low is None or key(v) > key(low) or (low_in and v == low)) and (high is None or key(v) < key(high) or (high_in and v == high))
+    )
+    # A line without a high bound holds what is above all bounds; SQL compares NaN so, and a half line below has an end.
+    assert got == [w for w in want]
+
+
+def test_matches_of_every_operator_equal_compiled_rules(spark, sf):
+    from pulsegate.catalog import fixtures as fx
+    from pulsegate.operators import candidates
+    from pulsegate.plans.flatten import flatten_rules
+
+    bodies = fx.rules_of_all_operators(spark, sf).where("int(substring(rule_id, 2)) <= 100")
+    predicates = candidates.trigger_predicates(flatten_rules(bodies)).persist()
+    columns = fx.field_rows(spark, sf)
+    index = candidates.rule_index(predicates, columns)
+    events = fx.field_maps(spark, sf).where("source = 'B'")
+    marked, sigs = candidates.signatures(events, candidates.read_fields(predicates))
+    sigs = sigs.persist()
+    found = candidates.matches(candidates.tokens(sigs, index), sigs, index, predicates, columns)
+    got = sorted(map(tuple, candidates.pairs(marked, sigs, found).collect()))
+    rules = [parse_rule(r.body) for r in bodies.collect()]
+    judged = compile_rules(rules, fx.catalogue()).run(fx.timeline(spark, sf).where("source = 'B'"))
+    fired = judged.where("failed_condition is null or not startswith(failed_condition, 'trigger')")
+    assert got == sorted((r.event_id, r.rule_id) for r in fired.select("event_id", "rule_id").collect()) and len(got) > 200
