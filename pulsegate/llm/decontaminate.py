@@ -1,19 +1,26 @@
-"""Benchmark decontamination: runs of words shared with an item find the passages, the edit distance verifies them.
-
-An item of n words with e edits keeps n + 1 - q (e + 1) of its runs of q words at least, wherever the edits are:
-each edit breaks q of them at most. Kept runs stand in the text nearly as they stand in the item: where the item
-would begin, as told by one run, moves by a word for each word put in or left out, so by e at most. Each item has
-the longest runs (`GRAM` at most) of which one must be left, and a text is looked at where as many of an item's
-runs as must be left agree on its beginning within e words. So no passage is missed. Candidates are verified
-exactly: the edit distance in words between the item and the best passage near the place must be at most `RATE`
-of the item's words.
-
-The benchmark is the query set: it is read in blocks of `BLOCK_ITEMS` items, and every document is held
-against all blocks. Documents are judged one by one: nothing is shuffled, and no document waits for another.
-
-Defined results: words are lower-cased, without punctuation. Null and empty texts and items match nothing.
-Repeated rows, and repeated items, are judged alone. Each document has one hit for each item at most: the
-one with the fewest edits, the first of equal ones. Other columns stay as they are.
+"""Benchmark decontamination: CGK walks and bit sampling propose the passages, the edit distance verifies them.
+
+Items and documents are walked by the same rules (`walks`), items from several starting words, documents from every
+word where an item may stand. Sampled keys are tables: the keys of the items are joined to those of the texts, and
+a shared key says where the item would begin. Candidates are verified exactly: the edit distance in words between
+the item and the best passage near that place must be at most `RATE` of the item's words. The repetitions are
+fitted for each size class of items, so that `RECALL` of the items with all allowed edits are proposed wherever the
+edits are; an item with none is always found. `Index` is the exact search for all passages within the limit: the
+tests hold the walks against it, and `exact_leaks` gives its result.
+
+Which words of a text are walked from is an exact test that loses nothing: an item of n words with e edits keeps
+n + 1 - q (e + 1) of its runs of q words, so a word is passed over when no stretch of an item's length around it has
+that many runs known from any item. Known runs and known keys are bitmaps of 2^`BITS` bits, whatever the number of
+items: a fuller bitmap lets more words and keys through to the join, and changes no result. Words are walked and
+verified in blocks of a text, so a long text is spread over many rows; equal texts are verified once.
+
+What travels: items' keys, texts' keys that some item may have, and the words of the blocks in which they stand.
+Documents are joined to the hits by the hash of their text.
+
+Defined results: words are lower-cased, without punctuation. Null and empty texts and items match nothing. Items
+without an id are looked for too. Repeated rows are judged alone; a repeated item, of one id and text, counts once.
+Each document has one hit for each item at most: the one with the fewest edits, the first of equal ones. Other
+columns stay as they are.
 """
 
 from __future__ import annotations
@@ -25,13 +32,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegate.llm.common import text_or_empty
+from pulsegate.llm import walks
+from pulsegate.llm.common import discard, store, text_or_empty
 from pulsegate.llm.pretokens import at_work
 from pulsegate.llm.substring_dedup import Words, mixed
 from pulsegate.llm.token_counts import in_batches
 
-RATE = 0.2
+RATE = walks.RATE
 GRAM = 4
+# Bits of the maps of known runs and keys: 8 MB each at most.
+BITS = 26
+# Words of a text in whose block a walk begins.
+BLOCK_WORDS = 1024
+# Cells of edit matrices filled at once.
+CELLS = 1 << 20
 BLOCK_ITEMS = 20_000
 # Texts searched at once, so that an executor's workers stay small.
 BATCH_CHARS = 1_000_000
@@ -142,22 +156,25 @@ class Index:
         low, high, n, e, doc, item = (x[ok] for x in (low, high, n, e, doc, item))
         if not len(low):
             return
-        text, pattern = gathered(words.hash, low, high, 0), gathered(self.words.hash, self.words.first[item], self.words.last[item], 1)
-        best = edit_rows(text, pattern, n, free=True)
-        best[np.arange(best.shape[1])[None, :] > (high - low)[:, None]] = 1 << 20
-        ends = best.argmin(axis=1)
-        hit = np.flatnonzero(best[np.arange(len(ends)), ends] <= e)
-        if not len(hit):
-            return
-        # Backwards from the end, to see where the passage begins.
-        back_text = gathered(words.hash, low[hit], low[hit] + ends[hit], 0, back=True)
-        back_item = gathered(self.words.hash, self.words.first[item[hit]], self.words.last[item[hit]], 1, back=True)
-        back = edit_rows(back_text, back_item, n[hit], free=False)
-        back[np.arange(back.shape[1])[None, :] > ends[hit][:, None]] = 1 << 20
-        length = back.argmin(axis=1)
-        edits = best[hit, ends[hit]]
-        end = low[hit] + ends[hit] - words.first[doc[hit]]
-        yield from zip(doc[hit].tolist(), item[hit].tolist(), edits.tolist(), (end - length).tolist(), end.tolist())
+        hit, edits, begin, end = passages(words.hash, low, high, self.words.hash, self.words.first[item], self.words.last[item], e)
+        start = words.first[doc[hit]]
+        yield from zip(doc[hit].tolist(), item[hit].tolist(), edits.tolist(), (begin - start).tolist(), (end - start).tolist())
+
+
+def passages(text, low, high, pattern, first, last, most):
+    """Pairs of which pattern[first:last] is at most `most` edits from a piece of text[low:high]: which, edits, begin, end."""
+    sizes = last - first
+    best = edit_rows(gathered(text, low, high, 0), gathered(pattern, first, last, 1), sizes, free=True)
+    best[np.arange(best.shape[1])[None, :] > (high - low)[:, None]] = 1 << 20
+    ends = best.argmin(axis=1)
+    hit = np.flatnonzero(best[np.arange(len(ends)), ends] <= most)
+    if not len(hit):
+        return (np.empty(0, np.int64),) * 4
+    # Backwards from the end, to see where the passage begins.
+    end = low[hit] + ends[hit]
+    back = edit_rows(gathered(text, low[hit], end, 0, back=True), gathered(pattern, first[hit], last[hit], 1, back=True), sizes[hit], free=False)
+    back[np.arange(back.shape[1])[None, :] > ends[hit][:, None]] = 1 << 20
+    return hit, best[hit, ends[hit]], end - back.argmin(axis=1), end
 
 
 def gathered(values: np.ndarray, begin, end, fill: int, back: bool = False) -> np.ndarray:
@@ -217,13 +234,239 @@ def with_hits(documents: DataFrame, benchmark: DataFrame, text: str = "text", co
     return documents.withColumn(column, F.flatten(F.array(*found)) if found else F.array().cast(HITS))
 
 
-def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, edits, begin_word, end_word: each item in each document that holds it."""
+def exact_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of `leaks` by the exact search, which holds blocks of items in every task."""
     rows = with_hits(documents.select("doc_id", "text"), benchmark).select("doc_id", F.explode("_hits").alias("h"))
     return rows.select("doc_id", "h.item_id", "h.edits", F.col("h.begin").alias("begin_word"), F.col("h.end").alias("end_word"))
 
 
+def runs(size):
+    """For items of these sizes: the length of their runs, and how many of those are left whatever the edits."""
+    edits = walks.allowed_edits(size)
+    gram = np.minimum(GRAM, size // (edits + 1))
+    return gram, size + 1 - gram * (edits + 1)
+
+
+def signed(keys: np.ndarray) -> np.ndarray:
+    return keys.view(np.int64)
+
+
+def item_words(benchmark: DataFrame) -> DataFrame:
+    """uid, item_id, words (hashes) and n of each different item that has words."""
+
+    @F.pandas_udf("array<long>")
+    def hashes(texts: pd.Series) -> pd.Series:
+        words = normal(texts.tolist())
+        return pd.Series([signed(words.hash[a:b]) for a, b in zip(words.first, words.last)], dtype=object)
+
+    items = benchmark.select(F.col("item_id").cast("long"), text_or_empty().alias("text")).distinct()
+    items = items.select("item_id", hashes("text").alias("words")).withColumn("n", F.size("words")).filter("n > 0")
+    return store(items.withColumn("uid", F.monotonically_increasing_id()), "items")
+
+
+def flat_items(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All words of some items, where each item begins, and its size."""
+    size = part["n"].to_numpy(np.int64)
+    return np.concatenate([np.asarray(x, np.int64) for x in part["words"]]).view(U), np.cumsum(size) - size, size
+
+
+def item_runs(items: DataFrame) -> DataFrame:
+    """key: the runs of the items, of the lengths that are looked for."""
+
+    def each(parts):
+        for part in parts:
+            if len(part):
+                flat, first, size = flat_items(part)
+                gram, keys = runs(size)[0], np.zeros(len(flat), U)
+                for q in range(1, GRAM + 1):
+                    keys = longer(keys, flat, q)
+                    own = [keys[f : f + n - q + 1] for f, n in zip(first[gram == q], size[gram == q])]
+                    if own:
+                        yield pd.DataFrame({"key": signed(np.concatenate(own))})
+
+    return items.select("words", "n").mapInPandas(each, "key long")
+
+
+def item_keys(items: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """key, uid, start: the sampled keys of the items' walks and the word of the item from which each was walked."""
+
+    def each(parts):
+        for part in parts:
+            if len(part):
+                flat, first, size = flat_items(part)
+                uid = part["uid"].to_numpy(np.int64)
+                for window, r, own, start in walks.walks_of(size, counts):
+                    yield pd.DataFrame({"key": signed(walks.walk(window, r).keys(flat, first[own] + start)), "uid": uid[own], "start": start.astype(np.int32)})
+
+    return items.select("uid", "words", "n").mapInPandas(each, "key long, uid long, start int")
+
+
+def bitmap(keys: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The words other than 0 of the map of first bits of `key`, at most 2^(BITS - 6) rows: which, and their bits."""
+    place = F.shiftrightunsigned("key", 64 - BITS)
+    rows = keys.select(F.shiftright(place, 6).alias("slot"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - BITS}) & 63 AS int))").alias("bit"))
+    found = rows.groupBy("slot").agg(F.bit_or("bit").alias("bits")).toPandas()
+    return found["slot"].to_numpy(np.int64), found["bits"].to_numpy(np.int64)
+
+
+class Known:
+    """A bitmap as `bitmap` gives it, ready to be asked."""
+
+    def __init__(self, slots: np.ndarray, bits: np.ndarray):
+        self.bits = np.zeros(1 << (BITS - 6), U)
+        self.bits[slots] = bits.view(U)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        place = keys >> U(64 - BITS)
+        return (self.bits[place >> U(6)] >> (place & U(63)) & U(1)).astype(bool)
+
+
+def stretches_of(sizes: np.ndarray) -> dict[int, dict[int, int]]:
+    """By length of runs: how many known runs stand in how many words at least where an item of these sizes stands.
+
+    Sizes of a class are looked for together, by the longest stretch and the fewest runs of them.
+    """
+    groups: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for size, gram, least in zip(sizes.tolist(), *(x.tolist() for x in runs(sizes))):
+        groups.setdefault((gram, walks.size_class(size)), []).append((size + int(walks.allowed_edits(size)), least))
+    out: dict[int, dict[int, int]] = {}
+    for (gram, _), own in groups.items():
+        out.setdefault(gram, {})[max(span for span, _ in own)] = min(least for _, least in own)
+    return out
+
+
+def live_words(words: Words, known: Known, stretches: dict[int, dict[int, int]]) -> np.ndarray:
+    """The words around which an item may stand; stretches: by length of runs, how many are left in how many words."""
+    total = len(words.hash)
+    change, keys = np.zeros(total + 1, np.int64), np.zeros(total, U)
+    for q in range(1, max(stretches, default=0) + 1):
+        keys = longer(keys, words.hash, q)
+        if q not in stretches or not len(keys):
+            continue
+        seen = known.has(keys)
+        seen &= words.doc[: len(keys)] == words.doc[q - 1 :]
+        if not seen.any():
+            continue
+        upto = np.concatenate([[0], np.cumsum(seen)])
+        for span, least in stretches[q].items():
+            begin = np.arange(len(keys))
+            end = np.minimum(begin + span, len(keys))
+            full = begin[upto[end] - upto[begin] >= least]
+            change[full] += 1
+            change -= np.bincount(np.minimum(full + span + q, total), minlength=total + 1)
+    return np.flatnonzero(np.cumsum(change[:total]) > 0)
+
+
+def text_blocks(documents: DataFrame, runs_map, keys_map, windows: list[tuple[int, int]], stretches, margin: int) -> DataFrame:
+    """text_key, block, low, words, keys, at: blocks of texts that share keys with items.
+
+    `words` begin at word `low` of the text, `margin` words before the first of `at`, the words whose walks have `keys`.
+    """
+
+    def each(parts):
+        known, wanted = Known(*runs_map), Known(*keys_map)
+        pad = np.zeros(max((w for w, _ in windows), default=0) + 1, U)
+        for part in parts:
+            texts, names = part["text"].tolist(), part["text_key"].to_numpy()
+            for rows in in_batches(texts, BATCH_CHARS):
+                words = normal(texts[rows])
+                live = live_words(words, known, stretches)
+                if not len(live):
+                    continue
+                flat, found = np.concatenate([words.hash, pad]), []
+                for window, r in windows:
+                    keys = walks.walk(window, r).keys(flat, live)
+                    hit = wanted.has(keys)
+                    found.append((live[hit], keys[hit]))
+                at, keys = (np.concatenate(x) for x in zip(*found))
+                doc = words.doc[at]
+                place = at - words.first[doc]
+                order = np.lexsort((place, doc))
+                at, keys, doc, place = at[order], keys[order], doc[order], place[order]
+                block = place // BLOCK_WORDS
+                edges = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (block[1:] != block[:-1])])) if len(at) else np.empty(0, np.int64)
+                out = []
+                for a, b in zip(edges, np.append(edges[1:], len(at))):
+                    first, last = words.first[doc[a]], words.last[doc[a]]
+                    low, high = max(first, first + place[a] - margin), min(last, first + place[b - 1] + margin)
+                    out.append((names[rows][doc[a]], block[a], low - first, signed(words.hash[low:high]), signed(keys[a:b]), place[a:b]))
+                if out:
+                    yield pd.DataFrame(out, columns=["text_key", "block", "low", "words", "keys", "at"])
+
+    texts = documents.select(text_or_empty().alias("text")).withColumn("text_key", F.sha2("text", 256))
+    found = texts.mapInPandas(each, "text_key string, block long, low long, words array<long>, keys array<long>, at array<long>")
+    # Equal texts have equal blocks.
+    return found.dropDuplicates(["text_key", "block"])
+
+
+def verified(pairs: DataFrame) -> DataFrame:
+    """text_key, uid, edits, begin, end of the pairs (low, words, n, pattern) within the limit."""
+
+    def each(parts):
+        for part in parts:
+            sizes, spans = part["n"].to_numpy(np.int64), part["words"].map(len).to_numpy(np.int64)
+            order, at = np.argsort(sizes, kind="stable"), 0
+            while at < len(order):
+                # Alike sizes together, as many as fit.
+                upto = min(len(order), at + max(1, CELLS // int(max(1, spans[order[at : at + 1024]].max()))), at + 1024)
+                own = order[at:upto]
+                at = upto
+                text, pattern = (np.concatenate([np.asarray(x, np.int64) for x in part[c].iloc[own]]).view(U) for c in ("words", "pattern"))
+                span, size = spans[own], sizes[own]
+                high, last = np.cumsum(span), np.cumsum(size)
+                hit, edits, begin, end = passages(text, high - span, high, pattern, last - size, last, walks.allowed_edits(size))
+                if len(hit):
+                    rows = part.iloc[own[hit]]
+                    shift = rows["low"].to_numpy(np.int64) - (high - span)[hit]
+                    yield pd.DataFrame({
+                        "text_key": rows["text_key"].to_numpy(), "uid": rows["uid"].to_numpy(),
+                        "edits": edits.astype(np.int32), "begin": begin + shift, "end": end + shift,
+                    })
+
+    return pairs.mapInPandas(each, "text_key string, uid long, edits int, begin long, end long")
+
+
+def text_hits(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """text_key (SHA-256), item_id, edits, begin, end: the items that each different text holds. Written before it is read."""
+    items = item_words(benchmark)
+    sizes = np.array(sorted(r.n for r in items.select("n").distinct().collect()), np.int64)
+    counts = walks.plan(int(sizes.max(initial=0)))
+    keys = store(item_keys(items, counts), "item-keys")
+    stretches = stretches_of(sizes)
+    windows = sorted({(w, r) for w, r, _, _ in walks.walks_of(sizes, counts)})
+    margin = 2 * int(sizes.max(initial=0)) + 1
+    blocks = store(text_blocks(documents, bitmap(item_runs(items)), bitmap(keys.select("key")), windows, stretches, margin), "blocks")
+
+    shared = blocks.select("text_key", "block", "low", F.explode(F.arrays_zip("keys", "at")).alias("k"))
+    shared = shared.select("text_key", "block", "low", F.col("k.keys").alias("key"), F.col("k.at").alias("at"))
+    edits = F.floor(F.col("n") * RATE + 1e-9).cast("long")
+    places = shared.join(keys, "key").join(items.select("uid", "n"), "uid")
+    # Places next to each other are verified as one.
+    place = F.floor((F.col("at") - F.col("start")) / (edits + 1)) * (edits + 1)
+    places = places.select("text_key", "block", "uid", place.alias("place")).distinct()
+    begin = F.greatest(F.col("place") - edits - F.col("low"), F.lit(0))
+    end = F.least(F.col("place") + F.col("n") + 3 * edits - F.col("low"), F.size("whole").cast("long"))
+    pairs = (
+        places.join(blocks.select("text_key", "block", "low", F.col("words").alias("whole")), ["text_key", "block"])
+        .join(items.select("uid", "n", F.col("words").alias("pattern")), "uid")
+        .withColumn("from", begin.cast("int")).withColumn("size", (end - begin).cast("int")).filter("size > 0")
+        .select("text_key", "uid", "n", "pattern", (F.col("low") + F.col("from")).alias("low"), F.expr("slice(whole, from + 1, size)").alias("words"))
+    )
+    best = verified(pairs).groupBy("text_key", "uid").agg(F.min(F.struct("edits", "begin", "end")).alias("h"))
+    hits = store(best.join(items.select("uid", "item_id"), "uid").select("text_key", "item_id", "h.*"), "hits")
+    for written in (items, keys, blocks):
+        discard(written)
+    return hits
+
+
+def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, edits, begin_word, end_word: each item in each document that holds it."""
+    found = text_hits(documents, benchmark).select("text_key", "item_id", "edits", F.col("begin").alias("begin_word"), F.col("end").alias("end_word"))
+    return documents.select("doc_id", F.sha2(text_or_empty(), 256).alias("text_key")).join(found, "text_key").drop("text_key")
+
+
 def clean_documents(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `documents` that hold no item."""
-    packed = documents.select(F.struct("*").alias("_doc"), F.col("text").alias("text"))
-    return with_hits(packed, benchmark).filter(F.size("_hits") == 0).select("_doc.*")
+    found = text_hits(documents, benchmark).select("text_key").distinct()
+    packed = documents.select(F.struct("*").alias("_doc"), F.sha2(text_or_empty(), 256).alias("text_key"))
+    return packed.join(found, "text_key", "left_anti").select("_doc.*")
