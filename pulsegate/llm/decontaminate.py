@@ -407,8 +407,9 @@ def verified(pairs: DataFrame) -> DataFrame:
             sizes, spans = part["n"].to_numpy(np.int64), part["words"].map(len).to_numpy(np.int64)
             order, at = np.argsort(sizes, kind="stable"), 0
             while at < len(order):
-                # Alike sizes together, as many as fit.
-                upto = min(len(order), at + max(1, CELLS // int(max(1, spans[order[at : at + 1024]].max()))), at + 1024)
+                # Alike sizes together, as many as fit: a long item among short ones would cost each of them its length.
+                upto = min(at + 1024, int(np.searchsorted(sizes[order], 2 * sizes[order[at]], "right")))
+                upto = min(upto, at + max(1, CELLS // int(max(1, spans[order[at:upto]].max()))))
                 own = order[at:upto]
                 at = upto
                 text, pattern = (np.concatenate([np.asarray(x, np.int64) for x in part[c].iloc[own]]).view(U) for c in ("words", "pattern"))
@@ -443,15 +444,16 @@ def text_hits(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     places = shared.join(keys, "key").join(items.select("uid", "n"), "uid")
     # Places next to each other are verified as one.
     place = F.floor((F.col("at") - F.col("start")) / (edits + 1)) * (edits + 1)
-    places = places.select("text_key", "block", "uid", place.alias("place")).distinct()
+    places = places.select("text_key", "block", "uid", "n", place.alias("place")).distinct()
     begin = F.greatest(F.col("place") - edits - F.col("low"), F.lit(0))
     end = F.least(F.col("place") + F.col("n") + 3 * edits - F.col("low"), F.size("whole").cast("long"))
-    pairs = (
+    # Words around the place are cut out before anything else meets a block, whose size follows the longest item.
+    spans = (
         places.join(blocks.select("text_key", "block", "low", F.col("words").alias("whole")), ["text_key", "block"])
-        .join(items.select("uid", "n", F.col("words").alias("pattern")), "uid")
         .withColumn("from", begin.cast("int")).withColumn("size", (end - begin).cast("int")).filter("size > 0")
-        .select("text_key", "uid", "n", "pattern", (F.col("low") + F.col("from")).alias("low"), F.expr("slice(whole, from + 1, size)").alias("words"))
+        .select("text_key", "uid", "n", (F.col("low") + F.col("from")).alias("low"), F.expr("slice(whole, from + 1, size)").alias("words"))
     )
+    pairs = spans.join(items.select("uid", F.col("words").alias("pattern")), "uid")
     best = verified(pairs).groupBy("text_key", "uid").agg(F.min(F.struct("edits", "begin", "end")).alias("h"))
     hits = store(best.join(items.select("uid", "item_id"), "uid").select("text_key", "item_id", "h.*"), "hits")
     for written in (items, keys, blocks):
