@@ -4,17 +4,19 @@ Every group is found under one key, made of the predicates that narrow it most:
 
 - two exact predicates (==, IN) on the rarest fields give one key of both (field, value) pairs;
 - one exact predicate, or a dataset, gives a key of one;
-- a range (<, <=, >, >=, BETWEEN on numbers and times) gives dyadic intervals. All bounds that rules
-  state for a field cut its line into points and gaps; a range covers a run of them and is stored as
+- the ranges (<, <=, >, >=, BETWEEN on numbers and times) of a field, taken together, give dyadic
+  intervals. Between the least and the greatest bound that rules state for the field, whole numbers and
+  the gaps between them are the places of its line; a range covers a run of them and is stored as
   the at most 2 log n blocks of that run, while a value has the log n blocks that hold it. A value
   shares exactly one block with each range that it lies in, so the join is by equality and decides
-  the predicate;
+  the predicates. A line with a bound that is no whole number is cut into equal parts; there the
+  predicates are verified as well;
 - STARTS_WITH and ENDS_WITH give the cut text under its length; a value is cut at the lengths in use.
 
 Groups with none of these, and empty triggers, are candidates always. A group without other predicates than
 those of its key needs no verification.
 
-Axes (kind and fields of the keys in use, with bounds or lengths) are configuration: one row for each.
+Axes (kind and fields of the keys in use, with the ends of a line or lengths) are configuration: one short row for each.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegate.operators.joins import small, spread_join
+from pulsegate.operators.joins import kept, small, spread_join
 
 DATASET = "in_dataset:"
 # Values of both lists of a pair at most; longer ones are found under the first field alone.
@@ -32,6 +34,9 @@ HOME = ["source", "version"]
 KEY = [*HOME, "axis", "value"]
 SIG = ["sig", "twin"]
 GROUP = [*HOME, "rule_id", "group_id"]
+# Parts of a line whose bounds are not all whole numbers, and the size up to which whole numbers have places.
+PARTS = 2**30
+WHOLE = 2.0**51
 
 
 def as_number(text: Column, dtype: Column) -> Column:
@@ -94,18 +99,45 @@ def _above(place: Column, levels: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), levels), lambda n: F.concat_ws(":", n.cast("string"), F.call_function("shiftright", place.cast("long"), n.cast("int")).cast("string")))
 
 
-def access_index(predicates: DataFrame, index: DataFrame, columns: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(keys, axes, free): keys as (source, version, axis, value, rule_id, group_id, whole, several), axes in use, and rules that are always candidates.
+def _spot(value: Column, least: Column, most: Column, fine: Column) -> Column:
+    """Place of a value on the line between the least and the greatest bound stated, which never falls as values rise.
 
-    `index` are the exact predicates (rule_index). whole: the key decides the group; several: the
-    rule has more than one group. Without `columns`, the declared fields, only exact predicates give keys.
+    fine (all bounds are whole): a place for each whole number and each gap, one for all values below and one for all above.
+    """
+    held = F.least(F.greatest(value, least - 1), most + 1)
+    under = F.floor(held)
+    exact = 2 * (under - least.cast("long")) + 2 + F.when(held > under, 1).otherwise(0)
+    share = F.coalesce(F.floor(F.try_divide(value - least, most - least) * PARTS), F.lit(0).cast("long"))
+    part = F.when(value < least, 0).when(value > most, PARTS + 2).otherwise(share + 1)
+    return F.when(value.isNotNull(), F.when(fine, exact).otherwise(part))
+
+
+def _end(least: Column, most: Column, fine: Column) -> Column:
+    """The last place of a line."""
+    return F.when(fine, (2 * (most - least) + 4).cast("long")).otherwise(F.lit(PARTS + 2).cast("long"))
+
+
+def _line_levels(least: Column, most: Column, fine: Column) -> Column:
+    return F.length(F.bin(_end(least, most, fine)))
+
+
+def access_index(
+    predicates: DataFrame, index: DataFrame, columns: DataFrame | None = None, weights: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(keys, axes, free): keys as (source, version, axis, value, rule_id, group_id, covered, whole, several), axes in use, and rules that are always candidates.
+
+    `index` are the exact predicates (rule_index). covered: the pred_ids that the key decides; whole: it
+    decides the group; several: the rule has more than one group. Without `columns`, the declared fields,
+    only exact predicates give keys. `weights` (rule_id, n) tell how many rules a rule stands for.
     """
     # Configuration: each table is kept, or every join below would plan and compute it anew.
-    index = index.persist()
-    rarity = index.groupBy(*HOME, "field").agg(F.countDistinct("rule_id").alias("df"))
+    index = kept(index, "index")
+    named = index.select(*HOME, "field", "rule_id").distinct()
+    counted = named.withColumn("n", F.lit(1)) if weights is None else named.join(weights.select("rule_id", "n"), "rule_id")
+    rarity = counted.groupBy(*HOME, "field").agg(F.sum("n").alias("df"))
     listed = index.groupBy(*GROUP, "pred_id", "field").agg(F.collect_set("value").alias("values"))
     item = F.struct("df", "field", "pred_id", "values")
-    exact = listed.join(rarity, [*HOME, "field"]).groupBy(*GROUP).agg(F.array_sort(F.collect_list(item)).alias("exact")).persist()
+    exact = listed.join(rarity, [*HOME, "field"]).groupBy(*GROUP).agg(F.array_sort(F.collect_list(item)).alias("exact"))
     sizes = predicates.groupBy(*GROUP).agg(F.count("*").alias("size"), F.bool_or(F.col("kind") == "always").alias("always"))
     several = sizes.groupBy(*HOME, "rule_id").agg((F.count("*") > 1).alias("several"))
     groups = sizes.join(exact, GROUP, "left")
@@ -117,64 +149,103 @@ def access_index(predicates: DataFrame, index: DataFrame, columns: DataFrame | N
     bounds = F.transform(words, lambda w: as_number(w, F.col("type")))
     span = F.when(F.col("type").isin(*NUMBERS, "TIMESTAMP") & ~F.exists(bounds, lambda b: b.isNull()), _range_of(F.col("op"), bounds))
     affix = F.when((F.col("type") == "STRING") & (F.length("value") > 0), F.when(F.col("op") == "STARTS_WITH", "prefix").when(F.col("op") == "ENDS_WITH", "suffix"))
-    other = others.select(*GROUP, "pred_id", "field", "type", "value", span.alias("span"), affix.alias("affix")).where(F.col("span").isNotNull() | F.col("affix").isNotNull())
+    stated = others.select(*GROUP, "pred_id", "field", "type", "value", span.alias("span"), affix.alias("affix"))
+    # The ranges of a group on one field are one range: of equal bounds the open one holds.
+    low, high = F.col("span.low"), F.col("span.high")
+    joint = stated.where("span is not null").groupBy(*GROUP, "field", "type").agg(
+        F.max(F.when(low.isNotNull(), F.struct(low.alias("at"), (~F.col("span.low_in")).alias("open")))).alias("_low"),
+        F.min(F.when(high.isNotNull(), F.struct(high.alias("at"), F.col("span.high_in").alias("closed")))).alias("_high"),
+        F.sort_array(F.collect_list("pred_id")).alias("covered"),
+    )
+    one_span = F.struct(
+        F.col("_low.at").alias("low"), F.coalesce(~F.col("_low.open"), F.lit(True)).alias("low_in"),
+        F.col("_high.at").alias("high"), F.coalesce("_high.closed", F.lit(True)).alias("high_in"),
+    )
+    nothing = lambda kind: F.lit(None).cast(kind)
+    held = [*GROUP, "field", "type", "value", "span", "affix", "covered"]
+    texts = stated.where("affix is not null").withColumn("covered", F.array("pred_id")).select(*held)
+    other = texts.unionByName(joint.withColumns({"span": one_span, "value": nothing("string"), "affix": nothing("string")}).select(*held))
     # Two-sided ranges narrow most, then texts, longer ones first, then half lines.
     closed = F.col("span.low").isNotNull() & F.col("span.high").isNotNull()
     order = F.when(closed, 0).when(F.col("affix").isNotNull(), 1).otherwise(2)
-    best = other.groupBy(*GROUP).agg(F.min_by(F.struct("field", "type", "value", "span", "affix"), F.struct(order, -F.length("value"), "pred_id")).alias("other")).persist()
-    groups = groups.join(best, GROUP, "left").join(several, [*HOME, "rule_id"]).persist()
-    free = groups.where("exact is null and (other is null or always)").select(*HOME, "rule_id").distinct().persist()
+    best = other.groupBy(*GROUP).agg(F.min_by(F.struct("field", "type", "value", "span", "affix", "covered"), F.struct(order, -F.length("value"), "covered")).alias("other"))
+    groups = kept(groups.join(best, GROUP, "left").join(several, [*HOME, "rule_id"]), "groups")
+    free = kept(groups.where("exact is null and (other is null or always)").select(*HOME, "rule_id").distinct(), "free")
     # A rule that is always a candidate needs no keys.
-    groups = groups.join(free, [*HOME, "rule_id"], "left_anti").persist()
+    groups = groups.join(free, [*HOME, "rule_id"], "left_anti")
 
     one, two = F.get("exact", F.lit(0)), F.get("exact", F.lit(1))
     paired = F.col("exact").isNotNull() & two.isNotNull() & ~F.startswith(one["field"], F.lit(DATASET)) & ~F.startswith(two["field"], F.lit(DATASET)) & (one["field"] != two["field"])
     paired = F.coalesce(paired & (F.size(one["values"]) * F.size(two["values"]) <= PAIR_VALUES), F.lit(False))
-    about = [*GROUP, "several"]
+    about = [*GROUP, "several", "covered"]
+    decided = F.size("covered") == F.col("size")
     pair_values = F.flatten(F.transform(one["values"], lambda a: F.transform(two["values"], lambda b: F.to_json(F.array(a, b)))))
-    pairs = groups.where(paired).select(*about, (F.col("size") == 2).alias("whole"), _axis("pair", one["field"], two["field"]).alias("axis"), F.explode(pair_values).alias("value"))
-    singles = groups.where(F.col("exact").isNotNull() & ~paired).select(*about, (F.col("size") == 1).alias("whole"), _axis("one", one["field"]).alias("axis"), F.explode(one["values"]).alias("value"))
+    pairs = groups.where(paired).withColumn("covered", F.array(one["pred_id"], two["pred_id"])).select(
+        *about, decided.alias("whole"), _axis("pair", one["field"], two["field"]).alias("axis"), F.explode(pair_values).alias("value"))
+    singles = groups.where(F.col("exact").isNotNull() & ~paired).withColumn("covered", F.array(one["pred_id"])).select(
+        *about, decided.alias("whole"), _axis("one", one["field"]).alias("axis"), F.explode(one["values"]).alias("value"))
+    groups = groups.withColumn("covered", F.col("other.covered"))
     text = groups.where(F.col("exact").isNull() & F.col("other.affix").isNotNull()).select(
-        *about, (F.col("size") == 1).alias("whole"), _axis("text", F.col("other.affix"), F.col("other.field")).alias("axis"),
+        *about, decided.alias("whole"), _axis("text", F.col("other.affix"), F.col("other.field")).alias("axis"),
         F.concat_ws(":", F.length("other.value").cast("string"), "other.value").alias("value"), F.length("other.value").alias("length"),
     )
-    ranges = groups.where(F.col("exact").isNull() & F.col("other.span").isNotNull()).select(*about, (F.col("size") == 1).alias("whole"), F.col("other.field").alias("field"), F.col("other.type").alias("type"), "other.span.*")
+    ranges = groups.where(F.col("exact").isNull() & F.col("other.span").isNotNull()).select(*about, decided.alias("whole"), F.col("other.field").alias("field"), F.col("other.type").alias("type"), "other.span.*")
+    cut, fine = F.col("cut"), F.col("fine")
     marks = ranges.select(*HOME, "field", "type", F.explode(F.array_compact(F.array("low", "high"))).alias("cut"))
-    lines = marks.groupBy(*HOME, "field", "type").agg(F.array_sort(F.collect_set("cut")).alias("cuts"))
-    cut = ranges.join(lines, [*HOME, "field", "type"])
-    first = F.when(F.col("low").isNull(), 0).otherwise(_place(F.col("cuts"), F.col("low")) + F.when(F.col("low_in"), 0).otherwise(1))
-    last = F.when(F.col("high").isNull(), 2 * F.size("cuts")).otherwise(_place(F.col("cuts"), F.col("high")) - F.when(F.col("high_in"), 0).otherwise(1))
-    spans = cut.select(*about, "whole", _axis("line", F.col("field")).alias("axis"), F.explode(_blocks(first, last, _levels(F.col("cuts")))).alias("value"))
-    keys = pairs.unionByName(singles).unionByName(text.drop("length")).unionByName(spans).persist()
-    nothing = lambda kind: F.lit(None).cast(kind)
+    lines = marks.groupBy(*HOME, "field", "type").agg(
+        F.min(cut).alias("least"), F.max(cut).alias("most"), F.bool_and((cut == F.floor(cut)) & (F.abs(cut) <= WHOLE)).alias("fine"))
+    lines = kept(lines, "lines")
+    line = (F.col("least"), F.col("most"), fine)
+    placed = ranges.join(small(lines), [*HOME, "field", "type"])
+    first = F.when(F.col("low").isNull(), 0).otherwise(_spot(F.col("low"), *line) + F.when(fine & ~F.col("low_in"), 1).otherwise(0))
+    last = F.when(F.col("high").isNull(), _end(*line)).otherwise(_spot(F.col("high"), *line) - F.when(fine & ~F.col("high_in"), 1).otherwise(0))
+    spans = placed.select(
+        *about, (F.col("whole") & fine).alias("whole"), F.when(fine, F.col("covered")).otherwise(F.array().cast("array<int>")).alias("_covered"),
+        _axis("line", F.col("field")).alias("axis"), F.explode(_blocks(first, last, _line_levels(*line))).alias("value"),
+    ).drop("covered").withColumnRenamed("_covered", "covered")
+    keys = pairs.unionByName(singles).unionByName(text.drop("length")).unionByName(spans)
+    keys = kept(keys, "keys")
+    ends = lambda: [nothing("string").alias("type"), nothing("double").alias("least"), nothing("double").alias("most"), nothing("boolean").alias("fine")]
     axes = (
-        pairs.unionByName(singles).select(*HOME, "axis", nothing("string").alias("type"), nothing("array<double>").alias("cuts"), nothing("array<int>").alias("lengths")).distinct()
-        .unionByName(text.groupBy(*HOME, "axis").agg(F.collect_set("length").alias("lengths")).select(*HOME, "axis", nothing("string").alias("type"), nothing("array<double>").alias("cuts"), "lengths"))
-        .unionByName(lines.select(*HOME, _axis("line", F.col("field")).alias("axis"), "type", "cuts", nothing("array<int>").alias("lengths")))
+        pairs.unionByName(singles).select(*HOME, "axis").distinct().select(*HOME, "axis", *ends(), nothing("array<int>").alias("lengths"))
+        .unionByName(text.groupBy(*HOME, "axis").agg(F.collect_set("length").alias("lengths")).select(*HOME, "axis", *ends(), "lengths"))
+        .unionByName(lines.select(*HOME, _axis("line", F.col("field")).alias("axis"), "type", "least", "most", "fine", nothing("array<int>").alias("lengths")))
     )
-    return keys, axes.persist(), free
+    return keys, kept(axes, "axes"), free
 
 
-def keys_of(sigs: DataFrame, axes: DataFrame, token_rows: DataFrame | None = None) -> DataFrame:
-    """(source, version, sig, twin, axis, value): the keys of each signature on the axes in use; datasets come from the tokens."""
+def spots(sigs: DataFrame, axes: DataFrame) -> DataFrame:
+    """(source, version, sig, twin, axis, at): the text by which each signature stands on each axis, both of a pair as a JSON list."""
     part = F.from_json("axis", "array<string>")
-    rows = sigs.select(*HOME, *SIG, "values").join(small(axes), HOME).withColumn("_part", part)
+    rows = sigs.select(*HOME, *SIG, "values").join(small(axes.select(*HOME, "axis")), HOME).withColumn("_part", part)
     kind, field, second = (F.get("_part", F.lit(i)) for i in range(3))
     of = lambda name: F.try_element_at("values", name)
-    there = of(second)
-    cut = lambda n: F.when(field == "prefix", F.substring(there, F.lit(1), n)).otherwise(F.substring(there, -n, n))
+    both = F.when(of(field).isNotNull() & of(second).isNotNull(), F.to_json(F.array(of(field), of(second))))
+    at = F.when(kind == "pair", both).when(kind == "text", of(second)).otherwise(of(field))
+    return rows.select(*HOME, *SIG, "axis", at.alias("at")).where("at is not null")
+
+
+def keys_at(spotted: DataFrame, axes: DataFrame) -> DataFrame:
+    """`spotted`, rows with source, version, axis and at, with each key (`value`) that holds them."""
+    rows = spotted.join(small(axes), [*HOME, "axis"]).withColumn("_part", F.from_json("axis", "array<string>"))
+    kind, side, there = F.get("_part", F.lit(0)), F.get("_part", F.lit(1)), F.col("at")
+    cut = lambda n: F.when(side == "prefix", F.substring(there, F.lit(1), n)).otherwise(F.substring(there, -n, n))
     texts = F.transform(F.filter("lengths", lambda n: n <= F.length(there)), lambda n: F.concat_ws(":", n.cast("string"), cut(n)))
-    line = _above(_place(F.col("cuts"), as_number(of(field), F.col("type"))), _levels(F.col("cuts")))
-    none = F.array().cast("array<string>")
-    found = (
-        F.when(kind == "pair", F.when(of(field).isNotNull() & there.isNotNull(), F.array(F.to_json(F.array(of(field), there)))).otherwise(none))
-        .when(kind == "one", F.array_compact(F.array(of(field)))).when(kind == "text", texts).when(kind == "line", F.filter(line, lambda b: ~F.endswith(b, F.lit(":"))))
-    )
-    keyed = rows.select(*HOME, *SIG, "axis", F.explode(F.coalesce(found, none)).alias("value"))
-    if token_rows is None:
-        return keyed
-    sets = token_rows.where(F.startswith("field", F.lit(DATASET))).select(*HOME, *SIG, _axis("one", F.col("field")).alias("axis"), "value")
-    return keyed.unionByName(sets)
+    line = (F.col("least"), F.col("most"), F.col("fine"))
+    place = _spot(as_number(there, F.col("type")), *line)
+    blocks = F.when(place.isNotNull(), _above(place, _line_levels(*line)))
+    found = F.when(kind.isin("pair", "one"), F.array(there)).when(kind == "text", texts).when(kind == "line", blocks)
+    return rows.select(*spotted.columns, F.explode(found).alias("value"))
+
+
+def dataset_keys(token_rows: DataFrame) -> DataFrame:
+    return token_rows.where(F.startswith("field", F.lit(DATASET))).select(*HOME, *SIG, _axis("one", F.col("field")).alias("axis"), "value")
+
+
+def keys_of(sigs: DataFrame, axes: DataFrame, token_rows: DataFrame | None = None) -> DataFrame:
+    """(source, version, sig, twin, axis, value): the keys of each signature on the axes in use; datasets come from the tokens."""
+    keyed = keys_at(spots(sigs, axes), axes).drop("at")
+    return keyed if token_rows is None else keyed.unionByName(dataset_keys(token_rows))
 
 
 def found(sigs: DataFrame, keys: DataFrame, axes: DataFrame, free: DataFrame, token_rows: DataFrame | None = None) -> DataFrame:

@@ -4,6 +4,10 @@ Rules are rows here. Events are first reduced to signatures, the distinct combin
 of (source, version) and the values of the fields the triggers read; rules are matched
 once per signature, and events join their signature at the end. A value that a third
 of all events carry is thus matched once, not once per event.
+
+Rules are reduced in the same way: rules of equal trigger are matched once (`alike`). Where sums over
+the matching rules are asked for and not the rules, `matched_sums` adds up the rules under each key of the
+index before events meet it, so that no pair of event and rule is ever made.
 """
 
 from __future__ import annotations
@@ -16,10 +20,12 @@ from pulsegate.functions.arithmetic import arithmetic, fields_of
 from pulsegate.functions.json_leaves import instant, instant_text
 from pulsegate.operators import access
 from pulsegate.operators.datasets import newest
-from pulsegate.operators.joins import small, spread_join
+from pulsegate.operators.joins import kept, small, spread_join
 
 EXACT = ("==", "IN", "IN_DATASET")
 DATASET = "in_dataset:"
+# What a predicate says, without its place in a rule.
+SAID = ["kind", "field", "fields", "expr", "is_length", "op", "value", "right_field", "right_expr", "dataset_id", "dataset_version"]
 
 
 def _list(value: Column) -> Column:
@@ -32,11 +38,35 @@ def _is_exact() -> Column:
     return F.col("op").isin(*EXACT) & plain
 
 
+def _name(said: Column) -> Column:
+    """A name of 128 bits for a value, equal for equal values."""
+    return F.substring(F.sha2(F.to_json(said), 256), 1, 32)
+
+
 def trigger_predicates(leaves: DataFrame) -> DataFrame:
     """Trigger rows of flatten_rules: the predicates of the AND groups."""
     return leaves.where("part = 'trigger'")
 
 
+def alike(predicates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(predicates of one rule for each different trigger, rows (rule_id, first): the rule of equal trigger that stands for each).
+
+    What is collected to a row is one rule's own trigger.
+    """
+    said = F.sort_array(F.collect_list(F.struct("source", "version", "group_id", *SAID)))
+    named = predicates.groupBy("rule_id").agg(said.alias("said")).select("rule_id", _name(F.struct("said")).alias("trigger"))
+    named = kept(named, "triggers")
+    firsts = kept(named.groupBy("trigger").agg(F.min("rule_id").alias("first")), "firsts")
+    stands = named.join(small(firsts), "trigger").select("rule_id", "first")
+    return kept(predicates.join(small(firsts.select(F.col("first").alias("rule_id"))), "rule_id", "left_semi"), "alike"), stands
+
+
+def stood_for(stands: DataFrame, sums: dict[str, Column]) -> DataFrame:
+    """(rule_id, *sums): for each rule that stands for others the `sums`, columns over rule_id, of all of them. stands: rows of `alike`."""
+    valued = stands.select(F.col("first").alias("_first"), *[c.alias(n) for n, c in sums.items()])
+    return kept(valued.groupBy(F.col("_first").alias("rule_id")).agg(*[F.sum(n).alias(n) for n in sums]), "stood-for")
+
+
 def _canonical(word: Column, dtype: Column) -> Column:
     """The text that ingest writes for a literal of a declared type; text of no such value stays as it is."""
     number = word.try_cast("decimal(38,9)")
@@ -158,14 +188,14 @@ def candidates(token_rows: DataFrame, sigs: DataFrame, index: DataFrame, always:
     return hits.unionByName(spread_join(sigs, always, ["source", "version"], SIG).select(*SIG, "rule_id"))
 
 
-def rare_two(token_rows: DataFrame, sigs: DataFrame, index: DataFrame, predicates: DataFrame) -> DataFrame:
+def rare_two(token_rows: DataFrame, sigs: DataFrame, index: DataFrame, predicates: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """Candidates by intersection: in some AND group the two exact predicates on the rarest fields hit.
 
     Both are one key of the index (operators.access). Groups with fewer exact predicates need all
     they have; rules with a group without any always qualify. A dataset as second predicate is left
-    to the verification.
+    to the verification. `weights` (rule_id, n) tell how many rules a rule stands for.
     """
-    return access.found(sigs, *access.access_index(predicates, index), token_rows).select(*SIG, "rule_id")
+    return access.found(sigs, *access.access_index(predicates, index, weights=weights), token_rows).select(*SIG, "rule_id")
 
 
 def matches(token_rows: DataFrame, sigs: DataFrame, index: DataFrame, predicates: DataFrame, columns: DataFrame) -> DataFrame:
@@ -176,6 +206,73 @@ def matches(token_rows: DataFrame, sigs: DataFrame, index: DataFrame, predicates
     return sure.unionByName(verify(open_, sigs, rule_groups(predicates, columns), token_rows, expressions(predicates)))
 
 
+def _parts(predicates: DataFrame, sums: dict[str, Column]) -> DataFrame:
+    """(source, version, part, own, earlier, *sums): groups that exclude each other in every rule, with `sums` over the rules of equal parts.
+
+    A part holds where its `own` predicates do and none of the `earlier` groups of its rule. Groups that
+    many rules have come first in a rule, so that what the others exclude is shared by many rules as well.
+    """
+    home = ["source", "version"]
+    groups = predicates.groupBy(*home, "rule_id", "group_id").agg(F.sort_array(F.collect_set(F.struct(*SAID))).alias("g"))
+    groups = kept(groups.withColumn("name", _name(F.struct("g"))), "groups")
+    shared = groups.groupBy(*home, "name").agg(F.count("*").alias("_n")).where("_n > 1")
+    ranked = groups.join(small(shared), [*home, "name"], "left").select(*home, "rule_id", F.struct(-F.coalesce("_n", F.lit(1)), "name", "g").alias("o"))
+    ordered = ranked.groupBy(*home, "rule_id").agg(F.array_sort(F.collect_set("o")).alias("o"))
+    opened = ordered.select(*home, *[c.alias(n) for n, c in sums.items()], F.col("o.g").alias("_gs"), F.posexplode("o.name").alias("_at", "_name"), F.col("o.name").alias("_names"))
+    named = opened.select(
+        *home, F.sha2(F.array_join(F.slice("_names", F.lit(1), F.col("_at") + 1), ","), 256).substr(1, 32).alias("part"),
+        F.get("_gs", F.col("_at")).alias("own"), F.slice("_gs", F.lit(1), F.col("_at")).alias("earlier"), *sums,
+    )
+    return named.groupBy(*home, "part").agg(F.any_value("own").alias("own"), F.any_value("earlier").alias("earlier"), *[F.sum(n).alias(n) for n in sums])
+
+
+def matched_sums(
+    sigs: DataFrame, predicates: DataFrame, columns: DataFrame, sums: dict[str, Column], token_rows: DataFrame | None = None
+) -> DataFrame:
+    """(sig, twin, *sums): for each signature the `sums`, columns over rule_id, of the rules whose trigger holds.
+
+    The same as sums over `matches`, without a row for each rule that matches. A rule counts under the one of
+    its parts that holds. Parts lie in the index under the key of their group; those of equal key that leave
+    the same predicates to be verified (`rest`) are added up there. Keys are looked up once for each text
+    that signatures have on an axis, and a rest is verified once for a signature.
+    """
+    home, added = ["source", "version"], [F.sum(n).alias(n) for n in sums]
+    parts = kept(_parts(predicates, sums), "parts")
+    said = lambda groups, name: groups.select(*home, F.col(name).alias("rule_id"), "group_id", F.posexplode("g").alias("pred_id", "_p")).select(*home, "rule_id", "group_id", "pred_id", "_p.*")
+    own = said(parts.withColumn("group_id", F.lit("0")).withColumnRenamed("own", "g"), "part")
+    own = kept(own, "own")
+    keys, axes, free = access.access_index(own, rule_index(own, columns), columns)
+
+    covered = keys.select(*home, F.col("rule_id").alias("part"), "covered").distinct()
+    left = parts.join(covered, [*home, "part"], "left").withColumn(
+        "rest", F.when(F.col("covered").isNull(), F.col("own")).otherwise(F.filter("own", lambda p, i: ~F.array_contains("covered", i))))
+    todo = F.struct(*home, "rest", "earlier")
+    left = left.withColumn("todo", F.when((F.size("rest") > 0) | (F.size("earlier") > 0), _name(todo)))
+    left = kept(left, "left")
+    cells = keys.join(left.select(*home, F.col("part").alias("rule_id"), "todo", *sums), [*home, "rule_id"]).groupBy(*access.KEY, "todo").agg(*added)
+    always = left.join(free.select(*home, F.col("rule_id").alias("part")), [*home, "part"], "left_semi").groupBy(*home, "todo").agg(*added)
+
+    spotted = kept(access.spots(sigs, axes), "spots")
+    met = access.keys_at(spotted.select(*home, "axis", "at").distinct(), axes).join(cells, access.KEY).groupBy(*home, "axis", "at", "todo").agg(*added)
+    columns_of = [*SIG, "todo", *sums]
+    hits = spotted.join(met, [*home, "axis", "at"]).select(*columns_of).unionByName(spread_join(sigs, kept(always, "always"), home, SIG).select(*columns_of))
+    if token_rows is not None:
+        hits = hits.unionByName(access.dataset_keys(token_rows).join(cells, access.KEY).select(*columns_of))
+    hits = kept(hits.groupBy(*SIG, "todo").agg(*added), "hits")
+
+    tasks = left.where("todo is not null").groupBy("todo").agg(*[F.any_value(c).alias(c) for c in (*home, "rest", "earlier")])
+    tasks = kept(tasks, "tasks")
+    rests = rule_groups(said(tasks.where(F.size("rest") > 0).withColumn("group_id", F.lit("0")).withColumnRenamed("rest", "g"), "todo"), columns)
+    before = rule_groups(said(tasks.select(*home, "todo", F.posexplode("earlier").alias("group_id", "g")), "todo"), columns)
+    named = lambda groups, name: groups.select(F.col("rule_id").alias("todo"), F.col("groups").alias(name))
+    tests = tasks.select("todo").join(named(rests, "_rest"), "todo", "left").join(named(before, "_before"), "todo", "left")
+    tests = kept(tests, "tests")
+    valued, holds = _valued(sigs, token_rows, expressions(predicates))
+    any_of = lambda name, none: F.coalesce(F.exists(name, lambda g: F.forall(g, holds)), F.lit(none))
+    open_ = hits.where("todo is not null").join(small(tests), "todo").join(valued, SIG).where(any_of("_rest", True) & ~any_of("_before", False))
+    return hits.where("todo is null").select(*SIG, *sums).unionByName(open_.select(*SIG, *sums)).groupBy(*SIG).agg(*added)
+
+
 def rule_groups(predicates: DataFrame, columns: DataFrame) -> DataFrame:
     """(source, version, rule_id, groups): the AND groups of each rule with their literals read once.
 
@@ -235,6 +332,18 @@ def _holds(p: Column) -> Column:
     return F.coalesce(test, F.lit(False))
 
 
+def _valued(sigs: DataFrame, token_rows: DataFrame | None, texts: list[tuple[str, str, str]]):
+    """(signatures with all that predicates are decided by, the test of one predicate)."""
+    valued = sigs.select("source", "version", *SIG, "values").withColumn("_computed", _computed(texts))
+    if token_rows is None:
+        return valued, _holds
+    sets = token_rows.where(F.startswith("field", F.lit(DATASET))).groupBy(*SIG).agg(
+        F.collect_set(F.concat("field", F.lit("="), "value")).alias("_sets")
+    )
+    holds = lambda p: F.when(p["op"] == "IN_DATASET", F.coalesce(F.array_contains("_sets", p["dataset_key"]), F.lit(False))).otherwise(_holds(p))
+    return valued.join(sets, SIG, "left"), holds
+
+
 def verify(found: DataFrame, sigs: DataFrame, groups: DataFrame, token_rows: DataFrame | None = None, texts: list[tuple[str, str, str]] = ()) -> DataFrame:
     """Candidates whose trigger really holds: every predicate of at least one AND group.
 
@@ -242,14 +351,7 @@ def verify(found: DataFrame, sigs: DataFrame, groups: DataFrame, token_rows: Dat
     the signature. `texts`, from `expressions`, are the arithmetic sides of the triggers; each
     is computed once for a signature.
     """
-    valued = sigs.select("source", "version", *SIG, "values").withColumn("_computed", _computed(texts))
-    holds = _holds
-    if token_rows is not None:
-        sets = token_rows.where(F.startswith("field", F.lit(DATASET))).groupBy(*SIG).agg(
-            F.collect_set(F.concat("field", F.lit("="), "value")).alias("_sets")
-        )
-        valued = valued.join(sets, SIG, "left")
-        holds = lambda p: F.when(p["op"] == "IN_DATASET", F.coalesce(F.array_contains("_sets", p["dataset_key"]), F.lit(False))).otherwise(_holds(p))
+    valued, holds = _valued(sigs, token_rows, texts)
     pairs = found.join(valued, SIG).join(groups, ["source", "version", "rule_id"])
     return pairs.where(F.exists("groups", lambda g: F.forall(g, holds))).select(*SIG, "rule_id")
 
@@ -272,10 +374,11 @@ def pairs(marked: DataFrame, sigs: DataFrame, found: DataFrame) -> DataFrame:
     return marked.select("event_id", "source", "schema_version", "signature").join(named, ["source", "schema_version", "signature"]).select("event_id", "rule_id")
 
 
-def selectivity(sigs: DataFrame, found: DataFrame, rules: DataFrame) -> DataFrame:
-    """Candidates per event and the share of rules pruned, per source."""
+def selectivity(sigs: DataFrame, found: DataFrame, rules: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """Candidates per event and the share of rules pruned, per source. `weights` (rule_id, n): how many rules a rule found stands for."""
     known = rules.groupBy().agg(F.countDistinct("rule_id")).scalar()
-    per_sig = found.groupBy(*SIG).agg(F.count("*").alias("_n"))
+    counted = found.withColumn("n", F.lit(1)) if weights is None else found.join(weights, "rule_id")
+    per_sig = counted.groupBy(*SIG).agg(F.sum("n").alias("_n"))
     joined = sigs.join(per_sig, SIG, "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
     totals = joined.groupBy("source", "version").agg(
         F.sum("events").alias("events"), F.sum(F.col("_n") * F.col("events")).alias("candidates")

@@ -315,3 +315,48 @@ def test_matches_of_every_operator_equal_compiled_rules(spark, sf):
     judged = compile_rules(rules, fx.catalogue()).run(fx.timeline(spark, sf).where("source = 'B'"))
     fired = judged.where("failed_condition is null or not startswith(failed_condition, 'trigger')")
     assert got == sorted((r.event_id, r.rule_id) for r in fired.select("event_id", "rule_id").collect()) and len(got) > 200
+
+
+def test_sums_over_matching_rules_equal_sums_over_pairs(spark):
+    """Groups that exclude each other, joint ranges, fractions, free groups, datasets, and rules that share groups."""
+    from pulsegate.operators import access
+
+    cond = lambda field, op, value=None, **more: {"field": field, "op": op, "value": value, **more}
+    bodies = {
+        "R1": [[cond("n", ">", 3), cond("n", "<=", 9)], [cond("k", "<", 4)]], "R2": [[cond("n", ">", 5), cond("n", "<", 7), cond("s", "STARTS_WITH", "a")], [cond("k", "<", 4)]],
+        "R3": [[cond("d", "BETWEEN", [0.5, 2.25])], [cond("d", ">", 1.5)]], "R4": [[cond("s", "CONTAINS", "b")], [cond("k", "==", 2), cond("s", "==", "ab")]],
+        "R5": [[cond("s", "CONTAINS", "b")], [cond("k", "==", 2), cond("s", "==", "ab")]], "R6": [], "R7": [[cond("n", ">", 9), cond("n", "<", 3)]],
+        "R8": [[{"fields": ["s", "k"], "op": "IN_DATASET", "dataset_id": "risky"}], [cond("n", ">=", 8)]], "R9": [[cond("k", "IN", [1, 2, 3]), cond("n", "!=", 5)], [cond("s", "IS_NULL")]],
+    }
+    rules = [(name, json.dumps({"rule_id": name, "trigger_criteria": [{"source": "S", "version": "v1", "conditions": groups}],
+                                "condition_tree": {"type": "CONDITION", "expression": {"field": "S.v1.k", "op": "IS_NOT_NULL"}}})) for name, groups in bodies.items()]
+    rng = random.Random(5)
+    rows = []
+    for e in range(60):
+        values = {"n": str(rng.randrange(12)), "k": str(rng.randrange(5)), "s": rng.choice(["ab", "b", "a", "c"]), "d": str(rng.randrange(12) / 4)}
+        rows.append((e, "c", BASE, "S", "v1", {f: v for f, v in values.items() if rng.random() < 0.85}))
+    events = spark.createDataFrame(rows, "event_id bigint, customer_id string, event_time timestamp, source string, schema_version string, fields map<string,string>")
+    columns = spark.createDataFrame([("S", "v1", f, t) for f, t in {"n": "LONG", "k": "INT", "s": "STRING", "d": "DOUBLE"}.items()], "source string, version string, path string, type string")
+    sets = spark.createDataFrame([("risky", "v1", ["ab", "1"]), ("risky", "v1", ["c", "3"])], "dataset_id string, dataset_version string, key array<string>")
+    predicates = candidates.trigger_predicates(flatten_rules(spark.createDataFrame(rules, "rule_id string, body string"))).persist()
+    marked, sigs = candidates.signatures(events, candidates.read_fields(predicates))
+    index = candidates.rule_index(predicates, columns)
+    looked_up = candidates.tokens(sigs, index, sets)
+    found = candidates.verify(candidates.candidates(looked_up, sigs, index, candidates.complex_rules(predicates)), sigs, candidates.rule_groups(predicates, columns), looked_up)
+    number = F.substring("rule_id", 2, 9).cast("bigint")
+    want = candidates.per_event(marked, sigs, found, [F.count("*").alias("n"), F.sum(number).alias("ids")]).collect()
+    summed = candidates.matched_sums(sigs, predicates, columns, {"n": F.lit(1), "ids": number}, looked_up)
+    got = candidates.per_event(marked, sigs, summed, [F.sum("n").alias("n"), F.sum("ids").alias("ids")]).collect()
+    key = lambda rows: sorted((r.event_id, r.n, r.ids) for r in rows)
+    assert key(got) == key(want) and len({r.n for r in got}) > 4
+    # Both sides of a range are one key, which decides the group.
+    keys, axes, _ = access.access_index(predicates.where("rule_id = 'R1'"), index.where("rule_id = 'R1'"), columns)
+    assert {r.whole for r in keys.select("whole").collect()} == {True} and "cuts" not in axes.columns
+
+
+def test_one_rule_of_each_trigger_is_matched(spark):
+    rules = [_trigger_rule(f"R{i}", {"field": "k", "op": "==", "value": i % 2}) for i in range(6)]
+    predicates = candidates.trigger_predicates(flatten_rules(spark.createDataFrame(rules, "rule_id string, body string")))
+    few, stands = candidates.alike(predicates)
+    assert sorted(r.rule_id for r in few.collect()) == ["R0", "R1"]
+    assert sorted(map(tuple, stands.collect())) == [(f"R{i}", f"R{i % 2}") for i in range(6)]
