@@ -272,7 +272,8 @@ def message_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
 def schema_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Schema messages from part: brand as source, type as version, one message per part.
 
-    Sizes divisible by ten declare an unknown type, which makes the message invalid.
+    Sizes divisible by ten declare an unknown type, which makes the message invalid. Messages come over
+    many topic partitions; the test file is one, so it is spread here.
     """
     words = F.split("p_name", " ")
     kind = F.when(F.col("p_size") % 10 == 0, F.lit("DECIMAL")).when(F.col("p_partkey") % 2 == 0, F.lit("int")).otherwise(F.lit("STRING"))
@@ -281,7 +282,8 @@ def schema_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         '"size_%d":{"type":"LONG","category":"static_numeric"}}}',
         F.col("p_type"), F.col("p_brand"), F.col("p_size"), F.element_at(words, 1), F.element_at(words, 2), kind, F.col("p_size"),
     )
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("offset"), value.alias("value"))
+    spread = table(spark, sf_dir, "part").repartition(spark.sparkContext.defaultParallelism)
+    return spread.select(F.col("p_partkey").alias("offset"), value.alias("value"))
 
 
 def arrivals_log(spark: SparkSession, sf_dir: str) -> DataFrame:

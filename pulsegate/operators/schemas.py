@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from pulsegate.functions.json_leaves import INSTANT, OBJECT, leaves
 from pulsegate.functions.predicates import SPARK_TYPES
+from pulsegate.operators.joins import kept
 
 TYPES = tuple(SPARK_TYPES)
 CATEGORIES = ("dynamic_numeric", "static_categorical", "dynamic_categorical", "static_numeric")
@@ -53,6 +54,16 @@ def parse_schemas(messages: DataFrame, value: str = "value") -> DataFrame:
     )
 
 
+def newest_texts(messages: DataFrame, value: str = "value", order: str = "offset") -> DataFrame:
+    """The newest message of each text: opening a message is work, and of messages of one text only the newest can be in force.
+
+    What is left is spread over all cores and kept in the shared folder: the test for validity, which opens a
+    message, would otherwise be pushed down to all messages, into the few tasks that read them.
+    """
+    newest = messages.groupBy(value).agg(F.max(order).alias(order))
+    return kept(newest.repartition(messages.sparkSession.sparkContext.defaultParallelism), "schemas")
+
+
 def latest_schemas(parsed: DataFrame, order: str = "offset") -> DataFrame:
     """Last valid message per (source, version); an invalid one leaves the older in force."""
     body = F.struct("key_field", "total_fields", "columns")

@@ -360,3 +360,11 @@ def test_one_rule_of_each_trigger_is_matched(spark):
     few, stands = candidates.alike(predicates)
     assert sorted(r.rule_id for r in few.collect()) == ["R0", "R1"]
     assert sorted(map(tuple, stands.collect())) == [(f"R{i}", f"R{i % 2}") for i in range(6)]
+
+
+def test_a_schema_said_again_is_opened_once_and_in_force(spark):
+    said = lambda kind: json.dumps({"metadata": {"source": "S", "schema_version": "v1"}, "structure": {"a": {"type": kind, "category": "dynamic_numeric"}}})
+    messages = spark.createDataFrame([(1, said("INT")), (2, said("LONG")), (3, said("INT")), (4, said("MONEY"))], "offset bigint, value string")
+    texts = schemas.newest_texts(messages)
+    assert sorted(r.offset for r in texts.collect()) == [2, 3, 4]
+    assert [c.type for r in schemas.latest_schemas(schemas.parse_schemas(texts)).collect() for c in r.columns] == ["INT"]
