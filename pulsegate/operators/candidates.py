@@ -200,7 +200,7 @@ def rare_two(token_rows: DataFrame, sigs: DataFrame, index: DataFrame, predicate
 
 def matches(token_rows: DataFrame, sigs: DataFrame, index: DataFrame, predicates: DataFrame, columns: DataFrame) -> DataFrame:
     """Rules whose trigger holds: found under the access path of a group, verified where that does not decide it."""
-    hits = access.found(sigs, *access.access_index(predicates, index, columns), token_rows).persist()
+    hits = kept(access.found(sigs, *access.access_index(predicates, index, columns), token_rows), "hits")
     sure = hits.where("whole").select(*SIG, "rule_id")
     open_ = hits.where("not whole").select(*SIG, "rule_id")
     return sure.unionByName(verify(open_, sigs, rule_groups(predicates, columns), token_rows, expressions(predicates)))
