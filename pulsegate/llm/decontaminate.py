@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from pulsegate.llm import walks
 from pulsegate.llm.common import discard, store, text_or_empty
-from pulsegate.llm.pretokens import at_work
+from pulsegate.llm.pretokens import at_work, lent
 from pulsegate.llm.substring_dedup import Words, mixed
 from pulsegate.llm.token_counts import in_batches
 
@@ -256,8 +256,9 @@ def item_words(benchmark: DataFrame) -> DataFrame:
 
     @F.pandas_udf("array<long>")
     def hashes(texts: pd.Series) -> pd.Series:
-        words = normal(texts.tolist())
-        return pd.Series([signed(words.hash[a:b]) for a, b in zip(words.first, words.last)], dtype=object)
+        with at_work():
+            words = normal(texts.tolist())
+            return pd.Series([signed(words.hash[a:b]) for a, b in zip(words.first, words.last)], dtype=object)
 
     items = benchmark.select(F.col("item_id").cast("long"), text_or_empty().alias("text")).distinct()
     items = items.select("item_id", hashes("text").alias("words")).withColumn("n", F.size("words")).filter("n > 0")
@@ -273,6 +274,7 @@ def flat_items(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def item_runs(items: DataFrame) -> DataFrame:
     """key: the runs of the items, of the lengths that are looked for."""
 
+    @lent
     def each(parts):
         for part in parts:
             if len(part):
@@ -290,6 +292,7 @@ def item_runs(items: DataFrame) -> DataFrame:
 def item_keys(items: DataFrame, counts: dict[int, int]) -> DataFrame:
     """key, uid, start: the sampled keys of the items' walks and the word of the item from which each was walked."""
 
+    @lent
     def each(parts):
         for part in parts:
             if len(part):
@@ -363,6 +366,7 @@ def text_blocks(documents: DataFrame, runs_map, keys_map, windows: list[tuple[in
     `words` begin at word `low` of the text, `margin` words before the first of `at`, the words whose walks have `keys`.
     """
 
+    @lent
     def each(parts):
         known, wanted = Known(*runs_map), Known(*keys_map)
         pad = np.zeros(max((w for w, _ in windows), default=0) + 1, U)
@@ -402,6 +406,7 @@ def text_blocks(documents: DataFrame, runs_map, keys_map, windows: list[tuple[in
 def verified(pairs: DataFrame) -> DataFrame:
     """text_key, uid, edits, begin, end of the pairs (low, words, n, pattern) within the limit."""
 
+    @lent
     def each(parts):
         for part in parts:
             sizes, spans = part["n"].to_numpy(np.int64), part["words"].map(len).to_numpy(np.int64)

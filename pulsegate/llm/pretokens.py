@@ -19,6 +19,7 @@ import sys
 import threading
 
 import numpy as np
+import pyarrow as pa
 
 LETTER, NUMBER, OTHER, SPACE = 1, 2, 3, 4
 # Code points of the Unicode property White_Space.
@@ -38,8 +39,10 @@ def at_work():
     """The state of the worker, kept while a batch is worked on and IDLE_SECONDS longer.
 
     Spark keeps workers for later stages; so what a stage has kept goes when no batch follows, and its
-    memory back to the system.
+    memory back to the system. Arrow's own pool would keep what its batches took, so they take it from the C library.
     """
+    if pa.default_memory_pool().backend_name != "system":
+        pa.set_memory_pool(pa.system_memory_pool())
     before = sys.__dict__.pop(_TIMER, None)
     if before is not None:
         before.cancel()
@@ -51,10 +54,22 @@ def at_work():
         timer.start()
 
 
+def lent(each):
+    """`each`, a function of batches, as one that runs `at_work`."""
+
+    @functools.wraps(each)
+    def run(batches):
+        with at_work():
+            yield from each(batches)
+
+    return run
+
+
 def _release() -> None:
     if sys.__dict__.get(_TIMER) is not threading.current_thread():
         return  # a batch has come in between
     sys.__dict__.pop(_STATE, None)
+    _powers.cache_clear()
     gc.collect()
     with contextlib.suppress(OSError, AttributeError):  # only where the C library can
         ctypes.CDLL(None).malloc_trim(0)

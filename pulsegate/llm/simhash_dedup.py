@@ -32,8 +32,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegate.llm.common import NO_ID, checked_broadcast, order_id, store, text_or_empty
+from pulsegate.llm.common import NO_ID, order_id, store, text_or_empty
 from pulsegate.llm.components import components
+from pulsegate.llm.pretokens import at_work, lent
 from pulsegate.llm.substring_dedup import mixed
 
 SEED = 42
@@ -45,6 +46,9 @@ NEAR_SHINGLE, NEAR_WORDS, NEAR_DISTANCE, NEAR_SPLITS, NEAR_BITS = 5, 4, 46, 4, 1
 NEAR_SIMILARITY = (4, 5)
 # Distances up to which a forest's edges are taken for links, search by search.
 NEAR_TRUST = (NEAR_DISTANCE, 30, -1)
+# Rows of three numbers, broadcast so that the shingle sets of all other documents need not be shuffled.
+NEAR_ENDS = 200_000
+PART_ROWS = 512
 SMALL_GROUP = 8
 SLICE = 1 << 15
 
@@ -86,7 +90,8 @@ def with_fingerprints(documents: DataFrame, shingle: int = SHINGLE, words: int =
 
     @F.pandas_udf("binary")
     def prints(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: fingerprint(x, shingle, words).tobytes())
+        with at_work():
+            return texts.map(lambda x: fingerprint(x, shingle, words).tobytes())
 
     text = text_or_empty()
     return documents.select(*columns, order_id().alias("id"), F.xxhash64(text).alias("text_key"), prints(text).alias("fingerprint"))
@@ -152,6 +157,7 @@ def links(nodes: DataFrame, masks: list[np.ndarray], distance: int, column: str
     """a, b: numbers of linked fingerprints, enough of them to connect all that are linked. nodes: different fingerprints."""
     table = np.array(masks)
 
+    @lent
     def keyed(batches):
         for batch in batches:
             raw = batch[column]
@@ -164,6 +170,7 @@ def links(nodes: DataFrame, masks: list[np.ndarray], distance: int, column: str
                     keys = mixed(keys + np.uint64(1)) ^ mixed(masked[:, :, k] + np.uint64(k))
                 yield pd.DataFrame({"key": keys.reshape(-1).view(np.int64), column: np.repeat(raw.to_numpy()[at : at + 2048], len(table))})
 
+    @lent
     def verified(batches):
         held_keys, held = np.empty(0, np.int64), None
         for batch in batches:
@@ -214,7 +221,8 @@ def grouped(prints: DataFrame, distance: int, masks=None) -> DataFrame:
 
     @F.pandas_udf("long")
     def number(raw: pd.Series) -> pd.Series:
-        return pd.Series(node_ids(np.frombuffer(b"".join(raw), "<u8").reshape(len(raw), -1)) if len(raw) else np.empty(0, np.int64))
+        with at_work():
+            return pd.Series(node_ids(np.frombuffer(b"".join(raw), "<u8").reshape(len(raw), -1)) if len(raw) else np.empty(0, np.int64))
 
     least = F.min(F.struct("id", "text_key")).alias("least")
     nodes = store(prints.groupBy("fingerprint").agg(least).withColumn("node", number("fingerprint")), "fingerprints")
@@ -238,14 +246,19 @@ def simhash_digest(documents: DataFrame) -> DataFrame:
 def with_shingle_sets(documents: DataFrame) -> DataFrame:
     """id, text_key, node, fingerprint and pieces of each row: the fingerprint is that of the set, the node its hash."""
 
-    @F.pandas_udf("struct<fingerprint: binary, pieces: array<bigint>>")
-    def sets(texts: pd.Series) -> pd.DataFrame:
-        own = [np.unique(shingles(x, NEAR_SHINGLE)) for x in texts]
-        return pd.DataFrame({"fingerprint": [majority(x, NEAR_WORDS).tobytes() for x in own], "pieces": pd.Series([x.view(np.int64) for x in own], dtype=object)})
+    @lent
+    def sets(batches):
+        for batch in batches:
+            # Sets are larger than their texts; few are held at a time.
+            for at in range(0, len(batch), PART_ROWS):
+                part = batch.iloc[at : at + PART_ROWS]
+                own = [np.unique(shingles(x, NEAR_SHINGLE)) for x in part["text"]]
+                prints = [majority(x, NEAR_WORDS).tobytes() for x in own]
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "text_key": part["text_key"].to_numpy(), "fingerprint": prints, "pieces": pd.Series([x.view(np.int64) for x in own], dtype=object)})
 
-    text = text_or_empty()
-    rows = documents.select(order_id().alias("id"), F.xxhash64(text).alias("text_key"), sets(text).alias("s")).select("id", "text_key", "s.*")
-    return rows.withColumn("node", F.xxhash64("pieces"))
+    text = text_or_empty().alias("text")
+    rows = documents.select(order_id().alias("id"), F.xxhash64(text).alias("text_key"), text)
+    return rows.mapInPandas(sets, "id long, text_key long, fingerprint binary, pieces array<bigint>").withColumn("node", F.xxhash64("pieces"))
 
 
 def proposals(prints: np.ndarray, roots: np.ndarray, distance: int, trust: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -270,6 +283,7 @@ def near_pairs(nodes: DataFrame, masks: list[np.ndarray], distance: int, trust:
     """key, a, b, trusted: proposed pairs of the groups of all keys, or of the given ones. nodes: node, root, fingerprint."""
     table = np.array(masks)
 
+    @lent
     def keyed(batches):
         for batch in batches:
             for at in range(0, len(batch), 2048):
@@ -282,6 +296,7 @@ def near_pairs(nodes: DataFrame, masks: list[np.ndarray], distance: int, trust:
                 again = {name: np.repeat(part[name].to_numpy(), len(table)) for name in ("node", "root", "fingerprint")}
                 yield pd.DataFrame({"key": own.reshape(-1).view(np.int64), **again})
 
+    @lent
     def proposed(batches):
         held = None
         for batch in batches:
@@ -335,6 +350,15 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(common * (part + whole) >= sizes * part).select("a", "b")
 
 
+def sets_of(prints: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, pieces of each wanted node, stored. wanted: node and its id and text_key, a row for each node."""
+    known = wanted.count()
+    rows = prints.select("id", "text_key", "pieces").join(F.broadcast(wanted) if known <= NEAR_ENDS else wanted, ["id", "text_key"])
+    sets = store(rows.select("node", "pieces"), "near-sets")
+    # Only rows of equal id and text give a node twice; where there are none the sets are not shuffled.
+    return sets if sets.count() == known else store(sets.dropDuplicates(["node"]), "near-sets")
+
+
 def near_roots(prints: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, root of the nodes that are linked to another. prints: rows of `with_shingle_sets`; nodes: node, fingerprint, least."""
     masks = shared_blocks(64 * NEAR_WORDS, NEAR_BITS, NEAR_SPLITS)
@@ -345,8 +369,7 @@ def near_roots(prints: DataFrame, nodes: DataFrame) -> DataFrame:
         pairs = store(found.select("a", "b").distinct(), "near-pairs")
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
         wanted = store(nodes.join(ends, "node", "left_semi").select("node", "least.id", "least.text_key"), "near-ends")
-        sets = prints.select("id", "text_key", "pieces").join(checked_broadcast(wanted), ["id", "text_key"]).select("node", "pieces")
-        true = store(similar(pairs, store(sets.dropDuplicates(["node"]), "near-sets")).distinct(), "near-links")
+        true = store(similar(pairs, sets_of(prints, wanted)).distinct(), "near-links")
         links = true if links is None else links.union(true)
         roots = store(components(links), "roots")
         keys = store(found.filter("trusted").join(true, ["a", "b"], "left_anti").select("key").distinct(), "near-keys")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegate.llm.common import NO_ID, order_id, shared_folder, text_or_empty
-from pulsegate.llm.pretokens import Lexicon, at_work, codes_of, room, worker_state
+from pulsegate.llm.pretokens import Lexicon, at_work, codes_of, lent, room, worker_state
 from pulsegate.llm.token_counts import BATCH_CHARS, in_batches, vocabulary_path
 
 BLOCK = 1 << 16
@@ -40,6 +40,8 @@ CHUNK_IDS = 1 << 18
 LEVEL = 3
 # New pre-tokens that go to the library as one text.
 TOGETHER = 20_000
+# Arrays of eight bytes for each character go with a part; two workers of an executor hold one each.
+PART_CHARS = BATCH_CHARS // 16
 END = 0
 CHUNK_TYPE = (
     "shard int, chunk int, start long, doc_ids array<long>, lengths array<long>, n_ids long, kind string, "
@@ -203,6 +205,7 @@ def write_store(documents: DataFrame, path: str, vocabulary: str | None = None,
     """Encodes the texts and writes them in ascending doc_id order."""
     vocabulary = vocabulary or vocabulary_path()
 
+    @lent
     def chunks(batches):
         from pyspark import TaskContext
 
@@ -222,7 +225,7 @@ def write_store(documents: DataFrame, path: str, vocabulary: str | None = None,
 
         for batch in batches:
             texts, order = batch["text"].tolist(), batch["id"].to_numpy()
-            for part in in_batches(texts, BATCH_CHARS // 2):
+            for part in in_batches(texts, PART_CHARS):
                 with at_work():
                     ids, per_text = encoder(vocabulary).encode(texts[part], end)
                 held.append(ids), docs.append(order[part]), sizes.append(per_text)
@@ -249,6 +252,7 @@ def read_store(spark: SparkSession, path: str, per_document: str, reader) -> Dat
     index = spark.read.parquet(f"{path}/index").select("shard", "base")
     chunks = spark.read.parquet(f"{path}/chunks").join(F.broadcast(index), "shard")
 
+    @lent
     def read(batches):
         for batch in batches:
             for row in batch.itertuples(index=False):

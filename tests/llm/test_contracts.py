@@ -349,6 +349,44 @@ def test_mix_keeps_columns_of_any_name(spark):
     assert mixing.mix(documents).columns == ["doc_id", "text", "source", "_copy", "_doc", "_mix"]
 
 
+def test_workers_give_back_what_batches_took(monkeypatch):
+    import re
+    import time
+
+    import pyarrow as pa
+
+    from pulsegate.llm import pretokens
+
+    def held():
+        return int(re.search(r"RssAnon:\s+(\d+)", open("/proc/self/status").read())[1]) / 1024
+
+    monkeypatch.setattr(pretokens, "IDLE_SECONDS", 0.3)
+
+    @pretokens.lent
+    def each(batches):
+        for batch in batches:
+            yield sum(len(x) for x in [pa.array([bytes(2000)] * 100) for _ in range(batch)])
+
+    before = held()
+    assert list(each([500, 500])) == [50_000, 50_000]
+    time.sleep(1.0)
+    assert held() - before < 30
+
+
+def test_sets_of_proposed_pairs_come_once(spark):
+    from pulsegate.llm.common import store
+
+    rows = [(i, " ".join(f"w{(i * 7 + k) % 50}" for k in range(12))) for i in range(600)]
+    for more in ([], rows[:3] * 4):
+        prints = store(simhash_dedup.with_shingle_sets(spark.createDataFrame(rows + more, "doc_id long, text string")), "sets")
+        wanted = store(prints.filter("id < 40").select("node", "id", "text_key").distinct(), "wanted")
+        before = {p.id for p in prints.filter("id < 40").select("id").distinct().collect()}
+        found = simhash_dedup.sets_of(prints, wanted)
+        assert found.count() == wanted.count() == len(before) == 40
+        want = {(r.id, tuple(r.pieces)) for r in prints.filter("id < 40").collect()}
+        assert {(r.id, tuple(r.pieces)) for r in found.join(wanted, "node").collect()} >= want
+
+
 def test_workers_forget_when_idle(monkeypatch):
     import time
 
