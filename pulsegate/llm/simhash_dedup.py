@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegate.llm.common import NO_ID, order_id, store, text_or_empty
+from pulsegate.llm.common import NO_ID, discard, order_id, store, text_or_empty
 from pulsegate.llm.components import components
 from pulsegate.llm.pretokens import at_work, lent
 from pulsegate.llm.substring_dedup import mixed
@@ -46,7 +46,7 @@ NEAR_SHINGLE, NEAR_WORDS, NEAR_DISTANCE, NEAR_SPLITS, NEAR_BITS = 5, 4, 46, 4, 1
 NEAR_SIMILARITY = (4, 5)
 # Distances up to which a forest's edges are taken for links, search by search.
 NEAR_TRUST = (NEAR_DISTANCE, 30, -1)
-# Rows of three numbers, broadcast so that the shingle sets of all other documents need not be shuffled.
+# Rows of three numbers, broadcast so that the texts of all other documents need not be shuffled.
 NEAR_ENDS = 200_000
 PART_ROWS = 512
 SMALL_GROUP = 8
@@ -243,6 +243,16 @@ def simhash_digest(documents: DataFrame) -> DataFrame:
     return joined.select("doc_id", digits.alias("fingerprint"), F.when(first != NO_ID, first).alias("component_id"))
 
 
+def shingle_set(text: str) -> np.ndarray:
+    return np.unique(shingles(text, NEAR_SHINGLE))
+
+
+def keyed_texts(documents: DataFrame) -> DataFrame:
+    """id, text_key, text."""
+    text = text_or_empty().alias("text")
+    return documents.select(order_id().alias("id"), F.xxhash64(text).alias("text_key"), text)
+
+
 def with_shingle_sets(documents: DataFrame) -> DataFrame:
     """id, text_key, node, fingerprint and pieces of each row: the fingerprint is that of the set, the node its hash."""
 
@@ -252,13 +262,11 @@ def with_shingle_sets(documents: DataFrame) -> DataFrame:
             # Sets are larger than their texts; few are held at a time.
             for at in range(0, len(batch), PART_ROWS):
                 part = batch.iloc[at : at + PART_ROWS]
-                own = [np.unique(shingles(x, NEAR_SHINGLE)) for x in part["text"]]
+                own = [shingle_set(x) for x in part["text"]]
                 prints = [majority(x, NEAR_WORDS).tobytes() for x in own]
                 yield pd.DataFrame({"id": part["id"].to_numpy(), "text_key": part["text_key"].to_numpy(), "fingerprint": prints, "pieces": pd.Series([x.view(np.int64) for x in own], dtype=object)})
 
-    text = text_or_empty().alias("text")
-    rows = documents.select(order_id().alias("id"), F.xxhash64(text).alias("text_key"), text)
-    return rows.mapInPandas(sets, "id long, text_key long, fingerprint binary, pieces array<bigint>").withColumn("node", F.xxhash64("pieces"))
+    return keyed_texts(documents).mapInPandas(sets, "id long, text_key long, fingerprint binary, pieces array<bigint>").withColumn("node", F.xxhash64("pieces"))
 
 
 def proposals(prints: np.ndarray, roots: np.ndarray, distance: int, trust: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -350,32 +358,56 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(common * (part + whole) >= sizes * part).select("a", "b")
 
 
-def sets_of(prints: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, pieces of each wanted node, stored. wanted: node and its id and text_key, a row for each node."""
+def sets_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, pieces of each wanted node, stored. wanted: node and its id and text_key, a row for each node.
+
+    rows: id, text_key and pieces, or text, of which only the wanted sets are made.
+    """
+
+    @lent
+    def sets(batches):
+        for batch in batches:
+            for at in range(0, len(batch), PART_ROWS):
+                part = batch.iloc[at : at + PART_ROWS]
+                yield pd.DataFrame({"node": part["node"].to_numpy(), "pieces": pd.Series([shingle_set(x).view(np.int64) for x in part["text"]], dtype=object)})
+
     known = wanted.count()
-    rows = prints.select("id", "text_key", "pieces").join(F.broadcast(wanted) if known <= NEAR_ENDS else wanted, ["id", "text_key"])
-    sets = store(rows.select("node", "pieces"), "near-sets")
+    given = "pieces" if "pieces" in rows.columns else "text"
+    found = rows.select("id", "text_key", given).join(F.broadcast(wanted) if known <= NEAR_ENDS else wanted, ["id", "text_key"]).select("node", given)
+    found = store(found if given == "pieces" else found.mapInPandas(sets, "node long, pieces array<bigint>"), "near-sets")
     # Only rows of equal id and text give a node twice; where there are none the sets are not shuffled.
-    return sets if sets.count() == known else store(sets.dropDuplicates(["node"]), "near-sets")
+    if found.count() == known:
+        return found
+    once = store(found.dropDuplicates(["node"]), "near-sets")
+    discard(found)
+    return once
 
 
-def near_roots(prints: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, root of the nodes that are linked to another. prints: rows of `with_shingle_sets`; nodes: node, fingerprint, least."""
+def near_roots(documents: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, root of the nodes that are linked to another. nodes: node, fingerprint, least; stored."""
     masks = shared_blocks(64 * NEAR_WORDS, NEAR_BITS, NEAR_SPLITS)
     own = nodes.select("node", "fingerprint", F.col("node").alias("root"))
-    links, keys, roots = None, None, None
+    links, keys, roots, rooted = None, None, None, None
     for trust in NEAR_TRUST:
         found = store(near_pairs(own, masks, NEAR_DISTANCE, trust, keys), "near-proposals")
         pairs = store(found.select("a", "b").distinct(), "near-pairs")
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
         wanted = store(nodes.join(ends, "node", "left_semi").select("node", "least.id", "least.text_key"), "near-ends")
-        true = store(similar(pairs, sets_of(prints, wanted)).distinct(), "near-links")
+        sets = sets_of(keyed_texts(documents), wanted)
+        true = store(similar(pairs, sets).distinct(), "near-links")
         links = true if links is None else links.union(true)
+        # What an earlier search has left is not read any more once the next steps are written.
+        done = [x for x in (pairs, wanted, sets, rooted, roots, keys) if x is not None]
         roots = store(components(links), "roots")
         keys = store(found.filter("trusted").join(true, ["a", "b"], "left_anti").select("key").distinct(), "near-keys")
+        for written in [*done, found]:
+            discard(written)
         if keys.isEmpty():
             break
-        own = store(nodes.select("node", "fingerprint").join(roots, "node", "left").select("node", "fingerprint", F.coalesce("root", "node").alias("root")), "near-rooted")
+        own = rooted = store(nodes.select("node", "fingerprint").join(roots, "node", "left").select("node", "fingerprint", F.coalesce("root", "node").alias("root")), "near-rooted")
+    for written in (links, keys, rooted):
+        if written is not None:
+            discard(written)
     return roots
 
 
@@ -384,11 +416,14 @@ def near_representatives(documents: DataFrame) -> DataFrame:
 
     Rows of equal id and text are one document; they stay or go together.
     """
-    prints = store(with_shingle_sets(documents), "near-shingles")
+    # The sets of all documents would take twice their room, so they are not written; `sets_of` makes the few that pairs need again.
     least = F.min(F.struct("id", "text_key")).alias("least")
-    nodes = store(prints.groupBy("node").agg(least, F.min("fingerprint").alias("fingerprint")), "near-nodes")
-    rooted = nodes.join(near_roots(prints, nodes), "node", "left").select("least", F.coalesce("root", "node").alias("root"))
+    nodes = store(with_shingle_sets(documents).groupBy("node").agg(least, F.min("fingerprint").alias("fingerprint")), "near-nodes")
+    roots = near_roots(documents, nodes)
+    rooted = nodes.join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
     firsts = rooted.groupBy("root").agg(F.min("least").alias("first")).select("first.*")
     kept = store(firsts.select(F.col("id").alias("_id"), F.col("text_key").alias("_key")), "near-firsts")
+    for written in (nodes, roots):
+        discard(written)
     rows = documents.select(F.struct("*").alias("_doc"), order_id().alias("_id"), F.xxhash64(text_or_empty()).alias("_key"))
     return rows.join(kept, ["_id", "_key"], "left_semi").select("_doc.*")

@@ -1,6 +1,7 @@
 """The pipeline's stages, each against a plain version on its own input, and secret scans on planted findings."""
 
 import random
+import uuid
 
 import duckdb
 import numpy as np
@@ -95,6 +96,34 @@ def test_run_gives_the_last_stage(staged, spark, sf):
     assert rows_of(corpus_pipeline.run(spark, sf)) == rows_of(staged[5])
 
 
+def test_stages_leave_no_large_files_and_run_keeps_one_stage(spark, sf, tmp_path, monkeypatch):
+    from pulsegate.llm import common
+
+    def held():
+        return {p.name.rsplit("-", 1)[0]: sum(f.stat().st_size for f in p.glob("part-*")) for p in tmp_path.iterdir()}
+
+    def recorded(df, purpose):
+        out = common.store(df, purpose)
+        seen.append(sum(held().values()))
+        return out
+
+    seen = []
+    monkeypatch.setattr(common, "shared_folder", lambda spark, purpose: f"{tmp_path}/{purpose}-{uuid.uuid4().hex}")
+    monkeypatch.setattr(simhash_dedup, "store", recorded)
+    # Long texts, so that files are larger than their footers.
+    dice = random.Random(5)
+    rows = [(i, " ".join(f"{dice.randrange(10**6)}" for _ in range(2000))) for i in range(400)]
+    rows += [(1000 + i, t.replace(t.split()[7], "new")) for i, t in rows[:20]]
+    docs = store(spark.createDataFrame(rows, "doc_id long, text string"), "given")
+    size = held()["given"]
+    assert ids(simhash_dedup.near_representatives(docs)) == list(range(400))
+    # Neither during the search nor after it do its own files take much beside the documents.
+    assert max(seen) - size < 0.5 * size
+    assert sum(v for k, v in held().items() if k != "given") < 0.05 * size
+    assert rows_of(corpus_pipeline.run(spark, sf))
+    assert {k for k in held() if k.startswith("stage-")} == {"stage-mixture"}
+
+
 def test_pipeline_of_edge_cases_and_of_nothing(documents, no_documents, spark, sf):
     for frame in (documents, no_documents):
         docs = frame
