@@ -15,7 +15,8 @@ rest, so that a group of thousands of near copies costs little more than its siz
 Search for similar shingle sets (`near_roots`): blocks and Hamming distance only propose pairs there; a link is
 a pair whose sets have a Jaccard similarity of `NEAR_SIMILARITY` or more, counted exactly. A forest built on
 proposals holds only if all its edges are links, so groups with an edge that is none are searched again with
-closer edges, at last pair by pair; what links have connected by then is not proposed again.
+closer edges, at last pair by pair; what links have connected by then is not proposed again, and no pair is compared twice.
+The sets of all documents are larger than the documents and are never written, only those that pairs ask for.
 
 Defined results: null and empty texts and texts without words have fingerprint zero and are linked like any
 other. A null id counts as larger than all others, and as a component id only for components without ids.
@@ -387,17 +388,20 @@ def near_roots(documents: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, root of the nodes that are linked to another. nodes: node, fingerprint, least; stored."""
     masks = shared_blocks(64 * NEAR_WORDS, NEAR_BITS, NEAR_SPLITS)
     own = nodes.select("node", "fingerprint", F.col("node").alias("root"))
-    links, keys, roots, rooted = None, None, None, None
+    links, judged, keys, roots, rooted = None, None, None, None, None
     for trust in NEAR_TRUST:
         found = store(near_pairs(own, masks, NEAR_DISTANCE, trust, keys), "near-proposals")
-        pairs = store(found.select("a", "b").distinct(), "near-pairs")
+        pairs = found.select("a", "b").distinct()
+        # Links are of one root by now, so a pair that was compared before is none and is not compared again.
+        pairs = store(pairs if judged is None else pairs.join(judged, ["a", "b"], "left_anti"), "near-pairs")
+        judged = pairs if judged is None else judged.union(pairs)
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
         wanted = store(nodes.join(ends, "node", "left_semi").select("node", "least.id", "least.text_key"), "near-ends")
         sets = sets_of(keyed_texts(documents), wanted)
         true = store(similar(pairs, sets).distinct(), "near-links")
         links = true if links is None else links.union(true)
         # What an earlier search has left is not read any more once the next steps are written.
-        done = [x for x in (pairs, wanted, sets, rooted, roots, keys) if x is not None]
+        done = [x for x in (wanted, sets, rooted, roots, keys) if x is not None]
         roots = store(components(links), "roots")
         keys = store(found.filter("trusted").join(true, ["a", "b"], "left_anti").select("key").distinct(), "near-keys")
         for written in [*done, found]:
@@ -405,7 +409,7 @@ def near_roots(documents: DataFrame, nodes: DataFrame) -> DataFrame:
         if keys.isEmpty():
             break
         own = rooted = store(nodes.select("node", "fingerprint").join(roots, "node", "left").select("node", "fingerprint", F.coalesce("root", "node").alias("root")), "near-rooted")
-    for written in (links, keys, rooted):
+    for written in (links, judged, keys, rooted):
         if written is not None:
             discard(written)
     return roots

@@ -139,6 +139,28 @@ def test_near_copies_by_exact_similarity(spark):
     assert len(found - firsts(0.8)) <= 0.1 * (len(rows) - len(firsts(0.8)))
 
 
+def test_no_pair_of_sets_is_compared_twice(spark, monkeypatch):
+    import random
+
+    dice, base, seen = random.Random(8), [f"h{i}" for i in range(120)], []
+    rows = []
+    for k in range(60):
+        gone = set(dice.sample(range(120), 1 + k % 4))
+        rows.append((k, " ".join(f"k{k}" if i in gone else w for i, w in enumerate(base))))
+    similar = simhash_dedup.similar
+
+    def recorded(pairs, sets):
+        seen.append({(r.a, r.b) for r in pairs.collect()})
+        return similar(pairs, sets)
+
+    monkeypatch.setattr(simhash_dedup, "similar", recorded)
+    pieces = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for _, t in rows for w in [t.split()]]
+    near = [(i, j) for i in range(60) for j in range(i) if len(pieces[i] & pieces[j]) >= 0.8 * len(pieces[i] | pieces[j])]
+    found = {r.doc_id for r in simhash_dedup.near_representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found >= {rows[i][0] for i in brute.labels(60, near)}
+    assert len(seen) > 1 and sum(map(len, seen)) == len(set().union(*seen))
+
+
 def test_proposals_connect_what_links_connect():
     import numpy as np
 
