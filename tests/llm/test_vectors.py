@@ -5,6 +5,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pulsegate.llm import shallot, vantage, whitening
 from pulsegate.llm.vectors import in_blocks, narrow, wide
@@ -205,6 +206,74 @@ def test_pruning_is_exact_at_one_and_saves_work(width):
     assert taken[1] < taken[0] and (width > 2 or taken[0] < 50 * 3000 / 3)
 
 
+def test_few_exact_distances_where_trees_prune_nothing(monkeypatch):
+    """A table takes as many pairs as queries times rows; only those that may be near are taken in double precision."""
+    rng = np.random.default_rng(4)
+    points = rng.normal(size=(6000, 64))
+    points /= np.linalg.norm(points, axis=1)[:, None]
+    tree, order = vantage.Tree.build(points)
+    taken = []
+    for name in ("distances", "lengths"):
+        real = getattr(vantage, name, None)
+        monkeypatch.setattr(vantage, name, lambda *a, real=real: taken.append((found := real(*a)).size) or found, raising=False)
+    place, score, _ = tree.search(points[:300], 10, 1.0, order, np.argsort(order)[:300])
+    monkeypatch.undo()
+    assert sum(taken) < 0.1 * 300 * 6000
+    d = vantage.distances(points[:300], points)
+    d[np.arange(300), np.arange(300)] = np.inf
+    want = np.lexsort((np.broadcast_to(np.arange(6000), d.shape), d))[:, :10]
+    assert (order[place] == want).all() and (score == np.take_along_axis(d, want, 1)).all()
+
+
+KINDS = {
+    "far from zero": lambda rng, x: x * 1e-3 + 1e4,
+    "near copies": lambda rng, x: x[rng.integers(20, size=len(x))] + 1e-6 * x,
+    "copies": lambda rng, x: x[rng.integers(20, size=len(x))],
+    "all equal": lambda rng, x: np.zeros_like(x) + x[0],
+    "huge": lambda rng, x: x * 1e120,
+    "squares vanish": lambda rng, x: x * 1e-200,
+    "of all sizes": lambda rng, x: x * 10.0 ** rng.integers(-140, 140, size=(len(x), 1)),
+    "squares overflow": lambda rng, x: x * 10.0 ** rng.integers(100, 300, size=(len(x), 1)),
+    "on a line": lambda rng, x: np.arange(len(x))[:, None] + 0 * x,
+}
+
+
+@pytest.mark.parametrize("width", [1, 64])
+@pytest.mark.parametrize("kind", KINDS)
+def test_best_over_several_trees(kind, width):
+    """The best that are carried from tree to tree are those of all pairs, whatever single precision makes of them."""
+    rng = np.random.default_rng(width)
+    points = KINDS[kind](rng, rng.normal(size=(400, width)))
+    key = rng.integers(0, 50, 400)
+    best = vantage.Best.none(80, 7)
+    with np.errstate(over="ignore"):
+        for a, b in ((0, 5), (5, 180), (180, 400)):
+            tree, order = vantage.Tree.build(points[a:b], 16)
+            own = np.where((np.arange(80) >= a) & (np.arange(80) < b), np.argsort(order)[np.clip(np.arange(80) - a, 0, b - a - 1)], vantage.NO_ROW)
+            tree.update(best, points[:80], 1.0, key[a:b][order], own, np.arange(a, b)[order])
+        d = vantage.distances(points[:80], points)
+    d[np.arange(80), np.arange(80)] = np.inf
+    keys = np.broadcast_to(key, d.shape)
+    want = np.lexsort((keys, d))[:, :7]
+    score = np.take_along_axis(d, want, 1)
+    there = np.isfinite(score)
+    assert (best.score == score).all() and ((best.label != vantage.NO_ROW) == there).all()
+    assert (best.key[there] == np.take_along_axis(keys, want, 1)[there]).all()
+    assert (np.take_along_axis(d, best.label, 1)[there] == score[there]).all()
+
+
+def test_neighbours_by_several_shards_and_blocks(spark):
+    """Shards and query blocks of a few rows, vectors that need double precision, null ids among equal rows."""
+    rows = [(None if i % 9 == 1 else i * 20, [float(c) / 3 for c in v]) for i, v in enumerate(made(8, 120, 5))]
+    rows += [(100, rows[5][1]), (100, rows[5][1]), (None, rows[5][1]), (2**63 - 1, rows[5][1])]
+    frame = spark.createDataFrame(rows, "id long, v array<double>").repartition(3)
+    shards = vantage.index(frame, 5, F.col("id") % 100 == 0, shard_bytes=40 * 13)
+    queries = vantage.query_blocks(shards, 5, 40 * 6)
+    assert shards.count() >= 9 and queries.count() >= 4
+    found = vantage.nearest(shards, queries, 5).select("query_id", "rank", "vec_id", "score")
+    assert sorted(map(tuple, found.collect()), key=str) == brute_neighbours(rows)
+
+
 def test_blocks_are_bounded_and_whole():
     import pyarrow as pa
 
