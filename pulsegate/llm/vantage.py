@@ -50,7 +50,7 @@ LEAF = 512
 SHARD_BYTES = 8_000_000
 QUERY_BYTES = 16_000_000
 # Shards of a group: enough groups for so many tasks a core, and not more shards than this in one.
-TASKS_A_CORE = 8
+TASKS_A_CORE = 4
 MOST_SHARDS = 256
 # Distances are rounded; a half is left out only if it lies beyond the radius by more.
 MARGIN = 1e-9
@@ -60,6 +60,9 @@ PAIRS = 1 << 14
 # Queries that go through a tree at once, and pairs of a query and a leaf.
 TOGETHER = 1024
 CELLS = 1 << 18
+# Where this share of the pairs of a query and a leaf cannot be left out, no leaf is, and so many points are read at once.
+WANTED = 0.75
+WIDE = 512
 # Largest relative errors of a number in single and double precision.
 SINGLE, DOUBLE = 2.0**-24, 2.0**-53
 # Squares of numbers below this may vanish, so nearer points may seem equally far.
@@ -228,18 +231,20 @@ class Tree:
         asked = Screened(self.screen, queries)
         least, home = self._bounds(shape, asked)
         threshold = asked.threshold(best.radius)
-        nearest = asked.threshold(np.full(m, VANISHING))
-        taken, waiting = self.vantage.shape[0] * m, []
+        nearest, everyone, selves = asked.threshold(np.full(m, VANISHING)), np.arange(m), bool((own != NO_ROW).any())
+        taken, waiting, edges = self.vantage.shape[0] * m, [], shape[-1]
 
-        def read(leaf: int, who: np.ndarray) -> None:
+        def read(a: int, b: int, who: np.ndarray | None = None) -> None:
+            """Points from a to b, for some queries or for all."""
             nonlocal taken
-            a, b = shape[-1][leaf], shape[-1][leaf + 1]
-            everyone = len(who) == m
-            product = (asked.rows if everyone else asked.rows[who]) @ self.screen.rows[a:b].T
+            if who is None:
+                who, product, limit = everyone, asked.rows @ self.screen.rows[a:b].T, threshold
+            else:
+                product, limit = asked.rows[who] @ self.screen.rows[a:b].T, threshold[who]
             taken += product.size
-            selves = np.flatnonzero((own[who] >= a) & (own[who] < b))
-            product[selves, own[who[selves]] - a] = -np.inf
-            limit = threshold if everyone else threshold[who]
+            if selves:
+                mine = np.flatnonzero((own[who] >= a) & (own[who] < b))
+                product[mine, own[who[mine]] - a] = -np.inf
             some = np.flatnonzero(product.max(1) >= limit)
             if not len(some):
                 return
@@ -264,18 +269,26 @@ class Tree:
                 best.merge(who, score, key[at], label[at])
                 threshold = asked.threshold(best.radius)
 
+        radius = best.radius
+        fresh = np.flatnonzero(np.isinf(radius))
+        if not len(fresh) and self._reachable(least, radius * asked.scale, factor).mean() > WANTED:
+            for a in range(0, len(self.points), WIDE):
+                read(a, min(a + WIDE, len(self.points)))
+                if sum(len(x) for x, _ in waiting) > m:
+                    settle()
+            settle()
+            return taken
         # Those without a radius go down to one leaf.
-        fresh = np.flatnonzero(np.isinf(best.score[:, -1]))
         done = np.full(m, NO_ROW)
         done[fresh] = home[fresh]
         for leaf in np.unique(home[fresh]):
-            read(leaf, np.flatnonzero(done == leaf))
+            read(edges[leaf], edges[leaf + 1], np.flatnonzero(done == leaf))
         settle()
         # All others that may hold a nearer one.
         for leaf in np.argsort(least.mean(1), kind="stable"):
             who = np.flatnonzero(self._reachable(least[leaf], best.radius * asked.scale, factor) & (done != leaf))
             if len(who):
-                read(leaf, who)
+                read(edges[leaf], edges[leaf + 1], who)
                 if sum(len(x) for x, _ in waiting) > m:
                     settle()
         settle()
