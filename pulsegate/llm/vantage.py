@@ -96,7 +96,7 @@ def lengths(rows: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Best:
-    """The k best of each query so far, by distance (inf: none), then key; label: what a row is called."""
+    """The k best of each query so far, by distance (inf: none), then key, then label, which is what a row is called."""
 
     score: np.ndarray
     key: np.ndarray
@@ -122,7 +122,7 @@ class Best:
         k = self.score.shape[1]
         of = np.concatenate([np.repeat(np.arange(len(touched)), k), at])
         every = [np.concatenate([held[touched].ravel(), new[near]]) for held, new in ((self.score, score), (self.key, key), (self.label, label))]
-        order = np.lexsort((every[1], every[0], of))
+        order = np.lexsort((every[2], every[1], every[0], of))
         pick = order[np.searchsorted(of[order], np.arange(len(touched)))[:, None] + np.arange(k)]
         for held, both in zip((self.score, self.key, self.label), every):
             held[touched] = both[pick]
@@ -220,15 +220,32 @@ class Tree:
     def update(self, best: Best, queries: np.ndarray, factor: float, key: np.ndarray, own: np.ndarray, label: np.ndarray) -> int:
         """Takes the points into the best of each query, under their labels."""
         shape, taken = levels(len(self.points), self.leaf), 0
+        spare = self._spare(key, label, best.score.shape[1])
         together = max(64, min(TOGETHER, CELLS // len(shape[-1])))
         for a in range(0, len(queries), together):
             some = slice(a, a + together)
-            taken += self._update(shape, best.part(some), queries[some], factor, key, own[some], label)
+            taken += self._update(shape, best.part(some), queries[some], factor, key, own[some], label, spare)
         return taken
 
-    def _update(self, shape: list[np.ndarray], best: Best, queries: np.ndarray, factor: float, key: np.ndarray, own: np.ndarray, label: np.ndarray) -> int:
+    def _spare(self, key: np.ndarray, label: np.ndarray, k: int) -> np.ndarray:
+        """Points of which more than k equal ones come before: they are among no query's k best, itself left out."""
+        n, spare = len(self.points), np.zeros(len(self.points), bool)
+        with np.errstate(all="ignore"):
+            mark = (self.points * np.random.default_rng(0).normal(size=self.points.shape[1])).sum(1)
+        order = np.lexsort((label, key, mark))
+        again = np.append(False, mark[order[1:]] == mark[order[:-1]])
+        at = np.flatnonzero(again)
+        again[at] = (self.points[order[at]] == self.points[order[at - 1]]).all(1)
+        place = np.arange(n)
+        spare[order[place - np.maximum.accumulate(np.where(again, 0, place)) > k]] = True
+        return spare
+
+    def _update(self, shape: list[np.ndarray], best: Best, queries: np.ndarray, factor: float, key: np.ndarray, own: np.ndarray, label: np.ndarray, spare: np.ndarray) -> int:
         m, k = best.score.shape
-        asked = Screened(self.screen, queries)
+        asked, points = Screened(self.screen, queries), self.screen.rows
+        if spare.any():
+            points = points.copy()
+            points[spare, -1] = np.finfo(np.float32).min
         least, home = self._bounds(shape, asked)
         threshold = asked.threshold(best.radius)
         nearest, everyone, selves = asked.threshold(np.full(m, VANISHING)), np.arange(m), bool((own != NO_ROW).any())
@@ -238,9 +255,9 @@ class Tree:
             """Points from a to b, for some queries or for all."""
             nonlocal taken
             if who is None:
-                who, product, limit = everyone, asked.rows @ self.screen.rows[a:b].T, threshold
+                who, product, limit = everyone, asked.rows @ points[a:b].T, threshold
             else:
-                product, limit = asked.rows[who] @ self.screen.rows[a:b].T, threshold[who]
+                product, limit = asked.rows[who] @ points[a:b].T, threshold[who]
             taken += product.size
             if selves:
                 mine = np.flatnonzero((own[who] >= a) & (own[who] < b))
@@ -256,7 +273,7 @@ class Tree:
                 kth = np.partition(product[many], b - a - k, axis=1)[:, b - a - k]
                 limit[many] = np.maximum(limit[many], np.minimum(kth - 3 * asked.slack[who[many]], nearest[who[many]]))
                 i, j = np.divmod(np.flatnonzero(product >= limit[:, None]), b - a)
-            other = own[who[i]] != a + j
+            other = (own[who[i]] != a + j) & ~spare[a + j]
             waiting.append((who[i[other]], a + j[other]))
 
         def settle() -> None:

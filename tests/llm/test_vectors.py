@@ -225,6 +225,15 @@ def test_few_exact_distances_where_trees_prune_nothing(monkeypatch):
     assert (order[place] == want).all() and (score == np.take_along_axis(d, want, 1)).all()
 
 
+def test_few_exact_distances_among_equal_rows(monkeypatch):
+    points, taken, real = np.ones((2000, 8)), [], vantage.lengths
+    tree, order = vantage.Tree.build(points)
+    monkeypatch.setattr(vantage, "lengths", lambda rows: taken.append(len(rows)) or real(rows))
+    place, score, _ = tree.search(points[:50], 10, 1.0, order, np.argsort(order)[:50])
+    assert sum(taken) <= 50 * 11 and not score.any()
+    assert order[place].tolist() == [[i for i in range(11) if i != q][:10] for q in range(50)]
+
+
 KINDS = {
     "far from zero": lambda rng, x: x * 1e-3 + 1e4,
     "near copies": lambda rng, x: x[rng.integers(20, size=len(x))] + 1e-6 * x,
