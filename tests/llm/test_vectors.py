@@ -55,7 +55,7 @@ def test_whitening(vectors):
     frame, rows = vectors
     rows, width = of_usual_width([(i, v) for i, v in rows if sound(v)])
     found = whitening.whitening_digest(frame).collect()
-    x = np.array([[math.floor(256 * c) for c in v] for _, v in rows], np.int64).reshape(-1, width)
+    x = np.array([[math.floor(256 * c) for c in v] for _, v in rows], np.int64).reshape(len(rows), width)
     fit = np.unique(x, axis=0)
     n = len(fit)
     if n < 2:
